@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import winnowing
+from . import hnsw, langid, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_small_world_search": hnsw.query,
+        "op8_compression_language": langid.query,
         "op10_winnowing_decontamination": winnowing.query,
     }
 
