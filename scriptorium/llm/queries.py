@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, langid, sp_dropout, token_counts, winnowing
+from . import cdc, hnsw, langid, sp_dropout, token_counts, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_merge_dropout_codec": sp_dropout.query,
+        "op3_chunk_dedup": cdc.query,
         "op5_small_world_search": hnsw.query,
         "op8_compression_language": langid.query,
         "op9_token_attribution": token_counts.query,
