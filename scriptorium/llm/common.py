@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are runs of characters outside these ASCII ranges (fixed value of the word contract).
-WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words stand between runs of these characters, once A-Z are lower-cased (fixed value of the word contract).
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _serial = itertools.count()
@@ -23,8 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Lower-cased (A-Z only) words of a text; null gives an empty array."""
-    found = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD_PATTERN), F.lit(0))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    found = F.split(F.translate(text, UPPER, LOWER), BETWEEN_WORDS)  # several times faster than extracting matches
+    return F.coalesce(F.array_remove(found, ""), F.array().cast("array<string>"))
 
 
 def let(value: Column, body) -> Column:

@@ -24,6 +24,8 @@ from .common import let, table, words, written
 WINDOW, KGRAM = 13, 5
 #: Rows of an item table up to which it is broadcast (about 24 or 150 bytes each); larger ones are joined by shuffle.
 BROADCAST_ROWS = 400_000
+#: Item fingerprints up to which they are looked up in a hash set that is part of the plan.
+LITERAL_MARKS = 20_000
 
 
 def fingerprints(hashes: Column, length: int, kgram: int = KGRAM) -> Column:
@@ -59,36 +61,38 @@ def _small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, literal_marks: int = LITERAL_MARKS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each row of docs (doc_id, text) against items (item_id, text).
 
     Columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
     """
-    spark = docs.sparkSession
     items = items.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     items = written(items.select("item_id", "ws", F.least(F.size("ws"), F.lit(window)).alias("len")), "items")
     lengths = sorted(r[0] for r in items.select("len").distinct().collect())  # at most `window` values
     docs = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
-    split = docs.select("key", "doc_id", words(F.col("text")).alias("ws"))
-    base = split.select("key", "doc_id", F.size("ws").cast("long").alias("n_words"))
     none = F.sha2(F.lit("").cast("binary"), 256)
+    nothing = F.array().cast("array<bigint>")
     if not lengths:
-        return base.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
-
-    def prints(df: DataFrame, *cols: str, own: bool) -> DataFrame:
-        hashed = df.select(*cols, F.transform("ws", lambda x: F.xxhash64(x)).alias("h"), *(["len"] if own else []))
-        none_of = F.array().cast("array<bigint>")
-        each = [F.when(F.col("len") == n, fingerprints(F.col("h"), n)).otherwise(none_of) if own else fingerprints(F.col("h"), n) for n in lengths]
-        return hashed.select(*cols, F.explode(F.array_distinct(F.concat(*each))).alias("fp"))
-
-    marks = _small(written(prints(items, "item_id", own=True).select("fp").distinct(), "marks"), broadcast_rows)
-    found = prints(split, "key", own=False).join(marks, "fp", "left_semi").select("key").distinct()
-    # The few documents left are compared on all their windows.
+        zero = F.lit(0).cast("long")
+        return docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), zero.alias("n_hit"), zero.alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
+    hashed = lambda ws: F.transform(ws, lambda x: F.xxhash64(x))
+    theirs = [F.when(F.col("len") == n, fingerprints(hashed(F.col("ws")), n)).otherwise(nothing) for n in lengths]
+    marks = written(items.select(F.explode(F.concat(*theirs)).alias("fp")).distinct(), "marks")
+    few = [r[0] for r in marks.limit(literal_marks + 1).collect()]
+    split = docs.select("key", "doc_id", words(F.col("text")).alias("ws"))
+    prints = let(hashed(F.col("ws")), lambda h: F.concat(*[fingerprints(h, n) for n in lengths]))
+    if len(few) <= literal_marks:
+        touched = F.exists(prints, lambda x: x.isin(few))
+        split = split.select("key", "doc_id", "ws", touched.alias("touched"))
+    else:  # the marks are joined, by shuffle if there are too many to broadcast
+        found = split.select("key", F.explode(F.array_distinct(prints)).alias("fp")).join(_small(marks, broadcast_rows), "fp", "left_semi").select("key").distinct()
+        split = docs.join(found.withColumn("touched", F.lit(True)), "key", "left").select("key", "doc_id", words(F.col("text")).alias("ws"), F.coalesce("touched", F.lit(False)).alias("touched"))
+    # Words are kept of the documents that share a fingerprint, which are then compared on all their windows.
+    seen = written(split.select("key", "doc_id", F.size("ws").cast("long").alias("n_words"), F.when(F.col("touched"), F.col("ws")).alias("ws")), "touched")
     sought = reduce(DataFrame.unionByName, [items.where(F.col("len") == n).select("item_id", F.explode(windows(F.col("ws"), n)).alias("w")) for n in lengths])
     sought = _small(written(sought.select("item_id", F.col("w.gram").alias("gram"), F.col("w.len").alias("len")).distinct(), "sought"), broadcast_rows)
-    near = split.join(found, "key", "left_semi")
-    theirs = near.select("key", F.explode(F.concat(*[windows(F.col("ws"), n) for n in lengths])).alias("w")).select("key", "w.pos", "w.len", "w.gram")
-    hits = theirs.join(sought, ["gram", "len"]).select("key", F.col("item_id").cast("string").alias("item_id"), F.struct("pos", "len").alias("span"))
+    mine = seen.where(F.col("ws").isNotNull()).select("key", F.explode(F.concat(*[windows(F.col("ws"), n) for n in lengths])).alias("w")).select("key", "w.pos", "w.len", "w.gram")
+    hits = mine.join(sought, ["gram", "len"]).select("key", F.col("item_id").cast("string").alias("item_id"), F.struct("pos", "len").alias("span"))
     by_doc = hits.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("ids"), F.array_sort(F.collect_set("span")).alias("spans"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
 
@@ -98,7 +102,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, broad
 
     by_doc = by_doc.select("key", F.aggregate("spans", start, cover)["n"].cast("long").alias("hit"), F.size("ids").cast("long").alias("items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("sha"))
     zero = F.lit(0).cast("long")
-    out = base.join(by_doc, "key", "left").select("doc_id", "n_words", F.coalesce("hit", zero).alias("n_hit"), F.coalesce("items", zero).alias("n_items"), F.coalesce("sha", none).alias("items_sha256"))
+    out = seen.join(by_doc, "key", "left").select("doc_id", "n_words", F.coalesce("hit", zero).alias("n_hit"), F.coalesce("items", zero).alias("n_items"), F.coalesce("sha", none).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
