@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cdc, hnsw, langid, sp_dropout, token_counts, winnowing
+from . import bagminhash, cdc, hnsw, langid, sp_dropout, token_counts, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_merge_dropout_codec": sp_dropout.query,
         "op3_chunk_dedup": cdc.query,
         "op5_small_world_search": hnsw.query,
+        "op6_bag_minhash": bagminhash.query,
         "op8_compression_language": langid.query,
         "op9_token_attribution": token_counts.query,
         "op10_winnowing_decontamination": winnowing.query,
