@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, cdc, hnsw, langid, sp_dropout, token_counts, winnowing
+from . import bagminhash, cdc, hnsw, langid, sp_dropout, token_counts, winnowing, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chunk_dedup": cdc.query,
         "op5_small_world_search": hnsw.query,
         "op6_bag_minhash": bagminhash.query,
+        "op7_wrapper_extraction": wrappers.query,
         "op8_compression_language": langid.query,
         "op9_token_attribution": token_counts.query,
         "op10_winnowing_decontamination": winnowing.query,
