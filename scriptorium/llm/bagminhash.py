@@ -12,10 +12,12 @@ which nearly all registers are filled, and further for the texts where some aren
 BANDS bands of ROWS registers give buckets. Texts with one bag of shingles are one
 node. In a bucket every node is compared with a pivot, another order choosing the
 pivot of each band; pairs of at least THRESHOLD, by the exact similarity of their
-bags, are linked and connected. Buckets that still hold several components go
-through an exact prefix-filter join, on pairs of different components only, so that
-no link between components is lost to the choice of pivots and no group is expanded
-into all its pairs.
+bags, are linked and connected. The members of buckets that still hold several
+components go through an exact prefix-filter join, so that no link between components
+is lost to the choice of pivots. There each member of the smaller component is compared
+with the centre of the larger; as 1 - similarity is a metric, only members of the
+larger at least as far from their centre as that result leaves room for can be linked
+to it, and only those are compared. No group is expanded into all its pairs.
 
 Edge cases: texts of one to four words have one shingle of them all; texts without
 words form a class only with rows of equal text (null: with null); rows with equal
@@ -27,7 +29,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -214,22 +215,22 @@ def unpack(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
     return a[1 : n + 1], counts
 
 
-def linked(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose similarity is at least `threshold`."""
+def measured(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """pairs (a, b) with their similarity."""
     both = pairs.join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b").join(bags.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             last, bag = None, None
-            keep = []
+            found = []
             for i in range(b.num_rows):
                 raw = b.column(2)[i].as_py()
                 if raw != last:
                     last, bag = raw, unpack(raw)
-                keep.append(similarity(bag, unpack(b.column(3)[i].as_py())) >= threshold)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                found.append(similarity(bag, unpack(b.column(3)[i].as_py())))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
-    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(over, "a long, b long")
+    return both.select("a", "b", "bag_a", "bag_b").mapInArrow(over, "a long, b long, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -255,27 +256,51 @@ def _ids(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
 
-def prefix_pairs(bags: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components that may reach the threshold; of: id and component of the bags to compare.
+def prefixes(bags: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
+    """The rare shingles of each bag that stand in several components; of: id and component of the bags.
 
-    Shingles are ordered from rare to common. Two bags of that similarity share a shingle among their first ones
-    that weigh more than 1 - threshold of each.
+    Shingles are ordered from rare to common. Two bags that reach the threshold share a shingle among their
+    first ones that weigh more than 1 - threshold of each.
     """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 h, c = unpack(b.column(2)[i].as_py())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(h), i))), b.column(1).take(pa.array(np.full(len(h), i))), pa.array(h.astype(np.int64)), pa.array(c), pa.array(np.full(len(h), c.sum()))], names=["id", "component", "shingle", "n", "weight"])
+                at = pa.array(np.full(len(h), i))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(h.astype(np.int64)), pa.array(c), pa.array(np.full(len(h), c.sum()))], names=["id", "component", "shingle", "n", "weight"])
 
     each = written(of.join(bags, "id").select("id", "component", "bag").mapInArrow(over, "id long, component long, shingle long, n long, weight long"), "shingles")
     common = written(each.groupBy("shingle").agg(F.count("*").alias("freq"), F.min("component").alias("c0"), F.max("component").alias("c1")), "common")
     order = Window.partitionBy("id").orderBy("freq", "shingle").rowsBetween(Window.unboundedPreceding, -1)
     first = each.join(common, "shingle").withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") <= (1 - threshold) * F.col("weight") + 1e-9)
-    first = written(first.where("c0 < c1").select("shingle", "id", "component", "weight"), "prefixes")
-    a, b = (first.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "weight"))) for x in "ab")
-    near = (F.col("component_a") < F.col("component_b")) & (F.least("weight_a", "weight_b") >= threshold * F.greatest("weight_a", "weight_b"))
-    return a.join(b, "shingle").where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    return first.where("c0 < c1").select("shingle", "id", "component", "weight", (F.col("weight") - F.col("before")).alias("left"))
+
+
+def across(bags: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different components; of: id and component of the bags to compare."""
+    slack = 1e-9
+    radius = measured(of.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")), bags)
+    of = written(of.join(radius.select(F.col("b").alias("id"), (1 - F.col("similarity")).alias("far")), "id", "left").withColumn("far", F.coalesce("far", F.lit(0.0))), "radius")
+    size = written(of.groupBy("component").agg(F.count("*").alias("size"), F.max("far").alias("reach")), "sizes")
+    first = prefixes(bags, of.select("id", "component"), threshold).join(size, "component")
+    first = written(first.join(of.select("id", "far"), "id").select("shingle", "id", "component", "weight", "left", "size", "reach", "far"), "prefixes")
+    # From their first common shingle on, the lighter rest bounds what two bags share.
+    part = threshold / (1 + threshold)
+    own = first.select("shingle", "id", "weight", "left", F.col("component").alias("own"), F.col("size").alias("own_size"))
+    others = first.groupBy("shingle", "component", "size", "reach").agg(F.max("left").alias("most"), F.min("weight").alias("lightest"))
+    larger = (F.struct("own_size", "own") < F.struct("size", "component")) & (F.least("left", "most") >= part * (F.col("weight") + F.col("lightest")) - slack)
+    met = written(own.join(others, "shingle").where(larger).select("id", "component", "reach").distinct(), "met")
+    tried = written(measured(met.select(F.col("component").alias("a"), F.col("id").alias("b")), bags), "tried")
+    links = tried.where(F.col("similarity") >= threshold).select("a", "b")
+    room = tried.where(F.col("similarity") < threshold).select(F.col("b").alias("id"), F.col("a").alias("component"), (threshold - F.col("similarity") - slack).alias("least"))
+    room = written(room.join(size, "component").where("reach >= least").select("id", "component", "least"), "room")
+    mine = written(first.select("shingle", "id", "weight", "left").join(room, "id").select("shingle", "component", "least", F.col("id").alias("a"), F.col("weight").alias("weight_a"), F.col("left").alias("left_a")), "mine")
+    theirs = first.select("shingle", "component", "far", F.col("id").alias("b"), F.col("weight").alias("weight_b"), F.col("left").alias("left_b"))
+    enough = part * (F.col("weight_a") + F.col("weight_b")) - slack
+    near = (F.col("far") >= F.col("least")) & (F.least("left_a", "left_b") >= enough)
+    pairs = written(mine.join(theirs, ["shingle", "component"]).where(near).select("a", "b").distinct(), "far-pairs")
+    return links.unionByName(measured(pairs, bags).where(F.col("similarity") >= threshold).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -293,15 +318,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = written(members.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
     some = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "compared")
     bags = written(bagged(docs.select(_id().alias("id"), "text").join(_ids(some), "id", "left_semi")).dropDuplicates(["id"]), "bags")
-    edges = written(linked(pairs, bags, threshold), "links")
+    edges = written(measured(pairs, bags).where(F.col("similarity") >= threshold).select("a", "b"), "links")
     found = written(components(edges), "found")
     # Members that are in one bucket but not in one component.
     labelled = written(members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "labelled")
     mixed = written(labelled.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("bucket"), "mixed")
     rest = written(labelled.join(mixed, "bucket").select("id", "component").distinct(), "rest")
     if rest.limit(1).count():
-        more = linked(written(prefix_pairs(bags, rest, threshold), "prefix-pairs"), bags, threshold)
-        found = written(components(reduce(DataFrame.unionByName, [edges, more])), "found")
+        found = written(components(edges.unionByName(across(bags, rest, threshold))), "found")
     classes = found.select(F.col("id").alias("same_id"), F.col("component").alias("class_id"))
     return rows.select("id", "same_id").join(classes, "same_id", "left").select("id", "same_id", F.coalesce("class_id", "same_id").alias("class_id"))
 
