@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, cdc, hnsw, langid, sp_dropout, token_counts, winnowing, wrappers
+from . import bagminhash, cdc, hnsw, langid, pii, sp_dropout, token_counts, toxicity, winnowing, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_merge_dropout_codec": sp_dropout.query,
+        "op2_pii_surrogates": pii.query,
         "op3_chunk_dedup": cdc.query,
+        "op4_noisy_channel_toxicity": toxicity.query,
         "op5_small_world_search": hnsw.query,
         "op6_bag_minhash": bagminhash.query,
         "op7_wrapper_extraction": wrappers.query,
