@@ -8,9 +8,12 @@ that a neighbour's merge makes is a new candidate. `variant` is one of VARIANTS,
 drawn by a keyed hash for each segment of each document, so that equal words are
 cut differently within and across documents, and everything repeats for a seed.
 
-No piece of such a model continues past a space, so that a document falls into
-segments (spaces and what follows them; a line break) that merge independently.
-Equal (segment, variant) are computed once per batch, all in step with numpy.
+Where two neighbouring characters stand side by side in no piece of the model nothing
+can merge across, so that a document falls into segments that merge independently.
+Segments are told apart by a 64-bit hash of their characters; equal (segment, variant)
+are computed once per batch, all in step with numpy, and the most recent are kept. As
+every document is decoded again, a document that two equal hashes spoil is seen, and
+encoded anew segment by segment.
 
 Edge cases: null or empty text gives no ids; decode(encode(t)) == t for every
 text: characters without a piece, and U+2581, which stands for the space in
@@ -21,11 +24,11 @@ a null doc_id counts as one id; further columns are ignored.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +41,7 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 DROPOUT, SEED, VARIANTS = 0.1, 42, 4
-_SEGMENT = re.compile(r" *[^ \n]+|\n| +")
-_CACHE, _CHUNK, _LONG = 400_000, 100_000, 48
+_CACHE, _CHUNK, _WIDTHS = 350_000, 1_500_000, (3, 5, 7, 9, 12, 16, 24, 48)
 _NONE = np.int32(2**31 - 1)
 _U = np.uint64
 
@@ -51,18 +53,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _segments(text: str) -> Iterator[list[str]]:
-    """The segments of a text, of a long one in several lists."""
-    if not text:
-        return
-    if len(text) <= 1_000_000:
-        yield _SEGMENT.findall(" " + text)
-        return
-    found = (m.group() for m in _SEGMENT.finditer(" " + text))
-    while segs := list(islice(found, _CHUNK)):
-        yield segs
-
-
 class Codec:
     def __init__(self, model_path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -80,9 +70,20 @@ class Codec:
             else:
                 normal[piece] = i
                 self.raw.append(piece.replace(SPACE, " ").encode())
-        if any(SPACE in p.lstrip(SPACE) for p in normal):
-            raise ValueError("a piece of this model continues past a space")
-        self.char_id = {p: i for p, i in normal.items() if len(p) == 1}
+        self.char_id = np.full(0x110000, -1, np.int32)
+        for p, i in normal.items():
+            if len(p) == 1:
+                self.char_id[ord(" " if p == SPACE else p)] = i
+        # Which characters are neighbours in some piece; 0 stands for all that are in none.
+        chars = {c: k + 1 for k, c in enumerate(sorted(set("".join(normal))))}
+        self.char_no = np.zeros(0x110000, np.int32)
+        for c, k in chars.items():
+            self.char_no[ord(" " if c == SPACE else c)] = k
+        self.char_no[ord(SPACE)] = 0
+        self.side = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for p in normal:
+            for x, y in zip(p, p[1:], strict=False):
+                self.side[chars[x], chars[y]] = True
         by_score = sorted((i for p, i in normal.items() if len(p) > 1), key=lambda i: (-sp.get_score(i), i))
         self.of_rank = np.array(by_score, np.int32)
         rank = {i: k for k, i in enumerate(by_score)}
@@ -95,7 +96,8 @@ class Codec:
                     ranks.append(rank[i])
         self.pairs = dict(zip(keys, ranks, strict=True))
         self._table(np.array(keys, np.int64), np.array(ranks, np.int32))
-        self.cache: list[dict[str, tuple[int, ...]]] = []
+        self.cache: dict[int, tuple[int, ...]] = {}
+        self.older: dict[int, tuple[int, ...]] = {}
 
     def _table(self, keys: np.ndarray, ranks: np.ndarray) -> None:
         """An open-addressed table of the pairs."""
@@ -132,9 +134,8 @@ class Codec:
         h = _mix(_mix(variant.astype(np.uint64) + _U((seed * 0x9E3779B97F4A7C15) & (2**64 - 1))) + place.astype(np.uint64))
         return _mix(h ^ (left.astype(np.uint64) << _U(32) | right.astype(np.uint64))) < limit
 
-    def _symbols(self, segment: str) -> list[int]:
-        get = self.char_id.get
-        return [-1 if c == SPACE else get(SPACE if c == " " else c, -1) for c in segment]
+    def _symbols(self, segment: str) -> np.ndarray:
+        return self.char_id[np.frombuffer(segment.encode("utf-32-le"), np.uint32)]
 
     def _ids(self, segment: str, place: list[int], sym: list[int]) -> tuple[int, ...]:
         out: list[int] = []
@@ -147,11 +148,18 @@ class Codec:
 
     def merge_long(self, segment: str, variant: int, dropout: float, seed: int) -> tuple[int, ...]:
         """One segment of any length with a heap."""
-        sym = self._symbols(segment)
+        sym = self._symbols(segment).tolist()
         n = len(sym)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        limit = _U(min(2**64 - 1, int(dropout * 2**64)))
-        var = np.array([variant])
+        full = 2**64 - 1
+        limit = min(full, int(dropout * 2**64))
+
+        def mix(x: int) -> int:
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+            return x ^ x >> 31
+
+        base = mix(variant + seed * 0x9E3779B97F4A7C15 & full)
         heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int) -> None:
@@ -166,7 +174,7 @@ class Codec:
             j = nxt[i]
             if sym[i] != a or j >= n or sym[j] != b:
                 continue
-            if dropout > 0 and self._skip(seed, var, np.array([i]), np.array([a]), np.array([b]), limit)[0]:
+            if dropout > 0 and mix(mix(base + i & full) ^ (a << 32 | b)) < limit:
                 continue
             sym[i], sym[j], nxt[i] = int(self.of_rank[r]), -2, nxt[j]
             if nxt[j] < n:
@@ -178,10 +186,10 @@ class Codec:
         return self._ids(segment, alive, [sym[i] for i in alive])
 
     def merge(self, segments: list[str], variants: list[int], dropout: float, seed: int) -> list[tuple[int, ...]]:
-        """Ids of each segment, of at most _LONG characters, all in step."""
+        """Ids of each segment, of at most _WIDTHS[-1] characters, all in step."""
         n, width = len(segments), max(map(len, segments)) + 1
         sizes = np.fromiter(map(len, segments), np.int64, n)
-        flat = np.array(self._symbols("".join(segments)), np.int32)
+        flat = self._symbols("".join(segments))
         sym = np.full((n, width), -3, np.int32)  # -1: no piece, -2: merged away, -3: beyond the end
         sym[np.arange(width)[None, :] < sizes[:, None]] = flat
         var = np.asarray(variants, np.int64)
@@ -227,69 +235,111 @@ class Codec:
             out[i] = self._ids(segments[i], place, sym[i][place].tolist())
         return out
 
-    def _fill(self, wanted: list[tuple[str, int]], dropout: float, seed: int) -> None:
-        groups: dict[int, list[tuple[str, int]]] = {}
-        for s, v in wanted:
-            width = next((w for w in (8, 12, 16, 24, 32, _LONG) if len(s) <= w), 0)
-            groups.setdefault(width, []).append((s, v))
-        for width, pairs in groups.items():
-            for i in range(0, len(pairs), 20_000):
-                some = pairs[i : i + 20_000]
-                got = self.merge([x[0] for x in some], [x[1] for x in some], dropout, seed) if width else [self.merge_long(s, v, dropout, seed) for s, v in some]
-                for (s, v), ids in zip(some, got, strict=True):
-                    self.cache[v][s] = ids
-
-    def encode_many(self, texts: list[str | None], keys: list[int], dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> Iterator[np.ndarray]:
+    def _fill(self, wanted: list[tuple[int, str, int]], dropout: float, seed: int) -> None:
+        """Compute (key, segment, variant) into the cache."""
+        groups: list[list[tuple[int, str, int]]] = [[] for _ in range(len(_WIDTHS) + 1)]
+        for x in wanted:
+            groups[bisect_left(_WIDTHS, len(x[1]))].append(x)
+        for k, some in enumerate(groups):
+            for i in range(0, len(some), 20_000):
+                keys, segs, vs = zip(*some[i : i + 20_000], strict=True)
+                got = self.merge(list(segs), list(vs), dropout, seed) if k < len(_WIDTHS) else [self.merge_long(s, v, dropout, seed) for s, v in zip(segs, vs, strict=True)]
+                self.cache.update(zip(keys, got, strict=True))
+
+    def _bounds(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Code points, and where segments begin."""
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        no = self.char_no[points]
+        return points, np.flatnonzero(np.concatenate([[True], ~self.side[no[:-1], no[1:]]]))
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """A text that starts with a space, cut into parts of about _CHUNK characters where a segment begins."""
+        at = 0
+        while len(text) - at > 2 * _CHUNK:
+            to = at + _CHUNK
+            while to < len(text) and self.side[self.char_no[ord(text[to - 1])], self.char_no[ord(text[to])]]:
+                to += 1
+            yield text[at:to]
+            at = to
+        yield text[at:]
+
+    def encode_many(self, texts: list[str | None], keys: list[int], dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> list[np.ndarray]:
         """The ids of each text; keys: what stands for each document in the hash."""
         variants = variants if dropout > 0 else 1
         if getattr(self, "made_for", None) != (dropout, seed, variants):
-            self.made_for, self.cache = (dropout, seed, variants), [{} for _ in range(variants)]
-        waiting: list[tuple[int, list[str], list[int]]] = []
+            self.made_for, self.cache, self.older = (dropout, seed, variants), {}, {}
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        done = [0] * len(texts)  # segments so far
+        waiting: list[tuple[int, str]] = []
         held = 0
-        parts: dict[int, list[np.ndarray]] = {}
 
         def flush() -> None:
-            if sum(map(len, self.cache)) > _CACHE:
-                self.cache = [{} for _ in range(variants)]
-            get = [x.get for x in self.cache]
-            found = [[get[v](s) for s, v in zip(segs, vs, strict=True)] for _, segs, vs in waiting]
-            gaps = [(k, j) for k, ids in enumerate(found) if None in ids for j, x in enumerate(ids) if x is None]
-            if gaps:
-                self._fill(list({(waiting[k][1][j], waiting[k][2][j]) for k, j in gaps}), dropout, seed)
-                for k, j in gaps:
-                    found[k][j] = get[waiting[k][2][j]](waiting[k][1][j])
-            for (i, _, _), ids in zip(waiting, found, strict=True):
-                parts.setdefault(i, []).append(np.fromiter(chain.from_iterable(ids), np.int32))
+            if len(self.cache) > _CACHE:  # what isn't asked for again goes with the next change
+                self.cache, self.older = {}, self.cache
+            joined = "".join(part for _, part in waiting)
+            sizes = np.fromiter((len(part) for _, part in waiting), np.int64, len(waiting))
+            first = np.cumsum(sizes) - sizes
+            points, starts = self._bounds(joined)
+            starts = np.union1d(starts, first)
+            length = np.diff(np.append(starts, len(points)))
+            inside = np.arange(len(points)) - np.repeat(starts, length)
+            name = _mix(np.add.reduceat(_mix(points.astype(np.uint64) + (inside.astype(np.uint64) << _U(32))), starts))
+            at_doc = np.searchsorted(starts, first)  # the first segment of each part
+            count = np.diff(np.append(at_doc, len(starts)))
+            if variants > 1:
+                doc = np.array([i for i, _ in waiting])
+                order = np.arange(len(starts)) + np.repeat(np.array([done[i] for i in doc]) - at_doc, count)
+                own = _mix(np.array([(seed << 32) ^ keys[i] for i in doc], np.uint64))
+                variant = _mix(order.astype(np.uint64) + np.repeat(own, count)) % _U(variants)
+                name = name + variant * _U(0x9E3779B97F4A7C15)
+            both, where, at = np.unique(name, return_index=True, return_inverse=True)
+            wanted_keys = both.tolist()
+            get, old = self.cache.get, self.older.get
+            ids = [get(k) for k in wanted_keys]
+            gaps = [j for j, x in enumerate(ids) if x is None]
+            new = []
+            for j in gaps:
+                k = wanted_keys[j]
+                found = old(k)
+                if found is None:
+                    new.append(j)
+                else:
+                    self.cache[k] = found
+            if new:
+                pick = where[new]
+                kinds = variant[pick].tolist() if variants > 1 else [0] * len(new)
+                segs = [joined[s : s + n] for s, n in zip(starts[pick].tolist(), length[pick].tolist(), strict=True)]
+                self._fill([(wanted_keys[j], s, v) for j, s, v in zip(new, segs, kinds, strict=True)], dropout, seed)
+            for j in gaps:
+                ids[j] = get(wanted_keys[j])
+            n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(n_ids.sum()))
+            start, n = (np.cumsum(n_ids) - n_ids)[at], n_ids[at]
+            behind = np.cumsum(n)
+            flat = flat[np.repeat(start - (behind - n), n) + np.arange(behind[-1])]
+            ends = behind[np.append(at_doc[1:], len(starts)) - 1]
+            for (i, _), ids_of, c in zip(waiting, np.split(flat, ends[:-1]), count.tolist(), strict=True):
+                out[i].append(ids_of)
+                done[i] += c
             waiting.clear()
 
-        given = 0
-        for i, (text, key) in enumerate(zip(texts, keys, strict=True)):
-            at = 0
-            for segs in _segments(text or ""):
-                if variants == 1:
-                    vs = [0] * len(segs)
-                else:
-                    h = _mix(np.arange(at, at + len(segs), dtype=np.uint64) + _mix(np.array([(seed << 32) ^ key], np.uint64)))
-                    vs = (h % _U(variants)).tolist()
-                waiting.append((i, segs, vs))
-                at += len(segs)
-                held += len(segs)
+        for i, text in enumerate(texts):
+            for part in self._parts(" " + text) if text else ():
+                waiting.append((i, part))
+                held += len(part)
                 if held >= _CHUNK:
                     flush()
                     held = 0
-                    while given < i:
-                        yield np.concatenate(parts.pop(given, [np.zeros(0, np.int32)]))
-                        given += 1
-        flush()
-        while given < len(texts):
-            yield np.concatenate(parts.pop(given, [np.zeros(0, np.int32)]))
-            given += 1
+        if waiting:
+            flush()
+        none = np.zeros(0, np.int32)
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else none for x in out]
 
     def encode(self, text: str | None, key: int = 0, dropout: float = 0.0, seed: int = SEED, variants: int = VARIANTS) -> list[int]:
-        return next(self.encode_many([text], [key], dropout, seed, variants)).tolist()
+        return self.encode_many([text], [key], dropout, seed, variants)[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.raw.__getitem__, ids)).decode()[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 @lru_cache(maxsize=2)
@@ -303,13 +353,16 @@ def encode(docs: DataFrame, model_path: str = MODEL, dropout: float = DROPOUT, s
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
                 texts = part.column(1).to_pylist()
                 keys = [zlib.crc32(str(x).encode()) for x in part.column(0).to_pylist()]
-                ids = list(c.encode_many(texts, keys, dropout, seed, variants))
-                ends = np.cumsum([0, *map(len, ids)])
+                ids = c.encode_many(texts, keys, dropout, seed, variants)
                 lossless = [c.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts, strict=True)]
+                for j in (j for j, fine in enumerate(lossless) if not fine):
+                    ids[j] = np.array(c.merge_long(" " + texts[j], 0, dropout, seed), np.int32)
+                    lossless[j] = c.decode(ids[j].tolist()) == texts[j]
+                ends = np.cumsum([0, *map(len, ids)])
                 values = pa.array(np.concatenate(ids))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(lossless)], names=["doc_id", "ids", "n_tokens", "lossless"])
