@@ -24,6 +24,8 @@ from .common import let, table, words, written
 WINDOW, KGRAM = 13, 5
 #: Rows of an item table up to which it is broadcast (about 24 or 150 bytes each); larger ones are joined by shuffle.
 BROADCAST_ROWS = 400_000
+#: Ids (8 bytes each) up to which a set is broadcast.
+BROADCAST_IDS = 2_000_000
 #: Item fingerprints up to which they are looked up in a hash set that is part of the plan.
 LITERAL_MARKS = 20_000
 
@@ -107,10 +109,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, liter
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without its contaminated rows, columns as they were."""
+    """docs without its contaminated rows, columns as they were; rows with one doc_id go together."""
     verdict = decontaminate(docs.select("doc_id", "text"), items)
-    bad = verdict.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    name = "_bad" + "_" * max(map(len, docs.columns))  # no column of docs has this name
+    bad = written(verdict.where("contaminated").select(F.xxhash64("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(_small(bad, BROADCAST_IDS), F.xxhash64("doc_id") == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
