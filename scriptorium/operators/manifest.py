@@ -48,6 +48,11 @@ class FileConfig:
     title: str | None = None
 
 
+def _given(value: object) -> bool:
+    """Empty objects are given, too."""
+    return isinstance(value, (dict, list)) or bool(value)
+
+
 def _mapping(value: object, name: str) -> dict:
     if not isinstance(value, dict):
         raise ManifestError(f"{name} must be an object")
@@ -95,7 +100,7 @@ def manifest_of(value: object) -> Manifest:
     said = given.get("mcpServerInstructions")
     if said and (not isinstance(said, str) or not said.strip()):
         raise ManifestError("manifest.mcpServerInstructions must be a non-empty string")
-    overrides = given.get("overrides") or []
+    overrides = given["overrides"] if _given(given.get("overrides")) else []
     if not isinstance(overrides, list):
         raise ManifestError("overrides must be an array")
     made = []
@@ -103,8 +108,8 @@ def manifest_of(value: object) -> Manifest:
         o = _mapping(o, f"overrides[{n}]")
         if not isinstance(o.get("pattern"), str) or not o["pattern"].strip():
             raise ManifestError(f"overrides[{n}].pattern must be a non-empty string")
-        made.append(Override(o["pattern"], strategy_of(o["strategy"]) if o.get("strategy") else None, metadata_of(o["metadata"]) if o.get("metadata") else {}))
-    return Manifest(strategy_of(given["strategy"]) if given.get("strategy") else None, metadata_of(given["metadata"]) if given.get("metadata") else {}, taxonomy_of(given["taxonomy"]) if given.get("taxonomy") else {}, said.strip() if said else None, tuple(made))
+        made.append(Override(o["pattern"], strategy_of(o["strategy"]) if _given(o.get("strategy")) else None, metadata_of(o["metadata"]) if _given(o.get("metadata")) else {}))
+    return Manifest(strategy_of(given["strategy"]) if _given(given.get("strategy")) else None, metadata_of(given["metadata"]) if _given(given.get("metadata")) else {}, taxonomy_of(given["taxonomy"]) if _given(given.get("taxonomy")) else {}, said.strip() if said else None, tuple(made))
 
 
 def parse_manifest(text: str) -> Manifest:
@@ -174,12 +179,12 @@ def resolve(path: str, markdown: str | None = None, manifest: Manifest | None =
     if way := hinted_way(markdown):
         strategy = Strategy(way, strategy.max_chunk_size, strategy.min_chunk_size)
     front, _ = front_matter(markdown)
-    if front.get("mcp_strategy"):
+    if _given(front.get("mcp_strategy")):
         strategy = strategy_of(front["mcp_strategy"], "mcp_strategy")
-    elif front.get("mcp_chunking_hint"):
+    elif _given(front.get("mcp_chunking_hint")):
         strategy = strategy_of({"chunk_by": front["mcp_chunking_hint"]}, "mcp_chunking_hint")
     for key in ("metadata", "mcp_metadata"):
-        if front.get(key):
+        if _given(front.get(key)):
             metadata |= metadata_of(front[key], key)
     title = front.get("title")
     return FileConfig(strategy, metadata, title.strip() if isinstance(title, str) and title.strip() else first_title(markdown))

@@ -119,7 +119,7 @@ def match_index(index: Index, query: str, allowed: DataFrame | None) -> DataFram
 
 
 def phrase_index(index: Index, query: str, slop: int, allowed: DataFrame | None) -> DataFrame:
-    phrase = query_terms(query)
+    phrase = query_terms(query) or [""]  # no posting has an empty term
     rows = index.table("postings").where((F.col("field") == "content_text") & F.col("term").isin(phrase))
     if allowed is not None:
         rows = rows.join(allowed, "chunk_id", "left_semi")
