@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import normalized, tokenized
+from scriptorium.functions.text import tokenized
 
 FIELDS = {"heading": 3.0, "content_text": 1.0}
 POINTER = "CURRENT"
@@ -24,14 +24,14 @@ POINTER = "CURRENT"
 
 def postings(chunks: DataFrame) -> DataFrame:
     """term, field, chunk_id, tf, dl and positions of every term of every chunk."""
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), tokenized(normalized(F.col(f))).alias("terms")) for f in FIELDS))
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), tokenized(F.lower(f)).alias("terms")) for f in FIELDS))
     each = chunks.select("chunk_id", F.explode(fields).alias("f")).select("chunk_id", "f.field", F.size("f.terms").alias("dl"), F.posexplode("f.terms").alias("pos", "term"))
     return each.groupBy("term", "field", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
 def field_statistics(chunks: DataFrame) -> DataFrame:
     """Chunks and mean length of each field."""
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.size(tokenized(normalized(F.col(f)))).alias("dl")) for f in FIELDS))
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.size(tokenized(F.lower(f))).alias("dl")) for f in FIELDS))
     return chunks.select(F.explode(fields).alias("f")).groupBy("f.field").agg(F.count("*").alias("n"), F.avg("f.dl").alias("avgdl"))
 
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import clamp_limit, normalized, query_terms, snippet, tokenized
+from scriptorium.functions.text import clamp_limit, query_terms, snippet, tokenized
 
 from . import collapse, cursor, lexical, vectors
 from .facets import facet, matching
@@ -47,24 +47,34 @@ def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column
     return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def _times(terms: str, term: str) -> Column:
+def _times(terms: Column, term: str) -> Column:
     return F.size(F.filter(terms, lambda x: x == term))
 
 
+def _measures(terms: Sequence[str]) -> Column:
+    """For each field its length and the occurrences of the terms; the fields are split once a row."""
+    split = F.struct(*(tokenized(F.lower(f)).alias(f) for f in FIELDS))
+    return F.transform(F.array(split), lambda x: F.struct(*(F.struct(F.size(x[f]).alias("dl"), F.array(*(_times(x[f], t) for t in terms)).alias("tf")).alias(f) for f in FIELDS)))[0]
+
+
 # ------------------------------------------------------------------ over chunks, without an index
 def match_scan(chunks: DataFrame, query: str, keep: Sequence[str] = ("chunk_id",)) -> DataFrame:
     """keep and BM25 `score` (9 decimals) of chunks that have a term of the query. Two passes over chunks, no shuffle of their terms."""
     terms = list(dict.fromkeys(query_terms(query)))
-    counts = [(f, t, w) for f, w in FIELDS.items() for t in terms]
-    parts = chunks.select(*keep, *(tokenized(normalized(F.col(f))).alias(f"{f}_terms") for f in FIELDS))
-    parts = parts.select(*keep, *(F.size(f"{f}_terms").alias(f"{f}_dl") for f in FIELDS), *(_times(f"{f}_terms", t).alias(f"tf_{f}_{t}") for f, t, _ in counts))
-    stats = parts.agg(F.count("*").alias("n"), *(F.avg(f"{f}_dl").alias(f"{f}_avgdl") for f in FIELDS), *(F.sum((F.col(f"tf_{f}_{t}") > 0).cast("long")).alias(f"df_{f}_{t}") for f, t, _ in counts))
+    if not terms:
+        return chunks.select(*keep, F.lit(0.0).alias("score")).where(F.lit(False))
+    pairs = [(f, i) for f in FIELDS for i in range(len(terms))]
+    m = chunks.select(_measures(terms).alias("m"))
+    stats = m.agg(F.count("*").alias("n"), *(F.avg(f"m.{f}.dl").alias(f"avgdl_{f}") for f in FIELDS), *(F.count_if(F.col(f"m.{f}.tf")[i] > 0).alias(f"df_{f}_{i}") for f, i in pairs))
     total: Column = F.lit(0.0)
-    for f, t, w in counts:
-        tf = F.col(f"tf_{f}_{t}")
-        total = total + F.when(tf > 0, w * bm25(tf, F.col(f"{f}_dl"), F.col(f"df_{f}_{t}"), F.col("n"), F.col(f"{f}_avgdl"))).otherwise(0.0)
-    some = reduce(lambda a, b: a | b, (F.col(f"tf_{f}_{t}") > 0 for f, t, _ in counts), F.lit(False))
-    return parts.where(some).crossJoin(F.broadcast(stats)).select(*keep, F.round(total, 9).alias("score"))  # stats is one row
+    for f, i in pairs:
+        tf = F.col(f"m.{f}.tf")[i]
+        total = total + F.when(tf > 0, FIELDS[f] * bm25(tf, F.col(f"m.{f}.dl"), F.col(f"df_{f}_{i}"), F.col("n"), F.col(f"avgdl_{f}"))).otherwise(0.0)
+    # A plain substring test comes first; only what passes it is split.
+    may = reduce(lambda a, b: a | b, (F.contains(F.lower(f), F.lit(t)) for f in FIELDS for t in terms))
+    has = reduce(lambda a, b: a | b, (F.exists(f"m.{f}.tf", lambda x: x > 0) for f in FIELDS))
+    some = chunks.where(may).select(*keep, _measures(terms).alias("m")).where(has)
+    return some.crossJoin(F.broadcast(stats)).select(*keep, F.round(total, 9).alias("score"))  # stats is one row
 
 
 def phrase_count(terms: Column, phrase: Sequence[str], slop: int = 0) -> Column:
@@ -84,7 +94,7 @@ def phrase_scan(chunks: DataFrame, query: str, slop: int = 0, keep: Sequence[str
     phrase = query_terms(query)
     if not phrase:
         return chunks.select(*keep, F.lit(0.0).alias("score")).where(F.lit(False))
-    terms = tokenized(normalized(F.col("content_text")))
+    terms = tokenized(F.lower("content_text"))
     has = reduce(lambda a, b: a & b, (F.contains(F.lower("content_text"), F.lit(t)) for t in dict.fromkeys(phrase)))
     # The terms are split once a row.
     count = F.transform(F.array(terms), lambda ts: phrase_count(ts, phrase, slop_of(slop)))[0]
