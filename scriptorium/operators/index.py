@@ -90,3 +90,8 @@ def publish(base: str, version: str) -> None:
     for name in os.listdir(base):
         if name.startswith("v-") and name not in (version, before):
             shutil.rmtree(os.path.join(base, name), ignore_errors=True)
+
+
+def export_json(chunks: DataFrame, path: str) -> None:
+    """Chunks as JSON lines."""
+    chunks.write.mode("overwrite").json(path)

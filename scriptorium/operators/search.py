@@ -17,6 +17,8 @@ from .index import FIELDS, Index
 
 #: The fusion's constant and the lists' weights; bounds of the phrase's slop.
 RANK_CONSTANT, WEIGHTS, MOST_SLOP = 60, {"match": 1.0, "phrase": 1.25, "vector": 1.0}, 5
+#: Rows of each list that take part in the fusion; None ranks all of them, in one task a list.
+CANDIDATES = 5000
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
 
@@ -148,7 +150,7 @@ def phrase_index(index: Index, query: str, slop: int, allowed: DataFrame | None)
 class Engine:
     """Search and retrieval over a published index."""
 
-    def __init__(self, index: Index, collapse_keys: Sequence[str] = (), slop: int = 0, weights: Mapping[str, float] | None = None, provider: vectors.Provider | None = None, candidates: int | None = None):
+    def __init__(self, index: Index, collapse_keys: Sequence[str] = (), slop: int = 0, weights: Mapping[str, float] | None = None, provider: vectors.Provider | None = None, candidates: int | None = CANDIDATES):
         self.index, self.collapse_keys, self.slop, self.weights, self.provider, self.candidates = index, list(collapse_keys), slop, dict(weights or {}), provider, candidates
         self.warnings: list[str] = []
 

@@ -47,3 +47,16 @@ def test_an_empty_corpus(spark, tmp_path):
     made, report = build.build(spark, str(tmp_path / "docs"), str(tmp_path / "out"), "Nothing")
     assert (report.files, report.chunks) == (0, 0)
     assert search.Engine(made).search(search.Request("x")).hits == []
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from scriptorium.__main__ import main
+
+    corpus(tmp_path / "docs")
+    docs, out = str(tmp_path / "docs"), str(tmp_path / "out")
+    assert main(["build", docs, out, "--embedding", "hash", "--json", str(tmp_path / "json")]) == 0
+    assert json.loads(capsys.readouterr().out)["chunks"] == 8
+    assert main(["search", out, "retry", "--filter", "language=python"]) == 0
+    assert json.loads(capsys.readouterr().out)["hits"]
+    assert main(["get", out, "guides/retries.md#retries/backoff-strategy"]) == 0
+    assert "(Target)" in capsys.readouterr().out
