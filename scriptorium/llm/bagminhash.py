@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import lean, table, tidy, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
@@ -163,6 +163,7 @@ def _subsets(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]]:
 def signed(docs: DataFrame) -> DataFrame:
     """id, hi, lo (digest of the bag, or of a text without words), weight, bands of each row."""
 
+    @tidy
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = Bags()
         for b in batches:
@@ -186,6 +187,7 @@ def signed(docs: DataFrame) -> DataFrame:
 def bagged(docs: DataFrame) -> DataFrame:
     """id and bag (hashes cut to 32 bits, multiplicities) of each row of docs (id, text)."""
 
+    @tidy
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = Bags()
         for b in batches:
@@ -219,6 +221,7 @@ def measured(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """pairs (a, b) with their similarity."""
     both = pairs.join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b").join(bags.select(F.col("id").alias("a"), F.col("bag").alias("bag_a")), "a")
 
+    @tidy
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             last, bag = None, None
@@ -263,6 +266,7 @@ def prefixes(bags: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
     first ones that weigh more than 1 - threshold of each.
     """
 
+    @tidy
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
@@ -306,6 +310,7 @@ def across(bags: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """For each row of docs (doc_id, text): id (doc_id, or a hash if it is null), same_id (smallest id with the same
     bag), class_id (smallest id of its class of near duplicates)."""
+    lean(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signs = written(signed(docs), "signs")
     same = written(signs.groupBy("hi", "lo").agg(F.min("id").alias("same_id")), "same")

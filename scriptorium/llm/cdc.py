@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import lean, table, tidy, written
 
 BITS, MIN_CHUNK, MAX_CHUNK, MIN_RUN = 4, 16, 96, 90
 WINDOW = 32
@@ -89,6 +89,7 @@ SCHEMA = "hi long, lo long, doc long, text_key int, idx int, start int, n_chars
 def chunked(docs: DataFrame) -> DataFrame:
     """All chunks of docs (doc_id, text)."""
 
+    @tidy
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
@@ -118,6 +119,7 @@ def repeated(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     Columns: doc_id, text_key, start_char, n_chars, n_bytes, n_chunks, first_doc_id (smallest of any of its
     chunks), kept (the document is the first to have all of it).
     """
+    lean(docs.sparkSession)
     parts = chunked(docs)
     twice = parts.groupBy("hi", "lo").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
     twice = written(twice.where("first_doc < last_doc").drop("last_doc"), "repeated")  # so that a hot digest's join can be split

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidy, written
 
 SHARD_ROWS, LINKS, BREADTH_BUILD, BREADTH_SEARCH, BLOCK_ROWS = 4096, 16, 80, 120, 1024
 
@@ -182,6 +182,7 @@ def classes(vectors: DataFrame, keep: int) -> DataFrame:
     that a vector that a third of all rows share is never gathered in one task.
     """
 
+    @tidy
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
@@ -214,6 +215,7 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int, shard_rows: int = SHAR
 
     graphs = written(dealt.groupBy("shard", "bytes").applyInPandas(make, "shard int, bytes int, vecs binary, ids binary, nodes array<binary>, links array<binary>"), "graphs")
 
+    @tidy
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.assign(bytes=[8 * len(v) for v in b["embedding"]])
@@ -226,6 +228,7 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int, shard_rows: int = SHAR
     blocks = ok(asked).distinct().mapInPandas(block, "bytes int, q_ids binary, qs binary")
     pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, ["shard", "bytes"])
 
+    @tidy
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):

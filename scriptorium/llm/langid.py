@@ -25,11 +25,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, lean, table, tidy
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 400, 1500, 200_000
 PIECE, SHORT, PASSAGE = 4096, 600, 1200
@@ -103,12 +104,14 @@ def judge(sizes: Sizes, text: str | None) -> tuple[str, float, bool]:
 def identify(docs: DataFrame, dicts: dict[str, tuple[bytes, bytes]]) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, held_out, lang_pred, score, rejected."""
 
+    @tidy
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = Sizes(dicts)
         for b in batches:
             got = [judge(sizes, t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": [x[0] for x in got], "score": [x[1] for x in got], "rejected": [x[2] for x in got]})
 
+    lean(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInPandas(over, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
 
@@ -116,13 +119,16 @@ def identify(docs: DataFrame, dicts: dict[str, tuple[bytes, bytes]]) -> DataFram
 def accepted(docs: DataFrame, dicts: dict[str, tuple[bytes, bytes]]) -> DataFrame:
     """The rows of docs, whole and as they were, whose verdict is not rejected."""
 
-    @F.pandas_udf("boolean")
-    def rejected(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    at = docs.columns.index("text")
+
+    @tidy
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(dicts)
-        for s in texts:
-            yield pd.Series([judge(sizes, t)[2] for t in s], dtype=bool)
+        for b in batches:
+            yield b.filter(pa.array([not judge(sizes, t)[2] for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.where(~rejected("text"))
+    lean(docs.sparkSession)
+    return docs.mapInArrow(over, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

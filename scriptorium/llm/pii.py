@@ -29,12 +29,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import lean, table, tidy, written
 
 KEY = b"replace this key in production"
 TYPES = ("secret", "email", "iban", "ip", "card", "ssn", "phone", "name")
@@ -132,9 +131,10 @@ def script(word: str) -> str:
 
 
 class Surrogates:
-    """Keyed replacements. draws: made-up names that need another draw, {(kind, name): draw}."""
+    """Keyed replacements. draws: how often made-up names need another draw, by "kind:name"; syllables: of a made-up name."""
 
-    def __init__(self, key: bytes = KEY, draws: dict[str, int] | None = None):
+    def __init__(self, key: bytes = KEY, draws: dict[str, int] | None = None, syllables: int = 4):
+        self.syllables = syllables
         self.key, self.draws = blake2b(key, digest_size=32).digest(), draws or {}
         self.of = lru_cache(maxsize=50_000)(self._of)
 
@@ -216,7 +216,7 @@ class Surrogates:
         n = self._hash(kind, low, self.draws.get(f"{kind}:{low}", 0))
         parts = SYLLABLES[s]
         out = ""
-        for _ in range(4):
+        for _ in range(self.syllables):
             n, k = divmod(n, len(parts))
             out += parts[k]
         return out.capitalize()
@@ -261,21 +261,24 @@ def made_up_words(text: str) -> Iterator[tuple[str, str]]:
                     yield f"given{gender}", w.lower()
 
 
-def draws(docs: DataFrame, key: bytes = KEY, rounds: int = 20) -> dict[str, int]:
+def draws(docs: DataFrame, key: bytes = KEY, rounds: int = 20, syllables: int = 4) -> dict[str, int]:
     """Which made-up names need another draw so that no two of the corpus are equal."""
 
+    @tidy
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = sorted({p for t in b.column(0).to_pylist() if t for p in made_up_words(t)})
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], names=["kind", "word"])
 
+    lean(docs.sparkSession)
     known = written(docs.select("text").mapInArrow(words, "kind string, word string").distinct(), "names")
     again: dict[str, int] = {}
     for _ in range(rounds):
         now = dict(again)
 
+        @tidy
         def made(batches: Iterator[pa.RecordBatch], now: dict[str, int] = now) -> Iterator[pa.RecordBatch]:
-            s = Surrogates(key, now)
+            s = Surrogates(key, now, syllables)
             for b in batches:
                 new = [s.made_up(w, k) for k, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], names=["kind", "word", "new"])
@@ -306,6 +309,7 @@ def surrogated(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     again = draws(docs, key)
     entity = pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())])
 
+    @tidy
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Surrogates(key, again)
         for b in batches:
@@ -322,14 +326,16 @@ def surrogated(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """docs with surrogates in `text`, and n_chars, if there is one, to match; other columns as they were."""
     again = draws(docs, key)
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("string")
-    def new(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @tidy
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Surrogates(key, again)
-        for t in texts:
-            yield pd.Series([None if x is None else replace(x, s)[0] for x in t], dtype=object)
+        for b in batches:
+            new = pa.array([None if t is None else replace(t, s)[0] for t in b.column(at).to_pylist()], b.schema.field(at).type)
+            yield b.set_column(at, b.schema.field(at), new)
 
-    out = docs.withColumn("text", new("text"))
+    out = docs.mapInArrow(over, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 

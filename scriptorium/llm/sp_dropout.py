@@ -36,12 +36,12 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 DROPOUT, SEED, VARIANTS = 0.1, 42, 4
-_CACHE, _CHUNK, _WIDTHS = 350_000, 1_500_000, (3, 5, 7, 9, 12, 16, 24, 48)
+_CACHE, _CHUNK, _WIDTHS = 200_000, 1_500_000, (3, 5, 7, 9, 12, 16, 24, 48)
 _NONE = np.int32(2**31 - 1)
 _U = np.uint64
 
@@ -95,6 +95,7 @@ class Codec:
                     keys.append(left << 20 | right)
                     ranks.append(rank[i])
         self.pairs = dict(zip(keys, ranks, strict=True))
+        self.ints = list(range(n))  # shared, so that what is kept is small
         self._table(np.array(keys, np.int64), np.array(ranks, np.int32))
         self.cache: dict[int, tuple[int, ...]] = {}
         self.older: dict[int, tuple[int, ...]] = {}
@@ -226,7 +227,7 @@ class Codec:
             rank[r[has], before[has]] = self.look(sym[r[has], before[has]], sym[r[has], a[has]])
         alive = sym >= -1
         count = alive.sum(1)
-        ids = sym[alive].tolist()
+        ids = list(map(self.ints.__getitem__, np.maximum(sym[alive], 0).tolist()))
         ends = np.cumsum(count).tolist()
         raw = (sym == -1).any(1)
         out = [tuple(ids[e - c : e]) for e, c in zip(ends, count.tolist(), strict=True)]
@@ -335,6 +336,10 @@ class Codec:
         none = np.zeros(0, np.int32)
         return [x[0] if len(x) == 1 else np.concatenate(x) if x else none for x in out]
 
+    def forget(self) -> None:
+        """Drop what was kept of earlier texts."""
+        self.cache, self.older = {}, {}
+
     def encode(self, text: str | None, key: int = 0, dropout: float = 0.0, seed: int = SEED, variants: int = VARIANTS) -> list[int]:
         return self.encode_many([text], [key], dropout, seed, variants)[0].tolist()
 
@@ -350,8 +355,16 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, model_path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, ids, n_tokens, lossless (decoding gave the text again)."""
 
+    @tidy
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
+        try:
+            yield from encoded(batches, c)
+        finally:  # workers live on and do other work
+            c.forget()
+            codec.cache_clear()
+
+    def encoded(batches: Iterator[pa.RecordBatch], c: Codec) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
@@ -367,6 +380,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, dropout: float = DROPOUT, s
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(lossless)], names=["doc_id", "ids", "n_tokens", "lossless"])
 
+    lean(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(over, f"doc_id {kind}, ids array<int>, n_tokens long, lossless boolean")
 
@@ -374,6 +388,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, dropout: float = DROPOUT, s
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     """doc_id and text of rows (doc_id, ids)."""
 
+    @tidy
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for b in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import lean, table, tidy
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before this vocabulary's merges.
@@ -103,6 +103,7 @@ def count(docs: DataFrame, rule: str = "largest", ranks_path: str = RANKS, secti
         raise ValueError(f"rule must be one of {RULES}")
     whole = rule != "share"
 
+    @tidy
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path)
         for b in batches:
@@ -135,6 +136,7 @@ def count(docs: DataFrame, rule: str = "largest", ranks_path: str = RANKS, secti
                     )
                     rows = []
 
+    lean(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     out = docs.select(id_col, text_col).mapInArrow(over, f"id {kind}, section int, name string, start_char long, n_chars long, n_tokens {'long' if whole else 'double'}, n_crossing long")
     return out.withColumnRenamed("id", id_col)

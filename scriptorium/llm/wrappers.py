@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import lean, table, tidy, written
 
 #: Names of HTML elements by what they do to text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -292,8 +292,10 @@ def host(url: Column) -> Column:
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, pattern (the wrapper as text) and content (paths of the content slots) of every host of pages (url, html)."""
+    lean(pages.sparkSession)
     named = pages.select(host(F.col("url")).alias("host"), "html")
 
+    @tidy
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             trees: dict[tuple[str, str], int] = {}
@@ -330,6 +332,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     trees = trees.groupBy("host").applyInPandas(fit, "host string, tree string")
     paths = facts.where(F.col("path").isNotNull()).groupBy("host").agg(F.collect_list(F.struct("path", "pages", "chars", "linked", (F.col("least") == F.col("most")).alias("one"))).alias("stats"))
 
+    @tidy
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
@@ -348,6 +351,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     few = fitted.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     both = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(F.broadcast(fitted) if few else fitted, "host", "left").select("page_id", "url", "html", "content")
 
+    @tidy
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [extract(b.column(2)[i].as_py(), paths(b.column(3)[i].as_py())) for i in range(b.num_rows)]
