@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,9 @@ def score(query: str, phrase_weight: float = PHRASE_WEIGHT, heading: Column | No
 
 
 def scored(chunks: DataFrame, query: str, phrase_weight: float = PHRASE_WEIGHT) -> DataFrame:
-    """chunks with a positive score."""
-    return chunks.withColumn("score", score(query, phrase_weight)).where("score > 0")
+    """chunks with a positive score. Only what has a term as it stands is normalised and counted."""
+    may = reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(t)) for c in ("content_text", "heading") for t in query_terms(query)), F.lit(False))
+    return chunks.where(may).withColumn("score", score(query, phrase_weight)).where("score > 0")
 
 
 def order(collated: bool = True) -> list[Column]:
