@@ -180,3 +180,9 @@ def scores_of(raw: Column, metrics: Sequence[str]) -> Column:
 def report_rows(summary_row: Mapping[str, object]) -> list[str]:
     """A markdown table of a summary."""
     return ["| Metric | Value |", "| --- | ---: |", *(f"| {k} | {v} |" for k, v in summary_row.items())]
+
+
+def listed_tools(lines: DataFrame, request_id: int = 2) -> DataFrame:
+    """Names of the tools in a server's answer to a request, from lines (line) of JSON-RPC; other lines are left out."""
+    answer = F.from_json("line", "id int, result struct<tools:array<struct<name:string>>>")
+    return lines.select(answer.alias("a")).where(F.col("a.id") == request_id).select(F.explode("a.result.tools.name").alias("tool")).distinct()

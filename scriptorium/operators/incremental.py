@@ -65,6 +65,13 @@ def canary(files: DataFrame, previous: DataFrame) -> bool:
     return not now.exceptAll(then).limit(1).count() and not then.exceptAll(now).limit(1).count()
 
 
+def corpus_fingerprint(files: DataFrame) -> str:
+    """Of all files and their settings, whatever their order: the key of an index of the corpus."""
+    rows = with_fingerprints(files).select(F.conv(F.substring(joined_hash(F.col("path"), F.col("file_fingerprint")), 1, 15), 16, 10).cast("decimal(38,0)").alias("h"))
+    r = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("h"), F.lit(0)).alias("sum"), F.coalesce(F.bit_xor(F.col("h").cast("bigint")), F.lit(0)).alias("xor")).first()
+    return hashlib.sha256(f"{r['n']}:{r['sum']}:{r['xor']}".encode()).hexdigest()[:16]
+
+
 # ------------------------------------------------------------------ embeddings
 @dataclass
 class Embedded:
@@ -133,4 +140,4 @@ def load_cache(spark: SparkSession, base: str, config: str) -> tuple[DataFrame |
         return None, f"The embedding cache can't be read and is not used: {e}"
 
 
-__all__ = ["Embedded", "cache_counts", "canary", "config_fingerprint", "embed", "file_fingerprint", "fingerprinted", "load_cache", "provider_fingerprint", "rechunk", "save_cache", "vector_fingerprint", "with_fingerprints"]
+__all__ = ["Embedded", "cache_counts", "canary", "config_fingerprint", "corpus_fingerprint", "embed", "file_fingerprint", "fingerprinted", "load_cache", "provider_fingerprint", "rechunk", "save_cache", "vector_fingerprint", "with_fingerprints"]

@@ -111,3 +111,11 @@ def distance(v: Column, query: Sequence[float]) -> Column:
 def nearest(rows: DataFrame, query: Sequence[float], k: int, vector: str = "vector", key: str = "chunk_id") -> DataFrame:
     """The k nearest rows, ties by key."""
     return rows.where(F.size(vector) == len(query)).withColumn("distance", distance(F.col(vector), query)).orderBy("distance", key).limit(k)
+
+
+def parse_spec(spec: str) -> tuple[str, str | None]:
+    """Provider and model of `provider/model`; the model may be left out and may have slashes."""
+    kind, _, model = spec.strip().partition("/")
+    if kind not in PROVIDERS:
+        raise ValueError(f"Unknown embedding provider '{kind}'. Known: {', '.join(PROVIDERS)}")
+    return kind, model or None

@@ -140,3 +140,14 @@ def source_commit(root: str) -> str | None:
     got = subprocess.run(["git", "-C", root, "rev-parse", "HEAD"], capture_output=True, text=True, check=False)
     found = got.stdout.strip()
     return found if got.returncode == 0 and len(found) == 40 else None
+
+
+def corpus_label(root: str) -> str:
+    """Name of the repository and the corpus's path in it, or else the folder's name."""
+    root = os.path.abspath(root)
+    top = subprocess.run(["git", "-C", root, "rev-parse", "--show-toplevel"], capture_output=True, text=True, check=False)
+    if top.returncode:
+        return os.path.basename(root)
+    home = os.path.realpath(top.stdout.strip())
+    inside = os.path.relpath(os.path.realpath(root), home).replace(os.sep, "/")
+    return os.path.basename(home) if inside == "." else f"{os.path.basename(home)}/{inside}"

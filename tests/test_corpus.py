@@ -163,3 +163,35 @@ def test_history(tmp_path):
     for stamp in ("2024-01-01T00:00:00", "2024-01-02T00:00:00"):
         corpus.save_result(str(tmp_path), "My Suite!", stamp, {"at": stamp})
     assert corpus.previous_result(str(tmp_path), "My Suite!")["at"] == "2024-01-02T00:00:00"
+
+
+def test_corpus_fingerprint(spark, docs):
+    a = incremental.corpus_fingerprint(corpus.read_corpus(spark, str(docs)))
+    assert a == incremental.corpus_fingerprint(corpus.read_corpus(spark, str(docs)).orderBy(F.desc("path")))
+    (docs / "guides/retry.md").write_text("changed")
+    assert a != incremental.corpus_fingerprint(corpus.read_corpus(spark, str(docs)))
+    assert corpus.corpus_label(str(docs)) == docs.name
+    assert corpus.source_commit(str(docs)) is None
+    assert corpus.directory_bytes(str(docs), ".yaml") > 0
+
+
+def test_specs():
+    assert vectors.parse_spec("hash/a/b") == ("hash", "a/b")
+    assert vectors.parse_spec("none") == ("none", None)
+    with pytest.raises(ValueError, match="Unknown"):
+        vectors.parse_spec("x/y")
+
+
+def test_failing_providers():
+    calls = []
+
+    def flaky(texts):
+        calls.append(len(texts))
+        if len(calls) == 1:
+            raise RuntimeError("busy")
+        return [[1.0]] * len(texts)
+
+    assert vectors.CallableProvider(flaky, 1, batch=2).embed(["a", "b", "c"]) == [[1.0]] * 3
+    assert calls == [2, 2, 1]
+    with pytest.raises(ValueError, match="vectors"):
+        vectors.CallableProvider(lambda t: [], 1).embed(["a"])

@@ -83,3 +83,8 @@ def test_trend(spark):
     a = spark.createDataFrame([("cost", 1.0), ("rate", 0.9), ("same", 1.0)], "metric string, value double")
     b = spark.createDataFrame([("cost", 2.0), ("rate", 0.95), ("same", 1.0005)], "metric string, value double")
     assert {r.metric: r.verdict for r in agent_eval.trend(a, b, ["cost"]).collect()} == {"cost": "better", "rate": "worse", "same": "same"}
+
+
+def test_listed_tools(spark):
+    lines = spark.createDataFrame([('{"id":1,"result":{}}',), ("x",), ('{"id":2,"result":{"tools":[{"name":"a"},{"name":"b"}]}}',)], "line string")
+    assert {r.tool for r in agent_eval.listed_tools(lines).collect()} == {"a", "b"}
