@@ -44,9 +44,12 @@ CLOSES_P = BLOCKS - {"html", "body", "head", "title", "caption", "tbody", "td",
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table div article section body html main aside nav blockquote".split())
 BAD_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist disqus respond replies cookie cookies consent gdpr disclaimer footer footnav foot header masthead topbar topnav menu menus nav navbar navigation sidebar sidebars side aside widget widgets newsletter subscribe subscription signup notice notices alert popup modal overlay promo promos promotion related recommended recommendations share sharing social sponsor sponsored sponsors toolbar pagination pager skip login search form complementary contentinfo tags".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist disqus respond replies cookie cookies consent gdpr disclaimer footer footnav foot header masthead topbar topnav menu menus nav navbar navigation sidebar sidebars aside widget widgets newsletter subscribe subscription signup notice notices alert popup modal overlay promo promos promotion related recommended recommendations share sharing social sponsor sponsored sponsors toolbar pagination pager skip login search form complementary contentinfo tags".split()
 )
 GOOD_WORDS = frozenset("articlebody article-body post-body entry-content post-content article-content main-content".split())
+#: Words that say of an element that boilerplate is beside it, and those whose header is the article's own.
+BESIDE_WORDS = frozenset("has with without no layout".split())
+OWN_HEADER = re.compile(r"^(?:article|entry|post|story|content)[-_]{1,2}(?:header|head)$")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEMPLATE_PAGES = 10
 SALTS = 16
@@ -58,6 +61,14 @@ _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[^a-z0-9]+")
 
 
+def boilerplate(word: str) -> bool:
+    """Whether a class, id or role names boilerplate."""
+    parts = _NAME.split(word)
+    if OWN_HEADER.match(word) or BESIDE_WORDS.intersection(parts):
+        return False
+    return word in BAD_WORDS or any(p in BAD_WORDS for p in parts)
+
+
 @lru_cache(maxsize=20_000)
 def label(tag: str, attributes: str) -> tuple[str, bool]:
     """Label of an element and whether it is boilerplate or hidden by itself."""
@@ -73,7 +84,7 @@ def label(tag: str, attributes: str) -> tuple[str, bool]:
             words += [w for w in value.split() if not any(c.isdigit() for c in w)][:4]
     good = any(w in GOOD_WORDS for w in words)
     if tag not in ("html", "body", "article", "main") and not good:
-        bad |= any(p in BAD_WORDS for w in words for p in (w, *_NAME.split(w)))
+        bad |= any(boilerplate(w) for w in words)
     return ".".join([tag, *(w.replace("/", "") for w in words)]), bad
 
 

@@ -345,6 +345,11 @@ def test_main_text(spark):
     assert wrappers.main_text(df.where("false")).collect() == []
 
 
+@pytest.mark.parametrize(("word", "out"), [("sidebar", True), ("has-sidebar", False), ("post-header", False), ("site-header", True), ("comment-list", True), ("commentary", False), ("main_nav", True), ("cookie-notice", True), ("side-by-side", False), ("adverb", False)])
+def test_boilerplate_words(word, out):
+    assert wrappers.boilerplate(word) == out
+
+
 def test_wrappers_are_union_free():
     trees = [wrappers.expression(wrappers.parse(h)[0]) for h in ("<div><p>a</p><p>b</p></div>", "<div><h1>t</h1><p>a</p></div>", "<div><p>a</p></div><footer>f</footer>")]
     made = wrappers.align(wrappers.align(trees[0], trees[1]), trees[2])
