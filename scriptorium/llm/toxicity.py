@@ -6,10 +6,10 @@ channel cost; the Viterbi path of least cost under a character trigram model is
 token. Other tokens have one path and are left as they are. Words and word beginnings of the
 restored text, as present or absent, feed a logistic regression.
 
-Both models are fitted on bounded samples: the character model on about LM_ROWS texts (at most
-LM_CHARS characters of each), the regression on at most SAMPLE_ROWS labelled rows chosen by
-hash, held-out rows aside, with the FEATURES most telling features (by likelihood ratio, at
-least LEAST_TELL in LEAST_DOCS texts). Every text is scored whole.
+The character model counts the trigrams of all texts, each whole. The regression is fitted on
+at most SAMPLE_ROWS labelled rows chosen by hash, held-out rows aside, with the FEATURES most
+telling features (by likelihood ratio, at least LEAST_TELL in LEAST_DOCS texts). Every text is
+scored whole.
 
 Edge cases: null and empty texts get the score of a text without features; without labels of
 both kinds the score is 0 throughout; null labels are left out, of several labels of a doc_id the
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import held_out, lean, table, tidy, written
 
-LM_ROWS, LM_CHARS = 3000, 2000
+#: Distinct words, and characters in them, that a task holds before it tells their trigrams.
+HELD_WORDS, HELD_CHARS = 100_000, 10_000_000
 SAMPLE_ROWS, FEATURES, LEAST_DOCS, LEAST_TELL = 20_000, 3000, 3, 12.0
 THRESHOLD, RIDGE = 0.3, 0.03
 
@@ -41,6 +42,7 @@ BETWEEN = frozenset(".-_*~^'`·• /\\,")
 _LEAD, _TRAIL = "\"'([{<*#%&.,;:!?-_~`«»“”„|", "\"')]}>*#%&.,;:!?-_~`«»“”|"
 _RUN = re.compile(r"(?:[$!@+]{2,}|[$]{3,})$")
 _ODD = re.compile(r"[0-9@$!|+(<€£¡]")
+_WORD = re.compile(r"[^\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 _STRETCH = re.compile(r"([^\W\d_])\1\1")
 _DOTTED = re.compile(r"^\w(?:[^\w\s]+\w|_+\w){2,}$")
@@ -76,12 +78,17 @@ class CharModel:
 
 
 def trigrams(texts: list[str]) -> Counter:
-    found: Counter = Counter()
-    for t in texts:
-        for w in re.findall(r"[^\W\d_]+", t.lower()):
-            w = f"\x02\x02{w}\x03"
-            found.update(w[i : i + 3] for i in range(len(w) - 2))
-    return found
+    return spelled(Counter(w for t in texts for w in _WORD.findall(t.lower())))
+
+
+def spelled(words: dict[str, int]) -> Counter:
+    """Trigrams of lower-case words that occur so many times."""
+    found: defaultdict = defaultdict(int)
+    for w, n in words.items():
+        w = f"\x02\x02{w}\x03"
+        for i in range(len(w) - 2):
+            found[w[i : i + 3]] += n
+    return Counter(found)
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -228,17 +235,28 @@ def some_of(rows: DataFrame, counted: DataFrame, wanted: float) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_features: int = FEATURES) -> tuple[CharModel, Model]:
     """Character model and regression from docs (doc_id, text) and labels (doc_id, toxic)."""
     lean(docs.sparkSession)
-    ids = docs.select("doc_id")
     docs = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.col("text") != ""))
-    texts = some_of(docs.select("doc_id", F.substring("text", 1, LM_CHARS).alias("text")), ids, LM_ROWS)
 
     @tidy
-    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            found = spelled(words)
+            words.clear()
+            names, n = list(found), list(found.values())
+            for i in range(0, len(names), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 50_000], pa.string()), pa.array(n[i : i + 50_000], pa.int64())], names=["gram", "n"])
+
         for b in batches:
-            found = trigrams(list(b["text"]))
-            yield pd.DataFrame({"gram": list(found), "n": list(found.values())})
+            for t in b.column(0):
+                words.update(_WORD.findall(t.as_py().lower()))
+            if len(words) > HELD_WORDS or sum(map(len, words)) > HELD_CHARS:
+                yield from told()
+        yield from told()
 
-    lm = CharModel({r["gram"]: r["n"] for r in texts.mapInPandas(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()})  # trigrams of at most LM_ROWS texts
+    all_grams = docs.select("text").mapInArrow(grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # distinct trigrams: bounded by the alphabets, not by the texts
+    lm = CharModel(dict(zip(all_grams["gram"].to_pylist(), all_grams["n"].to_pylist(), strict=True)))
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     # Few more than are wanted are left to be sorted.
     chosen = some_of(known, known, 1.2 * sample_rows).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))

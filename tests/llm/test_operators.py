@@ -199,6 +199,14 @@ def test_toxicity_learns(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
 
 
+def test_character_model_counts_all_texts(spark):
+    rows = [(i, f"word {'ab' if i % 2 else 'cd'}") for i in range(4000)] + [(4000, "x " * 1500 + "Zyzzyva")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lm, _ = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert lm.three == toxicity.trigrams([t for _, t in rows])
+    assert lm.three["wor"] == 4000 and lm.three["zyz"] == 1
+
+
 def test_toxicity_edges(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (4, None), (None, 0)], "doc_id long, toxic int")
     for docs in (odd, empty):
