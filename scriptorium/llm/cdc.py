@@ -5,11 +5,12 @@ a chunk ends, so that cuts depend on the last 32 bytes alone and an insertion
 moves the cuts near it only. Chunks have MIN_CHUNK to MAX_CHUNK bytes (ends of
 documents aside) and end between characters. A chunk whose 128-bit digest stands
 in two or more documents is repeated; unbroken repeated chunks of a document make
-a run, and runs of at least MIN_RUN bytes are repeated passages. The document with
-the smallest doc_id keeps its copy.
+a stretch. Stretches of at least MIN_RUN bytes are repeated passages, parted where
+chunks that an earlier document has meet chunks that this one is the first to have.
+The document with the smallest doc_id keeps its copy.
 
 Edge cases: null and empty texts have no chunks; rows with equal doc_id and text
-count as one document; a null doc_id counts as -1; repeats within one document
+count as one document; a null doc_id counts as a hash of the text; repeats within one document
 alone are left; further columns are ignored, or kept by deduplicate().
 """
 
@@ -21,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import lean, table, tidy, written
@@ -83,6 +84,10 @@ def chunks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         yield digest[::2], digest[1::2], chars[:-1], np.diff(chars), np.diff(places)
 
 
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+
+
 SCHEMA = "hi long, lo long, doc long, text_key int, idx int, start int, n_chars short, n_bytes short"
 
 
@@ -109,7 +114,7 @@ def chunked(docs: DataFrame) -> DataFrame:
                 )
                 i += len(some)
 
-    whole = docs.where(F.col("text").isNotNull() & (F.col("text") != "")).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("doc_id"), "text")
+    whole = docs.where(F.col("text").isNotNull() & (F.col("text") != "")).select(_id().alias("doc_id"), "text")
     return whole.mapInArrow(over, SCHEMA)
 
 
@@ -117,7 +122,8 @@ def repeated(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """One row for each repeated passage of each document.
 
     Columns: doc_id, text_key, start_char, n_chars, n_bytes, n_chunks, first_doc_id (smallest of any of its
-    chunks), kept (the document is the first to have all of it).
+    chunks), kept (the document is the first to have it). A passage may be less than min_run bytes of a
+    stretch that has as many.
     """
     lean(docs.sparkSession)
     parts = chunked(docs)
@@ -125,16 +131,19 @@ def repeated(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     twice = written(twice.where("first_doc < last_doc").drop("last_doc"), "repeated")  # so that a hot digest's join can be split
     found = parts.join(twice, ["hi", "lo"]).drop("hi", "lo").dropDuplicates(["doc", "text_key", "idx"])
     order = Window.partitionBy("doc", "text_key").orderBy("idx")
-    runs = found.withColumn("island", F.col("idx") - F.row_number().over(order)).groupBy("doc", "text_key", "island").agg(
-        F.min("start").cast("long").alias("start_char"), F.sum("n_chars").alias("n_chars"), F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_chunks"), F.min("first_doc").alias("first_doc_id"), F.max("first_doc").alias("latest")
+    found = found.withColumn("own", F.col("first_doc") == F.col("doc")).withColumn("island", F.col("idx") - F.row_number().over(order)).withColumn("turn", (F.col("own") != F.lag("own").over(order)).cast("int"))
+    found = found.withColumn("part", F.coalesce(F.sum("turn").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)))
+    runs = found.groupBy("doc", "text_key", "island", "part").agg(
+        F.min("start").cast("long").alias("start_char"), F.sum("n_chars").alias("n_chars"), F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_chunks"), F.min("first_doc").alias("first_doc_id")
     )
-    runs = runs.where(F.col("n_bytes") >= min_run)
-    return runs.select(F.col("doc").alias("doc_id"), "text_key", "start_char", "n_chars", "n_bytes", "n_chunks", "first_doc_id", ((F.col("first_doc_id") == F.col("doc")) & (F.col("latest") == F.col("doc"))).alias("kept"))
+    stretch = Window.partitionBy("doc", "text_key", "island")
+    runs = runs.withColumn("stretch", F.sum("n_bytes").over(stretch)).where(F.col("stretch") >= min_run)
+    return runs.select(F.col("doc").alias("doc_id"), "text_key", "start_char", "n_chars", "n_bytes", "n_chunks", "first_doc_id", (F.col("first_doc_id") == F.col("doc")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """docs with the repeated passages that an earlier document keeps taken out of `text`."""
-    gone = repeated(docs, min_run).where(~F.col("kept") & (F.col("first_doc_id") < F.col("doc_id")))
+    gone = repeated(docs, min_run).where(~F.col("kept"))
     spans = gone.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start_char", "n_chars")).alias("_spans")).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "_spans")
 
     @F.pandas_udf("int")
@@ -155,7 +164,7 @@ def deduplicate(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
             out.append("".join(kept) + t[at:])
         return pd.Series(out, dtype=object)
 
-    on = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")) == F.col("_doc"), F.col("_k") == F.col("_key")]
+    on = [_id() == F.col("_doc"), F.col("_k") == F.col("_key")]
     return docs.withColumn("_k", key("text")).join(spans, on, "left").withColumn("text", without("text", "_spans")).select(*docs.columns)
 
 

@@ -177,6 +177,27 @@ def test_repeated_passages(spark, odd, empty):
     assert cdc.deduplicate(odd).count() == len(ODD)
 
 
+def test_every_repeated_passage_survives_once(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    ab, c, d = text(120), text(60), text(60)
+    rows = [(1, ab), (5, f"{ab} {c}"), (9, f"{ab} {c}"), (None, f"{d} {text(40)}"), (None, f"{text(40)} {d}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [r.text for r in cdc.deduplicate(docs).collect()]
+    for passage in (ab, c, d):
+        middle = passage[120:-120]  # whole chunks of every copy
+        assert sum(middle in t for t in left) == 1
+    # Of every chunk one copy is left.
+    spans = {}
+    for r in cdc.repeated(docs).where("not kept").collect():
+        spans.setdefault(r.doc_id, []).append((r.start_char, r.n_chars))
+    whole = collections.Counter()
+    for i, t in rows[:3]:
+        for hi, lo, start, _, _ in zip(*next(cdc.chunks([t])), strict=True):
+            whole[hi, lo] += not any(a <= start < a + m for a, m in spans.get(i, []))
+    assert set(whole.values()) == {1}
+
+
 # ------------------------------------------------------------------ 4
 LM = toxicity.CharModel(toxicity.trigrams(["you are an idiot and a moron, stupid loser, pathetic worthless trash", "the rain in the north was cold and other things"] * 5))
 
