@@ -10,8 +10,9 @@ partial wrappers of salted groups are aligned in turn, so no host is gathered wh
 Each slot of a wrapper then gets a role. Slots in boilerplate elements (by element or by
 class, id and role words) are out, as are slots outside the wrapper's article or main
 element where there is one; without, the slots in the container with most text that is
-not in links count. A slot that holds one and the same text on TEMPLATE_PAGES pages or
-more is part of the template. Texts of the remaining slots, in page order, are the result.
+not in links count. Outside articles and mains, a slot that holds one and the same text on
+TEMPLATE_PAGES distinct pages or more is part of the template. Texts of the remaining slots,
+in page order, are the result.
 
 Edge cases: null or empty html gives an empty text, as does a page of boilerplate only;
 a null or odd url belongs to host ''; unclosed elements, comments, scripts and tags end
@@ -58,6 +59,7 @@ BROADCAST_HOSTS = 20_000
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>?|[^<]++|<""", re.S)
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"[^a-z0-9]+")
 
 
@@ -73,6 +75,7 @@ def boilerplate(word: str) -> bool:
 def label(tag: str, attributes: str) -> tuple[str, bool]:
     """Label of an element and whether it is boilerplate or hidden by itself."""
     words: list[str] = []
+    named: list[str] = []  # digits count as signs: sidebar-2, ad-728x90
     bad = tag in DROPPED
     for m in _ATTR.finditer(attributes):
         key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'").lower()
@@ -81,10 +84,12 @@ def label(tag: str, attributes: str) -> tuple[str, bool]:
         elif key == "style":
             bad |= re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None
         elif key != "hidden":
-            words += [w for w in value.split() if not any(c.isdigit() for c in w)][:4]
+            plain = [w for w in value.split() if not any(c.isdigit() for c in w)]
+            words += plain[:4] + [w for w in plain[4:] if w in GOOD_WORDS]
+            named += [_DIGITS.sub("-", w).strip("-_") for w in value.split()]
     good = any(w in GOOD_WORDS for w in words)
     if tag not in ("html", "body", "article", "main") and not good:
-        bad |= any(boilerplate(w) for w in words)
+        bad |= any(boilerplate(w) for w in named)
     return ".".join([tag, *(w.replace("/", "") for w in words)]), bad
 
 
@@ -265,12 +270,22 @@ def first_tag(part: str) -> str:
     return part.split(".")[0]
 
 
-def content_paths(wrapper: list, stats: dict[str, tuple[int, int, int, bool]]) -> list[str]:
-    """Paths of the wrapper's content slots. stats: path -> pages, characters, characters in links, one text throughout."""
-    known = [p for p in dict.fromkeys(slots(wrapper)) if p in stats]
-    known = [p for p in known if not (stats[p][3] and stats[p][0] >= TEMPLATE_PAGES and first_tag(p.rsplit("/", 1)[-1]) not in HEADINGS)]
+def inside(path: str, wanted: str) -> bool:
+    """Whether a path leads through an element `wanted`, or for articles through a class that names one."""
+    return any(first_tag(x) == wanted or wanted == "article" and any(w in GOOD_WORDS for w in x.split(".")[1:]) for x in path.split("/"))
+
+
+def template_paths(stats: dict[str, tuple[int, int, int, bool]]) -> list[str]:
+    """Paths outside articles and mains that hold one and the same text on TEMPLATE_PAGES distinct pages, headings aside."""
+    return [p for p, s in stats.items() if s[3] and s[0] >= TEMPLATE_PAGES and first_tag(p.rsplit("/", 1)[-1]) not in HEADINGS and not inside(p, "article") and not inside(p, "main")]
+
+
+def content_paths(known: list[str], stats: dict[str, tuple[int, int, int, bool]]) -> list[str]:
+    """The content slots of known paths. stats: path -> distinct pages, characters, characters in links, one text throughout."""
+    template = frozenset(template_paths(stats))
+    known = [p for p in dict.fromkeys(known) if p in stats and p not in template]
     for wanted in ("article", "main"):
-        under = [p for p in known if any(first_tag(x) == wanted or wanted == "article" and any(w in GOOD_WORDS for w in x.split(".")[1:]) for x in p.split("/"))]
+        under = [p for p in known if inside(p, wanted)]
         if sum(stats[p][1] for p in under):
             return under
     plain: dict[str, int] = {}
@@ -287,13 +302,15 @@ def content_paths(wrapper: list, stats: dict[str, tuple[int, int, int, bool]]) -
     return [p for p in known if p.startswith(best + "/")]
 
 
-def extract(page: str | None, content: frozenset[str]) -> str:
+def extract(page: str | None, content: frozenset[str], template: frozenset[str] = frozenset()) -> str:
     return "\n".join(text for path, text, _ in parse(page)[1] if path in content)
 
 
 @lru_cache(maxsize=64)
-def paths(content: str | None) -> frozenset[str]:
-    return frozenset(json.loads(content)) if content else frozenset()
+def paths(found: str | None) -> tuple[frozenset[str], frozenset[str]]:
+    """Content and template paths of a host."""
+    read = json.loads(found) if found else {}
+    return frozenset(read.get("content", ())), frozenset(read.get("template", ()))
 
 
 # ------------------------------------------------------------------ Spark
@@ -302,34 +319,34 @@ def host(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, pattern (the wrapper as text) and content (paths of the content slots) of every host of pages (url, html)."""
+    """host, pattern (the wrapper as text), content and template (paths of the content slots and of those with a constant text) of every host of pages (url, html)."""
     lean(pages.sparkSession)
     named = pages.select(host(F.col("url")).alias("host"), "html")
 
     @tidy
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            trees: dict[tuple[str, str], int] = {}
+            trees: set[tuple[str, str]] = set()
             seen: dict[tuple[str, str], list] = {}
             for h, page in zip(b["host"], b["html"], strict=True):
                 tree, blocks = parse(page)
+                own = 0 if page is None else xxhash.xxh3_64_intdigest(page.encode()) - 2**63
                 key = (h, json.dumps(expression(tree), separators=(",", ":")))
-                trees[key] = trees.get(key, 0) + 1
-                met = set()
+                trees.add(key)
                 for path, text, linked in blocks:
                     if path == "-":
                         continue
                     d = xxhash.xxh3_64_intdigest(text.encode()) - 2**63
-                    s = seen.setdefault((h, path), [0, 0, 0, d, d])
-                    s[0] += path not in met
-                    met.add(path)
+                    s = seen.setdefault((h, path), [set(), 0, 0, d, d])
+                    if len(s[0]) < TEMPLATE_PAGES:
+                        s[0].add(own)
                     s[1], s[2], s[3], s[4] = s[1] + len(text), s[2] + linked, min(s[3], d), max(s[4], d)
-            yield pd.DataFrame({"host": [k[0] for k in trees], "tree": [k[1] for k in trees], "path": None, "pages": list(trees.values()), "chars": 0, "linked": 0, "least": 0, "most": 0})
+            yield pd.DataFrame({"host": [k[0] for k in trees], "tree": [k[1] for k in trees], "path": None, "pages": None, "chars": 0, "linked": 0, "least": 0, "most": 0})
             if seen:
-                yield pd.DataFrame({"host": [k[0] for k in seen], "tree": None, "path": [k[1] for k in seen], **{n: [v[i] for v in seen.values()] for i, n in enumerate(("pages", "chars", "linked", "least", "most"))}})
+                yield pd.DataFrame({"host": [k[0] for k in seen], "tree": None, "path": [k[1] for k in seen], "pages": [sorted(v[0]) for v in seen.values()], **{n: [v[i] for v in seen.values()] for i, n in enumerate(("chars", "linked", "least", "most"), 1)}})
 
-    facts = named.mapInPandas(read, "host string, tree string, path string, pages long, chars long, linked long, least long, most long")
-    facts = written(facts.groupBy("host", "tree", "path").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most")), "facts")
+    facts = named.mapInPandas(read, "host string, tree string, path string, pages array<long>, chars long, linked long, least long, most long")
+    facts = written(facts.groupBy("host", "tree", "path").agg(F.size(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most")), "facts")
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         made = None
@@ -350,22 +367,22 @@ def wrappers(pages: DataFrame) -> DataFrame:
             for h, tree, stats in zip(b["host"], b["tree"], b["stats"], strict=True):
                 nodes = json.loads(tree)
                 known = {s["path"]: (int(s["pages"]), int(s["chars"]), int(s["linked"]), bool(s["one"])) for s in stats} if stats is not None else {}
-                out.append((h, pattern(nodes), content_paths(nodes, known)))
-            yield pd.DataFrame(out, columns=["host", "pattern", "content"])
+                out.append((h, pattern(nodes), content_paths(list(slots(nodes)), known), template_paths(known)))
+            yield pd.DataFrame(out, columns=["host", "pattern", "content", "template"])
 
-    return trees.join(paths, "host", "left").mapInPandas(decide, "host string, pattern string, content array<string>")
+    return trees.join(paths, "host", "left").mapInPandas(decide, "host string, pattern string, content array<string>, template array<string>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (page_id, url, html)."""
-    fitted = written(wrappers(pages).select("host", F.to_json("content").alias("content")), "wrappers")
+    fitted = written(wrappers(pages).select("host", F.to_json(F.struct("content", "template")).alias("content")), "wrappers")
     few = fitted.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     both = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(F.broadcast(fitted) if few else fitted, "host", "left").select("page_id", "url", "html", "content")
 
     @tidy
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(b.column(2)[i].as_py(), paths(b.column(3)[i].as_py())) for i in range(b.num_rows)]
+            texts = [extract(b.column(2)[i].as_py(), *paths(b.column(3)[i].as_py())) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return both.mapInArrow(over, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")

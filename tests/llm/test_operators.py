@@ -374,6 +374,21 @@ def test_main_text(spark):
     assert wrappers.main_text(df.where("false")).collect() == []
 
 
+def test_copies_are_no_template(spark):
+    inside = "<body><article><h1>t</h1><p>one paragraph</p></article></body>"
+    outside = "<body><div class=x><p>only text</p></div></body>"
+    rows = [(i, "http://a.b/", inside) for i in range(15)] + [(20 + i, "http://c.d/", outside) for i in range(15)]
+    rows += [(40 + i, "http://e.f/", f"<body><div class=x><p>text {i} is here</p><p class=foot>the same line</p></div></body>") for i in range(15)]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "t\none paragraph" and got[20] == "only text"
+    assert got[41] == "text 1 is here"  # the same on distinct pages
+
+
+@pytest.mark.parametrize("words", ["ad-728x90", "sidebar-2", "widget_3", "a b c d sidebar"])
+def test_all_words_of_a_class_count(words):
+    assert wrappers.label("div", f' class="{words}"')[1]
+
+
 @pytest.mark.parametrize(("word", "out"), [("sidebar", True), ("has-sidebar", False), ("post-header", False), ("site-header", True), ("comment-list", True), ("commentary", False), ("main_nav", True), ("cookie-notice", True), ("side-by-side", False), ("adverb", False)])
 def test_boilerplate_words(word, out):
     assert wrappers.boilerplate(word) == out
