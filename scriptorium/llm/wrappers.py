@@ -12,7 +12,8 @@ class, id and role words) are out, as are slots outside the wrapper's article or
 element where there is one; without, the slots in the container with most text that is
 not in links count. Outside articles and mains, a slot that holds one and the same text on
 TEMPLATE_PAGES distinct pages or more is part of the template. Texts of the remaining slots,
-in page order, are the result.
+in page order, are the result. A page with text in none of them has another template than
+most of its host; its article, main or densest container is then found in it alone.
 
 Edge cases: null or empty html gives an empty text, as does a page of boilerplate only;
 a null or odd url belongs to host ''; unclosed elements, comments, scripts and tags end
@@ -303,7 +304,16 @@ def content_paths(known: list[str], stats: dict[str, tuple[int, int, int, bool]]
 
 
 def extract(page: str | None, content: frozenset[str], template: frozenset[str] = frozenset()) -> str:
-    return "\n".join(text for path, text, _ in parse(page)[1] if path in content)
+    """Text of a page at the content paths of its host; a page that has none there is decided by itself."""
+    blocks = [b for b in parse(page)[1] if b[0] != "-"]
+    if not any(path in content for path, _, _ in blocks):
+        stats: dict[str, tuple[int, int, int, bool]] = {}
+        for path, text, linked in blocks:
+            if path not in template:
+                _, chars, links, _ = stats.get(path, (1, 0, 0, False))
+                stats[path] = (1, chars + len(text), links + linked, False)
+        content = frozenset(content_paths(list(stats), stats))
+    return "\n".join(text for path, text, _ in blocks if path in content)
 
 
 @lru_cache(maxsize=64)

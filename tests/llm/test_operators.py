@@ -374,6 +374,16 @@ def test_main_text(spark):
     assert wrappers.main_text(df.where("false")).collect() == []
 
 
+def test_every_template_of_a_host_has_text(spark):
+    long = "words that go on " * 20
+    rows = [(i, "http://a.b/", f"<body><div class=menu>m</div><article><p>{long}{i}</p></article></body>") for i in range(20)]
+    rows += [(20, "http://a.b/", "<body><main><p>in main</p></main></body>"), (21, "http://a.b/", "<body><div class=box><p>plain</p><p>page</p></div></body>")]
+    rows += [(30 + i, "http://c.d/", f"<body><div class=x><p>{long}{i}</p></div></body>") for i in range(20)] + [(50, "http://c.d/", "<body><section><p>other</p></section></body>")]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert (got[20], got[21], got[50]) == ("in main", "plain\npage", "other")
+    assert got[3] == f"{long}3" and got[33] == f"{long}3"
+
+
 def test_copies_are_no_template(spark):
     inside = "<body><article><h1>t</h1><p>one paragraph</p></article></body>"
     outside = "<body><div class=x><p>only text</p></div></body>"
