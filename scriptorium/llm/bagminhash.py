@@ -336,12 +336,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of docs for each class of near duplicates, columns as they were."""
-    found = written(near_duplicates(docs, threshold), "classes")
-    gone = written(found.where("id <> class_id").select("id").distinct(), "gone")
-    again = written(found.groupBy("id").count().where("count > 1").select("id"), "again")  # rows that are repeated as a whole
+    """One row of docs for each class of near duplicates, columns as they were.
+
+    Of different texts under one doc_id one counts under it, the others each under a hash.
+    """
     key = "_node" + "_" * max(map(len, docs.columns))  # no column of docs has this name
+    first, last = f"{key}f", f"{key}l"
     left = docs.withColumn(key, _id())
+    shared = left.select(key, F.xxhash64("text").alias(first)).groupBy(key).agg(F.min(first).alias(first), F.max(first).alias(last))
+    shared = written(shared.where(F.col(first) < F.col(last)).drop(last), "shared-ids")
+    if shared.limit(1).count():
+        other = F.xxhash64("text") != F.col(first)
+        left = left.join(_ids(shared), key, "left").withColumn(key, F.when(other, F.xxhash64(key, "text").bitwiseAND(F.lit(2**63 - 1))).otherwise(F.col(key))).drop(first)
+    found = written(near_duplicates(left.select(F.col(key).alias("doc_id"), "text"), threshold), "classes")
+    gone = written(found.where("id <> class_id").select("id").distinct(), "gone")
+    again = written(found.groupBy("id").count().where("count > 1").select("id"), "again")  # rows that are repeated as a whole
     named = lambda df: _ids(df.withColumnRenamed("id", key))
     out = left.join(named(gone), key, "left_anti")
     if again.limit(1).count():

@@ -63,20 +63,29 @@ def _small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def _key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, literal_marks: int = LITERAL_MARKS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each row of docs (doc_id, text) against items (item_id, text).
 
     Columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
     """
+    return compared(docs, items, window, literal_marks, broadcast_rows).drop("key")
+
+
+def compared(docs: DataFrame, items: DataFrame, window: int = WINDOW, literal_marks: int = LITERAL_MARKS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of decontaminate() with the key (of doc_id and text) of their document."""
     items = items.where(F.col("item_id").isNotNull()).select("item_id", words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     items = written(items.select("item_id", "ws", F.least(F.size("ws"), F.lit(window)).alias("len")), "items")
     lengths = sorted(r[0] for r in items.select("len").distinct().collect())  # at most `window` values
-    docs = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
+    docs = docs.select("doc_id", "text").withColumn("key", _key())
     none = F.sha2(F.lit("").cast("binary"), 256)
     nothing = F.array().cast("array<bigint>")
     if not lengths:
         zero = F.lit(0).cast("long")
-        return docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), zero.alias("n_hit"), zero.alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return docs.select("key", "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), zero.alias("n_hit"), zero.alias("n_items"), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
     hashed = lambda ws: F.transform(ws, lambda x: F.xxhash64(x))
     theirs = [F.when(F.col("len") == n, fingerprints(hashed(F.col("ws")), n)).otherwise(nothing) for n in lengths]
     marks = written(items.select(F.explode(F.concat(*theirs)).alias("fp")).distinct(), "marks")
@@ -104,16 +113,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, liter
 
     by_doc = by_doc.select("key", F.aggregate("spans", start, cover)["n"].cast("long").alias("hit"), F.size("ids").cast("long").alias("items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("sha"))
     zero = F.lit(0).cast("long")
-    out = seen.join(by_doc, "key", "left").select("doc_id", "n_words", F.coalesce("hit", zero).alias("n_hit"), F.coalesce("items", zero).alias("n_items"), F.coalesce("sha", none).alias("items_sha256"))
+    out = seen.join(by_doc, "key", "left").select("key", "doc_id", "n_words", F.coalesce("hit", zero).alias("n_hit"), F.coalesce("items", zero).alias("n_items"), F.coalesce("sha", none).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without its contaminated rows, columns as they were; rows with one doc_id go together."""
-    verdict = decontaminate(docs.select("doc_id", "text"), items)
+    """docs without its contaminated rows, columns as they were; rows with equal doc_id and text go together."""
+    verdict = compared(docs.select("doc_id", "text"), items)
     name = "_bad" + "_" * max(map(len, docs.columns))  # no column of docs has this name
-    bad = written(verdict.where("contaminated").select(F.xxhash64("doc_id").alias(name)).distinct(), "contaminated")
-    return docs.join(_small(bad, BROADCAST_IDS), F.xxhash64("doc_id") == F.col(name), "left_anti")
+    bad = written(verdict.where("contaminated").select(F.col("key").alias(name)).distinct(), "contaminated")
+    return docs.join(_small(bad, BROADCAST_IDS), _key() == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -353,6 +353,13 @@ def test_near_duplicate_edges(odd, empty):
     assert bagminhash.representatives(empty).collect() == []
 
 
+def test_texts_that_share_a_doc_id_all_stay(spark):
+    rows = [(1, "alpha beta gamma delta"), (2, "some other words here"), (2, "alpha beta gamma delta"), (3, "one text"), (3, "quite another"), (3, "one text"), (4, "one text"), (None, "no id one"), (None, "no id two")]
+    left = bagminhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in left) == sorted({t for _, t in rows})
+    assert {r.doc_id for r in left if r.text.startswith("alpha")} == {1}
+
+
 # ------------------------------------------------------------------ 7
 def test_main_text(spark):
     def page(body, extra=""):
@@ -541,3 +548,12 @@ def test_contamination_edges(spark, odd, empty):
     left = winnowing.decontaminated(odd, some)
     assert left.columns == odd.columns
     assert left.count() == len(ODD) - 2
+
+
+def test_clean_rows_stay_beside_contaminated_ones(spark):
+    passage = " ".join(f"w{i}" for i in range(13))
+    rows = [(None, passage), (None, "clean text"), (7, passage), (7, "also clean"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    left = winnowing.decontaminated(docs, items)
+    assert collections.Counter(map(tuple, left.collect())) == collections.Counter([rows[1], rows[3], rows[4]])
