@@ -42,7 +42,7 @@ def tidy(work: Callable) -> Callable:
 
 def lean(spark: SparkSession) -> None:
     """Let the session send Python batches of bounded size: texts of any length mustn't add up in a worker or in the JVM's buffers."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
         now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
         if not 0 < now <= most:
             spark.conf.set(key, str(most))
@@ -68,6 +68,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def number(doc_id: Column, text: Column) -> Column:
+    """doc_id as a long: itself if it is one, a hash of it if it isn't, a hash of the text if it is null."""
+    return F.coalesce(doc_id.try_cast("long"), F.when(doc_id.isNotNull(), F.xxhash64(doc_id.cast("string"))), F.xxhash64(text))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
