@@ -1,21 +1,25 @@
 """Personal data: detection, and keyed surrogates of the same type and form.
 
-Surrogates come from keyed permutations (a Feistel network walked within its domain), so
-that under one key an entity always gets the same surrogate (coreference, whatever its
-separators or case) and two entities of a form never the same one (distinctness):
+Surrogates come from keyed permutations without fixed points: a Feistel network P, walked
+within its domain, gives P^-1(P(x) + 1). So under one key an entity always gets the same
+surrogate (coreference, whatever its separators or case), two entities of a form never the
+same one (distinctness), and none stays what it was. Candidates that would collide with
+names of another origin are walked past, which keeps the permutation one to one:
 
   email, secret, iban  letters stay letters of their case, digits digits; the domain of an
                        email is permuted label by label, its top level and the reserved
                        example domains stay; an IBAN keeps its country and validity
-  phone, ssn, card     digits are permuted, separators and a country prefix stay; a card
-                       keeps its distance from the Luhn digit
+  phone, ssn, card     digits are permuted, separators stay; a phone number keeps its
+                       calling code, trunk zero and length; a card its distance from the Luhn digit
   ip                   permuted among addresses of its kind (private or public)
-  name                 given names are permuted within the pool of their gender and script,
-                       given names beyond the pools and surnames get a made-up name of their
-                       script from a keyed hash; honorifics stay
+  name                 word by word, wherever the word stands: a given name of a pool is
+                       permuted within the pool of its gender and script; any other word keeps
+                       its script, case, accents, hyphens, pattern of vowels and consonants and
+                       the ending that shows a gender, and never becomes a name of a pool;
+                       particles and honorifics stay
 
-Only made-up names can collide. All distinct names of the corpus are checked for that, and
-of those that share a surrogate all but the first get another draw until none is shared.
+Names are found behind an honorific or a phrase that announces one, and where a given name of
+the pools stands, alone or before capitalised words. The pools are a parameter.
 
 Edge cases: null text stays null; empty text stays; overlapping finds: the earlier, then the
 one first in TYPES; repeated documents get equal surrogates; further columns are kept as they are.
@@ -29,11 +33,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, table, tidy, written
+from .common import lean, table, tidy
 
 KEY = b"replace this key in production"
 TYPES = ("secret", "email", "iban", "ip", "card", "ssn", "phone", "name")
@@ -47,10 +52,21 @@ GIVEN = {
     ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Ειρήνη".split(),
     ("greek", "m"): "Γιώργος Δημήτρης Νίκος Κώστας Γιάννης Πέτρος".split(),
 }
-HONORIFICS = {"Mr": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f", "Doña": "f", "Dr": "", "Prof": ""}
-SYLLABLES = {"latin": "ba be bi bo da de di do fa fe fi fo ga ge ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi vo".split(), "cyrillic": "ба бе би бо ва ве ви во да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро та те ти то".split(), "greek": "βα βε βι βο δα δε δι δο κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο ρα ρε ρι ρο τα τε τι το".split()}
+HONORIFICS = "Mr Sir Herr Herrn Monsieur Señor Sr Don Mrs Ms Miss Mx Madam Frau Madame Mme Mlle Señora Sra Doña Dr Prof Lord Lady Господин Госпожа Кύριος Κύριε Κυρία".split()
+CUES = ("my name is ", "My name is ", "name: ", "Name: ", "Dear ", "Liebe ", "Lieber ", "Sehr geehrter ", "ich heiße ", "Ich heiße ", "Mein Name ist ", "mein Name ist ", "je m'appelle ", "Je m'appelle ", "Cher ", "Chère ", "me llamo ", "Me llamo ", "Querido ", "Querida ", "меня зовут ", "Меня зовут ", "με λένε ", "Με λένε ")
+PARTICLES = frozenset("von van de der den di da del della la le ter zu bin ibn al".split())
+#: Given names that are common words as well: a name only with another beside them.
+WORDS_TOO = frozenset("Mark Grace Don Jean Carmen".split())
+#: Endings that show a gender, those of one family name together; a final vowel does as well.
+FAMILIES = tuple(x.split("/") for x in "ский/ская цкий/цкая ый/ая ий ой ов/ова ев/ева ёв/ёва ин/ина ын/ына sky/skaya ski/ska ov/ova/ová ev/eva in/ina ός ης ας ου".split())
+ENDINGS = sorted((e for family in FAMILIES for e in family), key=lambda e: (-len(e), e))
+#: Letters that may stand for each other in a name.
+LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóú", "àèìòù", "âêîôû", "äöü", "ëï", "ãõ", "åæø", "çñ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ")
+#: Calling codes of two digits; 1 and 7 are codes of one, all others have three.
+CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 RESERVED = frozenset("example.com example.org example.net".split())
-_GENDER = {(s, n): g for (s, g), names in GIVEN.items() for n in names}
+_SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
+_CLASS = {c: alphabet for alphabet in LETTERS for c in alphabet}
 
 _EMAIL = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ._%+\-]*[A-Za-z0-9À-ÖØ-öø-ÿ_%+\-]@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+")
 _SECRET = re.compile(r"(?i)\b(?:token|secret|passwo?r?d|pwd|passphrase|api[_ \-]?key|access[_ \-]?key|private[_ \-]?key|credentials?|bearer)\b[\"']?\s*(?:[:=]|is)?\s*[\"']?([A-Za-z0-9+/_\-]{12,}={0,2})")
@@ -58,16 +74,97 @@ _KEYS = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?\b")
 _IPV4 = re.compile(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)")
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})(?::[0-9A-Fa-f]{1,4})*(?![0-9A-Za-z:.])")
-_CARD = re.compile(r"(?<![\d+.\-])\d(?:[ \-]?\d){12,18}(?![\d])")
+_CARD = re.compile(r"(?<![\d+.\-])(?!00)\d(?:[ \-]?\d){12,18}(?![\d])")
 _SSN = re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])")
 _PHONE = re.compile(r"(?<![\w+.])(?:\+\d{1,3}[ .\-/]?(?:\(\d{1,5}\)[ .\-/]?)?\d{2,5}(?:[ .\-/]?\d{2,5}){1,4}|\(\d{2,5}\)[ .\-/]?\d{2,5}(?:[ .\-/]?\d{2,5}){1,3}|\d{3}[ .\-]\d{3}[ .\-]\d{4}|0\d{1,4}[ /\-]\d{2,4}(?:[ \-]?\d{2,4}){1,3})(?!\w|[.\-]\d)")
-_CAP = r"[A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫА-ЯЁ][a-zß-öø-ÿά-ώа-яё]+(?:[\-'’][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?"
-_TITLED = re.compile(rf"\b({'|'.join(HONORIFICS)})(\.?[ ](?:(?:Dr|Prof)\.?[ ])?)({_CAP})(?:[ ]({_CAP}))?")
-_NAMED = re.compile(rf"\b({'|'.join(n for names in GIVEN.values() for n in names)})[ ]({_CAP})(?:[ ]({_CAP}))?\b")
+_UP, _LOW = "A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫА-ЯЁ", "a-zß-öø-ÿά-ώа-яё"
+_TITLE = rf"(?:[{_UP}]['’])?[{_UP}][{_LOW}]+(?:[{_UP}][{_LOW}]+)?(?:[\-'’][{_UP}][{_LOW}]+)*"
+_CAPS = rf"(?:[{_UP}]['’])?[{_UP}]{{2,}}(?:[\-'’][{_UP}]{{2,}})*"
+_MORE = rf"(?:(?:[ ][{_UP}]\.)?(?:[ ](?:{'|'.join(sorted(PARTICLES))})){{0,2}}[ ](?:%s)(?![{_LOW}]))"
+_FULL = re.compile(rf"(?:{_TITLE})(?![{_UP}{_LOW}]){_MORE % _TITLE}{{0,2}}|(?:{_CAPS})(?![{_UP}{_LOW}]){_MORE % _CAPS}{{0,2}}")
+_ALSO = re.compile(r"(?:Dr|Prof|DR|PROF)\.?[ ]")
 _DIGIT = re.compile(r"\d")
 _HEXES = re.compile(r"[0-9a-fA-F]{32}")
-_WORDS_TITLED = tuple(h + end for h in HONORIFICS for end in (" ", ". "))
-Find = tuple[int, int, str, str]  # start, end, type, gender of a name
+_WORD = re.compile(rf"[{_UP}{_LOW}]+(?:[\-'’][{_UP}{_LOW}]+)*")
+Pools = dict[tuple[str, str], list[str]]
+Find = tuple[int, int, str]  # start, end, type
+
+
+class Finder:
+    """Finds entities; given: pools of given names by (script, gender)."""
+
+    def __init__(self, given: Pools | None = None):
+        marks = ahocorasick.Automaton()
+        for names in (given or GIVEN).values():
+            for n in names:
+                marks.add_word(n, (len(n), "given"))
+                marks.add_word(n.upper(), (len(n), "given"))
+        for h in HONORIFICS:
+            for x in (h, h.upper()):
+                for end in (" ", ". "):
+                    marks.add_word(x + end, (len(x) + len(end), "title"))
+        for c in CUES:
+            marks.add_word(c, (len(c), "cue"))
+        marks.make_automaton()
+        self.marks = marks
+
+    def names(self, text: str) -> list[Find]:
+        out: list[Find] = []
+        for last, (size, kind) in self.marks.iter(text):
+            start = last + 1 - size
+            if start and (text[start - 1].isalnum() or text[start - 1] == "_"):
+                continue
+            if kind == "given":
+                m = _FULL.match(text, start)
+                if m is None or m.end() <= last or m.end() == last + 1 and text[start : last + 1] in WORDS_TOO:
+                    continue
+                if text[last + 1 : last + 2].isalpha():  # the beginning of another word
+                    continue
+            else:
+                at = start + size
+                while kind == "title" and (more := _ALSO.match(text, at)):
+                    at = more.end()
+                m = _FULL.match(text, at)
+                if m is None or m.group() in HONORIFICS:
+                    continue
+            out.append((m.start(), m.end(), "name"))
+        return out
+
+    def find(self, text: str) -> list[Find]:
+        """Entities of a text in order, without overlaps."""
+        found = self.names(text)
+        if "@" in text:
+            found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
+        if _DIGIT.search(text):
+            found += [(*m.span(), "ip") for m in _IPV4.finditer(text) if all(int(x) < 256 for x in m.group().split("."))]
+            found += [(*m.span(), "card") for m in _CARD.finditer(text)]
+            found += [(*m.span(), "phone") for m in _PHONE.finditer(text) if 8 <= sum(map(str.isdigit, m.group())) <= 15]
+            if "-" in text:
+                found += [(*m.span(), "ssn") for m in _SSN.finditer(text)]
+            found += [(*m.span(), "iban") for m in _IBAN.finditer(text)]
+            if ":" in text:
+                found += [(*m.span(), "ip") for m in _IPV6.finditer(text) if _ip(m.group())]
+            if _HEXES.search(text) or "AKIA" in text or "sk-" in text or "gh" in text:
+                found += [(*m.span(), "secret") for m in _KEYS.finditer(text) if _DIGIT.search(m.group()) and not m.group().isdigit()]
+        lower = text.lower()
+        if any(w in lower for w in ("token", "secret", "passw", "passphrase", "pwd", "key", "credential", "bearer")):
+            found += [(*m.span(1), "secret") for m in _SECRET.finditer(text) if _DIGIT.search(m.group(1)) or re.search(r"[:=]\s*[\"']?$", text[m.start() : m.start(1)])]
+        found.sort(key=lambda f: (f[0], TYPES.index(f[2]), -f[1]))
+        out: list[Find] = []
+        for f in found:
+            if not out or f[0] >= out[-1][1]:
+                out.append(f)
+        return out
+
+
+@lru_cache(maxsize=1)
+def _finder() -> Finder:
+    return Finder()
+
+
+def find(text: str) -> list[Find]:
+    """Entities of a text with the pools of GIVEN."""
+    return _finder().find(text)
 
 
 def luhn(digits: str) -> int:
@@ -79,44 +176,6 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
-def find(text: str) -> list[Find]:
-    """Entities of a text in order, without overlaps."""
-    found: list[Find] = []
-    if "@" in text:
-        found += [(*m.span(), "email", "") for m in _EMAIL.finditer(text)]
-    if _DIGIT.search(text):
-        found += [(*m.span(), "ip", "") for m in _IPV4.finditer(text) if all(int(x) < 256 for x in m.group().split("."))]
-        found += [(*m.span(), "card", "") for m in _CARD.finditer(text)]
-        found += [(*m.span(), "phone", "") for m in _PHONE.finditer(text) if 8 <= sum(map(str.isdigit, m.group())) <= 15]
-        if "-" in text:
-            found += [(*m.span(), "ssn", "") for m in _SSN.finditer(text)]
-        found += [(*m.span(), "iban", "") for m in _IBAN.finditer(text)]
-        if ":" in text:
-            found += [(*m.span(), "ip", "") for m in _IPV6.finditer(text) if _ip(m.group())]
-        if _HEXES.search(text) or "AKIA" in text or "sk-" in text or "gh" in text:
-            found += [(*m.span(), "secret", "") for m in _KEYS.finditer(text) if _DIGIT.search(m.group()) and not m.group().isdigit()]
-    lower = text.lower()
-    if any(w in lower for w in ("token", "secret", "passw", "passphrase", "pwd", "key", "credential", "bearer")):
-        found += [(*m.span(1), "secret", "") for m in _SECRET.finditer(text) if _DIGIT.search(m.group(1)) or re.search(r"[:=]\s*[\"']?$", text[m.start() : m.start(1)])]
-    if any(w in text for w in _WORDS_TITLED):
-        for m in _TITLED.finditer(text):
-            found.append((m.start(3), m.end(), "name", HONORIFICS[m.group(1)]))
-    found += [(*m.span(), "name", "") for m in _NAMED.finditer(text)] if any(n in text for n in _first_names()) else []
-    found.sort(key=lambda f: (f[0], TYPES.index(f[2]), -f[1]))
-    out: list[Find] = []
-    for f in found:
-        if not out or f[0] >= out[-1][1]:
-            out.append(f)
-        elif f[0] == out[-1][0] and TYPES.index(f[2]) < TYPES.index(out[-1][2]):
-            out[-1] = f
-    return out
-
-
-@lru_cache(maxsize=1)
-def _first_names() -> tuple[str, ...]:
-    return tuple(f"{n} " for names in GIVEN.values() for n in names)
-
-
 def _ip(text: str) -> bool:
     try:
         ipaddress.ip_address(text)
@@ -125,63 +184,112 @@ def _ip(text: str) -> bool:
     return True
 
 
-def script(word: str) -> str:
-    c = ord(word[0])
-    return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else "latin"
+def ending(low: str) -> str:
+    """The ending of a lower-case name that shows a gender, two letters at least before it."""
+    for e in ENDINGS:
+        if low.endswith(e) and len(low) >= len(e) + 2:
+            return e
+    return low[-1] if len(low) >= 3 and low[-1] in "aeioáéíóаеияоαηοά" else ""
+
+
+def _spread(text: str, digits: str) -> str:
+    """text with these digits in place of its own."""
+    it = iter(digits)
+    return "".join(next(it) if c.isdigit() else c for c in text)
 
 
 class Surrogates:
-    """Keyed replacements. draws: how often made-up names need another draw, by "kind:name"; syllables: of a made-up name."""
+    """Keyed replacements; given: pools of given names by (script, gender)."""
 
-    def __init__(self, key: bytes = KEY, draws: dict[str, int] | None = None, syllables: int = 4):
-        self.syllables = syllables
-        self.key, self.draws = blake2b(key, digest_size=32).digest(), draws or {}
+    def __init__(self, key: bytes = KEY, given: Pools | None = None):
+        self.key = blake2b(key, digest_size=32).digest()
         self.of = lru_cache(maxsize=50_000)(self._of)
+        self.pool = {n.lower(): (f"{s}:{g}", names, k) for (s, g), names in (given or GIVEN).items() for k, n in enumerate(names)}
 
     def _hash(self, *parts: object) -> int:
-        return int.from_bytes(blake2b("\0".join(map(str, parts)).encode(), key=self.key, digest_size=16).digest())
+        return int.from_bytes(blake2b("\0".join(map(str, parts)).encode(), key=self.key, digest_size=32).digest())
+
+    def _round(self, tweak: str, size: int, r: int, value: int, mask: int) -> int:
+        out = self._hash(tweak, size, r, value)
+        for k in range(1, mask.bit_length() // 256 + 1):  # halves longer than a digest
+            out = out << 256 | self._hash(tweak, size, r, value, k)
+        return out & mask
 
     def permute(self, n: int, size: int, tweak: str, ok=None) -> int:
-        """A permutation of range(size), or of those of its members that are ok if n is."""
+        """A permutation without fixed points of range(size), or of those of its members that are ok if n is."""
         if size < 2:
             return n
         half = max(1, ((size - 1).bit_length() + 1) // 2)
         mask = (1 << half) - 1
+
+        def there(n: int) -> int:
+            while True:
+                left, right = n >> half, n & mask
+                for r in range(8):
+                    left, right = right, left ^ self._round(tweak, size, r, right, mask)
+                n = left << half | right
+                if n < size:
+                    return n
+
+        def back(n: int) -> int:
+            while True:
+                left, right = n >> half, n & mask
+                for r in range(7, -1, -1):
+                    left, right = right ^ self._round(tweak, size, r, left, mask), left
+                n = left << half | right
+                if n < size:
+                    return n
+
+        n = there(n)
         while True:
-            left, right = n >> half, n & mask
-            for r in range(8):
-                left, right = right, left ^ (self._hash(tweak, size, r, right) & mask)
-            n = left << half | right
-            if n < size and (ok is None or ok(n)):
-                return n
+            n = (n + 1) % size
+            new = back(n)
+            if ok is None or ok(new):
+                return new
 
     def classes(self, text: str, tweak: str) -> str:
         """Permute letters and digits within their classes; all else stays."""
-        sets = [(c, a) for c in text for a in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in a]
+        sets = [(c, a) for c in text for a in _SETS if c in a]
         n, size = 0, 1
         for c, a in sets:
             n, size = n * len(a) + a.index(c), size * len(a)
-        shape = "".join("0" if c.isdigit() else c if not (c.isascii() and c.isalpha()) else "a" if c.islower() else "A" for c in text)
+        shape = "".join(next((a[0] for a in _SETS if c in a), c) for c in text)
         n = self.permute(n, size, f"{tweak}:{shape}")
         new = []
         for _, a in reversed(sets):
             n, k = divmod(n, len(a))
             new.append(a[k])
         it = iter(reversed(new))
-        return "".join(next(it) if c.isascii() and c.isalnum() else c for c in text)
+        return "".join(next(it) if any(c in a for a in _SETS) else c for c in text)
+
+    def number(self, digits: str, tweak: str) -> str:
+        """Permute a number among those of its length; whether it starts with 0 stays."""
+        least = 10 ** (len(digits) - 1) if digits[0] != "0" and len(digits) > 1 else 0
+        most = 10 ** (len(digits) - (digits[0] == "0" and len(digits) > 1))
+        return f"{least + self.permute(int(digits) - least, most - least, f'{tweak}:{len(digits)}'):0{len(digits)}d}"
+
+    def card(self, text: str) -> str:
+        d = "".join(c for c in text if c.isdigit())
+        off = (int(d[-1]) - luhn(d[:-1])) % 10
+        body = self.number(d[:-1], "card")
+        return _spread(text, body + str((luhn(body) + off) % 10))
 
-    def digits(self, text: str, kind: str, keep: int = 0) -> str:
-        """Permute the digits behind the first `keep`; separators stay."""
+    def ssn(self, text: str) -> str:
         d = "".join(c for c in text if c.isdigit())
-        rest = d[keep:]
-        if kind == "card":
-            off = (int(rest[-1]) - luhn(rest[:-1])) % 10
-            body = f"{self.permute(int(rest[:-1]), 10 ** (len(rest) - 1), f'card{len(rest)}'):0{len(rest) - 1}d}"
-            new = body + str((luhn(body) + off) % 10)
+        return _spread(text, self.number(d, "ssn"))
+
+    def phone(self, text: str) -> str:
+        d = "".join(c for c in text if c.isdigit())
+        exit_code = 2 if d.startswith("00") and text[0] != "+" else 0
+        if text[0] == "+" or exit_code:
+            rest = d[exit_code:]
+            keep = exit_code + (1 if rest[0] in "17" else 2 if rest[:2] in CODES else 3)
         else:
-            new = f"{self.permute(int(rest), 10 ** len(rest), f'{kind}{d[:keep]}:{len(rest)}'):0{len(rest)}d}"
-        it = iter(d[:keep] + new)
-        return "".join(next(it) if c.isdigit() else c for c in text)
+            keep = 0
+        code = d[exit_code:keep]
+        if "(0)" in text or not keep:  # a trunk prefix is not part of the number
+            keep += len(d[keep:]) - len(d[keep:].lstrip("0")) if not code else d[keep : keep + 1] == "0"
+        return _spread(text, d[:keep] + self.number(d[keep:], f"phone{code}")) if d[keep:] else text
 
     def ip(self, text: str) -> str:
         a = ipaddress.ip_address(text)
@@ -211,111 +319,78 @@ class Surrogates:
         it = iter(f"{plain[:2]}{check if off or check > 1 else check + 97:02d}{body}")
         return "".join(c if c == " " else next(it) for c in text)
 
-    def made_up(self, word: str, kind: str) -> str:
-        low, s = word.lower(), script(word)
-        n = self._hash(kind, low, self.draws.get(f"{kind}:{low}", 0))
-        parts = SYLLABLES[s]
-        out = ""
-        for _ in range(self.syllables):
-            n, k = divmod(n, len(parts))
-            out += parts[k]
-        return out.capitalize()
-
-    def given(self, word: str, gender: str) -> str:
-        s = script(word)
-        pool = GIVEN.get((s, _GENDER.get((s, word), "")))
-        if pool:
-            return pool[self.permute(pool.index(word), len(pool), f"given{s}{_GENDER[s, word]}")]
-        return self.made_up(word, f"given{gender}")
-
-    def name(self, text: str, gender: str) -> str:
-        words = text.split(" ")
-        if len(words) == 1:
-            return self.given(text, gender) if (script(text), text) in _GENDER else self.made_up(text, "surname")
-        return " ".join([self.given(words[0], gender), *(self.made_up(w, "surname") for w in words[1:])])
-
-    def _of(self, text: str, kind: str, gender: str) -> str:
-        if kind == "name":
-            return self.name(text, gender)
-        if kind in ("ip", "email", "iban"):
-            return getattr(self, kind)(text)
+    def word(self, word: str) -> str:
+        """One word of a name."""
+        low = word.lower()
+        if low in PARTICLES or len(low) != len(word):
+            return word
+        if low in self.pool:
+            tweak, names, k = self.pool[low]
+            new = names[self.permute(k, len(names), f"given{tweak}")]
+            return new.upper() if word.isupper() else new
+        end = ending(low)
+        stem = low[: len(low) - len(end)]
+        sets = [_CLASS[c] for c in stem if c in _CLASS]
+        n, size = 0, 1
+        for c in stem:
+            if c in _CLASS:
+                n, size = n * len(_CLASS[c]) + _CLASS[c].index(c), size * len(_CLASS[c])
+
+        family = next((f for f in FAMILIES if end in f), [end])
+
+        def told(n: int) -> str:
+            new = []
+            for a in reversed(sets):
+                n, k = divmod(n, len(a))
+                new.append(a[k])
+            it = iter(reversed(new))
+            return "".join(next(it) if c in _CLASS else c for c in stem)
+
+        def kind(n: int) -> list[bool]:  # whether it is no name of a pool, no particle and of no other ending, with each ending of its family
+            new = told(n)
+            return [new + e not in self.pool and new + e not in PARTICLES and ending(new + e) == e for e in family]
+
+        own = kind(n)
+        shape = "".join(_CLASS[c][0] if c in _CLASS else c for c in stem)
+        new = told(self.permute(n, size, f"name{shape}:{family[0]}", lambda x: kind(x) == own)) + end
+        return "".join(y.upper() if x.isupper() else y for x, y in zip(word, new, strict=True))
+
+    def name(self, text: str) -> str:
+        return _WORD.sub(lambda m: self.word(m.group()), text)
+
+    def _of(self, text: str, kind: str) -> str:
         if kind == "secret":
             return self.classes(text, "secret") if not re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) else self.hexes(text)
-        country = re.match(r"\+(\d{1,3})(?=[ .\-/(])", text) if kind == "phone" else None
-        return self.digits(text, kind, len(country.group(1)) if country else 0)
+        return getattr(self, kind)(text)
 
     def hexes(self, text: str) -> str:
         new = f"{self.permute(int(text, 16), 16 ** len(text), f'hex{len(text)}'):0{len(text)}x}"
         return new.upper() if text.isupper() else new
 
 
-def made_up_words(text: str) -> Iterator[tuple[str, str]]:
-    """(kind, lower-case word) of the words of a text that get made-up names."""
-    for s, e, kind, gender in find(text):
-        if kind == "name":
-            words = text[s:e].split(" ")
-            for k, w in enumerate(words):
-                if (k or len(words) == 1) and not (len(words) == 1 and (script(w), w) in _GENDER):
-                    yield "surname", w.lower()
-                elif not k and len(words) > 1 and (script(w), w) not in _GENDER:
-                    yield f"given{gender}", w.lower()
-
-
-def draws(docs: DataFrame, key: bytes = KEY, rounds: int = 20, syllables: int = 4) -> dict[str, int]:
-    """Which made-up names need another draw so that no two of the corpus are equal."""
-
-    @tidy
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pairs = sorted({p for t in b.column(0).to_pylist() if t for p in made_up_words(t)})
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], names=["kind", "word"])
-
-    lean(docs.sparkSession)
-    known = written(docs.select("text").mapInArrow(words, "kind string, word string").distinct(), "names")
-    again: dict[str, int] = {}
-    for _ in range(rounds):
-        now = dict(again)
-
-        @tidy
-        def made(batches: Iterator[pa.RecordBatch], now: dict[str, int] = now) -> Iterator[pa.RecordBatch]:
-            s = Surrogates(key, now, syllables)
-            for b in batches:
-                new = [s.made_up(w, k) for k, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string())], names=["kind", "word", "new"])
-
-        drawn = known.mapInArrow(made, "kind string, word string, new string")
-        shared = drawn.groupBy("kind", "new").agg(F.min("word").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        clash = drawn.join(shared, ["kind", "new"]).where("word <> first").select("kind", "word").collect()  # about n * n / 2 / 46 ** 4 of n names
-        if not clash:
-            break
-        for r in clash:
-            again[f"{r['kind']}:{r['word']}"] = again.get(f"{r['kind']}:{r['word']}", 0) + 1
-    return again
-
-
-def replace(text: str, s: Surrogates) -> tuple[str, list[tuple[str, int, int, str]]]:
+def replace(text: str, s: Surrogates, finder: Finder | None = None) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with surrogates, and (type, start, end, surrogate) of each, by places in the original."""
     out, at, spans = [], 0, []
-    for start, end, kind, gender in find(text):
-        new = s.of(text[start:end], kind, gender)
+    for start, end, kind in (finder or _finder()).find(text):
+        new = s.of(text[start:end], kind)
         out += [text[at:start], new]
         spans.append((kind, start, end, new))
         at = end
     return "".join(out) + text[at:] if spans else text, spans
 
 
-def surrogated(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def surrogated(docs: DataFrame, key: bytes = KEY, given: Pools | None = None) -> DataFrame:
     """doc_id, text with surrogates, n_entities and entities (type, start, end, surrogate) of each row of docs (doc_id, text)."""
-    again = draws(docs, key)
+    lean(docs.sparkSession)
     entity = pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())])
 
     @tidy
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Surrogates(key, again)
+        s, finder = Surrogates(key, given), Finder(given)
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                got = [(None, []) if t is None else replace(t, s) for t in part.column(1).to_pylist()]
+                got = [(None, []) if t is None else replace(t, s, finder) for t in part.column(1).to_pylist()]
                 spans = [[dict(zip(("type", "start", "end", "surrogate"), x, strict=True)) for x in g[1]] for g in got]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([len(g[1]) for g in got], pa.int32()), pa.array(spans, pa.list_(entity))], names=["doc_id", "text", "n_entities", "entities"])
 
@@ -323,16 +398,16 @@ def surrogated(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(over, f"doc_id {kind}, text string, n_entities int, entities array<struct<type string, start int, end int, surrogate string>>")
 
 
-def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def replaced(docs: DataFrame, key: bytes = KEY, given: Pools | None = None) -> DataFrame:
     """docs with surrogates in `text`, and n_chars, if there is one, to match; other columns as they were."""
-    again = draws(docs, key)
+    lean(docs.sparkSession)
     at = docs.columns.index("text")
 
     @tidy
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Surrogates(key, again)
+        s, finder = Surrogates(key, given), Finder(given)
         for b in batches:
-            new = pa.array([None if t is None else replace(t, s)[0] for t in b.column(at).to_pylist()], b.schema.field(at).type)
+            new = pa.array([None if t is None else replace(t, s, finder)[0] for t in b.column(at).to_pylist()], b.schema.field(at).type)
             yield b.set_column(at, b.schema.field(at), new)
 
     out = docs.mapInArrow(over, docs.schema)
