@@ -5,12 +5,12 @@ a chunk ends, so that cuts depend on the last 32 bytes alone and an insertion
 moves the cuts near it only. Chunks have MIN_CHUNK to MAX_CHUNK bytes (ends of
 documents aside) and end between characters. A chunk whose 128-bit digest stands
 in two or more documents is repeated; unbroken repeated chunks of a document make
-a stretch. Stretches of at least MIN_RUN bytes are repeated passages, parted where
-chunks that an earlier document has meet chunks that this one is the first to have.
-The document with the smallest doc_id keeps its copy.
+a stretch. Stretches of at least MIN_RUN bytes are repeated passages, parted where the
+first document to have the chunks changes. The document with the smallest doc_id keeps
+its copy.
 
 Edge cases: null and empty texts have no chunks; rows with equal doc_id and text
-count as one document; a null doc_id counts as a hash of the text; repeats within one document
+count as one document; a null doc_id counts as a hash of the text, one that is no number as a hash of itself; repeats within one document
 alone are left; further columns are ignored, or kept by deduplicate().
 """
 
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, table, tidy, written
+from .common import lean, number, table, tidy, written
 
 BITS, MIN_CHUNK, MAX_CHUNK, MIN_RUN = 4, 16, 96, 90
 WINDOW = 32
@@ -85,7 +85,7 @@ def chunks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    return number(F.col("doc_id"), F.col("text"))
 
 
 SCHEMA = "hi long, lo long, doc long, text_key int, idx int, start int, n_chars short, n_bytes short"
@@ -121,8 +121,8 @@ def chunked(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """One row for each repeated passage of each document.
 
-    Columns: doc_id, text_key, start_char, n_chars, n_bytes, n_chunks, first_doc_id (smallest of any of its
-    chunks), kept (the document is the first to have it). A passage may be less than min_run bytes of a
+    Columns: doc_id, text_key, start_char, n_chars, n_bytes, n_chunks, first_doc_id (the smallest that has
+    its chunks), kept (the document is the first to have it). A passage may be less than min_run bytes of a
     stretch that has as many.
     """
     lean(docs.sparkSession)
@@ -131,7 +131,7 @@ def repeated(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     twice = written(twice.where("first_doc < last_doc").drop("last_doc"), "repeated")  # so that a hot digest's join can be split
     found = parts.join(twice, ["hi", "lo"]).drop("hi", "lo").dropDuplicates(["doc", "text_key", "idx"])
     order = Window.partitionBy("doc", "text_key").orderBy("idx")
-    found = found.withColumn("own", F.col("first_doc") == F.col("doc")).withColumn("island", F.col("idx") - F.row_number().over(order)).withColumn("turn", (F.col("own") != F.lag("own").over(order)).cast("int"))
+    found = found.withColumn("island", F.col("idx") - F.row_number().over(order)).withColumn("turn", (F.col("first_doc") != F.lag("first_doc").over(order)).cast("int"))
     found = found.withColumn("part", F.coalesce(F.sum("turn").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)))
     runs = found.groupBy("doc", "text_key", "island", "part").agg(
         F.min("start").cast("long").alias("start_char"), F.sum("n_chars").alias("n_chars"), F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_chunks"), F.min("first_doc").alias("first_doc_id")
@@ -143,8 +143,10 @@ def repeated(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 
 def deduplicate(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """docs with the repeated passages that an earlier document keeps taken out of `text`."""
-    gone = repeated(docs, min_run).where(~F.col("kept"))
-    spans = gone.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start_char", "n_chars")).alias("_spans")).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "_spans")
+    gone = repeated(docs.select("doc_id", "text"), min_run).where(~F.col("kept"))
+    own = "_cdc" + "_" * max(map(len, docs.columns))  # no column of docs starts like this and is as long
+    k, its_doc, its_key, its_spans = (f"{own}{x}" for x in ("k", "doc", "key", "spans"))
+    spans = gone.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start_char", "n_chars")).alias(its_spans)).select(F.col("doc_id").alias(its_doc), F.col("text_key").alias(its_key), its_spans)
 
     @F.pandas_udf("int")
     def key(texts: pd.Series) -> pd.Series:
@@ -164,8 +166,8 @@ def deduplicate(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
             out.append("".join(kept) + t[at:])
         return pd.Series(out, dtype=object)
 
-    on = [_id() == F.col("_doc"), F.col("_k") == F.col("_key")]
-    return docs.withColumn("_k", key("text")).join(spans, on, "left").withColumn("text", without("text", "_spans")).select(*docs.columns)
+    on = [_id() == F.col(its_doc), F.col(k) == F.col(its_key)]
+    return docs.withColumn(k, key("text")).join(spans, on, "left").withColumn("text", without("text", its_spans)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
