@@ -1,10 +1,12 @@
 """Toxicity of obfuscated text: a noisy channel is undone, then the restored text is scored.
 
-A token that may be obfuscated (digits or signs for letters, stretched letters, signs or
-spaces between letters) becomes a lattice of the characters it may stand for, each with a
-channel cost; the Viterbi path of least cost under a character trigram model is the restored
-token. Other tokens have one path and are left as they are. Words and word beginnings of the
-restored text, as present or absent, feed a logistic regression.
+A token that holds a sign or digit that may stand for a letter, a repeated letter or signs
+between letters, and a stretch of three or more tokens of at most two characters, becomes a
+lattice: each run of equal characters offers the strings it may stand for, nothing, or a word
+boundary, each space a boundary or nothing, each with a channel cost. The path of least cost
+under a character trigram model, found by Viterbi over all states, is the restored text; a token
+of digits alone may stay a number instead. Other tokens have one path and are left as they are.
+Words and word beginnings of the restored text, as present or absent, feed a logistic regression.
 
 The character model counts the trigrams of all texts, each whole. The regression is fitted on
 at most SAMPLE_ROWS labelled rows chosen by hash, held-out rows aside, with the FEATURES most
@@ -13,7 +15,7 @@ scored whole.
 
 Edge cases: null and empty texts get the score of a text without features; without labels of
 both kinds the score is 0 throughout; null labels are left out, of several labels of a doc_id the
-largest counts; repeated documents get equal scores; further columns are ignored.
+largest counts, and of several texts the one with the smallest hash; repeated documents get equal scores; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,15 +40,25 @@ THRESHOLD, RIDGE = 0.3, 0.03
 
 #: What signs may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i"}
-BETWEEN = frozenset(".-_*~^'`·• /\\,")
-_LEAD, _TRAIL = "\"'([{<*#%&.,;:!?-_~`«»“”„|", "\"')]}>*#%&.,;:!?-_~`«»“”|"
-_RUN = re.compile(r"(?:[$!@+]{2,}|[$]{3,})$")
+BETWEEN = frozenset(".-_*~^'`·•/\\,:;\"#%&=?)]}>[{“”«»„")
+_LEAD, _TRAIL = "\"'[{*#%&.,;:?-_~`«»“”„", "\"')]}>*#%&.,;:?-_~`«»“”"
 _ODD = re.compile(r"[0-9@$!|+(<€£¡]")
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
-_STRETCH = re.compile(r"([^\W\d_])\1\1")
+_AGAIN = re.compile(r"([^\W\d_])\1")
 _DOTTED = re.compile(r"^\w(?:[^\w\s]+\w|_+\w){2,}$")
-_SPACED = re.compile(r"(?<!\S)[^\s.,;:](?: [^\s.,;:]){2,}[.,;:!?]*(?!\S)")
+_SHORT = re.compile(r"(?<!\S)\S{1,2}(?:[ \t]\S{1,2}){2,}(?!\S)")
+_SPLIT = re.compile(r"[\s\-/]+")
+#: Channel costs: a sign for a letter inside or at the edge of a token, a run of signs for one letter or two, a repeated letter
+#: for one, a doubled one for one; a sign that means nothing inside, behind and before a
+#: word, and each of those rarely put at an edge; a sign for a boundary; digits that
+#: stay digits, each of them; spaces that mean nothing between single characters and between others; a number and each digit.
+SIGN, EDGE_SIGN, SIGNS_ONE, SIGNS_TWO, STRETCHED, DOUBLED = 0.7, 1.2, 1.2, 0.9, 0.3, 2.0
+NOTHING, EDGE_NOTHING, LEAD_NOTHING, ODD_EDGE_NOTHING, BREAK, DIGITS, DIGIT = 0.4, 0.1, 0.8, 1.0, 0.6, 4.0, 2.3
+JOIN_SINGLE, JOIN, NUMBER = 0.3, 3.0, 2.0
+
+
+START, END = "\x02", "\x03"
 
 
 class CharModel:
@@ -85,78 +97,109 @@ def spelled(words: dict[str, int]) -> Counter:
     """Trigrams of lower-case words that occur so many times."""
     found: defaultdict = defaultdict(int)
     for w, n in words.items():
-        w = f"\x02\x02{w}\x03"
+        w = f"{START}{START}{w}{END}"
         for i in range(len(w) - 2):
             found[w[i : i + 3]] += n
     return Counter(found)
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of equal characters the strings it may stand for, with their channel costs."""
+    """For each run of equal characters what it may stand for (" ": a word boundary), with the channel costs."""
     out: list[list[tuple[str, float]]] = []
-    i = 0
-    letters_around = bool(_LETTER.search(token))
-    while i < len(token):
+    i, size = 0, len(token)
+    while i < size:
         c, j = token[i], i
-        while j < len(token) and token[j] == c:
+        while j < size and token[j] == c:
             j += 1
         n = j - i
-        ways: list[tuple[str, float]] = []
-        meanings = LEET.get(c, "")
-        if c.isalpha():
-            ways = [(c, 0.0 if n == 1 else 1.5 if n == 2 else 0.3)]
+        edge = i == 0 or j == size or token[i - 1].isspace() or token[j].isspace()
+        if c.isspace():
+            single = (i < 2 or token[i - 2].isspace()) and (j > size - 2 or token[j + 1].isspace())
+            ways = [(" ", 0.0), ("", JOIN_SINGLE if single else JOIN)]
+        elif c.isalpha():
+            ways = [(c, 0.0 if n == 1 else DOUBLED if n == 2 else STRETCHED)]
             if n > 1:
-                ways.append((c + c, 0.0 if n == 2 else 0.6))
+                ways.append((c + c, 0.0 if n == 2 else 2 * STRETCHED))
         else:
-            for m in meanings if letters_around or len(token) > 2 else "":
-                ways.append((m, 0.7 if n == 1 else 1.2))
+            ways = []
+            for m in LEET.get(c, ""):
+                ways.append((m, SIGNS_ONE if n > 1 else EDGE_SIGN if edge and not c.isdigit() else SIGN))
                 if n > 1:
-                    ways.append((m + m, 0.9))
-            if c in BETWEEN or (0 < i and j < len(token) and not c.isalnum()):
-                ways.append(("", 0.4))
-            if c.isalnum() or not ways:
-                ways.append((c * n, 4.0 if meanings else 0.0))
+                    ways.append((m + m, SIGNS_TWO))
+            if c.isalnum():
+                ways.append((c * n, DIGITS))
+            else:
+                ways.append(("", NOTHING if not edge else ODD_EDGE_NOTHING * n if c in "$@+€£¡" else LEAD_NOTHING if j < size and not token[j].isspace() and c in LEET else EDGE_NOTHING))
+                if not edge:
+                    ways.append((" ", BREAK))
         out.append(ways)
         i = j
     return out
 
 
+def path_cost(said: str, lm: CharModel) -> float:
+    """What the model charges for restored text: words letter by letter, characters that are none at a flat rate."""
+    total, a, b = 0.0, START, START
+    for c in said:
+        total, a, b = _next(total, a, b, c, lm)
+    return total + (lm.cost(a, b, END) if b != START else 0.0)
+
+
+def _next(total: float, a: str, b: str, c: str, lm: CharModel) -> tuple[float, str, str]:
+    if c == " ":
+        return total + (lm.cost(a, b, END) if b != START else 0.0), START, START
+    if not c.isalpha():
+        return total + DIGIT, START, START
+    return total + lm.cost(a, b, c), b, c
+
+
 def decode(token: str, lm: CharModel) -> str:
-    """The likeliest restored form of a lower-case token."""
-    best: dict[str, tuple[float, str]] = {"\x02\x02": (0.0, "")}
+    """The likeliest restored form of a lower-case token or stretch of tokens."""
+    best: dict[tuple[str, str], tuple[float, int]] = {(START, START): (0.0, -1)}
+    steps: list[tuple[int, str]] = []  # (step before, what was said)
     for ways in lattice(token):
-        new: dict[str, tuple[float, str]] = {}
-        for state, (cost, text) in best.items():
+        new: dict[tuple[str, str], tuple[float, int, str]] = {}
+        for (a0, b0), (cost, back) in best.items():
             for said, price in ways:
-                a, b, total = state[0], state[1], cost + price
+                total, a, b = cost + price, a0, b0
                 for c in said:
-                    total += lm.cost(a, b, c)
-                    a, b = b, c
-                key = a + b
-                if key not in new or total < new[key][0]:
-                    new[key] = (total, text + said)
-        best = dict(sorted(new.items(), key=lambda x: (x[1][0], x[0]))[:24])
-    return min((cost + lm.cost(s[0], s[1], "\x03"), text) for s, (cost, text) in best.items())[1]
+                    total, a, b = _next(total, a, b, c, lm)
+                old = new.get((a, b))
+                if old is None or total < old[0]:
+                    new[a, b] = (total, back, said)
+        best = {}
+        for state, (total, back, said) in new.items():
+            best[state] = (total, len(steps))
+            steps.append((back, said))
+    total, back = min((cost + (lm.cost(a, b, END) if b != START else 0.0), k) for (a, b), (cost, k) in best.items())
+    if token.isdigit() and NUMBER + DIGIT * len(token) <= total:
+        return token
+    out: list[str] = []
+    while back >= 0:
+        back, said = steps[back]
+        out.append(said)
+    return "".join(reversed(out))
 
 
 def restore_token(token: str, lm: CharModel) -> str:
-    """Lower-case core of a token, restored where it may be obfuscated."""
-    low = token.lower()
-    core = low.lstrip(_LEAD).rstrip(_TRAIL)
-    core = _RUN.sub("", core).rstrip(_TRAIL)
-    if not core or core.isalpha() and not _STRETCH.search(core):
+    """Lower-case core of a token or a stretch of short ones, restored where it may be obfuscated."""
+    core = token.lower().lstrip(_LEAD).rstrip(_TRAIL)
+    if not core or core.isalpha() and not _AGAIN.search(core):
         return core
-    if _LETTER.search(core) and (_ODD.search(core) or _STRETCH.search(core)) or _DOTTED.match(core):
-        if len(core) <= 64:
-            return decode(core, lm)
-        return "".join(decode(core[i : i + 64], lm) for i in range(0, len(core), 64))
+    if _ODD.search(core) or _AGAIN.search(core) or _DOTTED.match(core) or " " in core or "\t" in core:
+        return decode(core, lm).strip()
     return core
 
 
 def tokens(text: str) -> list[str]:
-    """Tokens of a text; letters with spaces between them form one."""
-    joined = _SPACED.sub(lambda m: m.group().replace(" ", ""), text) if _SPACED.search(text) else text
-    return joined.split()
+    """Tokens of a text; three or more in a row of at most two characters form one."""
+    out: list[str] = []
+    at = 0
+    for m in _SHORT.finditer(text):
+        out += text[at : m.start()].split()
+        out.append(m.group())
+        at = m.end()
+    return out + text[at:].split()
 
 
 def restore(text: str | None, lm: CharModel) -> str:
@@ -186,7 +229,7 @@ class Reader:
         for t in set(tokens(text)):
             got = known.get(t)
             if got is None:
-                names = [f for w in re.split(r"[\s\-/]+", restore_token(t, self.lm)) for f in features(w)]
+                names = [f for w in _SPLIT.split(restore_token(t, self.lm)) for f in features(w)]
                 got = known[t] = tuple(names) if self.only is None else tuple(self.only[f] for f in names if f in self.only)
             if got:
                 found.update(got)
@@ -207,12 +250,10 @@ class Model:
 
 
 def regress(rows: list[np.ndarray], y: np.ndarray, n: int, ridge: float = RIDGE, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on rows of present features, by accelerated gradient steps."""
+    """Ridge logistic regression on rows of present features, by steps of Adam."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     of = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
     w, b = np.zeros(n), math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    step = 4.0 / (max((len(r) for r in rows), default=0) + 1 + 4 * ridge / len(y))
-    step = max(step, 0.02)
     g2w, g2b, mw, mb = np.zeros(n), 0.0, np.zeros(n), 0.0
     for k in range(1, steps + 1):
         z = b + np.bincount(at, w[of], len(rows))
@@ -261,7 +302,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_
     # Few more than are wanted are left to be sorted.
     chosen = some_of(known, known, 1.2 * sample_rows).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = written(docs.join(F.broadcast(chosen), "doc_id"), "labelled")
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one text of a doc_id
+    sample = written(sample.select("doc_id", "text", "toxic"), "labelled")
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
