@@ -10,7 +10,8 @@ is metric.
 
 Edge cases: rows whose id or vector is null, whose vector is empty, zero or has a
 null or non-finite component take no part; vectors are only compared with those
-of their own length; rows equal in id and vector count once; fewer candidates
+of their own length; rows equal in id and vector count once; of several vectors under one id
+each is a candidate and the smallest is the query; fewer candidates
 than k give fewer rows; further columns are ignored.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import table, tidy, written
 
-SHARD_ROWS, LINKS, BREADTH_BUILD, BREADTH_SEARCH, BLOCK_ROWS = 4096, 16, 80, 120, 1024
+SHARD_ROWS, LINKS, BREADTH_BUILD, BREADTH_SEARCH, BLOCK_ROWS = 16_384, 16, 80, 120, 1024
 
 
 # ------------------------------------------------------------------ the graph
@@ -225,7 +226,7 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int, shard_rows: int = SHAR
                     qs = np.stack([np.asarray(v, np.float64) for v in part["embedding"]])
                     yield pd.DataFrame({"bytes": [int(size)], "q_ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "qs": [qs.tobytes()]})
 
-    blocks = ok(asked).distinct().mapInPandas(block, "bytes int, q_ids binary, qs binary")
+    blocks = ok(asked).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInPandas(block, "bytes int, q_ids binary, qs binary")
     pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, ["shard", "bytes"])
 
     @tidy
