@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, table, tidy, written
+from .common import lean, number, table, tidy, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
@@ -144,7 +144,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    return number(F.col("doc_id"), F.col("text"))
 
 
 def _subsets(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]]:
@@ -185,18 +185,14 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def bagged(docs: DataFrame) -> DataFrame:
-    """id and bag (hashes cut to 32 bits, multiplicities) of each row of docs (id, text)."""
+    """id and bag (hashes, multiplicities) of each row of docs (id, text)."""
 
     @tidy
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bags = Bags()
         for b in batches:
             for ids, texts in _subsets(b):
-                packed = []
-                for t in texts:
-                    h, c = bags.of(t)
-                    short, at = np.unique((h >> _U(32)).astype(np.uint32), return_inverse=True)
-                    packed.append(pack(short, np.bincount(at, c, len(short)).astype(np.uint32)))
+                packed = [pack(*bags.of(t)) for t in texts]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(packed, pa.binary())], names=["id", "bag"])
 
     return docs.select("id", "text").mapInArrow(over, "id long, bag binary")
@@ -205,16 +201,15 @@ def bagged(docs: DataFrame) -> DataFrame:
 def pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted hashes, then only those multiplicities that aren't 1 with their places."""
     more = np.flatnonzero(counts != 1).astype(np.uint32)
-    return np.uint32(len(hashes)).tobytes() + hashes.tobytes() + more.tobytes() + counts[more].tobytes()
+    return np.uint64(len(hashes)).tobytes() + hashes.astype(np.uint64).tobytes() + more.tobytes() + counts[more].astype(np.uint32).tobytes()
 
 
 def unpack(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
-    a = np.frombuffer(bag, np.uint32)
-    n = int(a[0])
+    n = int(np.frombuffer(bag, np.uint64, 1)[0])
     counts = np.ones(n, np.int64)
-    more = a[n + 1 :]
+    more = np.frombuffer(bag, np.uint32, offset=8 * (n + 1))
     counts[more[: len(more) // 2]] = more[len(more) // 2 :]
-    return a[1 : n + 1], counts
+    return np.frombuffer(bag, np.uint64, n, 8), counts
 
 
 def measured(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -272,7 +267,7 @@ def prefixes(bags: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
             for i in range(b.num_rows):
                 h, c = unpack(b.column(2)[i].as_py())
                 at = pa.array(np.full(len(h), i))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(h.astype(np.int64)), pa.array(c), pa.array(np.full(len(h), c.sum()))], names=["id", "component", "shingle", "n", "weight"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(h.view(np.int64)), pa.array(c), pa.array(np.full(len(h), c.sum()))], names=["id", "component", "shingle", "n", "weight"])
 
     each = written(of.join(bags, "id").select("id", "component", "bag").mapInArrow(over, "id long, component long, shingle long, n long, weight long"), "shingles")
     common = written(each.groupBy("shingle").agg(F.count("*").alias("freq"), F.min("component").alias("c0"), F.max("component").alias("c1")), "common")
@@ -282,7 +277,7 @@ def prefixes(bags: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
 
 
 def across(bags: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between different components; of: id and component of the bags to compare."""
+    """Links (a, b, similarity) between different components; of: id and component of the bags to compare."""
     slack = 1e-9
     radius = measured(of.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")), bags)
     of = written(of.join(radius.select(F.col("b").alias("id"), (1 - F.col("similarity")).alias("far")), "id", "left").withColumn("far", F.coalesce("far", F.lit(0.0))), "radius")
@@ -296,7 +291,7 @@ def across(bags: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
     larger = (F.struct("own_size", "own") < F.struct("size", "component")) & (F.least("left", "most") >= part * (F.col("weight") + F.col("lightest")) - slack)
     met = written(own.join(others, "shingle").where(larger).select("id", "component", "reach").distinct(), "met")
     tried = written(measured(met.select(F.col("component").alias("a"), F.col("id").alias("b")), bags), "tried")
-    links = tried.where(F.col("similarity") >= threshold).select("a", "b")
+    links = tried.where(F.col("similarity") >= threshold)
     room = tried.where(F.col("similarity") < threshold).select(F.col("b").alias("id"), F.col("a").alias("component"), (threshold - F.col("similarity") - slack).alias("least"))
     room = written(room.join(size, "component").where("reach >= least").select("id", "component", "least"), "room")
     mine = written(first.select("shingle", "id", "weight", "left").join(room, "id").select("shingle", "component", "least", F.col("id").alias("a"), F.col("weight").alias("weight_a"), F.col("left").alias("left_a")), "mine")
@@ -304,12 +299,13 @@ def across(bags: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
     enough = part * (F.col("weight_a") + F.col("weight_b")) - slack
     near = (F.col("far") >= F.col("least")) & (F.least("left_a", "left_b") >= enough)
     pairs = written(mine.join(theirs, ["shingle", "component"]).where(near).select("a", "b").distinct(), "far-pairs")
-    return links.unionByName(measured(pairs, bags).where(F.col("similarity") >= threshold).select("a", "b"))
+    return links.unionByName(measured(pairs, bags).where(F.col("similarity") >= threshold))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """For each row of docs (doc_id, text): id (doc_id, or a hash if it is null), same_id (smallest id with the same
-    bag), class_id (smallest id of its class of near duplicates)."""
+    bag), class_id (smallest id of its class of near duplicates), n_links (verified links of its bag to other bags,
+    as many as hold the class together) and nearest (the greatest similarity among these; null without any)."""
     lean(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signs = written(signed(docs), "signs")
@@ -323,16 +319,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = written(members.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
     some = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "compared")
     bags = written(bagged(docs.select(_id().alias("id"), "text").join(_ids(some), "id", "left_semi")).dropDuplicates(["id"]), "bags")
-    edges = written(measured(pairs, bags).where(F.col("similarity") >= threshold).select("a", "b"), "links")
-    found = written(components(edges), "found")
+    edges = written(measured(pairs, bags).where(F.col("similarity") >= threshold), "links")
+    found = written(components(edges.select("a", "b")), "found")
     # Members that are in one bucket but not in one component.
     labelled = written(members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "labelled")
     mixed = written(labelled.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("bucket"), "mixed")
     rest = written(labelled.join(mixed, "bucket").select("id", "component").distinct(), "rest")
     if rest.limit(1).count():
-        found = written(components(edges.unionByName(across(bags, rest, threshold))), "found")
-    classes = found.select(F.col("id").alias("same_id"), F.col("component").alias("class_id"))
-    return rows.select("id", "same_id").join(classes, "same_id", "left").select("id", "same_id", F.coalesce("class_id", "same_id").alias("class_id"))
+        edges = written(edges.unionByName(across(bags, rest, threshold)), "all-links")
+        found = written(components(edges.select("a", "b")), "found")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("id"), "similarity").groupBy("id").agg(F.count("*").alias("n_links"), F.max("similarity").alias("nearest"))
+    classes = ends.join(found, "id", "left").select(F.col("id").alias("same_id"), F.coalesce("component", "id").alias("class_id"), "n_links", "nearest")
+    out = rows.select("id", "same_id").join(classes, "same_id", "left")
+    return out.select("id", "same_id", F.coalesce("class_id", "same_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "nearest")
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -361,4 +360,4 @@ def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "same_id", "class_id")
+    return found.withColumnRenamed("id", "doc_id")
