@@ -1,24 +1,31 @@
 """Main text of web pages by union-free wrappers inferred for each host.
 
-A page becomes a tree of its block elements with a text slot '#' where a block has
-text. Equal neighbouring groups fold into repeats, which leaves few distinct trees a
-host; these are aligned one after another: equal labels merge, what only one side has
-becomes optional, what one side repeats becomes a repeat. The outcome is a union-free
-regular expression over tags and text slots, the host's wrapper. All pages take part;
-partial wrappers of salted groups are aligned in turn, so no host is gathered whole.
-
-Each slot of a wrapper then gets a role. Slots in boilerplate elements (by element or by
-class, id and role words) are out, as are slots outside the wrapper's article or main
-element where there is one; without, the slots in the container with most text that is
-not in links count. Outside articles and mains, a slot that holds one and the same text on
-TEMPLATE_PAGES distinct pages or more is part of the template. Texts of the remaining slots,
-in page order, are the result. A page with text in none of them has another template than
-most of its host; its article, main or densest container is then found in it alone.
+A page becomes a tree of its block elements, boilerplate elements (by element or by class,
+id and role words) left out, with a leaf where a block has text. The distinct pages of a host
+that have the same kind of content (an article, a main element, or neither; the latter told
+apart by their outermost elements) are aligned one after another into a union-free regular
+expression, the wrapper:
+
+  where the children of two elements have the same labels they are aligned one by one; leaves
+  with one text stay literals, leaves whose texts differ become text slots;
+  else subtrees that are literally the same and occur once on both sides stay where they are,
+  and between them equal neighbouring groups fold into repeats, a longest common subsequence
+  of labels is aligned, and what only one side has becomes optional.
+
+All pages take part; partial wrappers of salted groups are aligned in rounds, so that no host
+is gathered whole. Then the wrapper tells content: the slots and literals under its articles or
+main elements where it has them; else those of the deepest element around others with most of the
+text in slots that is not in links, without the literals that LITERAL_PAGES distinct pages share,
+unless they are most of the text (then the pages are copies of each other). A page is aligned
+with its wrapper, and the blocks that come to lie on content are its text, in page order; a
+block that the wrapper has no place for goes with the innermost element that has one. A page
+without any such block is decided by a wrapper of its own.
 
 Edge cases: null or empty html gives an empty text, as does a page of boilerplate only;
 a null or odd url belongs to host ''; unclosed elements, comments, scripts and tags end
-where HTML lets them or at the end of the page; pages of any length are read whole;
-repeated pages each give a row; further columns are ignored.
+where HTML lets them or at the end of the page; pages of any length are read whole; elements
+nested deeper than DEPTH count as parts of the one at that depth; more than WIDE children that
+don't fold are told apart by label alone; repeated pages each give a row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +33,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,12 +61,14 @@ GOOD_WORDS = frozenset("articlebody article-body post-body entry-content post-co
 BESIDE_WORDS = frozenset("has with without no layout".split())
 OWN_HEADER = re.compile(r"^(?:article|entry|post|story|content)[-_]{1,2}(?:header|head)$")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-TEMPLATE_PAGES = 10
-SALTS = 16
-BROADCAST_HOSTS = 20_000
+LITERAL_PAGES = 3
+DEPTH, WIDE, GROUP_TREES = 48, 200, 128
+#: Hosts and bytes up to which the wrappers are broadcast.
+BROADCAST_HOSTS, BROADCAST_BYTES = 20_000, 32 << 20
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>?|[^<]++|<""", re.S)
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_SHUT = {tag: re.compile(rf"</{tag}[\s>/]", re.I) for tag in RAW}
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"[^a-z0-9]+")
@@ -94,11 +104,45 @@ def label(tag: str, attributes: str) -> tuple[str, bool]:
     return ".".join([tag, *(w.replace("/", "") for w in words)]), bad
 
 
-def parse(page: str | None) -> tuple[list, list[tuple[str, str, int]]]:
-    """Tree [label, children] of the block elements, and (path, text, characters in links) of each block with text in page order."""
-    root: list = ["", []]
-    stack: list[tuple[str, list, str, bool]] = [("", root, "", False)]  # tag, node, path, dropped
-    blocks: list[tuple[str, str, int]] = []
+class Open:
+    """The open elements of a page."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = [""]
+        self.nodes: list[list] = [["", "1", []]]
+        self.dropped: list[bool] = [False]
+        self.kinds: list[str] = [""]  # article, main or neither, of the element or one around it
+        self.last: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def push(self, tag: str, node: list, dropped: bool, kind: str) -> None:
+        if tag in SCOPE:
+            self.scopes.append(len(self.tags))
+        self.last.setdefault(tag, []).append(len(self.tags))
+        for x, v in ((self.tags, tag), (self.nodes, node), (self.dropped, dropped), (self.kinds, kind)):
+            x.append(v)
+
+    def place(self, tag: str, scoped: bool) -> int:
+        """Where the innermost open element of a tag is; 0 if there is none, or none within the scope."""
+        at = self.last.get(tag)
+        return at[-1] if at and not (scoped and self.scopes and self.scopes[-1] > at[-1]) else 0
+
+    def cut(self, at: int) -> None:
+        for tag in self.tags[at:]:
+            self.last[tag].pop()
+        while self.scopes and self.scopes[-1] >= at:
+            self.scopes.pop()
+        del self.tags[at:], self.nodes[at:], self.dropped[at:], self.kinds[at:]
+
+
+def parse(page: str | None) -> tuple[list, list[tuple[str, int]], str]:
+    """Children of the root, the (text, characters in links) of each block that isn't boilerplate, and the kind of content.
+
+    Nodes are [label, occurrence, children]; leaves ['#', occurrence, [digest, pages, characters, characters in links, blocks]].
+    """
+    top = Open()
+    blocks: list[tuple[str, int]] = []
+    kinds: set[str] = set()
     run: list[str] = []
     linked, links = 0, 0
 
@@ -107,31 +151,35 @@ def parse(page: str | None) -> tuple[list, list[tuple[str, str, int]]]:
         if run:
             text = _SPACE.sub(" ", entities.unescape("".join(run))).strip()
             run.clear()
-            if text:
-                _, node, path, dropped = stack[-1]
-                node[1].append(["#", []])
-                blocks.append(("-" if dropped else path, text, min(linked, len(text))))
+            if text and not top.dropped[-1]:
+                inside = min(linked, len(text))
+                digest = xxhash.xxh3_64_hexdigest(text)
+                top.nodes[-1][2].append(["#", "1", [digest, 1, len(text), inside, [len(blocks)]]])
+                blocks.append((text, inside))
+                kinds.add(top.kinds[-1])
         linked = 0
 
-    def end(tag: str, within: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == tag:
-                close()
-                del stack[k:]
-                return
-            if stack[k][0] in within:
-                return
+    def end(tag: str, scoped: bool) -> None:
+        if at := top.place(tag, scoped):
+            close()
+            top.cut(at)
 
     def begin(tag: str, attributes: str) -> None:
         close()
         name, bad = label(tag, attributes)
-        node: list = [name, []]
-        _, parent, path, dropped = stack[-1]
-        if tag == "header" and "article" not in path and "main" not in path:
+        kind = top.kinds[-1]
+        if tag == "header" and not kind:
             bad = True
-        parent[1].append(node)
-        if tag not in VOID:
-            stack.append((tag, node, f"{path}/{name}", dropped or bad))
+        if kind != "article":
+            kind = "article" if tag == "article" or any(w in GOOD_WORDS for w in name.split(".")[1:]) else "main" if tag == "main" else kind
+        dropped = top.dropped[-1] or bad
+        if tag in VOID:
+            return
+        node = top.nodes[-1]
+        if not dropped and len(top.tags) <= DEPTH:
+            node = [name, "1", []]
+            top.nodes[-1][2].append(node)
+        top.push(tag, node, dropped, kind)
 
     at, size = 0, len(page or "")
     skipped = 0  # depth of dropped inline elements
@@ -151,27 +199,23 @@ def parse(page: str | None) -> tuple[list, list[tuple[str, str, int]]]:
         attributes = m.group(3) or m.group(6) or ""
         if closing:
             if tag in BLOCKS:
-                if tag == "p":
-                    end("p", SCOPE)
-                else:
-                    end(tag, frozenset())
+                end(tag, tag == "p")
             elif tag == "a":
                 links = 0
             elif tag in DROPPED and skipped:
                 skipped -= 1
             continue
         if tag in RAW:
-            shut = re.compile(rf"</{re.escape(tag)}[\s>/]", re.I).search(page, at)
+            shut = _SHUT[tag].search(page, at)
             at = shut.start() if shut else size
             if shut:
                 at = page.find(">", at) + 1 or size
             continue
         if tag in BLOCKS:
             if tag in CLOSES_P:
-                end("p", SCOPE)
-            if tag in ENDED_BY:
-                for other in ENDED_BY[tag]:
-                    end(other, SCOPE)
+                end("p", True)
+            for other in ENDED_BY.get(tag, ()):
+                end(other, True)
             begin(tag, attributes)
         elif tag == "br":
             run.append(" ")
@@ -180,31 +224,20 @@ def parse(page: str | None) -> tuple[list, list[tuple[str, str, int]]]:
         elif tag in DROPPED and tag not in VOID and not attributes.rstrip().endswith("/"):
             skipped += 1
     close()
-    return root, blocks
+    root = top.nodes[0][2]
+    return root, blocks, "article" if "article" in kinds else "main" if "main" in kinds else f"plain {shape(root)}" if blocks else ""
 
 
-# ------------------------------------------------------------------ wrappers: [label, occurrence, children]
-def fold(nodes: list) -> list:
-    """Fold equal neighbouring groups of up to four nodes into repeats."""
-    for k in (1, 2, 3, 4):
-        out: list = []
-        for node in nodes:
-            out.append(node)
-            while len(out) >= 2 * k and all(same(a, b) for a, b in zip(out[-2 * k : -k], out[-k:], strict=True)):
-                again = [merge(a, b) for a, b in zip(out[-2 * k : -k], out[-k:], strict=True)]
-                del out[-2 * k :]
-                out += [[n, repeat(o), c] for n, o, c in again] if k == 1 else again
-                if k > 1:
-                    for n in out[-k:]:
-                        n[1] = repeat(n[1])
-        nodes = out
-    return nodes
-
-
-def same(a: list, b: list) -> bool:
-    return a[0] == b[0]
+def shape(nodes: list) -> str:
+    """What the outermost elements of a page are: labels down to the third level below the root."""
+    found, level = [], nodes
+    for _ in range(3):
+        found.append(sorted({n[0] for n in level if n[0] != "#"}))
+        level = [c for n in level if n[0] != "#" for c in n[2]]
+    return xxhash.xxh3_64_hexdigest(json.dumps(found))
 
 
+# ------------------------------------------------------------------ wrappers
 def repeat(occurrence: str) -> str:
     return "*" if occurrence in "?*" else "+"
 
@@ -215,18 +248,91 @@ def joint(a: str, b: str) -> str:
 
 
 def optional(node: list) -> list:
-    return [node[0], "*" if node[1] in "+*" else "?", node[2]]
+    return [node[0], "*" if node[1] in "+*" else "?", *node[2:]]
 
 
 def merge(a: list, b: list) -> list:
-    return [a[0], joint(a[1], b[1]), align(a[2], b[2])]
+    """One node for both. A fourth member, if one has it, says whether it is content."""
+    role = a[3:] or b[3:]
+    if a[0] != "#":
+        return [a[0], joint(a[1], b[1]), align(a[2], b[2]), *role]
+    x, y = a[2], b[2]
+    return ["#", joint(a[1], b[1]), [x[0] if x[0] == y[0] else None, x[1] + y[1], x[2] + y[2], x[3] + y[3], x[4] + y[4]], *role]
+
+
+def fold(nodes: list) -> list:
+    """Fold equal neighbouring groups of up to four nodes into repeats."""
+    for k in (1, 2, 3, 4):
+        out: list = []
+        for node in nodes:
+            out.append(node)
+            while len(out) >= 2 * k and all(a[0] == b[0] for a, b in zip(out[-2 * k : -k], out[-k:], strict=True)):
+                again = [merge(a, b) for a, b in zip(out[-2 * k : -k], out[-k:], strict=True)]
+                del out[-2 * k :]
+                out += [[n[0], repeat(n[1]), *n[2:]] for n in again]
+        nodes = out
+    if len(nodes) > WIDE:  # an order that can't be told
+        by: dict[str, list] = {}
+        for n in nodes:
+            by[n[0]] = merge(by[n[0]], n) if n[0] in by else n
+        nodes = [[n[0], "*", *n[2:]] for n in by.values()]
+    return nodes
+
+
+def said(node: list) -> str | None:
+    """What stands for a subtree of literals; None if it has a slot or a repeat."""
+    if node[1] != "1":
+        return None
+    if node[0] == "#":
+        return node[2][0]
+    parts = [said(c) for c in node[2]]
+    return None if None in parts else f"<{node[0]} {' '.join(parts)}>" if len(parts) < 8 else xxhash.xxh3_64_hexdigest(f"<{node[0]} {' '.join(parts)}>")
+
+
+def anchors(a: list, b: list) -> list[tuple[int, int]]:
+    """Literal subtrees that occur once in both sequences, as many as keep their order."""
+    places: list[dict[str, int]] = []
+    for nodes in (a, b):
+        seen: dict[str, int] = {}
+        for i, n in enumerate(nodes):
+            if (x := said(n)) is not None:
+                seen[x] = -1 if x in seen else i
+        places.append(seen)
+    pairs = [(i, places[1][x]) for x, i in places[0].items() if i >= 0 and places[1].get(x, -1) >= 0]
+    pairs.sort()
+    ends: list[int] = []  # of a longest increasing subsequence by the second place
+    at, before = [], []
+    for _, j in pairs:
+        k = bisect_left(ends, j)
+        ends[k : k + 1] = [j]
+        before.append(at[k - 1] if k else -1)
+        at[k : k + 1] = [len(before) - 1]
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(pairs[i])
+        i = before[i]
+    return out[::-1]
 
 
 def align(a: list, b: list) -> list:
-    """Union-free expression for both sequences: a longest common subsequence of labels merges, the rest is optional."""
+    """Union-free expression for both sequences."""
     if [x[0] for x in a] == [x[0] for x in b]:
         return [merge(x, y) for x, y in zip(a, b, strict=True)]
+    out: list = []
+    i = j = 0
+    for p, q in [*anchors(a, b), (len(a), len(b))]:
+        out += between(fold(a[i:p]), fold(b[j:q]))
+        if p < len(a):
+            out.append(merge(a[p], b[q]))
+        i, j = p + 1, q + 1
+    return out
+
+
+def between(a: list, b: list) -> list:
+    """A longest common subsequence of labels is merged, the rest is optional."""
     n, m = len(a), len(b)
+    if n == m and all(x[0] == y[0] for x, y in zip(a, b, strict=True)):
+        return [merge(x, y) for x, y in zip(a, b, strict=True)]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -245,82 +351,146 @@ def align(a: list, b: list) -> list:
     return fold(out)
 
 
-def expression(tree: list) -> list:
-    """Wrapper of one page."""
-    return fold([[n, "1", expression([n, c])] for n, c in tree[1]])
-
-
 def pattern(nodes: list) -> str:
-    """The wrapper written as a regular expression over tags and text slots."""
+    """The wrapper written as a regular expression over tags, literals (=) and text slots (#)."""
     out = []
-    for name, occurrence, children in nodes:
-        body = "#text" if name == "#" else f"<{name}>{pattern(children)}</{name.split('.')[0]}>"
+    for name, occurrence, inner, *_ in nodes:
+        body = ("#" if inner[0] is None else f"={inner[0]}") if name == "#" else f"<{name}>{pattern(inner)}</{name.split('.')[0]}>"
         out.append(body if occurrence == "1" else f"({body}){occurrence}")
     return "".join(out)
 
 
-def slots(nodes: list, path: str = "") -> Iterator[str]:
-    for name, _, children in nodes:
-        if name == "#":
-            yield path
-        else:
-            yield from slots(children, f"{path}/{name}")
-
-
-def first_tag(part: str) -> str:
-    return part.split(".")[0]
+def bare(nodes: list, texts: bool) -> list:
+    """The tree as it takes part in a wrapper: without its blocks and, where texts don't count, folded and without them."""
+    out = [["#", n[1], [*n[2][:4], []] if texts else [None, 0, 0, 0, []]] if n[0] == "#" else [n[0], n[1], bare(n[2], texts)] for n in nodes]
+    return out if texts else fold(out)
 
 
-def inside(path: str, wanted: str) -> bool:
-    """Whether a path leads through an element `wanted`, or for articles through a class that names one."""
-    return any(first_tag(x) == wanted or wanted == "article" and any(w in GOOD_WORDS for w in x.split(".")[1:]) for x in path.split("/"))
-
+def leaves(nodes: list) -> Iterator[list]:
+    for n in nodes:
+        if n[0] == "#":
+            yield n
+        else:
+            yield from leaves(n[2])
 
-def template_paths(stats: dict[str, tuple[int, int, int, bool]]) -> list[str]:
-    """Paths outside articles and mains that hold one and the same text on TEMPLATE_PAGES distinct pages, headings aside."""
-    return [p for p, s in stats.items() if s[3] and s[0] >= TEMPLATE_PAGES and first_tag(p.rsplit("/", 1)[-1]) not in HEADINGS and not inside(p, "article") and not inside(p, "main")]
 
+def first_tag(name: str) -> str:
+    return name.split(".")[0]
 
-def content_paths(known: list[str], stats: dict[str, tuple[int, int, int, bool]]) -> list[str]:
-    """The content slots of known paths. stats: path -> distinct pages, characters, characters in links, one text throughout."""
-    template = frozenset(template_paths(stats))
-    known = [p for p in dict.fromkeys(known) if p in stats and p not in template]
-    for wanted in ("article", "main"):
-        under = [p for p in known if inside(p, wanted)]
-        if sum(stats[p][1] for p in under):
-            return under
-    plain: dict[str, int] = {}
-    for p in known:
-        parts = p.split("/")
-        value = max(0, stats[p][1] - 2 * stats[p][2])
-        for k in range(2, len(parts)):
-            plain["/".join(parts[:k])] = plain.get("/".join(parts[:k]), 0) + value
-    if not plain:
-        return known
-    # The deepest container that has nearly all of the text that is not in links.
-    top = max(plain.values())
-    best = max((p for p, v in plain.items() if v >= 0.8 * top), key=lambda p: (p.count("/"), plain[p]))
-    return [p for p in known if p.startswith(best + "/")]
 
+def is_root(name: str, kind: str) -> bool:
+    """Whether an element is where content of a kind is: an article or what a class names so, or a main element."""
+    return first_tag(name) == kind or kind == "article" and any(w in GOOD_WORDS for w in name.split(".")[1:])
 
-def extract(page: str | None, content: frozenset[str], template: frozenset[str] = frozenset()) -> str:
-    """Text of a page at the content paths of its host; a page that has none there is decided by itself."""
-    blocks = [b for b in parse(page)[1] if b[0] != "-"]
-    if not any(path in content for path, _, _ in blocks):
-        stats: dict[str, tuple[int, int, int, bool]] = {}
-        for path, text, linked in blocks:
-            if path not in template:
-                _, chars, links, _ = stats.get(path, (1, 0, 0, False))
-                stats[path] = (1, chars + len(text), links + linked, False)
-        content = frozenset(content_paths(list(stats), stats))
-    return "\n".join(text for path, text, _ in blocks if path in content)
 
+def decided(nodes: list, kind: str) -> list:
+    """The wrapper with a fourth member in each node: 1 if it is, or is in, content."""
+    if kind in ("article", "main"):
 
-@lru_cache(maxsize=64)
-def paths(found: str | None) -> tuple[frozenset[str], frozenset[str]]:
-    """Content and template paths of a host."""
-    read = json.loads(found) if found else {}
-    return frozenset(read.get("content", ())), frozenset(read.get("template", ()))
+        def marked(nodes: list, inside: int) -> list:
+            out = []
+            for n in nodes:
+                now = inside or int(is_root(n[0], kind))
+                out.append([n[0], n[1], n[2] if n[0] == "#" else marked(n[2], now), now])
+            return out
+
+        return marked(nodes, 0)
+    worth: dict[int, int] = {}
+
+    def weigh(n: list) -> int:
+        if n[0] == "#":
+            digest, pages, chars, linked, _ = n[2]
+            own = max(0, chars - 2 * linked)
+            return own if digest is None or pages < LITERAL_PAGES else 0
+        worth[id(n)] = sum(weigh(c) for c in n[2])
+        return worth[id(n)]
+
+    def everything(nodes: list) -> int:
+        return sum(max(0, n[2][2] - 2 * n[2][3]) for n in leaves(nodes))
+
+    whole = sum(weigh(n) for n in nodes)
+    copies = everything(nodes) >= 2 * whole  # most of the text is literal: the pages are copies of each other
+    if copies:
+
+        def weigh_all(n: list) -> int:
+            worth[id(n)] = max(0, n[2][2] - 2 * n[2][3]) if n[0] == "#" else sum(weigh_all(c) for c in n[2])
+            return worth[id(n)]
+
+        whole = sum(weigh_all(n) for n in nodes)
+    best, level = None, nodes
+    while level:  # down to the deepest element that has nearly all of it
+        inner = [n for n in level if n[0] != "#" and worth[id(n)] >= 0.8 * whole and any(c[0] != "#" for c in n[2])]
+        if not inner or not whole:
+            break
+        best = inner[0]
+        level = best[2]
+
+    def marked_plain(nodes: list, inside: int) -> list:
+        out = []
+        for n in nodes:
+            now = inside or int(n is best)
+            if n[0] == "#":
+                template = n[2][0] is not None and n[2][1] >= LITERAL_PAGES and not copies
+                out.append([n[0], n[1], n[2], int(now and not template)])
+            else:
+                heading = first_tag(n[0]) in HEADINGS and now
+                out.append([n[0], n[1], marked_plain(n[2], now) if not heading else [[*c[:3], 1] if c[0] == "#" else c for c in marked_plain(n[2], now)], now])
+        return out
+
+    return marked_plain(nodes, int(best is None))
+
+
+def content_blocks(page: list, wrapper: list, kind: str) -> list[int]:
+    """The blocks of a page that come to lie on content of a wrapper."""
+    made = align(wrapper, page if not kind.startswith(("article", "main")) else folded(page))
+    out: list[int] = []
+    level = [(n, 0) for n in made]
+    while level:
+        n, around = level.pop()
+        role = n[3] if len(n) > 3 else around
+        if n[0] == "#":
+            if role:
+                out += n[2][4]
+        else:
+            level += [(c, role) for c in n[2]]
+    return sorted(out)
+
+
+def folded(nodes: list) -> list:
+    return fold([n if n[0] == "#" else [n[0], n[1], folded(n[2])] for n in nodes])
+
+
+class Reader:
+    """Extracts the text of pages; wrappers: the wrapper of each kind of a host, as JSON."""
+
+    def __init__(self) -> None:
+        self.wrapper = lru_cache(maxsize=64)(lambda found: {k: json.loads(w) for k, w in json.loads(found).items()} if found else {})
+        self.known: dict[tuple[str, str], list[bool]] = {}
+
+    def text(self, page: str | None, wrappers: str | None) -> str:
+        root, blocks, kind = parse(page)
+        if not blocks:
+            return ""
+        wrapper = self.wrapper(wrappers).get(kind)
+        chosen: list[int] = []
+        if wrapper is not None and kind in ("article", "main"):  # few trees, each aligned once
+            tree = folded(root)
+            mine = [n[2][4] for n in leaves(tree)]
+            key = (wrappers, json.dumps(bare(tree, False)))
+            if (roles := self.known.get(key)) is None:
+                if len(self.known) >= 5000:
+                    self.known.clear()
+                for i, n in enumerate(leaves(tree)):
+                    n[2][4] = [i]
+                found = set(content_blocks(tree, wrapper, kind))
+                roles = self.known[key] = [i in found for i in range(len(mine))]
+            chosen = sorted(i for of, role in zip(mine, roles, strict=True) if role for i in of)
+        elif wrapper is not None:
+            chosen = content_blocks(root, wrapper, kind)
+        if not chosen:
+            tree = folded(root) if kind in ("article", "main") else root
+            chosen = content_blocks(tree, decided(bare(tree, True), kind), kind)
+        return "\n".join(blocks[i][0] for i in chosen)
 
 
 # ------------------------------------------------------------------ Spark
@@ -329,70 +499,59 @@ def host(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, pattern (the wrapper as text), content and template (paths of the content slots and of those with a constant text) of every host of pages (url, html)."""
+    """host, kind, pattern (the wrapper as text) and wrapper (as JSON, content marked) of every host and kind of pages (url, html)."""
     lean(pages.sparkSession)
     named = pages.select(host(F.col("url")).alias("host"), "html")
 
     @tidy
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            trees: set[tuple[str, str]] = set()
-            seen: dict[tuple[str, str], list] = {}
-            for h, page in zip(b["host"], b["html"], strict=True):
-                tree, blocks = parse(page)
-                own = 0 if page is None else xxhash.xxh3_64_intdigest(page.encode()) - 2**63
-                key = (h, json.dumps(expression(tree), separators=(",", ":")))
-                trees.add(key)
-                for path, text, linked in blocks:
-                    if path == "-":
-                        continue
-                    d = xxhash.xxh3_64_intdigest(text.encode()) - 2**63
-                    s = seen.setdefault((h, path), [set(), 0, 0, d, d])
-                    if len(s[0]) < TEMPLATE_PAGES:
-                        s[0].add(own)
-                    s[1], s[2], s[3], s[4] = s[1] + len(text), s[2] + linked, min(s[3], d), max(s[4], d)
-            yield pd.DataFrame({"host": [k[0] for k in trees], "tree": [k[1] for k in trees], "path": None, "pages": None, "chars": 0, "linked": 0, "least": 0, "most": 0})
-            if seen:
-                yield pd.DataFrame({"host": [k[0] for k in seen], "tree": None, "path": [k[1] for k in seen], "pages": [sorted(v[0]) for v in seen.values()], **{n: [v[i] for v in seen.values()] for i, n in enumerate(("chars", "linked", "least", "most"), 1)}})
-
-    facts = named.mapInPandas(read, "host string, tree string, path string, pages array<long>, chars long, linked long, least long, most long")
-    facts = written(facts.groupBy("host", "tree", "path").agg(F.size(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most")), "facts")
+            found: set[tuple[str, str, str]] = set()
+            for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                root, blocks, kind = parse(page)
+                if blocks:
+                    found.add((h, kind, json.dumps(bare(root, kind.startswith("plain")), separators=(",", ":"))))
+            rows = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["host", "kind", "tree"])
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         made = None
         for tree in sorted(rows["tree"], key=lambda t: (len(t), t)):  # the same wrapper whatever the order of the rows
-            nodes = json.loads(tree)
-            made = nodes if made is None else align(made, nodes)
-        return pd.DataFrame({"host": [key[0]], "tree": [json.dumps(made, separators=(",", ":"))]})
-
-    trees = facts.where(F.col("tree").isNotNull()).select("host", "tree")
-    trees = trees.withColumn("salt", F.pmod(F.xxhash64("tree"), F.lit(SALTS))).groupBy("host", "salt").applyInPandas(fit, "host string, tree string")
-    trees = trees.groupBy("host").applyInPandas(fit, "host string, tree string")
-    paths = facts.where(F.col("path").isNotNull()).groupBy("host").agg(F.collect_list(F.struct("path", "pages", "chars", "linked", (F.col("least") == F.col("most")).alias("one"))).alias("stats"))
+            made = json.loads(tree) if made is None else align(made, json.loads(tree))
+        return pd.DataFrame({"host": [key[0]], "kind": [key[1]], "tree": [json.dumps(made, separators=(",", ":"))]})
+
+    shape = "host string, kind string, tree string"
+    trees = written(named.mapInArrow(read, shape).distinct(), "trees")
+    while True:  # rounds: each aligns about GROUP_TREES at most
+        sizes = trees.groupBy("host", "kind").agg(F.count("*").alias("n"))
+        most = sizes.agg(F.max("n")).first()[0] or 0
+        if most <= 1:
+            break
+        salted = trees.join(sizes, ["host", "kind"]).withColumn("salt", F.pmod(F.xxhash64("tree"), F.ceil(F.col("n") / GROUP_TREES)))
+        trees = written(salted.groupBy("host", "kind", "salt").applyInPandas(fit, shape), "wrapper-round")
 
     @tidy
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for h, tree, stats in zip(b["host"], b["tree"], b["stats"], strict=True):
-                nodes = json.loads(tree)
-                known = {s["path"]: (int(s["pages"]), int(s["chars"]), int(s["linked"]), bool(s["one"])) for s in stats} if stats is not None else {}
-                out.append((h, pattern(nodes), content_paths(list(slots(nodes)), known), template_paths(known)))
-            yield pd.DataFrame(out, columns=["host", "pattern", "content", "template"])
+            made = [json.loads(t) for t in b.column(2).to_pylist()]
+            marked = [json.dumps(decided(t, k), separators=(",", ":")) for t, k in zip(made, b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pattern(t) for t in made], pa.string()), pa.array(marked, pa.string())], names=["host", "kind", "pattern", "wrapper"])
 
-    return trees.join(paths, "host", "left").mapInPandas(decide, "host string, pattern string, content array<string>, template array<string>")
+    return trees.mapInArrow(decide, "host string, kind string, pattern string, wrapper string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (page_id, url, html)."""
-    fitted = written(wrappers(pages).select("host", F.to_json(F.struct("content", "template")).alias("content")), "wrappers")
-    few = fitted.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    both = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(F.broadcast(fitted) if few else fitted, "host", "left").select("page_id", "url", "html", "content")
+    fitted = written(wrappers(pages).groupBy("host").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("kind", "wrapper")))).alias("wrappers")), "wrappers")
+    size = fitted.agg(F.count("*").alias("n"), F.sum(F.length("wrappers")).alias("bytes")).first()
+    few = size["n"] <= BROADCAST_HOSTS and (size["bytes"] or 0) <= BROADCAST_BYTES
+    both = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(F.broadcast(fitted) if few else fitted, "host", "left").select("page_id", "url", "html", "wrappers")
 
     @tidy
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
         for b in batches:
-            texts = [extract(b.column(2)[i].as_py(), *paths(b.column(3)[i].as_py())) for i in range(b.num_rows)]
+            texts = [reader.text(b.column(2)[i].as_py(), b.column(3)[i].as_py()) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return both.mapInArrow(over, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")
