@@ -1,17 +1,16 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
 For every language a raw-content dictionary is made of labelled texts. A text is
-lower-cased, reduced to its letters, cut into pieces of PIECE bytes and all pieces
-are compressed with every dictionary; the language with the smallest sum wins.
-A text of at most SHORT bytes is compressed behind a passage of each language
-that its dictionary lacks, and counts for what it adds to that passage, so that
-frame headers and tables don't drown it.
-The verdict is rejected as too close when the runner-up's sum is within
-REJECT_MARGIN of the winner's; that needs LEAST_BYTES of letters, since sizes of
-a few bytes say nothing about closeness.
-
-The dictionaries are fitted on a bounded sample: about SAMPLE_DOCS rows a
-language, chosen by hash, at most SAMPLE_CHARS characters of each.
+lower-cased, reduced to its letters and cut into pieces of PIECE bytes; every piece
+is compressed with each dictionary behind a passage of LEAD bytes of that language,
+and counts for what it adds to the passage alone, so that frame headers and tables
+don't drown short texts. The language with the smallest sum wins.
+The verdict is rejected as too close when the runner-up's sum exceeds the winner's
+by less than REJECT_MARGIN of it, less SLACK bytes: the fewer bytes there are, the
+less they say of closeness, whatever the length.
+
+The dictionaries are fitted on a bounded sample: of the distinct labelled texts of a
+language, held-out rows aside, the SAMPLE_DOCS of least hash, each whole.
 
 Edge cases: a text that is null or has no letter is `und` with score 0; ties go
 to the language with more labelled rows; rows with null lang are never learnt from;
@@ -27,14 +26,16 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, lean, table, tidy
+from .common import held_out, lean, table, tidy, written
 
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 400, 1500, 200_000
-PIECE, SHORT, PASSAGE = 4096, 600, 1200
-REJECT_MARGIN, LEAST_BYTES = 0.01, 200
+SAMPLE_DOCS = 64
+PIECE, LEAD = 8192, 800
+REJECT_MARGIN, SLACK = 0.01, 0.5
+#: Sampled rows (24 bytes each) up to which they are broadcast to find their texts.
+BROADCAST_ROWS = 1_000_000
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -45,22 +46,20 @@ def letters(text: str | None) -> str:
     return found if any(c.isalpha() for c in found[:64]) or any(c.isalpha() for c in found) else ""
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, tuple[bytes, bytes]]:
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, tuple[bytes, bytes]]:
     """Passage and dictionary content for each language of docs (doc_id, text, lang), held-out rows aside; most frequent first."""
-    rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("doc_id", "lang").alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    wanted = F.lit(False)
-    for lang, n in counts.items():
-        share = min(1.0, 1.5 * sample_docs / n)
-        wanted = wanted | ((F.col("lang") == lang) & (F.pmod("h", F.lit(1_000_000)) < math.ceil(share * 1_000_000)))
-    cap = 2 * sample_docs * max(1, len(counts))
-    found = rows.where(wanted & F.col("text").isNotNull()).select("lang", "h", F.substring("text", 1, sample_chars).alias("text")).orderBy("h").limit(cap).collect()
+    rows = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    distinct = rows.where(F.col("text").isNotNull()).select("lang", "h").distinct()
+    least = Window.partitionBy("lang").orderBy("h")
+    chosen = written(distinct.withColumn("k", F.row_number().over(least)).where(F.col("k") <= sample_docs).drop("k"), "sample")
+    few = chosen.count() <= BROADCAST_ROWS
+    found = rows.join(F.broadcast(chosen) if few else chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     learnt: dict[str, list[str]] = {}
-    for r in found:
+    for r in found.orderBy("lang", "h").collect():  # sample_docs a language
         learnt.setdefault(r["lang"], []).append(letters(r["text"]))
-    # What stands last in a dictionary is cheapest to refer to; whole texts in hash order.
-    made = {lang: " ".join(t for t in dict.fromkeys(texts[:sample_docs]) if t).encode() for lang, texts in learnt.items()}
-    return {lang: (made[lang][:PASSAGE], made[lang][PASSAGE:][-dict_bytes:] or made[lang]) for lang in sorted(made, key=lambda x: (-counts[x], x)) if made[lang]}
+    made = {lang: " ".join(t for t in texts if t).encode() for lang, texts in learnt.items()}
+    return {lang: (made[lang][:LEAD], made[lang][LEAD:] or made[lang]) for lang in sorted(made, key=lambda x: (-counts[x], x)) if made[lang]}
 
 
 class Sizes:
@@ -68,25 +67,21 @@ class Sizes:
 
     def __init__(self, dicts: dict[str, tuple[bytes, bytes]]):
         self.langs = list(dicts)
-        self.lead = [dicts[x][0] + b" " for x in self.langs]
-
-        def made(**how: int) -> list[zstandard.ZstdCompressor]:
-            content = [zstandard.ZstdCompressionDict(dicts[x][1], dict_type=zstandard.DICT_TYPE_RAWCONTENT) for x in self.langs]
-            p = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False, window_log=18, **how)
-            for d in content:
-                d.precompute_compress(compression_params=p)
-            return [zstandard.ZstdCompressor(dict_data=d, compression_params=p) for d in content]
-
-        self.fast = made(strategy=zstandard.STRATEGY_DFAST, hash_log=17, chain_log=16, min_match=5)
-        self.thorough = made(strategy=zstandard.STRATEGY_BTULTRA, hash_log=17, chain_log=17, search_log=6, min_match=3, target_length=64)
-        self.own = [len(c.compress(x)) for c, x in zip(self.thorough, self.lead, strict=True)]
+        self.with_dict: list[tuple[zstandard.ZstdCompressor, bytes, int]] = []
+        for lead, content in dicts.values():
+            window = min(27, max(15, (len(content) + LEAD + PIECE).bit_length()))
+            p = zstandard.ZstdCompressionParameters(
+                format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False, window_log=window, strategy=zstandard.STRATEGY_LAZY, hash_log=15, chain_log=15, search_log=3, min_match=4, target_length=8
+            )
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=p)
+            c = zstandard.ZstdCompressor(dict_data=d, compression_params=p)
+            self.with_dict.append((c, lead + b" ", len(c.compress(lead + b" "))))
 
     def of(self, text: str) -> list[int]:
         data = text.encode()
-        if len(data) <= SHORT:
-            return [len(c.compress(x + data)) - n for c, x, n in zip(self.thorough, self.lead, self.own, strict=True)]
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-        return [sum(len(c.compress(p)) for p in pieces) for c in self.fast]
+        return [sum(len(c.compress(lead + p)) - own for p in pieces) for c, lead, own in self.with_dict]
 
 
 def judge(sizes: Sizes, text: str | None) -> tuple[str, float, bool]:
@@ -96,9 +91,10 @@ def judge(sizes: Sizes, text: str | None) -> tuple[str, float, bool]:
         return "und", 0.0, True
     n = sizes.of(found)
     order = sorted(range(len(n)), key=lambda i: (n[i], i))
-    best, margin = n[order[0]], (n[order[1]] - n[order[0]]) / max(1, n[order[0]]) if len(n) > 1 else 1.0
+    best = n[order[0]]
+    close = len(n) > 1 and n[order[1]] - best < REJECT_MARGIN * best - SLACK
     weight = sum(math.exp(-min(60.0, 0.5 * (x - best))) for x in n)
-    return sizes.langs[order[0]], 1 / weight, margin < REJECT_MARGIN and len(found.encode()) >= LEAST_BYTES
+    return sizes.langs[order[0]], 1 / weight, close
 
 
 def identify(docs: DataFrame, dicts: dict[str, tuple[bytes, bytes]]) -> DataFrame:
