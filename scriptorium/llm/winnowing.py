@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import let, table, words, written
 
 WINDOW, KGRAM = 13, 5
-#: Rows of an item table up to which it is broadcast (about 24 or 150 bytes each); larger ones are joined by shuffle.
-BROADCAST_ROWS = 400_000
-#: Ids (8 bytes each) up to which a set is broadcast.
+#: Rows of an item table, and characters in it, up to which it is broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_CHARS = 400_000, 64_000_000
+#: Keys (16 bytes each) up to which a set is broadcast.
 BROADCAST_IDS = 2_000_000
 #: Item fingerprints up to which they are looked up in a hash set that is part of the plan.
 LITERAL_MARKS = 20_000
@@ -58,13 +58,15 @@ def windows(ws: Column, length: int) -> Column:
     return let(ws, of)
 
 
-def _small(df: DataFrame, limit: int) -> DataFrame:
-    """df with a broadcast hint if it has at most `limit` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _small(df: DataFrame, limit: int, texts: str | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most `limit` rows, and BROADCAST_CHARS characters in the column `texts`."""
+    size = df.agg(F.count("*").alias("n"), F.sum(F.length(texts)).alias("chars") if texts else F.lit(0).alias("chars")).first()
+    return F.broadcast(df) if size["n"] <= limit and (size["chars"] or 0) <= BROADCAST_CHARS else df
 
 
 def _key() -> Column:
-    return F.xxhash64("doc_id", "text")
+    """128 bits that stand for a row."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, literal_marks: int = LITERAL_MARKS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -101,7 +103,7 @@ def compared(docs: DataFrame, items: DataFrame, window: int = WINDOW, literal_ma
     # Words are kept of the documents that share a fingerprint, which are then compared on all their windows.
     seen = written(split.select("key", "doc_id", F.size("ws").cast("long").alias("n_words"), F.when(F.col("touched"), F.col("ws")).alias("ws")), "touched")
     sought = reduce(DataFrame.unionByName, [items.where(F.col("len") == n).select("item_id", F.explode(windows(F.col("ws"), n)).alias("w")) for n in lengths])
-    sought = _small(written(sought.select("item_id", F.col("w.gram").alias("gram"), F.col("w.len").alias("len")).distinct(), "sought"), broadcast_rows)
+    sought = _small(written(sought.select("item_id", F.col("w.gram").alias("gram"), F.col("w.len").alias("len")).distinct(), "sought"), broadcast_rows, "gram")
     mine = seen.where(F.col("ws").isNotNull()).select("key", F.explode(F.concat(*[windows(F.col("ws"), n) for n in lengths])).alias("w")).select("key", "w.pos", "w.len", "w.gram")
     hits = mine.join(sought, ["gram", "len"]).select("key", F.col("item_id").cast("string").alias("item_id"), F.struct("pos", "len").alias("span"))
     by_doc = hits.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("ids"), F.array_sort(F.collect_set("span")).alias("spans"))
