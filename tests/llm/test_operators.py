@@ -56,13 +56,60 @@ def test_dropout_is_seeded_and_varied():
     assert len(c.encode(t, 1, 1.0)) >= len(t.replace(" ", ""))
 
 
-def test_both_mergers_agree():
-    c = sp_dropout.codec(sp_dropout.MODEL)
+def naive_ids(c, sp, text, key, dropout, seed):
+    """The agenda by its definition: over and over the best and leftmost candidate of a segment that wasn't skipped."""
+    points, starts = c._bounds(" " + text)
+    out = []
+    doc = sp_dropout._mix_one((seed * sp_dropout._STEP + key) % 2**64)
+    for order, (s, e) in enumerate(zip(starts, [*starts[1:], len(points)], strict=True)):
+        own = sp_dropout._mix_one((order * sp_dropout._STEP + doc) % 2**64)
+        pieces, skipped, asked = list((" " + text)[s:e].replace("\u2581", "\0").replace(" ", "\u2581")), set(), 0
+        while True:
+            may = [(-sp.get_score(sp.piece_to_id(a + b)), i) for i, (a, b) in enumerate(zip(pieces, pieces[1:], strict=False)) if i not in skipped and "\0" not in a + b and sp.id_to_piece(sp.piece_to_id(a + b)) == a + b and not sp.is_unknown(sp.piece_to_id(a + b))]
+            if not may:
+                break
+            i = min(may)[1]
+            asked += 1
+            if sp_dropout._mix_one((own + asked * sp_dropout._STEP) % 2**64) < dropout * 2**64:
+                skipped.add(i)
+                continue
+            pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+            skipped = {k - (k > i) for k in skipped if k not in (i - 1, i, i + 1)}
+        for x in pieces:
+            k = sp.piece_to_id(x)
+            out += [k] if sp.id_to_piece(k) == x and not sp.is_unknown(k) else [c.byte_id[v] for v in x.replace("\0", "\u2581").encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.4])
+def test_dropout_is_the_agenda_s(dropout):
+    c, sp = sp_dropout.codec(sp_dropout.MODEL), sentencepiece.SentencePieceProcessor(model_file=sp_dropout.MODEL)
     rng = random.Random(1)
-    for _ in range(50):
-        s = "".join(rng.choice("abcdeinorst é") for _ in range(rng.randint(1, 40)))
-        v = rng.randrange(4)
-        assert c.merge([s], [v], 0.2, 7)[0] == c.merge_long(s, v, 0.2, 7)
+    texts = ["".join(rng.choice("abcdeinorst é\u2581☃") for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    texts += ["internationalization misunderstood " * 5, "antidisestablishmentarianism" * 4, "x" * 90, "Übergrößenträger und 日本語 text"]
+    keys = [rng.randrange(2**64) for _ in texts]
+    for t, k, got in zip(texts, keys, c.encode_many(texts, keys, dropout, 7), strict=True):
+        assert got.tolist() == naive_ids(c, sp, t, k, dropout, 7) == c.encode_singly(t, k, dropout, 7)
+
+
+def test_every_occurrence_has_draws_of_its_own():
+    c = sp_dropout.codec(sp_dropout.MODEL)
+    n, seen = 4000, collections.Counter()
+    for ids in c.encode_many(["understood"] * n, list(range(n)), 0.1):
+        seen[tuple(ids.tolist())] += 1
+    merges = len(" understood") - len(c.encode("understood"))
+    assert len(seen) > 20
+    assert 0.9**merges - 0.03 < seen[tuple(c.encode("understood"))] / n < 0.9  # other ways may lead there too
+
+
+def test_kept_segments_are_bounded(monkeypatch):
+    monkeypatch.setattr(sp_dropout, "_KEPT_MOST", 50)
+    monkeypatch.setattr(sp_dropout, "_BLOCK", 64)
+    c = sp_dropout.Codec(sp_dropout.MODEL)
+    for k in range(5):
+        t = " ".join(f"word{k}number{i}" for i in range(300))
+        assert c.encode(t, k, 0.2) == c.encode_singly(t, k, 0.2)
+        assert c.kept.n < 5000
 
 
 def test_long_texts_in_parts(monkeypatch):
@@ -119,16 +166,94 @@ def test_permutations_are_one_to_one():
         assert sorted(s.permute(i, size, "t") for i in range(size)) == list(range(size))
     even = [s.permute(i, 100, "t", lambda x: x % 2 == 0) for i in range(0, 100, 2)]
     assert sorted(even) == list(range(0, 100, 2))
-    assert len({s.digits(f"+1 ({i:03d}) 555-0000", "phone", 1) for i in range(500)}) == 500
+    assert all(s.permute(i, size, "t") != i for size in (2, 3, 10, 97) for i in range(size))
+    assert all(s.permute(i, 100, "t", lambda x: x % 2 == 0) != i for i in range(0, 100, 2))
+    assert len({s.phone(f"+1 ({i:03d}) 555-0000") for i in range(500)}) == 500
+    big = 16**128
+    assert {s.permute(n, big, "t") for n in (0, 1, big - 1)}.isdisjoint({0, 1, big - 1})
+
+
+def test_no_given_name_stays():
+    s = pii.Surrogates()
+    for (script, gender), pool in pii.GIVEN.items():
+        new = [s.name(n) for n in pool]
+        assert sorted(new) == sorted(pool), (script, gender)
+        assert all(a != b for a, b in zip(pool, new, strict=True))
+
+
+def test_names_keep_apart_and_keep_their_form():
+    s = pii.Surrogates()
+    words = [f"{a}{b}{c}{d}" for a in ("B", "Ch", "D", "O'", "Mc") for b in ("Ra", "No", "Élu") for c in "lmnst" for d in ("", "a", "ova", "ov", "-Smith")]
+    words += ["Иванов", "Иванова", "Ковальский", "Παπαδόπουλος", "Li", "Meyer-Schmidt", "Nguyen", "Weiß"]
+    new = {w: s.name(w) for w in words}
+    assert len(set(new.values())) == len(words)
+    for old, got in new.items():
+        assert old != got and got.lower() not in s.pool
+        assert [(c.isupper(), c.isalpha()) for c in old] == [(c.isupper(), c.isalpha()) for c in got]
+        assert pii.ending(old.lower()) == pii.ending(got.lower())
+        assert s.name(old.upper()) == got.upper() or "ß" in old
+    # one family, two genders
+    assert new["Иванов"] + "а" == new["Иванова"]
+    # exhaustively over one form: a permutation of what is no name of a pool
+    form = [f"{a}{b}{c}" for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiou" for c in "bcdfghjklmnpqrstvwxyz"]
+    form = [w for w in form if w not in s.pool and w not in pii.PARTICLES and w not in pii.ENDINGS]
+    assert sorted(s.word(w) for w in form) == form
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Mr. O'Brien met Maria.", ["O'Brien", "Maria"]),
+        ("MR. JOHN SMITH and Dr. Anna von Meyer-Schmidt", ["JOHN SMITH", "Anna von Meyer-Schmidt"]),
+        ("my name is Xenia Papadopoulou, Dear Thomas, меня зовут Зоя", ["Xenia Papadopoulou", "Thomas", "Зоя"]),
+        ("Mark the page. Mark Twain wrote. Annabel and Marial stay", ["Mark Twain"]),
+        ("John Q. McDonald", ["John Q. McDonald"]),
+    ],
+)
+def test_names_found(text, names):
+    assert [text[a:b] for a, b, kind in pii.find(text) if kind == "name"] == names
 
 
-def test_names_are_kept_apart(spark):
-    words = [f"{a}{b}{c}{d}" for a in "BCDFG" for b in "aeiou" for c in "lmn" for d in "aei"]  # two syllables give 2116 names, so that some collide
-    docs = spark.createDataFrame([(i, f"Mr. John {w}") for i, w in enumerate(words)], "doc_id long, text string")
-    known = {pii.Surrogates(syllables=2).made_up(w, "surname") for w in words}
-    assert len(known) < len(words)
-    s = pii.Surrogates(draws=pii.draws(docs, syllables=2), syllables=2)
-    assert len({s.made_up(w, "surname") for w in words}) == len(words)
+def test_names_of_other_pools():
+    pools = {("latin", "f"): ["Zelda", "Yara"]}
+    text, s = "Zelda and Maria", pii.Surrogates(given=pools)
+    assert pii.replace(text, s, pii.Finder(pools))[0] == "Yara and Maria"
+
+
+def test_phones_keep_code_and_identity():
+    s = pii.Surrogates()
+    ways = ["+49 30 1234567", "+49301234567", "+49 (0)30 1234567", "0049 30 1234567", "+49-30-123-4567"]
+    new = [s.phone(x) for x in ways]
+    assert [re.sub(r"\d", "0", x) for x in ways] == [re.sub(r"\d", "0", x) for x in new]
+    assert len({re.sub(r"\D", "", x.replace("(0)", "")).removeprefix("00") for x in new}) == 1
+    assert all(re.sub(r"\D", "", x).removeprefix("00").startswith("49") for x in new)
+    assert s.phone("+1 212 555 0100").startswith("+1 ") and s.phone("+358 9 123456").startswith("+358 ") and s.phone("030 1234567").startswith("0")
+
+
+def test_surrogates_over_a_corpus(spark):
+    """Against a plain reading of the rows: everything but the spans stays, and within each type one entity has one surrogate and one surrogate one entity."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    texts, there, back = {}, {}, {}
+    for r in docs.collect():
+        texts.setdefault(r.doc_id, []).append(r.text)
+    rows = pii.surrogated(docs).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        options = []
+        for t in texts[r.doc_id]:
+            out, at = "", 0
+            for e in r.entities:
+                out, at = out + t[at : e.start] + e.surrogate, e.end
+            options.append((out + t[at:] == r.text, t))
+        fits = [t for ok, t in options if ok]
+        assert fits
+        for e in r.entities:
+            old = fits[0][e.start : e.end]
+            norm = (lambda x: re.sub(r"\D", "", x)) if e.type in ("phone", "card") else (lambda x: x.lower() if e.type == "email" else x.replace(" ", ""))
+            assert old != e.surrogate
+            assert there.setdefault((e.type, norm(old)), norm(e.surrogate)) == norm(e.surrogate)
+            assert back.setdefault((e.type, norm(e.surrogate)), norm(old)) == norm(old)
+    assert len({k for k, _ in there}) >= 4
 
 
 def test_pii_edges(odd, empty):
@@ -177,6 +302,39 @@ def test_repeated_passages(spark, odd, empty):
     assert cdc.deduplicate(odd).count() == len(ODD)
 
 
+def test_every_repeated_chunk_keeps_one_copy(spark):
+    """Against all chunks of random overlapping passages, with ids and columns of any kind."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    passages = [" ".join(word() for _ in range(60)) for _ in range(6)]
+    texts = ["".join(f" {p}" for p in rng.sample(passages, rng.randint(1, 4))) for _ in range(25)]
+    texts += [passages[0] + " " + passages[1], passages[0], passages[1][150:]]
+    rows = [(f"doc-{i}" if i % 3 else str(i), t, 1, 2, "k", [1]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, _k int, _key int, _doc string, _spans array<int>")
+    left = cdc.deduplicate(docs)
+    assert left.columns == docs.columns
+    assert [(r._k, r._key, r._doc, r._spans) for r in left.collect()] == [(1, 2, "k", [1])] * len(rows)
+    keys = {r.doc_id: r.n for r in docs.select("doc_id", cdc._id().alias("n")).collect()}
+    chunked = {i: list(zip(*next(cdc.chunks([t])), strict=True)) for i, t, *_ in rows}
+    whole, kept = collections.defaultdict(set), collections.Counter()
+    gone = collections.defaultdict(list)
+    for r in cdc.repeated(docs).collect():
+        if not r.kept:
+            gone[r.doc_id].append((r.start_char, r.start_char + r.n_chars))
+            assert r.first_doc_id < r.doc_id
+    for i, parts in chunked.items():
+        for hi, lo, start, *_ in parts:
+            whole[hi, lo].add(keys[i])
+            kept[hi, lo] += not any(a <= start < b for a, b in gone[keys[i]])
+    first = {k: min(v) for k, v in whole.items()}
+    assert all(kept[k] >= 1 for k in whole)
+    for i, parts in chunked.items():  # what goes has its copy where the row says
+        for r in gone[keys[i]]:
+            for hi, lo, start, *_ in parts:
+                if r[0] <= start < r[1]:
+                    assert first[hi, lo] < keys[i]
+
+
 def test_every_repeated_passage_survives_once(spark):
     rng = random.Random(5)
     text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
@@ -199,17 +357,49 @@ def test_every_repeated_passage_survives_once(spark):
 
 
 # ------------------------------------------------------------------ 4
-LM = toxicity.CharModel(toxicity.trigrams(["you are an idiot and a moron, stupid loser, pathetic worthless trash", "the rain in the north was cold and other things"] * 5))
+LM = toxicity.CharModel(toxicity.trigrams(["you are an idiot and a moron, stupid loser, pathetic worthless trash, scum and clown, ass, what a clown, the clown is an ass, clown and ass", "the rain in the north was cold and other things"] * 5))
 
 
 @pytest.mark.parametrize(
     ("said", "meant"),
-    [("1d10t", "idiot"), ("M0R0N!!", "moron"), ("$tup1d", "stupid"), ("stuuuupid", "stupid"), ("w.o.r.t.h.l.e.s.s", "worthless"), ("i d i o t", "idiot"), ("p@th3tic", "pathetic"), ("plain words", "plain words"), ("the$$$ and###", "the and"), ("2024", "2024"), ("", "")],
+    [("1d10t", "idiot"), ("M0R0N!!", "moron"), ("$tup1d", "stupid"), ("stuuuupid", "stupid"), ("w.o.r.t.h.l.e.s.s", "worthless"), ("i d i o t", "idiot"), ("p@th3tic", "pathetic"), ("plain words", "plain words"), ("the$$$ and###", "the and"), ("2024", "2024"), ("", "")]
+    + [("!d!ot", "idiot"), ("!diot", "idiot"), ("(lown", "clown"), ("a$$", "ass"), ("455", "ass"), ("you are a s c u m", "you are a scum"), ("s c u m i d i o t", "scum idiot"), ("st up id", "stupid"), ("iddiot", "idiot"), ("moron!", "moron"), ("(the north)", "the north"), ("was cold!", "was cold")],
 )
 def test_restoring(said, meant):
     assert toxicity.restore(said, LM) == meant
 
 
+def test_decoding_is_the_cheapest_of_all_paths():
+    import itertools
+
+    rng = random.Random(2)
+    for _ in range(150):
+        token = "".join(rng.choice("idotsa10$!.(  ") for _ in range(rng.randint(1, 7))).strip() or "x"
+        ways = toxicity.lattice(token)
+        price = {}
+        for path in itertools.product(*ways):
+            said = "".join(s for s, _ in path)
+            cost = sum(c for _, c in path) + toxicity.path_cost(said, LM)
+            price[said] = min(cost, price.get(said, cost))
+        got = toxicity.decode(token, LM)
+        if token.isdigit() and got == token:
+            assert toxicity.NUMBER + toxicity.DIGIT * len(token) <= min(price.values()) + 1e-9
+        else:
+            assert price[got] == pytest.approx(min(price.values()))
+
+
+def test_long_tokens_are_decoded_whole():
+    for n in (60, 63, 64, 65, 70, 3000):  # nothing changes at a length
+        token = ".".join("idiot" * n)
+        assert toxicity.restore(token, LM).replace(" ", "") == "idiot" * n
+
+
+def test_one_text_of_a_doc_id_is_learnt_from(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {'bad' if i % 2 else 'good'} number {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    assert toxicity.learn(docs, labels)[1] is not None
+
+
 def test_toxicity_learns(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     rows = toxicity.scored(docs, *toxicity.learn(docs, labels)).join(labels, "doc_id").where("held_out").collect()
@@ -264,6 +454,13 @@ def test_vector_edges(spark):
     assert hnsw.nearest(df.where("false"), df, 5).collect() == []
 
 
+def test_vectors_of_one_id_and_further_columns(spark):
+    df = spark.createDataFrame([(0, [2.0, 0.0], 1, "x"), (0, [1.0, 0.0], 1, "x"), (1, [3.0, 1.0], 1, "x"), (2, [0.0, 5.0], 1, "x")], "vec_id long, embedding array<double>, shard int, vec string")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in hnsw.nearest(df, df.where("vec_id = 0"), 5).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 3.0), (0, 2, 2, 0.0)]
+    assert hnsw.nearest(df, df.where("false"), 5).collect() == []
+
+
 def test_many_equal_vectors(spark):
     df = spark.range(300).selectExpr("id as vec_id", "array(1.0D, if(id < 250, 0.0D, id * 0.001D)) as embedding")
     rows = hnsw.nearest(df, df.where("vec_id = 240"), 20).orderBy("rank").collect()
@@ -319,8 +516,15 @@ def test_classes_equal_brute_force(spark):
             n += 1
     texts |= {n: "", n + 1: "", n + 2: "one two", n + 3: "one two", n + 4: "...", n + 5: "three words here"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.id: r.class_id for r in bagminhash.near_duplicates(docs).collect()}
+    rows = bagminhash.near_duplicates(docs).collect()
+    got = {r.id: r.class_id for r in rows}
     assert got == components(texts, 0.8)
+    bags = bagminhash.Bags()
+    for r in rows:
+        others = [bagminhash.similarity(bags.of(texts[r.same_id]), bags.of(t)) for t in set(texts.values()) if t != texts[r.same_id]]
+        links = [x for x in others if x >= 0.8]
+        assert (r.n_links > 0) == bool(links) and r.n_links <= len(links)
+        assert r.nearest is None if not links else 0.8 <= r.nearest <= max(links) + 1e-12
     assert {r.doc_id for r in bagminhash.representatives(docs).collect()} == set(got.values())
 
 
@@ -353,6 +557,21 @@ def test_near_duplicate_edges(odd, empty):
     assert bagminhash.representatives(empty).collect() == []
 
 
+def test_bags_are_packed_whole():
+    rng = np.random.default_rng(4)
+    h = np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64))
+    c = rng.integers(1, 4, len(h))
+    for n in (0, 1, len(h)):
+        back = bagminhash.unpack(bagminhash.pack(h[:n], c[:n]))
+        assert (back[0] == h[:n]).all() and (back[1] == c[:n]).all()
+
+
+def test_ids_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([("a", "alpha beta gamma delta"), ("7", "alpha beta gamma delta"), (None, "one"), ("b", "one")], "doc_id string, text string")
+    assert len({r.class_id for r in bagminhash.near_duplicates(docs).collect()}) == 2
+    assert bagminhash.representatives(docs).count() == 2
+
+
 def test_texts_that_share_a_doc_id_all_stay(spark):
     rows = [(1, "alpha beta gamma delta"), (2, "some other words here"), (2, "alpha beta gamma delta"), (3, "one text"), (3, "quite another"), (3, "one text"), (4, "one text"), (None, "no id one"), (None, "no id two")]
     left = bagminhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -412,13 +631,84 @@ def test_boilerplate_words(word, out):
 
 
 def test_wrappers_are_union_free():
-    trees = [wrappers.expression(wrappers.parse(h)[0]) for h in ("<div><p>a</p><p>b</p></div>", "<div><h1>t</h1><p>a</p></div>", "<div><p>a</p></div><footer>f</footer>")]
+    trees = [wrappers.bare(wrappers.parse(h)[0], False) for h in ("<div><p>a</p><p>b</p></div>", "<div><h1>t</h1><p>a</p></div>", "<div><p>a</p></div><section>f</section>")]
     made = wrappers.align(wrappers.align(trees[0], trees[1]), trees[2])
-    assert wrappers.pattern(made) == "<div>(<h1>#text</h1>)?(<p>#text</p>)+</div>(<footer>#text</footer>)?"
+    assert wrappers.pattern(made) == "<div>(<h1>#</h1>)?(<p>#</p>)+</div>(<section>#</section>)?"
     back = wrappers.align(wrappers.align(trees[2], trees[1]), trees[0])
     assert wrappers.pattern(back) == wrappers.pattern(made)
 
 
+def test_literals_and_slots():
+    trees = [wrappers.bare(wrappers.parse(f"<div><p>menu</p></div><div><p>{x}</p></div>{y}<div><p>imprint</p></div>")[0], True) for x, y in (("one", ""), ("two", ""), ("three", "<div><p>more</p></div>"))]
+    made = wrappers.align(wrappers.align(trees[0], trees[1]), trees[2])
+    lit = [f"={t[2][0][2][0][2][0]}" for t in (trees[0][0], trees[0][2])]
+    assert wrappers.pattern(made) == f"<div><p>{lit[0]}</p></div>(<div><p>#</p></div>)+<div><p>{lit[1]}</p></div>"
+
+
+UNMARKED = "<body><div><p>Start News Sports Weather and all the rest of this site</p></div><div>{}</div><div><p>All of it belongs to us since 1999</p></div></body>"
+
+
+def unmarked_pages():
+    """Pages whose elements have no names: what is template shows in the alignment alone."""
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(30))
+    own = [[text() for _ in range(rng.randint(1, 5))] for _ in range(40)]
+    return own, [(i, "http://a.b/", UNMARKED.format("".join(f"<p>{t}</p>" for t in ps))) for i, ps in enumerate(own)]
+
+
+def test_the_wrapper_tells_content(spark):
+    own, rows = unmarked_pages()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrappers.main_text(df).collect()} == {i: "\n".join(ps) for i, ps in enumerate(own)}
+
+
+def test_without_alignment_content_is_not_told(monkeypatch):
+    own, rows = unmarked_pages()
+
+    def texts():
+        made = None
+        for _, _, page in rows:
+            tree = wrappers.bare(wrappers.parse(page)[0], True)
+            made = tree if made is None else wrappers.align(made, tree)
+        kind = wrappers.parse(rows[0][2])[2]
+        wrapper = wrappers.json.dumps({kind: wrappers.json.dumps(wrappers.decided(made, kind))})
+        return [wrappers.Reader().text(page, wrapper) for _, _, page in rows]
+
+    assert texts() == ["\n".join(ps) for ps in own]
+    monkeypatch.setattr(wrappers, "align", lambda a, b: a)
+    assert texts() != ["\n".join(ps) for ps in own]
+
+
+def test_many_trees_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(wrappers, "GROUP_TREES", 4)
+    own, rows = unmarked_pages()
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join(ps) for i, ps in enumerate(own)}
+
+
+def test_deep_and_wide_pages(spark):
+    rows = [
+        (1, None, "<div>" * 100_000 + "deep"),
+        (2, None, "<article>" + "<div>" * 3000 + "<p>a</p>" + "</div>" * 3000 + "<p>b"),
+        (3, None, "<article>" + "".join(f"<{'h2' if i % 7 in (1, 4) else 'p' if i % 3 else 'div'}>t{i}</{'h2' if i % 7 in (1, 4) else 'p' if i % 3 else 'div'}>" for i in range(20_000)) + "</article>"),
+        (4, None, "<ul><li><p>" + "<form>" * 20_000 + "x" + "</section>" * 20_000),
+        (5, None, "".join(f"<div class='x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}'>w{i}</div>" for i in range(3000))),
+    ]
+    got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "deep" and got[2] == "a\nb" and got[4] == ""
+    assert got[3] == "\n".join(f"t{i}" for i in range(20_000))
+    assert got[5] == "\n".join(f"w{i}" for i in range(3000))
+
+
+def test_equal_pages_keep_their_text(spark):
+    for n in (1, 3, 12):
+        rows = [(i, "http://a.b/", "<body><article><h1>T</h1><p>Long first paragraph of the article.</p></article></body>") for i in range(n)]
+        rows += [(100 + i, "http://c.d/", f"<body><div><p>The same long paragraph on every page.</p><p>Nr {i}</p></div></body>") for i in range(n)]
+        got = {r.page_id: r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got[0] == "T\nLong first paragraph of the article."
+        assert got[100] == "The same long paragraph on every page.\nNr 0"
+
+
 def test_pages_of_the_tables(spark):
     import html
 
@@ -447,6 +737,58 @@ def test_language_edges(spark, odd, empty):
     assert langid.accepted(odd, dicts).columns == odd.columns
 
 
+def test_sizes_are_the_library_s():
+    import zstandard
+
+    dicts = {x: (t[: langid.LEAD], t[langid.LEAD :]) for x, t in (("a", b"one two three four five " * 200), ("b", b"un deux trois quatre cinq " * 200))}
+    sizes = langid.Sizes(dicts)
+    for text in ("one", "deux trois " * 30, "three four " * 3000):
+        data = text.encode()
+        for lang, got in zip(dicts, sizes.of(text), strict=True):
+            lead, content = dicts[lang]
+            c, _, _ = sizes.with_dict[list(dicts).index(lang)]
+            want = 0
+            for i in range(0, len(data), langid.PIECE):
+                packed = c.compress(lead + b" " + data[i : i + langid.PIECE])
+                back = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+                assert back.decompressobj().decompress(packed) == lead + b" " + data[i : i + langid.PIECE]
+                want += len(packed) - len(c.compress(lead + b" "))
+            assert got == want
+
+
+def test_no_jump_at_any_length(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    sizes = langid.Sizes(langid.learn(docs))
+    text = langid.letters(docs.where("lang = 'fr' and n_chars > 4000").first().text)
+    said = [langid.judge(sizes, text[:n]) for n in (40, 80, 150, 198, 199, 200, 201, 202, 590, 598, 600, 602, 610, 1490, 1500, 1510, 3000)]
+    assert {x[0] for x in said} == {"fr"} and not any(x[2] for x in said)
+    margins = [sorted(sizes.of(text[:n])) for n in range(580, 620)]
+    steps = [b[0] - a[0] for a, b in zip(margins, margins[1:], strict=False)]
+    assert max(map(abs, steps)) <= 4
+
+
+def test_close_verdicts_are_rejected():
+    a, b = "alpha beta gamma delta epsilon zeta eta theta " * 60, "uno dos tres cuatro cinco seis siete ocho " * 60
+    sizes = langid.Sizes({x: (t[: langid.LEAD].encode(), t[langid.LEAD :].encode()) for x, t in (("a", a), ("b", b), ("c", a))})
+    rng = random.Random(3)
+    other = " ".join("".join(rng.choice("qwxzkjvy") for _ in range(7)) for _ in range(120))
+    assert langid.judge(sizes, other)[2]  # as far from all of them
+    assert langid.judge(sizes, None)[2] and langid.judge(sizes, "12 34")[2]
+    assert not langid.judge(langid.Sizes({"b": (b.encode()[:800], b.encode()[800:])}), "uno dos")[2]
+
+
+def test_whole_texts_are_learnt(spark):
+    docs = spark.createDataFrame([(i, "a" * 5000 + f" last{'x' * i}", "en") for i in range(8)], "doc_id long, text string, lang string")
+    assert b" lastx" in b"".join(langid.learn(docs)["en"])
+
+
+def test_ties_go_to_the_more_frequent(spark):
+    rows = [(i, "same words here", "zz" if i % 3 else "aa") for i in range(60)]
+    dicts = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert list(dicts) == ["zz", "aa"]
+    assert langid.judge(langid.Sizes(dicts), "other words")[0] == "zz"
+
+
 def test_nothing_is_learnt_from_held_out_rows(spark):
     docs = table(spark, SF, "documents")
     changed = docs.withColumn("text", __import__("pyspark.sql.functions", fromlist=["x"]).when(held_out(docs.doc_id), "zzz").otherwise(docs.text))
