@@ -33,13 +33,14 @@ def block(context: Column) -> Column:
 def in_context(chunks: DataFrame, targets: DataFrame, context: int = 0) -> DataFrame:
     """chunk_id and text of each target (chunk_id): its block and those of up to `context` neighbours on either side.
 
-    One equi-join on the file with a bounded range, whatever the number of targets.
+    An equi-join on file and place, whatever the number of targets and the size of files.
     """
     k = max(0, min(MOST_CONTEXT, context))
     wanted = chunks.join(targets.select("chunk_id").distinct(), "chunk_id", "left_semi").select(F.col("chunk_id").alias("target"), "filepath", F.col("chunk_index").alias("at"))
-    files = wanted.select("filepath").distinct()
-    mine = chunks.join(files, "filepath", "left_semi").select("chunk_id", "filepath", "chunk_index", "content").withColumn("total", F.count("*").over(Window.partitionBy("filepath")))
-    near = mine.join(wanted, "filepath").where(F.col("chunk_index").between(F.col("at") - k, F.col("at") + k))
+    places = wanted.select("*", F.explode(F.sequence(F.col("at") - k, F.col("at") + k)).alias("chunk_index"))
+    totals = chunks.groupBy("filepath").agg(F.count("*").alias("total"))
+    mine = chunks.select("chunk_id", "filepath", "chunk_index", "content")
+    near = mine.join(places, ["filepath", "chunk_index"]).join(totals, "filepath")
     texts = near.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("chunk_index", block(F.col("chunk_index") - F.col("at")).alias("text")))).alias("blocks"))
     return texts.select(F.col("target").alias("chunk_id"), F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n").alias("text"))
 

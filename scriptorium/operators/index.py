@@ -11,9 +11,10 @@ import json
 import os
 import shutil
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import tokenized
@@ -22,11 +23,28 @@ FIELDS = {"heading": 3.0, "content_text": 1.0}
 POINTER = "CURRENT"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """term, field, chunk_id, tf, dl and positions of every term of every chunk."""
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), tokenized(F.lower(f)).alias("terms")) for f in FIELDS))
-    each = chunks.select("chunk_id", F.explode(fields).alias("f")).select("chunk_id", "f.field", F.size("f.terms").alias("dl"), F.posexplode("f.terms").alias("pos", "term"))
-    return each.groupBy("term", "field", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    """term, field, chunk_id, tf, dl and positions of every term of every chunk; terms are grouped within the row, without a shuffle."""
+
+    def runs(at: Column) -> Column:
+        # Sorted by term and place: a run begins where a term differs from the one before.
+        begins = F.filter(F.transform(at, lambda x, i: F.when((i == 0) | (F.get(at, i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())
+        run = lambda b, end: F.struct(F.get(at, b)["term"].alias("term"), F.transform(F.slice(at, b + 1, end - b), lambda x: x["pos"]).alias("positions"))
+        return _let(begins, lambda bs: F.transform(bs, lambda b, k: run(b, F.coalesce(F.get(bs, k + 1), F.size(at)))))
+
+    placed = lambda f: F.array_sort(F.transform(tokenized(F.lower(f)), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+
+    def of(name: str) -> Column:
+        return _let(placed(name), lambda at: F.struct(F.lit(name).alias("field"), F.size(at).alias("dl"), runs(at).alias("runs")))
+
+    fields = F.array(*(of(f) for f in FIELDS))
+    each = chunks.select("chunk_id", F.explode(fields).alias("f")).select("chunk_id", "f.field", "f.dl", F.explode("f.runs").alias("r"))
+    return each.select("r.term", "field", "chunk_id", "dl", F.size("r.positions").alias("tf"), "r.positions")
 
 
 def field_statistics(chunks: DataFrame) -> DataFrame:
@@ -67,6 +85,8 @@ def build(chunks: DataFrame, base: str, metadata: dict | None = None, vectors: D
         chunks = chunks.join(vectors.select("chunk_id", "vector"), "chunk_id", "left")
     chunks.repartition(n, "filepath").sortWithinPartitions("filepath", "chunk_index").write.parquet(f"{path}/chunks")
     stored = spark.read.parquet(f"{path}/chunks")
+    # What ranking needs of a chunk, without its texts, by chunk id.
+    stored.select(*(c for c in stored.columns if c not in ("content", "content_text", "vector"))).repartitionByRange(n, "chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{path}/heads")
     made = postings(stored)
     made.repartitionByRange(n, "term", "chunk_id").sortWithinPartitions("term", "field", "chunk_id").write.parquet(f"{path}/postings")
     spark.read.parquet(f"{path}/postings").groupBy("term", "field").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
@@ -95,3 +115,16 @@ def publish(base: str, version: str) -> None:
 def export_json(chunks: DataFrame, path: str) -> None:
     """Chunks as JSON lines."""
     chunks.write.mode("overwrite").json(path)
+
+
+def export_json_array(chunks: DataFrame, path: str) -> int:
+    """Chunks as one JSON array in a file of the driver, partition by partition; how many there were."""
+    n = 0
+    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+        f.write("[")
+        for r in chunks.select(F.to_json(F.struct("*")).alias("json")).toLocalIterator():
+            f.write(f"{',' if n else ''}\n{r['json']}")
+            n += 1
+        f.write("\n]\n")
+    os.replace(f"{path}.tmp", path)
+    return n

@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import clamp_limit, query_terms, snippet, tokenized
+from scriptorium.functions.text import clamp_limit, normalized, query_terms, snippet, tokenized
+from scriptorium.session import written
 
 from . import collapse, cursor, lexical, vectors
 from .facets import facet, matching
@@ -17,8 +18,10 @@ from .index import FIELDS, Index
 
 #: The fusion's constant and the lists' weights; bounds of the phrase's slop.
 RANK_CONSTANT, WEIGHTS, MOST_SLOP = 60, {"match": 1.0, "phrase": 1.25, "vector": 1.0}, 5
-#: Rows of each list that take part in the fusion; None ranks all of them, in one task a list.
-CANDIDATES = 5000
+#: Rows beyond a page, times a page, and most rows of each list that take part in a fusion with a cap.
+BEYOND, TIMES, MOST_CANDIDATES = 200, 5, 5000
+#: Rows of a list that are ranked in one task; longer lists are ranked in ranges, with the same result.
+ONE_TASK = 200_000
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
 
@@ -103,19 +106,41 @@ def phrase_scan(chunks: DataFrame, query: str, slop: int = 0, keep: Sequence[str
     return chunks.where(has).select(*keep, count.cast("double").alias("score")).where("score > 0")
 
 
-def ranked(rows: DataFrame, name: str, limit: int | None, key: str = "chunk_id", best: Column | None = None) -> DataFrame:
-    """key and 1-based rank in a list; with a limit only its first rows are ranked."""
-    order = [F.desc("score") if best is None else best, F.col(key)]
-    rows = rows.orderBy(*order).limit(limit) if limit else rows
-    return rows.select(key, F.row_number().over(Window.orderBy(*order)).alias("rank"), F.lit(name).alias("list"))
+def candidate_cap(offset: int, limit: int) -> int:
+    """Rows of each list that take part in the fusion for a page, where they are capped."""
+    return min(max(offset + limit + BEYOND, TIMES * limit), MOST_CANDIDATES)
+
 
+def ranked(rows: DataFrame, name: str, limit: int | None = None, key: str = "chunk_id", best: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """by, key and 1-based rank in a list, or in the lists of each value of `by`; with a limit only the first rows of one list are ranked.
 
-def fused(lists: Sequence[DataFrame], weights: Mapping[str, float] | None = None, key: str = "chunk_id") -> DataFrame:
-    """key and `score`: the sum of w / (60 + rank) over the lists, 6 decimals. One shuffle for any number of lists."""
+    Without a limit rows are dealt into ranges of the order, ranked within them, and the sizes of
+    the ranges before are added: no task holds a whole list.
+    """
+    order = [F.desc("score") if best is None else best, F.col(key)]
+    made = lambda df, rank: df.select(*by, key, rank.alias("rank"), F.lit(name).alias("list"))
+    if limit:
+        return made(rows.orderBy(*order).limit(limit), F.row_number().over(Window.orderBy(*order)))
+    rows = written(rows.select(*by, key, "score"), "list")
+    n = rows.count()
+    if n <= ONE_TASK:
+        return made(rows, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    parts = -(-n // ONE_TASK) * 2
+    placed = written(rows.repartitionByRange(parts, *by, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = placed.groupBy("part", *by).count()  # parts + lists rows at most
+    before = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    few = not by or before.limit(ONE_TASK + 1).count() <= ONE_TASK
+    within = placed.withColumn("rank", F.row_number().over(Window.partitionBy("part", *by).orderBy(*order)))
+    joined = within.join(F.broadcast(before) if few else before, ["part", *by])
+    return made(joined, (F.col("rank") + F.col("before")).cast("int"))
+
+
+def fused(lists: Sequence[DataFrame], weights: Mapping[str, float] | None = None, key: str = "chunk_id", by: Sequence[str] = ()) -> DataFrame:
+    """by, key and `score`: the sum of w / (60 + rank) over the lists, 6 decimals. One shuffle for any number of lists."""
     weights = {**WEIGHTS, **(weights or {})}
-    rows = reduce(DataFrame.unionByName, lists).groupBy(key).agg(*(F.min(F.when(F.col("list") == name, F.col("rank"))).alias(name) for name in WEIGHTS))
+    rows = reduce(DataFrame.unionByName, lists).groupBy(*by, key).agg(*(F.min(F.when(F.col("list") == name, F.col("rank"))).alias(name) for name in WEIGHTS))
     parts = [F.coalesce(F.lit(float(w)) / (RANK_CONSTANT + F.col(name)), F.lit(0.0)) if (w := weights[name]) > 0 else F.lit(0.0) for name in WEIGHTS]
-    return rows.select(key, F.round(parts[0] + parts[1] + parts[2], 6).alias("score"))
+    return rows.select(*by, key, F.round(parts[0] + parts[1] + parts[2], 6).alias("score"))
 
 
 # ------------------------------------------------------------------ over an index
@@ -137,38 +162,89 @@ def phrase_index(index: Index, query: str, slop: int, allowed: DataFrame | None)
         rows = rows.join(allowed, "chunk_id", "left_semi")
     # The terms of a chunk at their places, put together again from the positions.
     placed = rows.groupBy("chunk_id").agg(F.count("*").alias("n"), F.array_sort(F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("pos"), F.col("term").alias("term")))))).alias("at")).where(F.col("n") == len(set(phrase)))
-    k, wanted, slop = len(phrase), F.array(*(F.lit(t) for t in phrase)), slop_of(slop)
+    return placed.select("chunk_id", _placed_count(F.col("at"), F.array(*(F.lit(t) for t in phrase)), slop_of(slop)).alias("score")).where("score > 0")
+
+
+def _placed_count(at: Column, phrase: Column, slop: int) -> Column:
+    """Places where the phrase begins among terms at positions, as phrase_count."""
+    k = F.size(phrase)
 
     def begins(x: Column, i: Column) -> Column:
-        ahead = F.slice("at", i + 1, F.lit((k + slop)))
-        seen = F.aggregate(ahead, F.lit(0), lambda m, y: F.when((m < k) & (y["pos"] - x["pos"] < k + slop) & (y["term"] == F.get(wanted, m)), m + 1).otherwise(m))
+        ahead = F.slice(at, i + 1, k + F.lit(slop))
+        seen = F.aggregate(ahead, F.lit(0), lambda m, y: F.when((m < k) & (y["pos"] - x["pos"] < k + slop) & (y["term"] == F.get(phrase, m)), m + 1).otherwise(m))
         return (x["term"] == phrase[0]) & (seen == k)
 
-    return placed.select("chunk_id", F.size(F.filter("at", begins)).cast("double").alias("score")).where("score > 0")
+    return F.size(F.filter(at, begins)).cast("double")
+
+
+# ------------------------------------------------------------------ many queries over an index in one job
+def _few(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has at most ONE_TASK rows (of a term and an id)."""
+    return F.broadcast(df) if df.limit(ONE_TASK + 1).count() <= ONE_TASK else df
+
+
+def match_many(index: Index, terms: DataFrame) -> DataFrame:
+    """query_id, chunk_id and BM25 `score` for all terms (query_id, term) of many queries."""
+    stats = index.table("terms").join(F.broadcast(index.table("fields")), "field")  # fields has a row for each field
+    stats = _few(terms.join(stats, "term"))
+    rows = index.table("postings").select("term", "field", "chunk_id", "tf", "dl").join(stats, ["term", "field"])
+    weight = F.create_map(*(F.lit(x) for kv in FIELDS.items() for x in kv))[F.col("field")]
+    return rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight * bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl"))), 9).alias("score"))
+
+
+def phrase_many(index: Index, phrases: DataFrame, slop: int = 0) -> DataFrame:
+    """query_id, chunk_id and occurrences `score` for the phrases (query_id, phrase) of many queries."""
+    terms = phrases.select("query_id", F.explode(F.array_distinct("phrase")).alias("term"), F.size(F.array_distinct("phrase")).alias("wanted"))
+    rows = index.table("postings").where(F.col("field") == "content_text").select("term", "chunk_id", "positions").join(_few(terms), "term")
+    at = F.array_sort(F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("pos"), F.col("term").alias("term"))))))
+    placed = rows.groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"), F.first("wanted").alias("wanted"), at.alias("at")).where("n = wanted")
+    return placed.join(_few(phrases), "query_id").select("query_id", "chunk_id", _placed_count(F.col("at"), F.col("phrase"), slop_of(slop)).alias("score")).where("score > 0")
+
+
+def search_many(index: Index, queries: DataFrame, limit: int | None = None, slop: int = 0, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """query_id, rank, chunk_id and score of the best hits of each row of queries (query_id, query), match and phrase lists fused.
+
+    All queries read the postings once, in one job; lists are ranked whole.
+    """
+    asked = written(queries.select("query_id", tokenized(normalized(F.col("query"))).alias("phrase")).where(F.size("phrase") > 0), "queries")
+    terms = asked.select("query_id", F.explode(F.array_distinct("phrase")).alias("term"))
+    lists = [ranked(match_many(index, terms), "match", by=["query_id"]), ranked(phrase_many(index, asked, slop), "phrase", by=["query_id"])]
+    scores = fused(lists, weights, by=["query_id"])
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= clamp_limit(limit)).select("query_id", "rank", "chunk_id", "score")
 
 
 class Engine:
-    """Search and retrieval over a published index."""
+    """Search and retrieval over a published index. Lists are fused whole; capped: at most candidate_cap rows of each."""
 
-    def __init__(self, index: Index, collapse_keys: Sequence[str] = (), slop: int = 0, weights: Mapping[str, float] | None = None, provider: vectors.Provider | None = None, candidates: int | None = CANDIDATES):
-        self.index, self.collapse_keys, self.slop, self.weights, self.provider, self.candidates = index, list(collapse_keys), slop, dict(weights or {}), provider, candidates
+    def __init__(self, index: Index, collapse_keys: Sequence[str] = (), slop: int = 0, weights: Mapping[str, float] | None = None, provider: vectors.Provider | None = None, capped: bool = False):
+        self.index, self.collapse_keys, self.slop, self.weights, self.provider, self.capped = index, list(collapse_keys), slop, dict(weights or {}), provider, capped
         self.warnings: list[str] = []
 
     @property
     def chunks(self) -> DataFrame:
         return self.index.table("chunks")
 
+    @property
+    def heads(self) -> DataFrame:
+        """Chunks without their texts and vectors."""
+        return self.index.table("heads")
+
     def hits(self, request: Request) -> DataFrame:
-        """All hits with their scores, collapsed."""
-        allowed = self.chunks.where(matching(request.filters, request.taxonomy)).select("chunk_id") if request.filters else None
-        lists = [ranked(match_index(self.index, request.query, allowed), "match", self.candidates), ranked(phrase_index(self.index, request.query, self.slop, allowed), "phrase", self.candidates)]
-        if (near := self._near(request, allowed)) is not None:
+        """All hits with their scores, collapsed; no texts are read."""
+        allowed = self.heads.where(matching(request.filters, request.taxonomy)).select("chunk_id") if request.filters else None
+        cap = None
+        if self.capped:
+            offset = cursor.decode_search(request.cursor, request.query.strip(), request.filters) if request.cursor else 0
+            cap = candidate_cap(offset, clamp_limit(request.limit))
+        lists = [ranked(match_index(self.index, request.query, allowed), "match", cap), ranked(phrase_index(self.index, request.query, self.slop, allowed), "phrase", cap)]
+        if (near := self._near(request, allowed, cap)) is not None:
             lists.append(near)
         scores = fused(lists, {**self.weights, **request.weights})
-        rows = self.chunks.join(scores, "chunk_id")
+        rows = self.heads.join(scores, "chunk_id")
         return collapse.collapsed(rows, self.collapse_keys, request.filters, [F.desc("score"), F.collate("chunk_id", "UNICODE")])
 
-    def _near(self, request: Request, allowed: DataFrame | None) -> DataFrame | None:
+    def _near(self, request: Request, allowed: DataFrame | None, cap: int | None) -> DataFrame | None:
         """The vector list; without a provider, or if it fails, there is none."""
         if self.provider is None or not self.provider.dimensions or "vector" not in self.chunks.columns:
             return None
@@ -180,7 +256,7 @@ class Engine:
             return None
         rows = self.chunks.where(F.col("vector").isNotNull())
         rows = rows.join(allowed, "chunk_id", "left_semi") if allowed is not None else rows
-        return ranked(rows.select("chunk_id", vectors.distance(F.col("vector"), query).alias("score")), "vector", self.candidates, best=F.asc("score"))
+        return ranked(rows.select("chunk_id", vectors.distance(F.col("vector"), query).alias("score")), "vector", cap, best=F.asc("score"))
 
     def search(self, request: Request) -> Result:
         return page(self.hits(request), self.chunks, request, lambda q: match_index(self.index, q, None).select("chunk_id"))
@@ -209,10 +285,16 @@ def page(hits: DataFrame, chunks: DataFrame, request: Request, unfiltered) -> Re
     limit = clamp_limit(request.limit)
     offset = cursor.decode_search(request.cursor, query, request.filters) if request.cursor else 0
     rows = hits.orderBy(*lexical.order()).offset(offset).limit(limit + 1)
-    found = [r.asDict() for r in rows.select("chunk_id", "heading", "breadcrumb", snippet(F.col("content_text"), query).alias("snippet"), "filepath", F.map_filter("metadata", lambda k, v: v != "").alias("metadata"), F.round("score", 6).alias("score")).collect()]
+    found = [r.asDict() for r in rows.select("chunk_id", "heading", "breadcrumb", "filepath", F.map_filter("metadata", lambda k, v: v != "").alias("metadata"), F.round("score", 6).alias("score")).collect()]
     more = len(found) > limit
+    shown = found[:limit]
+    if shown:  # only their texts are read
+        mine = chunks.where(F.col("filepath").isin(sorted({r["filepath"] for r in shown})) & F.col("chunk_id").isin([r["chunk_id"] for r in shown]))
+        texts = {r["chunk_id"]: r["snippet"] for r in mine.select("chunk_id", snippet(F.col("content_text"), query).alias("snippet")).collect()}
+        for r in shown:
+            r["snippet"] = texts[r["chunk_id"]]
     after = cursor.encode_search(offset + limit, limit, query, request.filters) if more else None
-    return Result(found[:limit], after, None if found else hint(chunks, unfiltered(query), query, request.filters))
+    return Result(shown, after, None if found else hint(chunks, unfiltered(query), query, request.filters))
 
 
 # ------------------------------------------------------------------ hints
@@ -223,6 +305,7 @@ def suggestions(chunks: DataFrame, matches: DataFrame, filters: Mapping[str, str
     return rows.select(pairs.alias("p")).select("p.*").where((F.col("value") != "") & (F.col("value") != F.col("active"))).groupBy("key").agg(F.array_sort(F.collect_set("value")).alias("values"))
 
 
+#: The messages are fixed values.
 def hint(chunks: DataFrame, matches: DataFrame, query: str, filters: Mapping[str, str]) -> dict:
     if not matches.limit(1).count():
         return {"message": "0 results found. No matches were found for this query in the indexed corpus.", "suggested_filters": {}}
@@ -232,4 +315,4 @@ def hint(chunks: DataFrame, matches: DataFrame, query: str, filters: Mapping[str
 
 
 
-__all__ = ["Engine", "Request", "Result", "ScanEngine", "bm25", "fused", "hint", "match_index", "match_scan", "page", "phrase_count", "phrase_index", "phrase_scan", "ranked", "slop_of", "suggestions"]
+__all__ = ["Engine", "Request", "Result", "ScanEngine", "bm25", "fused", "hint", "candidate_cap", "match_index", "match_many", "match_scan", "page", "phrase_count", "phrase_index", "phrase_many", "phrase_scan", "ranked", "search_many", "slop_of", "suggestions"]

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import itertools
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -18,3 +23,28 @@ def session(master: str = "local[*]", name: str = "scriptorium", **more: str) ->
     for k, v in {**SETTINGS, **more}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+_serial = itertools.count()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where it is unset and the master is local (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not found and (master == "local" or master.startswith("local[")):
+        found = os.path.join(tempfile.gettempdir(), "scriptorium-shared")
+    if not found:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return found
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage of df: write it to the shared folder and read it again.
+
+    Unlike cached blocks the files outlive a lost executor.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/scriptorium/{label}-{next(_serial)}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
