@@ -20,13 +20,14 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("validate", "fix", "build"):
         sub.add_parser(name).add_argument("docs")
-    sub.choices["fix"].add_argument("--write", action="store_true", help=f"write {MANIFEST_NAME}")
+        sub.choices[name].add_argument("--manifest-name", default=MANIFEST_NAME)
+    sub.choices["fix"].add_argument("--write", action="store_true", help="write the manifest")
     b = sub.choices["build"]
     b.add_argument("out")
     b.add_argument("--description", default="Documentation")
     b.add_argument("--embedding", choices=("none", "hash"), default="none")
     b.add_argument("--rebuild", action="store_true")
-    b.add_argument("--json", help="also write the chunks as JSON lines to this folder")
+    b.add_argument("--json", help="also write the chunks as one JSON array to this file")
     s = sub.add_parser("search")
     s.add_argument("index")
     s.add_argument("query")
@@ -47,16 +48,16 @@ def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     spark = session(a.master)
     if a.command == "validate":
-        out: object = vars(build.validate(spark, a.docs))
+        out: object = vars(build.validate(spark, a.docs, a.manifest_name))
     elif a.command == "fix":
-        out = build.fix(spark, a.docs)
+        out = build.fix(spark, a.docs, a.manifest_name)
         if a.write:
-            with open(os.path.join(a.docs, MANIFEST_NAME), "x", encoding="utf-8") as f:
+            with open(os.path.join(a.docs, a.manifest_name), "x", encoding="utf-8") as f:
                 json.dump(out, f, indent=2)
     elif a.command == "build":
-        made, report = build.build(spark, a.docs, a.out, a.description, vectors.provider(a.embedding), rebuild=a.rebuild)
+        made, report = build.build(spark, a.docs, a.out, a.description, vectors.provider(a.embedding), rebuild=a.rebuild, manifest_name=a.manifest_name)
         if a.json:
-            index.export_json(made.table("chunks"), a.json)
+            index.export_json_array(made.table("chunks"), a.json)
         out = vars(report)
     else:
         made = index.Index.open(spark, a.index)

@@ -7,6 +7,9 @@ tools_called MAP<STRING,INT>, scores MAP<STRING,DOUBLE>.
 
 from __future__ import annotations
 
+import os
+import re
+import subprocess
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -120,6 +123,23 @@ def assertion(kind: str, value: str, answer: Column, flags: str = "") -> Column:
     raise ValueError(f"Unknown assertion '{kind}'")
 
 
+def file_assertion(kind: str, path: str, value: str, files: Column, flags: str = "") -> Column:
+    """Whether a written file (MAP<path, content>) fulfils file_contains or file_matches; a file that isn't there doesn't."""
+    if kind not in ("file_contains", "file_matches"):
+        raise ValueError(f"Unknown assertion '{kind}'")
+    return F.coalesce(assertion("contains" if kind == "file_contains" else "matches", value, files[path], flags), F.lit(False))
+
+
+def script_assertion(command: str, folder: str, when_env: str | None = None, timeout: float = 60.0) -> bool | None:
+    """Whether a command in a folder ends with 0 in time; None, not run, if the variable when_env is unset."""
+    if when_env and not os.environ.get(when_env):
+        return None
+    try:
+        return subprocess.run(command, shell=True, cwd=folder, capture_output=True, timeout=timeout, check=False).returncode == 0
+    except subprocess.TimeoutExpired:
+        return False
+
+
 def changed_assertions(a: DataFrame, b: DataFrame) -> DataFrame:
     """id and key of the assertions whose result differs between two runs (id, key, passed)."""
     return a.alias("a").join(b.alias("b"), ["id", "key"]).where(F.col("a.passed") != F.col("b.passed")).select("id", "key", F.col("a.passed").alias("passed_now"))
@@ -131,9 +151,78 @@ def tool_volume(trace: Column, tools: Sequence[str]) -> tuple[Column, Column]:
     return F.size(mine), F.aggregate(mine, F.lit(0), lambda n, t: n + F.length(F.coalesce(t["result"], F.lit(""))))
 
 
+def paired(calls: DataFrame, answers: DataFrame) -> DataFrame:
+    """Tool calls (scenario, seq, call_id, name) with `result`, the first answer (scenario, seq, call_id, result) to each; null without one."""
+    first = answers.groupBy("scenario", "call_id").agg(F.min_by("result", "seq").alias("result"))
+    return calls.join(first, ["scenario", "call_id"], "left").select(*calls.columns, "result")
+
+
+def volumes(pairs: DataFrame, prefix: str = TOOL_PREFIX) -> DataFrame:
+    """scenario, calls of a server's tools and characters of their results."""
+    mine = pairs.where(F.startswith("name", F.lit(prefix)))
+    return mine.groupBy("scenario").agg(F.count("*").alias("calls"), F.coalesce(F.sum(F.length("result")), F.lit(0)).alias("result_chars"))
+
+
+def included(scenarios: DataFrame, wanted: str | None) -> DataFrame:
+    """Scenarios whose id is in a comma-separated list; all of them without one, an error if none is left."""
+    ids = [x.strip() for x in (wanted or "").split(",") if x.strip()]
+    if not ids:
+        return scenarios
+    found = scenarios.where(F.col("id").isin(ids))
+    if not found.limit(1).count():
+        raise ValueError(f"No scenario matches '{wanted}'")
+    return found
+
+
+def usage_chart(usage: DataFrame, width: int = 40) -> list[str]:
+    """Lines of a bar chart of tools by calls, most first."""
+    rows = usage.orderBy(F.desc("calls"), "tool").collect()  # a row for each tool
+    most = max((r["calls"] for r in rows), default=0)
+    wide = max((len(r["tool"]) for r in rows), default=0)
+    return [f"{r['tool']:<{wide}}  {'█' * max(1, round(width * r['calls'] / most))} {r['calls']}" for r in rows if r["calls"]]
+
+
+_ANSI = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
+
+
+def plain(text: str) -> str:
+    """Text without terminal colours."""
+    return _ANSI.sub("", text)
+
+
+def padded(text: str, width: int) -> str:
+    return text + " " * max(0, width - len(plain(text)))
+
+
+def wrapped(text: str, width: int) -> list[str]:
+    """Lines of at most `width` visible characters, broken at spaces where there are any."""
+    lines, line = [], ""
+    for word in text.split():
+        while len(plain(word)) > width:
+            if line:
+                lines.append(line)
+                line = ""
+            lines.append(word[:width])
+            word = word[width:]
+        if line and len(plain(line)) + 1 + len(plain(word)) > width:
+            lines.append(line)
+            line = word
+        else:
+            line = f"{line} {word}" if line else word
+    return [*lines, line] if line or not lines else lines
+
+
+def spoken(ms: float) -> str:
+    """A duration as people write it."""
+    if ms < 1000:
+        return f"{ms:.0f}ms"
+    seconds = ms / 1000
+    return f"{seconds:.1f}s" if seconds < 60 else f"{int(seconds // 60)}m {seconds % 60:.0f}s"
+
+
 def token_cost(usage: DataFrame, pricing: DataFrame) -> DataFrame:
     """usage (model, input_tokens, cached_tokens, output_tokens) with cost_usd; prices (by million tokens) of unknown models are 0."""
-    rows = usage.join(F.broadcast(pricing), "model", "left")
+    rows = usage.join(pricing, "model", "left")
     cost = reduce(lambda a, b: a + b, ((n * F.coalesce(p, F.lit(0.0))) for n, p in ((F.col("input_tokens") - F.col("cached_tokens"), F.col("input_price")), (F.col("cached_tokens"), F.col("cached_price")), (F.col("output_tokens"), F.col("output_price"))))) / 1e6
     return rows.select(*usage.columns, F.round(cost, 6).alias("cost_usd"))
 
@@ -171,6 +260,25 @@ def written_files(trace: Column, workspace: str) -> Column:
     return F.array_distinct(F.transform(mine, lambda t: t["path"]))
 
 
+#: Languages by the ending of a file's name.
+LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "go": "go", "rs": "rust", "java": "java", "rb": "ruby", "php": "php", "cs": "csharp", "kt": "kotlin", "swift": "swift", "sh": "bash", "json": "json", "yaml": "yaml", "yml": "yaml", "md": "markdown", "sql": "sql"}
+
+
+def file_contents(workspace: str, paths: Sequence[str], most: int = MOST_FILE_CHARS) -> list[dict]:
+    """path, content (its first `most` characters), language and whether it was cut, of files of a workspace that are there."""
+    out = []
+    root = os.path.realpath(workspace)
+    for p in paths:
+        full = os.path.realpath(os.path.join(root, p))
+        if not full.startswith(root + os.sep) or not os.path.isfile(full):
+            continue
+        with open(full, encoding="utf-8", errors="replace") as f:
+            text = f.read(most + 1)
+        ending = os.path.splitext(full)[1][1:].lower()
+        out.append({"path": os.path.relpath(full, root), "content": text[:most], "language": LANGUAGES.get(ending, ending), "cut": len(text) > most})
+    return out
+
+
 def scores_of(raw: Column, metrics: Sequence[str]) -> Column:
     """MAP of the numeric feedback values of MAP<STRING,STRING>, null if there is none."""
     found = F.map_filter(F.transform_values(raw, lambda k, v: v.try_cast("double")), lambda k, v: k.isin(list(metrics)) & v.isNotNull())

@@ -5,9 +5,12 @@ Cases: expected STRING, ranked ARRAY<STRING>, rounds INT, name STRING, category
 
 from __future__ import annotations
 
+import json
+import os
+import threading
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Results that count, the category of cases without one, and the label of a case that isn't found.
@@ -80,18 +83,76 @@ def rank_label() -> Column:
 
 
 def flips(current: DataFrame, baseline: DataFrame, order: str | None = None) -> DataFrame:
-    """Cases by name whose verdict changed: regressions and improvements with their ranks. Of the baseline's cases of one name the last by `order` counts."""
+    """Cases by name whose verdict changed: regressions and improvements with their ranks. Of the baseline's cases of one name the last by `order` counts, or else the last in the order they come in."""
     judged = lambda df: df.select("name", (place() > 0).alias("passed"), rank_label().alias("rank"), *([order] if order else []))
-    before = judged(baseline)
-    if order:
-        before = before.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy(F.desc(order)))).where("nth = 1").drop("nth", order)
-    else:
-        before = before.dropDuplicates(["name"])
+    place_of = F.col(order) if order else F.monotonically_increasing_id()
+    before = judged(baseline).withColumn("at", place_of)
+    before = before.groupBy("name").agg(F.max_by(F.struct("passed", "rank"), "at").alias("b")).select("name", "b.*")
     both = judged(current).drop(*([order] if order else [])).alias("c").join(before.alias("b"), "name")
     kind = F.when(F.col("b.passed"), "regression").otherwise("improvement")
     return both.where(F.col("c.passed") != F.col("b.passed")).select("name", kind.alias("kind"), F.col("b.rank").alias("baseline_rank"), F.col("c.rank").alias("current_rank"))
 
 
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """A saved summary (one JSON object, or one with a `summary`) as a row, for delta()."""
+    found = spark.read.json(path, multiLine=True)
+    return found.select("summary.*") if "summary" in found.columns else found
+
+
+def save_summary(one: DataFrame, path: str) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"summary": one.first().asDict()}, f, indent=2)
+
+
+class PeakMemory:
+    """Greatest resident memory, in MB, of this process and its children while the block runs, sampled every 200 ms; None where it can't be read."""
+
+    EVERY = 0.2
+
+    def __enter__(self) -> PeakMemory:
+        self.mb: float | None = None
+        self._over = threading.Event()
+        self._thread = threading.Thread(target=self._watch, daemon=True)
+        self._thread.start()
+        return self
+
+    def _watch(self) -> None:
+        while True:
+            now = resident_mb(os.getpid())
+            if now is not None:
+                self.mb = max(self.mb or 0.0, now)
+            if self._over.wait(self.EVERY):
+                return
+
+    def __exit__(self, *_: object) -> None:
+        self._over.set()
+        self._thread.join()
+
+
+def resident_mb(pid: int) -> float | None:
+    """Resident memory of a process and those it started."""
+    parents: dict[int, list[int]] = {}
+    pages: dict[int, int] = {}
+    try:
+        for name in os.listdir("/proc"):
+            if name.isdigit():
+                try:
+                    with open(f"/proc/{name}/stat", encoding="utf-8", errors="replace") as f:
+                        fields = f.read().rpartition(")")[2].split()
+                except OSError:
+                    continue
+                parents.setdefault(int(fields[1]), []).append(int(name))
+                pages[int(name)] = int(fields[21])
+    except OSError:
+        return None
+    total, todo = 0, [pid]
+    while todo:
+        p = todo.pop()
+        total += pages.get(p, 0)
+        todo += parents.get(p, [])
+    return total * os.sysconf("SC_PAGE_SIZE") / 2**20
+
+
 def paged_rounds(ranks: DataFrame, limit: int = 5, most_rounds: int = 3) -> DataFrame:
     """Rounds of a paged search until the expected hit (rank from 1, null if there is none), all rounds and one more if it isn't in them."""
     needed = F.ceil(F.col("rank") / F.lit(limit)).cast("int")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Mapping, Sequence
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Limits of a taxonomy, and the version of the metadata document.
@@ -19,10 +20,19 @@ class MetadataError(ValueError):
     pass
 
 
-def taxonomy(chunks: DataFrame) -> DataFrame:
-    """key and its distinct non-empty values, sorted."""
+def taxonomy(chunks: DataFrame, most: int = MOST_VALUES) -> DataFrame:
+    """key and its distinct non-empty values in the collated order; one more than `most` of them at most, which is too many."""
     pairs = chunks.select(F.explode("metadata").alias("key", "value")).where(F.col("value") != "").distinct()
-    return pairs.groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    first = Window.partitionBy("key").orderBy(F.collate("value", "UNICODE"), "value")
+    few = pairs.withColumn("at", F.row_number().over(first)).where(F.col("at") <= most + 1)
+    return few.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("values"))
+
+
+def extracted(stored: Column, flat: Mapping[str, Column]) -> Column:
+    """Non-empty metadata of a JSON object, or of flat columns where the JSON can't be read."""
+    read = F.from_json(stored, "map<string,string>")
+    fallback = F.create_map(*(x for k, c in flat.items() for x in (F.lit(k), c.cast("string")))) if flat else F.create_map().cast("map<string,string>")
+    return F.map_filter(F.coalesce(read, fallback), lambda k, v: v.isNotNull() & (v != ""))
 
 
 def metadata_keys(chunks: DataFrame) -> DataFrame:
@@ -35,7 +45,7 @@ def corpus_statistics(chunks: DataFrame) -> DataFrame:
 
 def configured(values: DataFrame, config: DataFrame) -> DataFrame:
     """Taxonomy rows with what the manifests say of the key (key, vector_collapse, properties)."""
-    return values.join(F.broadcast(config), "key", "left").withColumn("vector_collapse", F.coalesce("vector_collapse", F.lit(False)))
+    return values.join(config, "key", "left").withColumn("vector_collapse", F.coalesce("vector_collapse", F.lit(False)))
 
 
 def unused_keys(config: DataFrame, values: DataFrame) -> DataFrame:
@@ -61,6 +71,12 @@ def build_document(chunks: DataFrame, description: str, config: Mapping[str, Map
     return normalized_document(out)
 
 
+def collation_key(text: str) -> tuple[str, str, str]:
+    """Order of a text among others as people sort: letters first, then accents, then small before capital."""
+    split = unicodedata.normalize("NFD", text)
+    return "".join(c for c in split if not unicodedata.combining(c)).casefold(), split.casefold(), text.swapcase()
+
+
 def _said(value: object, name: str) -> str:
     if not isinstance(value, str) or not value.strip():
         raise MetadataError(f"{name} must be a non-empty string")
@@ -82,7 +98,7 @@ def normalized_taxonomy(value: object) -> dict[str, dict]:
     for key, config in value.items():
         if not key or len(key) > MOST_KEY_CHARS or not isinstance(config, Mapping) or not isinstance(config.get("values"), (list, tuple)):
             raise MetadataError(f"taxonomy.{key} is invalid")
-        values = sorted({_said(v, f"taxonomy.{key}.values") for v in config["values"]})
+        values = sorted({_said(v, f"taxonomy.{key}.values") for v in config["values"]}, key=collation_key)
         if len(values) > MOST_VALUES or any(len(v) > MOST_VALUE_CHARS for v in values):
             raise MetadataError(f"taxonomy.{key} has too many or too long values")
         made: dict = {"values": values}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import evaluate, incremental, index, manifest, metadata, prompts, search, vectors
 from scriptorium.operators.chunking import chunk_files
+from scriptorium.session import written
 from scriptorium.sources import corpus
 
 
@@ -33,24 +34,25 @@ def read_prompts(root: str) -> tuple[list[dict], list[str]]:
     return out, warnings
 
 
-def validate(spark: SparkSession, root: str) -> Report:
-    """Parse and chunk everything; problems are raised or reported."""
-    files = corpus.read_corpus(spark, root)
+def validate(spark: SparkSession, root: str, manifest_name: str = corpus.MANIFEST_NAME) -> Report:
+    """Parse and chunk everything, once; problems are raised or reported."""
+    files = corpus.read_corpus(spark, root, manifest_name)
     found, warnings = read_prompts(root)
     n = files.agg(F.count("*").alias("n"), F.count_if(~F.col("has_manifest")).alias("bare")).first()
-    twice = duplicate_ids(chunk_files(files)).limit(20).collect()
+    ids = written(chunk_files(files).select("chunk_id"), "chunk-ids")
+    twice = duplicate_ids(ids).orderBy("chunk_id").limit(20).collect()
     warnings += [f"{n['bare']} files have no manifest."] if n["bare"] else []
     warnings += [f"Chunk id {r['chunk_id']} is there {r['n']} times." for r in twice]
-    return Report(n["n"], chunk_files(files).count(), len(found), warnings)
+    return Report(n["n"], ids.count(), len(found), warnings)
 
 
 def duplicate_ids(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def build(spark: SparkSession, root: str, out: str, description: str, provider: vectors.Provider | None = None, cache_dir: str | None = None, rebuild: bool = False) -> tuple[index.Index, Report]:
+def build(spark: SparkSession, root: str, out: str, description: str, provider: vectors.Provider | None = None, cache_dir: str | None = None, rebuild: bool = False, manifest_name: str = corpus.MANIFEST_NAME) -> tuple[index.Index, Report]:
     """Build or bring up to date the index of a corpus: unchanged files and unchanged inputs of vectors are reused."""
-    files = corpus.read_corpus(spark, root)
+    files = corpus.read_corpus(spark, root, manifest_name)
     found, warnings = read_prompts(root)
     previous = None
     if not rebuild and os.path.exists(os.path.join(out, index.POINTER)):
@@ -72,7 +74,7 @@ def build(spark: SparkSession, root: str, out: str, description: str, provider:
         vecs = spark.read.parquet(f"{work}/vectors")
         incremental.save_cache(vecs, base, config)
         embedding = {"provider": provider.name, "model": provider.name, "dimensions": provider.dimensions}
-    known = corpus.manifests(root).values()
+    known = corpus.manifests(root, manifest_name).values()
     config = manifest.merged_taxonomy(known)
     said = next((m.instructions for m in known if m.instructions), None)
     titles = {r["path"]: {"title": r["title"]} for r in files.where("title is not null").select("path", "title").collect()}  # a title for each file
@@ -82,9 +84,28 @@ def build(spark: SparkSession, root: str, out: str, description: str, provider:
     return made, Report(document["stats"]["total_files"], document["stats"]["total_chunks"], len(found), warnings)
 
 
-def fix(spark: SparkSession, root: str) -> dict:
+def fix(spark: SparkSession, root: str, manifest_name: str = corpus.MANIFEST_NAME) -> dict:
     """The manifest that the headings of a corpus suggest."""
-    return manifest.suggest_manifest(corpus.read_corpus(spark, root))
+    return manifest.suggest_manifest(corpus.read_corpus(spark, root, manifest_name))
+
+
+def cached_index(spark: SparkSession, root: str, cache: str, description: str, provider: vectors.Provider | None = None, manifest_name: str = corpus.MANIFEST_NAME) -> tuple[index.Index, bool]:
+    """The index of a corpus from a cache, and whether it was there; its key is a hash of the files, their settings and the provider."""
+    key = incremental.corpus_fingerprint(corpus.read_corpus(spark, root, manifest_name))
+    if provider is not None and provider.dimensions:
+        key = f"{key}-{incremental.provider_fingerprint(provider)[:16]}"
+    out = os.path.join(cache, key)
+    if os.path.exists(os.path.join(out, index.POINTER)):
+        return index.Index.open(spark, out), True
+    return build(spark, root, out, description, provider, manifest_name=manifest_name)[0], False
+
+
+def warm_up(engine: search.Engine | search.ScanEngine, cases: Sequence[dict], queries: int = 3) -> int:
+    """Search for the first few cases' queries, untimed, so that code is compiled and files are known; how many there were."""
+    some = list(dict.fromkeys(c["query"] for c in cases))[:queries]
+    for q in some:
+        engine.search(search.Request(q))
+    return len(some)
 
 
 def rank_cases(engine: search.Engine | search.ScanEngine, cases: Sequence[dict], limit: int = 5, most_rounds: int = 3) -> tuple[list[dict], list[float]]:
@@ -107,9 +128,11 @@ def rank_cases(engine: search.Engine | search.ScanEngine, cases: Sequence[dict],
     return out, times
 
 
-def evaluate_retrieval(spark: SparkSession, engine: search.Engine | search.ScanEngine, cases: Sequence[dict]) -> dict:
-    """Summary of an engine over evaluation cases."""
-    ranked, times = rank_cases(engine, cases)
+def evaluate_retrieval(spark: SparkSession, engine: search.Engine | search.ScanEngine, cases: Sequence[dict], warm: int = 3) -> dict:
+    """Summary of an engine over evaluation cases, with the peak memory of this process and its children."""
+    with evaluate.PeakMemory() as memory:
+        warm_up(engine, cases, warm)
+        ranked, times = rank_cases(engine, cases)
     rows = spark.createDataFrame([(c["expected"], c["ranked"], c["rounds"], c["name"], c["category"]) for c in ranked], "expected string, ranked array<string>, rounds int, name string, category string")
     ms = spark.createDataFrame([(t,) for t in times], "ms double")
-    return evaluate.full_summary(rows, ms, ms.where("false")).first().asDict()
+    return evaluate.full_summary(rows, ms, ms.where("false"), peak_mb=memory.mb or 0.0).first().asDict()
