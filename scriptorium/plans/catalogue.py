@@ -5,13 +5,16 @@ Ties are broken in binary order here, as SQL engines do.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import agent_eval, chunking, collapse, documents, evaluate, facets, incremental, lexical, manifest, metadata, search, vectors
+from scriptorium.operators import agent_eval, chunking, collapse, documents, evaluate, facets, incremental, index, lexical, manifest, metadata, search, vectors
+from scriptorium.session import shared_dir, written
 from scriptorium.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,9 +74,9 @@ def _lists(spark: SparkSession, d: str) -> list[DataFrame]:
     query = adapters.read(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()
     near = adapters.read(spark, d, "embeddings").join(rows.select("doc_id", "chunk_id"), F.col("vec_id") == F.col("doc_id")).select("chunk_id", F.round(vectors.distance(F.col("embedding"), [float(x) for x in query[0]]), 9).alias("score"))
     return [
-        search.ranked(search.match_scan(rows, WORDS), "match", 200),
-        search.ranked(search.phrase_scan(rows, PHRASE), "phrase", 200),
-        search.ranked(near, "vector", 200, best=F.asc("score")),
+        search.ranked(search.match_scan(rows, WORDS), "match"),
+        search.ranked(search.phrase_scan(rows, PHRASE), "phrase"),
+        search.ranked(near, "vector", best=F.asc("score")),
     ]
 
 
@@ -99,8 +102,7 @@ def _markdown(spark: SparkSession, d: str) -> DataFrame:
 
 def _pages_by_context(spark: SparkSession, d: str) -> DataFrame:
     rows = chunks(spark, d, indexed=True)
-    targets = rows.where("doc_id % 97 = 5").select("chunk_id")
-    return documents.in_context(rows, targets, 1).select("chunk_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    return documents.in_context(rows, rows.select("chunk_id"), 1).select("chunk_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def _cache(spark: SparkSession, d: str) -> DataFrame:
@@ -158,11 +160,140 @@ def _agent_fold(spark: SparkSession, d: str) -> DataFrame:
     return out.select("scenario", "num_turns", "final_answer", "input_tokens", "output_tokens", F.coalesce(F.col("tools_called")["Bash"], F.lit(0)).cast("long").alias("bash_calls"))
 
 
+def _index(spark: SparkSession, d: str) -> index.Index:
+    """An index of the documents, written to the shared folder and published."""
+    return index.build(chunks(spark, d, indexed=True), os.path.join(shared_dir(spark), "scriptorium", f"index-{uuid.uuid4().hex}"))
+
+
+def _batched(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best hits of every benchmark item's text, in one job over a published index."""
+    asked = adapters.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search.search_many(_index(spark, d), asked, 10)
+
+
+def _incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks after half of the files were there before: those of unchanged files are taken over, the others made."""
+    files = _markdown(spark, d).withColumn("strategy", F.struct(F.lit("h2").alias("chunk_by"), F.lit(None).cast("int").alias("max_chunk_size"), F.lit(None).cast("int").alias("min_chunk_size"))).withColumn("metadata", F.create_map().cast("map<string,string>")).withColumn("title", F.lit(None).cast("string"))
+    before = written(incremental.rechunk(files.where(F.crc32("path") % 2 == 0)), "previous")
+    return incremental.rechunk(files, before).select("chunk_id", "heading", "chunk_index")
+
+
+def _same_slugs(spark: SparkSession, d: str) -> DataFrame:
+    """Sections whose heading came before in their file, with the number that tells them apart."""
+    rows = chunking.chunk_files(_markdown(spark, d)).select("chunk_id")
+    return rows.select("chunk_id", F.regexp_extract("chunk_id", "-([0-9]+)$", 1).alias("nth")).where(F.col("chunk_id").rlike("#conversation-[0-9]+/[a-z]+-[0-9]+$"))
+
+
+def _hash_codes(spark: SparkSession, d: str) -> DataFrame:
+    return _hash_vectors(spark, d).select("chunk_id", F.array_join(F.transform("vector", lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string")), ",").alias("codes"))
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    checks = F.array(F.struct(F.lit(False).alias("soft"), (e % 3 > 0).alias("passed")), F.struct(F.lit(True).alias("soft"), (e % 5 > 0).alias("passed")))
+    errors = F.when(e % 17 == 0, F.array(F.lit("status 529: Overloaded"))).otherwise(F.array(F.concat(F.lit("error "), e.cast("string"))))
+    passed, skipped = agent_eval.verdict(F.when(e % 7 == 0, F.array_compact(F.array(F.lit(None).cast("struct<soft:boolean,passed:boolean>")))).otherwise(checks), errors)
+    return adapters.read(spark, d, "events").select("event_id", passed.alias("passed"), skipped.alias("skipped"))
+
+
+def _trend(spark: SparkSession, d: str) -> DataFrame:
+    names = ("pass_rate", "avg_turns", "avg_cost_usd", "avg_duration_ms")
+    now, before = (evaluate.long_form(agent_eval.summary(results(spark, d, run)), names) for run in (0, 1))
+    return agent_eval.trend(now, before, names[1:])
+
+
+def _tool_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every event with an even id calls a tool; of each third call's id two answers come, of which the first counts."""
+    e = F.col("event_id")
+    rows = adapters.read(spark, d, "events").select(F.col("user_id").alias("scenario"), e.alias("seq"), F.floor(e / 2).alias("call_id"), F.when(e % 4 == 0, "mcp__docs__search").otherwise("Bash").alias("name"), F.repeat(F.lit("x"), (e % 13).cast("int")).alias("result"))
+    calls = rows.where("seq % 2 = 0").select("scenario", "seq", "call_id", "name")
+    answers = rows.where("call_id % 3 > 0").select("scenario", F.col("seq").alias("seq"), "call_id", "result")
+    return agent_eval.volumes(agent_eval.paired(calls, answers))
+
+
+def _assertions(spark: SparkSession, d: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    files = F.create_map(F.lit("a.md"), text)
+    return adapters.read(spark, d, "conversations").select(
+        "conv_id", "turn",
+        agent_eval.assertion("contains", "the", text).alias("has"),
+        agent_eval.assertion("not_contains", "the", text).alias("has_not"),
+        agent_eval.assertion("matches", "^[a-m]", text, "i").alias("starts"),
+        agent_eval.file_assertion("file_contains", "a.md", "and", files).alias("file_has"),
+        agent_eval.file_assertion("file_matches", "b.md", ".", files).alias("no_file"),
+    )
+
+
+def _feedback(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    raw = F.create_map(F.lit("clarity"), F.when(e % 4 == 0, "n/a").otherwise((e % 10).cast("string")), F.lit("other"), F.lit("5"))
+    return adapters.read(spark, d, "events").select("event_id", agent_eval.scores_of(raw, ["clarity", "use"])["clarity"].alias("clarity"))
+
+
+def _written(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    call = lambda name, path: F.struct(name.alias("name"), path.alias("path"))
+    inside = F.concat(F.lit("/work/f"), (e % 5).cast("string"))
+    trace = F.array(call(F.lit("Write"), inside), call(F.lit("Edit"), F.concat(F.lit("/work/f"), (e % 2).cast("string"))), call(F.lit("Write"), F.lit("/tmp/x")), call(F.lit("Bash"), inside))
+    return adapters.read(spark, d, "events").select("event_id", F.array_join(agent_eval.written_files(trace, "/work/"), ",").alias("paths"))
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return agent_eval.latest_before(adapters.read(spark, d, "events").select(F.col("event_type").alias("suite"), F.concat(F.lit("run-"), F.col("event_id").cast("string")).alias("run")))
+
+
+def _changed_checks(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    run = lambda k: adapters.read(spark, d, "events").select(e.alias("id"), (e % 3).alias("key"), ((e + k) % 4 < 2).alias("passed"))
+    return agent_eval.changed_assertions(run(0), run(1))
+
+
+def _report(spark: SparkSession, d: str) -> DataFrame:
+    runs = adapters.read(spark, d, "documents").groupBy(F.col("lang").alias("label")).agg(F.sum("n_chars").alias("index_bytes"), F.count("*").alias("cases"))
+    return evaluate.benchmark_report(runs, 1_000_000, {"en": 0.13, "fr": 0.02}).select("label", "cases", "index_by_corpus", "embedding_cost", "query_cost")
+
+
+def _forms(spark: SparkSession, d: str) -> DataFrame:
+    """Which benchmark texts and ids made of them have the form of a chunk id; paths with the separators of all systems."""
+    rows = adapters.read(spark, d, "benchmark")
+    return rows.select("item_id", T.is_chunk_id(F.col("text")).alias("text_is_id"), T.is_chunk_id(F.concat(F.lit("a/b.md#"), F.replace("text", F.lit(" "), F.lit("-")))).alias("made_is_id"), T.posix_path(F.concat(F.lit("./a\\"), F.col("item_id").cast("string"))).alias("path"))
+
+
+def _config(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("scope", True), ("region", True)], "key string, vector_collapse boolean")
+
+
+def _metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata of stored JSON; where it can't be read, of flat columns."""
+    stored = F.when(F.col("doc_id") % 3 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("lang", F.lit("").alias("empty"))))
+    found = metadata.extracted(stored, {"lang": F.col("lang"), "source": F.col("source")})
+    return adapters.read(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(F.transform(F.map_entries(found), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("metadata"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "indexed_match": lambda s, d: search.match_index(_index(s, d), WORDS, None),
+        "indexed_phrase": lambda s, d: search.phrase_index(_index(s, d), PHRASE, 0, None).select("chunk_id", F.col("score").cast("long").alias("n")),
+        "batched_search": _batched,
+        "incremental_chunks": _incremental,
+        "duplicate_slugs": _same_slugs,
+        "scenario_verdicts": _judged,
+        "trend_rows": _trend,
+        "tool_pairs": _tool_pairs,
+        "text_and_file_assertions": _assertions,
+        "feedback_scores": _feedback,
+        "written_files": _written,
+        "latest_runs": _runs,
+        "changed_assertions": _changed_checks,
+        "benchmark_report": _report,
+        "chunk_id_forms": _forms,
+        "metadata_keys": lambda s, d: metadata.metadata_keys(chunks(s, d)),
+        "configured_taxonomy": lambda s, d: metadata.configured(metadata.taxonomy(chunks(s, d)), _config(s)).select("key", "vector_collapse", F.size("values").alias("n_values")),
+        "unused_keys": lambda s, d: metadata.unused_keys(_config(s), metadata.taxonomy(chunks(s, d))),
+        "metadata_extraction": _metadata,
         "hybrid_rrf": hybrid,
         "normalize_tokenize": lambda s, d: chunks(s, d).select("chunk_id", F.size(ts := T.tokenized(T.normalized(F.col("content_text")))).alias("n_tokens"), F.array_join(F.slice(ts, 1, 8), " ").alias("head")),
-        "slugify": lambda s, d: adapters.read(s, d, "documents").select("doc_id", T.slugified(F.substring("text", 1, 60)).alias("slug")),
+        "slugify": lambda s, d: adapters.read(s, d, "documents").select("doc_id", T.slugified(F.col("text")).alias("slug")),
         "snippet": lambda s, d: chunks(s, d).select("chunk_id", T.snippet(F.col("content_text"), WORDS).alias("snippet")),
         "lexical_topk": lambda s, d: _first(lexical.scored(chunks(s, d), WORDS), PAGE).select("chunk_id", "score"),
         "page_two": lambda s, d: _first(lexical.scored(chunks(s, d), WORDS), PAGE, PAGE).select("chunk_id", "score"),
@@ -188,7 +319,7 @@ def queries() -> dict[str, Query]:
         "majority_default": lambda s, d: manifest.majority(manifest.suggestions(_fixed_files(s, d))),
         "chunk_fingerprint": lambda s, d: chunks(s, d).select("chunk_id", T.joined_hash(F.lit('{"chunk_by":"h2"}'), F.lit("{}"), F.col("content")).alias("fingerprint")),
         "cache_partition": _cache,
-        "hash_embedding": _hash_vectors,
+        "hash_embedding": _hash_codes,
         "eval_summary": lambda s, d: evaluate.summary(cases(s, d)),
         "eval_by_category": lambda s, d: evaluate.by_category(cases(s, d)),
         "eval_delta": lambda s, d: evaluate.delta(evaluate.summary(cases(s, d)), evaluate.summary(cases(s, d, 2))),
@@ -224,10 +355,10 @@ def _count(x: str, w: str) -> str:
     return f"((length({x}) - length(replace({x}, '{w}', ''))) // {len(w)})"
 
 
-_CHUNKS = """chunks AS (SELECT doc_id, 'sdk/' || lang || '/' || source || '.md#' || doc_id AS chunk_id, 'sdk/' || lang || '/' || source || '.md' AS filepath,
+_CHUNKS = """chunks AS (SELECT doc_id, 'sdk/' || lang || '/' || source || '-' || (doc_id // 256) || '.md#' || doc_id AS chunk_id, 'sdk/' || lang || '/' || source || '-' || (doc_id // 256) || '.md' AS filepath,
   'Section ' || (doc_id % 7) AS heading, text AS content, lang AS language,
   CASE source WHEN 'src0' THEN 'global-guide' WHEN 'src1' THEN '' WHEN 'src2' THEN 'blog' ELSE 'sdk-specific' END AS scope,
-  row_number() OVER (PARTITION BY 'sdk/' || lang || '/' || source || '.md' ORDER BY doc_id) - 1 AS chunk_index FROM documents)"""
+  row_number() OVER (PARTITION BY 'sdk/' || lang || '/' || source || '-' || (doc_id // 256) || '.md' ORDER BY doc_id) - 1 AS chunk_index FROM documents)"""
 _FLAT = f"flat AS (SELECT *, {_n('content')} AS c, {_n('heading')} AS h FROM chunks)"
 _SNIPPET = f"""snip AS (SELECT chunk_id, c, greatest(0, coalesce({', '.join(f"nullif(strpos(c, '{w}'), 0)" for w in _WORDS)}, 1) - 1 - 60) AS s FROM flat),
 snippets AS (SELECT chunk_id, CASE WHEN length(c) <= 220 THEN c ELSE (CASE WHEN s > 0 THEN '...' ELSE '' END) || trim(substring(c, s + 1, least(length(c), s + 220) - s)) || (CASE WHEN least(length(c), s + 220) < length(c) THEN '...' ELSE '' END) END AS snippet FROM snip)"""
@@ -254,27 +385,76 @@ _RES = """(SELECT event_id AS e, event_id::VARCHAR AS id, CASE WHEN event_id % 9
 _RATES = "round(avg(activated::INT), 6) AS activation_rate, round(coalesce(sum((passed AND NOT skipped)::INT)::DOUBLE / nullif(sum((NOT skipped)::INT), 0), 0), 6) AS pass_rate"
 _SCORE = "SELECT 'clarity' AS metric, (event_id % 10)::DOUBLE AS v FROM events WHERE event_id % 10 > {r} UNION ALL SELECT 'use', (event_id % 7)::DOUBLE FROM events WHERE event_id % 7 > {r}"
 _CONV = "conv AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)"
+_CONVERSATION_CHUNKS = f"""WITH {_CONV} SELECT 'conversations/' || conv_id || '.md#_preamble' AS chunk_id, '' AS heading, 0 AS chunk_index FROM conversations GROUP BY conv_id
+UNION ALL SELECT 'conversations/' || conv_id || '.md#conversation-' || conv_id || '/' || role || CASE WHEN k > 1 THEN '-' || k ELSE '' END, role, i::INT FROM conv"""
 _SLUG = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9 -]', '', 'g'), ' +', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"
 _WAYS = "ways AS (SELECT 'c' || conv_id || '.md' AS path, CASE WHEN conv_id % 3 = 0 THEN CASE WHEN count(*) >= 2 THEN 'h1' ELSE 'file' END WHEN conv_id % 3 = 1 THEN CASE WHEN count(*) >= 2 THEN 'h2' ELSE 'file' END ELSE CASE WHEN count(*) >= 2 THEN 'h3' ELSE 'file' END END AS way FROM conversations GROUP BY conv_id)"
 
 
 def oracle_sql() -> dict[str, str]:
     w = f"WITH {_CHUNKS}"
+    bm25 = f"{w}, {_TERMS}, {_BM25} SELECT chunk_id, score FROM bm"
+    phrase = f"{w}, {_TERMS}, {_PAIRS} SELECT a.chunk_id, count(*) AS n FROM pos a JOIN pos b ON a.chunk_id = b.chunk_id AND b.p = a.p + 1 WHERE a.w = 'of' AND b.w = 'the' GROUP BY 1"
+    runs = "SELECT {rates}, round(avg(num_turns), 6) AS t, round(avg(cost), 6) AS c, round(avg(dur), 6) AS d FROM {res}"
     return {
+        "indexed_match": bm25,
+        "indexed_phrase": phrase,
+        "batched_search": f"""{w}, {_TERMS},
+qs AS (SELECT item_id AS query_id, {_t('text')} AS ph FROM benchmark),
+q AS (SELECT query_id, ph, list_sort(list_distinct(ph)) AS ts FROM qs WHERE len(ph) > 0),
+qt AS (SELECT query_id, unnest(ts) AS term FROM q),
+occ AS (SELECT chunk_id, 'h' AS f, unnest(th) AS term FROM terms UNION ALL SELECT chunk_id, 'c', unnest(tc) FROM terms),
+tf AS (SELECT chunk_id, f, term, count(*)::DOUBLE AS tf FROM occ GROUP BY ALL),
+dl AS (SELECT chunk_id, 'h' AS f, len(th)::DOUBLE AS dl FROM terms UNION ALL SELECT chunk_id, 'c', len(tc)::DOUBLE FROM terms),
+av AS (SELECT f, count(*)::DOUBLE AS n, avg(dl) AS a FROM dl GROUP BY f),
+df AS (SELECT f, term, count(*)::DOUBLE AS df FROM tf GROUP BY f, term),
+m AS (SELECT query_id, chunk_id, round(sum(CASE f WHEN 'h' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END * ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / a)) ORDER BY term, f), 9) AS score
+  FROM qt JOIN tf USING (term) JOIN dl USING (chunk_id, f) JOIN av USING (f) JOIN df USING (f, term) GROUP BY query_id, chunk_id),
+cand AS (SELECT query_id, chunk_id FROM qt JOIN (SELECT DISTINCT chunk_id, term FROM tf WHERE f = 'c') USING (term) GROUP BY query_id, chunk_id HAVING count(*) = (SELECT len(ts) FROM q WHERE q.query_id = qt.query_id)),
+pc AS (SELECT query_id, chunk_id, len(list_filter(range(1, len(tc) - len(ph) + 2), lambda i: tc[i:i + len(ph) - 1] = ph)) AS score FROM cand JOIN q USING (query_id) JOIN terms USING (chunk_id)),
+l AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)) AS s, 1 AS o FROM m
+  UNION ALL SELECT query_id, chunk_id, 1.25::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)), 2 FROM pc WHERE score > 0),
+fu AS (SELECT query_id, chunk_id, round(coalesce(max(s) FILTER (o = 1), 0) + coalesce(max(s) FILTER (o = 2), 0), 6) AS score FROM l GROUP BY ALL)
+SELECT query_id, rank::INT AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fu) WHERE rank <= 10""",
+        "incremental_chunks": _CONVERSATION_CHUNKS,
+        "duplicate_slugs": f"WITH {_CONV} SELECT 'conversations/' || conv_id || '.md#conversation-' || conv_id || '/' || role || '-' || k AS chunk_id, k::VARCHAR AS nth FROM conv WHERE k > 1",
+        "hash_embedding": f"""{w}, b AS (SELECT chunk_id, hex(encode(content)) AS x, octet_length(encode(content)) AS n FROM chunks),
+e AS (SELECT chunk_id, i % 64 AS k, sum((CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * ('0x' || substring(x, (2 * i + 1)::INT, 2))::INT)::DOUBLE AS y FROM (SELECT chunk_id, x, unnest(range(n)) AS i FROM b) GROUP BY ALL),
+a AS (SELECT chunk_id, k, coalesce(y, 0) AS y FROM (SELECT chunk_id, unnest(range(64)) AS k FROM chunks) LEFT JOIN e USING (chunk_id, k)),
+r AS (SELECT chunk_id, sqrt(sum(y * y)) AS r FROM a GROUP BY chunk_id)
+SELECT chunk_id, string_agg(round((CASE WHEN r > 0 THEN y / r ELSE y END)::FLOAT::DOUBLE * 1000)::BIGINT::VARCHAR, ',' ORDER BY k) AS codes FROM a JOIN r USING (chunk_id) GROUP BY chunk_id""",
+        "scenario_verdicts": "SELECT event_id, event_id % 7 <> 0 AND event_id % 3 > 0 AND NOT skipped AS passed, skipped FROM (SELECT event_id, event_id % 17 = 0 OR contains(event_id::VARCHAR, '529') AS skipped FROM events)",
+        "trend_rows": f"""WITH a AS ({runs.format(rates=_RATES, res=_RES.format(r=0))}), b AS ({runs.format(rates=_RATES, res=_RES.format(r=1))}),
+x AS (SELECT unnest(['pass_rate', 'avg_turns', 'avg_cost_usd', 'avg_duration_ms']) AS metric, unnest([b.pass_rate, b.t, b.c, b.d]) AS previous, unnest([a.pass_rate, a.t, a.c, a.d]) AS current FROM a, b)
+SELECT metric, previous, current, round(current - previous, 6) AS change, CASE WHEN abs(current - previous) < 0.001 THEN 'same' WHEN (current > previous) = (metric = 'pass_rate') THEN 'better' ELSE 'worse' END AS verdict FROM x""",
+        "tool_pairs": """WITH r AS (SELECT user_id AS scenario, event_id AS seq, event_id // 2 AS call_id, repeat('x', (event_id % 13)::INT) AS result FROM events),
+f AS (SELECT scenario, call_id, arg_min(result, seq) AS result FROM r WHERE call_id % 3 > 0 GROUP BY ALL)
+SELECT c.scenario, count(*) AS calls, coalesce(sum(length(f.result)), 0)::BIGINT AS result_chars FROM r c LEFT JOIN f USING (scenario, call_id) WHERE c.seq % 4 = 0 GROUP BY c.scenario""",
+        "text_and_file_assertions": "SELECT conv_id, turn, contains(coalesce(text, ''), 'the') AS has, NOT contains(coalesce(text, ''), 'the') AS has_not, regexp_matches(coalesce(text, ''), '^[a-mA-M]') AS starts, contains(coalesce(text, ''), 'and') AS file_has, false AS no_file FROM conversations",
+        "feedback_scores": "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN (event_id % 10)::DOUBLE END AS clarity FROM events",
+        "written_files": "SELECT event_id, CASE WHEN event_id % 5 = event_id % 2 THEN '/work/f' || (event_id % 5) ELSE '/work/f' || (event_id % 5) || ',/work/f' || (event_id % 2) END AS paths FROM events",
+        "latest_runs": "SELECT event_type AS suite, max('run-' || event_id) AS run FROM events GROUP BY event_type",
+        "changed_assertions": "SELECT event_id AS id, event_id % 3 AS key, event_id % 4 < 2 AS passed_now FROM events WHERE (event_id % 4 < 2) <> ((event_id + 1) % 4 < 2)",
+        "benchmark_report": "SELECT lang AS label, count(*) AS cases, round(sum(n_chars) / 1000000.0::DOUBLE, 6) AS index_by_corpus, round(0.25::DOUBLE * CASE lang WHEN 'en' THEN 0.13::DOUBLE WHEN 'fr' THEN 0.02::DOUBLE ELSE 0 END, 6) AS embedding_cost, round(0.00002::DOUBLE * CASE lang WHEN 'en' THEN 0.13::DOUBLE WHEN 'fr' THEN 0.02::DOUBLE ELSE 0 END, 9) AS query_cost FROM documents GROUP BY lang",
+        "chunk_id_forms": r"SELECT item_id, regexp_matches(text, '^[^#\s]+(#[^#\s]+)?$') AS text_is_id, regexp_matches('a/b.md#' || replace(text, ' ', '-'), '^[^#\s]+(#[^#\s]+)?$') AS made_is_id, 'a/' || item_id AS path FROM benchmark",
+        "metadata_keys": "SELECT unnest(['language', 'scope']) AS key",
+        "configured_taxonomy": f"{w} SELECT 'language' AS key, false AS vector_collapse, count(DISTINCT language)::INT AS n_values FROM chunks UNION ALL SELECT 'scope', true, count(DISTINCT scope)::INT FROM chunks WHERE scope <> ''",
+        "unused_keys": "SELECT 'region' AS key",
+        "metadata_extraction": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'lang=' || lang || ',source=' || source ELSE 'lang=' || lang END AS metadata FROM documents",
         "hybrid_rrf": f"""{w}, {_FLAT}, {_SNIPPET}, {_TERMS}, {_BM25}, {_PAIRS},
 ph AS (SELECT a.chunk_id, count(*) AS score FROM pos a JOIN pos b ON a.chunk_id = b.chunk_id AND b.p = a.p + 1 AND a.w = 'of' AND b.w = 'the' GROUP BY 1),
 vq AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
 ve AS (SELECT chunk_id, round(list_distance(embedding::DOUBLE[], q), 9) AS score FROM embeddings JOIN chunks ON vec_id = doc_id, vq),
 l AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS r, 1.0::DOUBLE AS wt, 1 AS o FROM bm UNION ALL SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id), 1.25::DOUBLE, 2 FROM ph UNION ALL SELECT chunk_id, row_number() OVER (ORDER BY score, chunk_id), 1.0::DOUBLE, 3 FROM ve),
-fu AS (SELECT chunk_id, round(coalesce(max(wt / (60 + r)) FILTER (o = 1), 0) + coalesce(max(wt / (60 + r)) FILTER (o = 2), 0) + coalesce(max(wt / (60 + r)) FILTER (o = 3), 0), 6) AS score FROM l WHERE r <= 200 GROUP BY chunk_id ORDER BY 2 DESC, 1 LIMIT 50)
+fu AS (SELECT chunk_id, round(coalesce(max(wt / (60 + r)) FILTER (o = 1), 0) + coalesce(max(wt / (60 + r)) FILTER (o = 2), 0) + coalesce(max(wt / (60 + r)) FILTER (o = 3), 0), 6) AS score FROM l GROUP BY chunk_id ORDER BY 2 DESC, 1 LIMIT 50)
 SELECT chunk_id, score, snippet FROM fu JOIN snippets USING (chunk_id)""",
         "normalize_tokenize": f"{w}, {_TERMS} SELECT chunk_id, len(tc)::INT AS n_tokens, array_to_string(tc[1:8], ' ') AS head FROM terms",
-        "slugify": f"SELECT doc_id, coalesce(nullif({_SLUG.format(x='substring(text, 1, 60)')}, ''), 'section') AS slug FROM documents",
+        "slugify": f"SELECT doc_id, coalesce(nullif({_SLUG.format(x='text')}, ''), 'section') AS slug FROM documents",
         "snippet": f"{w}, {_FLAT}, {_SNIPPET} SELECT chunk_id, snippet FROM snippets",
         "lexical_topk": f"{w}, {_FLAT}, {_LEX} SELECT chunk_id, score FROM scored WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT {PAGE}",
         "page_two": f"{w}, {_FLAT}, {_LEX} SELECT chunk_id, score FROM scored WHERE score > 0 ORDER BY score DESC, chunk_id LIMIT {PAGE} OFFSET {PAGE}",
-        "bm25_match": f"{w}, {_TERMS}, {_BM25} SELECT chunk_id, score FROM bm",
-        "phrase_exact": f"{w}, {_TERMS}, {_PAIRS} SELECT a.chunk_id, count(*) AS n FROM pos a JOIN pos b ON a.chunk_id = b.chunk_id AND b.p = a.p + 1 WHERE a.w = 'of' AND b.w = 'the' GROUP BY 1",
+        "bm25_match": bm25,
+        "phrase_exact": phrase,
         "phrase_slop2": f"{w}, {_TERMS}, {_PAIRS} SELECT a.chunk_id, count(DISTINCT a.p) AS n FROM pos a JOIN pos b ON a.chunk_id = b.chunk_id AND b.p BETWEEN a.p + 1 AND a.p + 3 WHERE a.w = 'of' AND b.w = 'the' GROUP BY 1",
         "vector_knn_l2": "SELECT vec_id, round(d, 6) AS distance FROM (SELECT vec_id, list_distance(embedding::DOUBLE[], list_transform(range(64), lambda i: 0.1::DOUBLE)) AS d FROM embeddings) ORDER BY d, vec_id LIMIT 20",
         "facet_equality": f"{w} SELECT chunk_id FROM chunks WHERE language = 'en' AND scope = 'blog'",
@@ -284,15 +464,14 @@ SELECT chunk_id, score, snippet FROM fu JOIN snippets USING (chunk_id)""",
         "hint_suggestions": f"{w}, {_FLAT}, m AS (SELECT * FROM flat WHERE contains(c, 'idiot') OR contains(h, 'idiot')) SELECT key, string_agg(DISTINCT v, ',' ORDER BY v) AS values FROM (SELECT 'language' AS key, language AS v FROM m WHERE language NOT IN ('', 'xx') UNION ALL SELECT 'scope', scope FROM m WHERE scope NOT IN ('', 'blog')) GROUP BY key",
         "get_doc_context": f"""{w}, tot AS (SELECT *, count(*) OVER (PARTITION BY filepath) AS total FROM chunks)
 SELECT t.chunk_id, sha256(string_agg('--- Chunk: ' || n.chunk_id || ' (Chunk ' || (n.chunk_index + 1) || ' of ' || n.total || ') (' || CASE WHEN n.chunk_index = t.chunk_index THEN 'Target' WHEN n.chunk_index > t.chunk_index THEN 'Context: +' || (n.chunk_index - t.chunk_index) ELSE 'Context: ' || (n.chunk_index - t.chunk_index) END || ') ---' || chr(10) || n.content, chr(10) || chr(10) ORDER BY n.chunk_index)) AS text_sha256
-FROM tot t JOIN tot n ON n.filepath = t.filepath AND n.chunk_index BETWEEN t.chunk_index - 1 AND t.chunk_index + 1 WHERE t.doc_id % 97 = 5 GROUP BY t.chunk_id""",
+FROM tot t JOIN tot n ON n.filepath = t.filepath AND n.chunk_index BETWEEN t.chunk_index - 1 AND t.chunk_index + 1 GROUP BY t.chunk_id""",
         "get_doc_full": f"{w} SELECT filepath, sha256(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index)) AS text_sha256 FROM chunks GROUP BY filepath",
         "list_filepaths": f"{w} SELECT filepath, chunk_id FROM chunks WHERE language = 'de' AND chunk_index = 0",
         "resource_entries": f"{w} SELECT filepath, chunk_id FROM chunks WHERE (language = 'es' OR scope = 'global-guide') AND chunk_index = 0",
         "resource_titles": "SELECT DISTINCT 'api/' || lang || '/json-' || source || '.md' AS filepath, 'API / ' || upper(lang[1]) || lang[2:] || ' / JSON ' || source AS title FROM documents",
         "taxonomy_build": f"{w} SELECT 'language' AS key, string_agg(DISTINCT language, ',' ORDER BY language) AS values FROM chunks UNION ALL SELECT 'scope', string_agg(DISTINCT scope, ',' ORDER BY scope) FROM chunks WHERE scope <> ''",
         "corpus_stats": f"{w} SELECT count(*) AS total_chunks, count(DISTINCT filepath) AS total_files FROM chunks",
-        "chunk_conversations": f"""WITH {_CONV} SELECT 'conversations/' || conv_id || '.md#_preamble' AS chunk_id, '' AS heading, 0 AS chunk_index FROM conversations GROUP BY conv_id
-UNION ALL SELECT 'conversations/' || conv_id || '.md#conversation-' || conv_id || '/' || role || CASE WHEN k > 1 THEN '-' || k ELSE '' END, role, i::INT FROM conv""",
+        "chunk_conversations": _CONVERSATION_CHUNKS,
         "suggest_chunk_by": f"WITH {_WAYS} SELECT path, way FROM ways",
         "majority_default": f"WITH {_WAYS} SELECT way, count(*) AS n FROM ways GROUP BY way ORDER BY n DESC, list_position(['h2', 'h1', 'h3', 'file'], way) LIMIT 1",
         "chunk_fingerprint": f"{w} SELECT chunk_id, sha256('{{\"chunk_by\":\"h2\"}}' || chr(0) || '{{}}' || chr(0) || content) AS fingerprint FROM chunks",

@@ -21,17 +21,20 @@ CHUNK_SCHEMA = T.StructType(
 )
 
 
+FILE_IDS = 256
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents_as_chunks(documents: DataFrame, indexed: bool = False) -> DataFrame:
-    """Each document as a chunk of the file of its language and source; facets language and scope.
+    """Each document as a chunk of a file of its language and source, FILE_IDS ids to a file; facets language and scope.
 
     indexed adds chunk_index, which needs the rows of a file in one place.
     """
     scope = F.when(F.col("source") == "src0", "global-guide").when(F.col("source") == "src1", "").when(F.col("source") == "src2", "blog").otherwise("sdk-specific")
-    filepath = F.concat(F.lit("sdk/"), F.col("lang"), F.lit("/"), F.col("source"), F.lit(".md"))
+    filepath = F.concat(F.lit("sdk/"), F.col("lang"), F.lit("/"), F.col("source"), F.lit("-"), F.floor(F.col("doc_id") / FILE_IDS).cast("string"), F.lit(".md"))
     heading = F.concat(F.lit("Section "), (F.col("doc_id") % 7).cast("string"))
     out = documents.select(
         F.concat(filepath, F.lit("#"), F.col("doc_id").cast("string")).alias("chunk_id"),

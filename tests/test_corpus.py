@@ -192,6 +192,6 @@ def test_failing_providers():
         return [[1.0]] * len(texts)
 
     assert vectors.CallableProvider(flaky, 1, batch=2).embed(["a", "b", "c"]) == [[1.0]] * 3
-    assert calls == [2, 2, 1]
+    assert sorted(calls) in ([1, 1, 2], [1, 2, 2])  # two batches side by side, of which the first to come is tried again
     with pytest.raises(ValueError, match="vectors"):
         vectors.CallableProvider(lambda t: [], 1).embed(["a"])
