@@ -6,23 +6,19 @@ import contextlib
 import ctypes
 import functools
 import gc
-import itertools
-import os
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.session import shared_dir, written
+
 #: Words stand between runs of these characters, once A-Z are lower-cased (fixed value of the word contract).
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_serial = itertools.count()
-
 
 def tidy(work: Callable) -> Callable:
     """A function over an iterator of batches that gives its memory back at the end: Python workers live on for other tasks."""
@@ -73,28 +69,4 @@ def number(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.try_cast("long"), F.when(doc_id.isNotNull(), F.xxhash64(doc_id.cast("string"))), F.xxhash64(text))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and spark.sparkContext.master.startswith("local[") or not found and spark.sparkContext.master == "local":
-        found = os.path.join(tempfile.gettempdir(), "scriptorium-shared")
-    if not found:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return found
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage of df: write it to the shared folder and read it again.
-
-    Unlike cached blocks the files outlive a lost executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/scriptorium/{label}-{next(_serial)}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dealt_blindly(df: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Deal rows out evenly whatever their keys are."""
-    spark = df.sparkSession
-    return df.repartition(tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+__all__ = ["BETWEEN_WORDS", "held_out", "lean", "let", "number", "shared_dir", "table", "tidy", "words", "written"]

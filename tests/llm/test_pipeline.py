@@ -40,3 +40,16 @@ def test_an_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF), name)
     assert docs.collect() == []
+
+
+def test_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows and further columns with the operators' own names."""
+    rows = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (None, "no id"), (None, "another without id"), (5, "ñandú ☃ é́ ▁ x"), (6, "word " * 40_000), (7, "x" * 300_000), (8, "call +49 30 1234567 or mail a@b.example.org now")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or ""), 1, 2, "k") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, id int, _k int, key string")
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, written(stage(spark, docs, SF), name)
+        if name != "sentencepiece":
+            assert docs.dtypes == before.dtypes
+    got = [r.doc_id for r in docs.collect()]
+    assert sorted(x for x in got if x is not None) == [4, 5, 6, 7, 8] and got.count(None) == 2
+    assert all(r.lossless for r in docs.collect())
