@@ -46,6 +46,11 @@ def main() -> None:
         engine.search(search.Request(t))
         times.append(time.time() - began)
     took["indexed_search_p50"] = round(sorted(times)[len(times) // 2], 3)
+    some = [r["text"].split() for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(100).collect()]
+    asked = spark.createDataFrame([(i, " ".join(w[1:3])) for i, w in enumerate(some)], "query_id int, query string")
+    began = time.time()
+    search.search_many(built, asked, 10).write.format("noop").mode("overwrite").save()
+    took["batched_search_per_query"] = round((time.time() - began) / max(1, len(some)), 4)
     try:
         from scriptorium.llm import queries as llm
     except ImportError:
