@@ -181,12 +181,24 @@ def decode(token: str, lm: CharModel) -> str:
     return "".join(reversed(out))
 
 
+def undoubled(word: str, at: int, lm: CharModel) -> str:
+    """What decode gives for a word of letters of which only those at `at` and behind are equal: two paths that differ in a few trigrams."""
+    w, k = f"{START}{START}{word}{END}", at + 3
+    both = sum(lm.cost(w[j - 2], w[j - 1], w[j]) for j in range(k, min(k + 3, len(w))))
+    v = w[:k] + w[k + 1 :]
+    one = DOUBLED + sum(lm.cost(v[j - 2], v[j - 1], v[j]) for j in range(k, min(k + 2, len(v))))
+    return word if both <= one else v[2:-1]
+
+
 def restore_token(token: str, lm: CharModel) -> str:
     """Lower-case core of a token or a stretch of short ones, restored where it may be obfuscated."""
     core = token.lower().lstrip(_LEAD).rstrip(_TRAIL)
-    if not core or core.isalpha() and not _AGAIN.search(core):
+    again = _AGAIN.search(core)
+    if not core or core.isalpha() and not again:
         return core
-    if _ODD.search(core) or _AGAIN.search(core) or _DOTTED.match(core) or " " in core or "\t" in core:
+    if again and core.isalpha() and not _AGAIN.search(core, again.start() + 1):
+        return undoubled(core, again.start(), lm)
+    if _ODD.search(core) or again or _DOTTED.match(core) or " " in core or "\t" in core:
         return decode(core, lm).strip()
     return core
 

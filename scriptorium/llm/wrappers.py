@@ -540,12 +540,29 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return trees.mapInArrow(decide, "host string, kind string, pattern string, wrapper string")
 
 
+def kinds(pages: DataFrame) -> DataFrame:
+    """pages with the `kind` of their content."""
+
+    @tidy
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [parse(page)[2] for page in b.column(b.schema.get_field_index("html")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*b.schema.names, "kind"])
+
+    return pages.mapInArrow(read, ", ".join(f"{n} {t}" for n, t in pages.dtypes) + ", kind string")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (page_id, url, html)."""
-    fitted = written(wrappers(pages).groupBy("host").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("kind", "wrapper")))).alias("wrappers")), "wrappers")
-    size = fitted.agg(F.count("*").alias("n"), F.sum(F.length("wrappers")).alias("bytes")).first()
-    few = size["n"] <= BROADCAST_HOSTS and (size["bytes"] or 0) <= BROADCAST_BYTES
-    both = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(F.broadcast(fitted) if few else fitted, "host", "left").select("page_id", "url", "html", "wrappers")
+    fitted = written(wrappers(pages).select("host", "kind", "wrapper"), "wrappers")
+    size = fitted.agg(F.count_distinct("host").alias("n"), F.sum(F.length("wrapper")).alias("bytes")).first()
+    named = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
+    if size["n"] <= BROADCAST_HOSTS and (size["bytes"] or 0) <= BROADCAST_BYTES:
+        by_host = fitted.groupBy("host").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("kind", "wrapper")))).alias("wrappers"))
+        both = named.join(F.broadcast(by_host), "host", "left").select("page_id", "url", "html", "wrappers")
+    else:  # a host may have any number of kinds: each page meets the wrapper of its own
+        own = fitted.select("host", "kind", F.to_json(F.create_map("kind", "wrapper")).alias("wrappers"))
+        both = kinds(named).join(own, ["host", "kind"], "left").select("page_id", "url", "html", "wrappers")
 
     @tidy
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

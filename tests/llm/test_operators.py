@@ -388,6 +388,17 @@ def test_decoding_is_the_cheapest_of_all_paths():
             assert price[got] == pytest.approx(min(price.values()))
 
 
+def test_one_doubled_letter_is_decided_as_by_decoding():
+    rng = random.Random(3)
+    n = 0
+    while n < 300:
+        word = "".join(rng.choice("idotmrnaes") for _ in range(rng.randint(2, 9)))
+        found = re.search(r"(.)\1", word)
+        if found and not re.search(r"(.)\1", word[found.start() + 1 :]):
+            n += 1
+            assert toxicity.restore_token(word, LM) == toxicity.decode(word, LM)
+
+
 def test_long_tokens_are_decoded_whole():
     for n in (60, 63, 64, 65, 70, 3000):  # nothing changes at a length
         token = ".".join("idiot" * n)
@@ -686,6 +697,15 @@ def test_many_trees_in_rounds(spark, monkeypatch):
     assert got == {i: "\n".join(ps) for i, ps in enumerate(own)}
 
 
+def test_pages_meet_their_wrapper_by_join_as_well(spark, monkeypatch):
+    pages = table(spark, SF, "pages")
+    own, rows = unmarked_pages()
+    df = pages.unionByName(spark.createDataFrame([*rows, (None, None, None)], "page_id long, url string, html string"))
+    want = sorted(map(tuple, wrappers.main_text(df).collect()), key=repr)
+    monkeypatch.setattr(wrappers, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, wrappers.main_text(df).collect()), key=repr) == want
+
+
 def test_deep_and_wide_pages(spark):
     rows = [
         (1, None, "<div>" * 100_000 + "deep"),
