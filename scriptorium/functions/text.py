@@ -116,11 +116,3 @@ def joined_hash(*parts: Column) -> Column:
 
 def rounded(value: Column) -> Column:
     return F.round(value, 6)
-
-
-def proper_case(text: Column, words: dict[str, str]) -> Column:
-    """Words as `words` spells them, the others in sentence case; '-' and '_' separate."""
-    lookup = F.create_map(*(F.lit(x) for kv in words.items() for x in kv)) if words else F.create_map().cast("map<string,string>")
-    parts = F.filter(F.split(F.lower(text), r"[\s_-]+"), lambda w: w != "")
-    made = F.transform(parts, lambda w, i: F.coalesce(lookup[w], F.when(i == 0, F.initcap(w)).otherwise(w)))
-    return F.array_join(made, " ")
