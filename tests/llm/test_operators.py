@@ -851,6 +851,25 @@ def test_spans_by_brute_force(spark):
         assert {r.section: r.n_tokens for r in rows if r.doc_id == i and r.n_tokens} == dict(want)
 
 
+def test_largest_share_by_brute_force(spark):
+    """The rule that the query applies, byte by byte."""
+    enc = token_counts.encoder(token_counts.RANKS)
+    docs = {r.doc_id: r.text for r in table(spark, SF, "documents").limit(40).collect()}
+    rows = token_counts.count(table(spark, SF, "documents").where(f"doc_id in ({','.join(map(str, docs))})"), "largest").collect()
+    for i, text in docs.items():
+        starts = sorted((r.start_char, r.section) for r in rows if r.doc_id == i)
+        bounds = [(len(text[:c].encode()), s) for c, s in starts]
+        at, want = 0, collections.Counter()
+        for n in enc.ids(text):
+            end = at + int(enc.length[n])
+            held = collections.Counter()
+            for b in range(at, end):
+                held[max(s for c, s in bounds if c <= b)] += 1
+            want[min(held, key=lambda s: (-held[s], s))] += 1
+            at = end
+        assert {r.section: r.n_tokens for r in rows if r.doc_id == i and r.n_tokens} == dict(want)
+
+
 def test_long_white_space():
     enc = token_counts.encoder(token_counts.RANKS)
     for t in ("a" + " " * 3000 + "b", "a" + "\n" * 3999 + "b"):
