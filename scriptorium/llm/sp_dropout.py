@@ -42,7 +42,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 DROPOUT, SEED = 0.1, 42
 #: Characters worked on at once, rows encoded at once, segments merged in step; entries kept, longest segment that is kept; longest segment merged without a heap.
-_CHUNK, _ROWS, _BLOCK, _KEPT_MOST, _KEPT_WIDTH, _LONG = 400_000, 192, 16_384, 750_000, 16, 64
+_CHUNK, _ROWS, _BLOCK, _KEPT_MOST, _KEPT_WIDTH, _LONG = 200_000, 96, 8192, 350_000, 16, 64
 _NONE, _PAD = np.int32(2**31 - 1), np.int32(-(2**31))
 _U = np.uint64
 _FULL, _STEP = 2**64 - 1, 0x9E3779B97F4A7C15
