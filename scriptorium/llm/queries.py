@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, cdc, hnsw, langid, pii, sp_dropout, token_counts, toxicity, winnowing, wrappers
+from . import bagminhash, cdc, hnsw, langid, pii, shuffle, sp_dropout, token_counts, toxicity, winnowing, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_compression_language": langid.query,
         "op9_token_attribution": token_counts.query,
         "op10_winnowing_decontamination": winnowing.query,
+        "op11_hypergeometric_shuffle": shuffle.query,
     }
 
 
