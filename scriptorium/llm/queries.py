@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, cdc, hnsw, langid, pii, shuffle, sp_dropout, token_counts, toxicity, winnowing, wrappers
+from . import bagminhash, cdc, collocations, hnsw, langid, pii, shuffle, sp_dropout, token_counts, toxicity, winnowing, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,10 +22,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_attribution": token_counts.query,
         "op10_winnowing_decontamination": winnowing.query,
         "op11_hypergeometric_shuffle": shuffle.query,
+        "op12_pivot_collocations": collocations.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op10_winnowing_decontamination": winnowing.ORACLE,
+        "op12_pivot_collocations": collocations.ORACLE,
     }
