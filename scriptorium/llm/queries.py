@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, cdc, collocations, hnsw, langid, pii, shuffle, sp_dropout, token_counts, toxicity, winnowing, wrappers
+from . import bagminhash, cdc, collocations, hnsw, langid, pii, prefix_trie, shuffle, sp_dropout, token_counts, toxicity, winnowing, wrappers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_winnowing_decontamination": winnowing.query,
         "op11_hypergeometric_shuffle": shuffle.query,
         "op12_pivot_collocations": collocations.query,
+        "op13_prefix_trie": prefix_trie.query,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op10_winnowing_decontamination": winnowing.ORACLE,
         "op12_pivot_collocations": collocations.ORACLE,
+        "op13_prefix_trie": prefix_trie.ORACLE,
     }
