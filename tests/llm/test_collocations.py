@@ -69,7 +69,7 @@ def test_each_n_gram_has_one_owner():
         for k in (2, 3):
             want.update(t for i in range(len(r) - k + 1) if 0 not in (t := tuple(r[i : i + k])))
         got = collections.Counter()
-        columns, n = collocations.fragments(codes, ranks)
+        columns, n = collocations.fragments(np.array(r))
         for l2, l1, w, r1, r2, m in zip(*columns, n, strict=True):
             for t in ((l1, w), (w, r1), (l2, l1, w), (l1, w, r1), (w, r1, r2)):
                 if 0 not in t:
