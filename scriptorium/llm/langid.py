@@ -6,8 +6,12 @@ is compressed with each dictionary behind a passage of LEAD bytes of that langua
 and counts for what it adds to the passage alone, so that frame headers and tables
 don't drown short texts. The language with the smallest sum wins.
 The verdict is rejected as too close when the runner-up's sum exceeds the winner's
-by less than REJECT_MARGIN of it, less SLACK bytes: the fewer bytes there are, the
-less they say of closeness, whatever the length.
+by less than what texts in none of the languages show by chance: REJECT_MARGIN of it,
+NOISE bytes for a match that happens to be there (times the bytes of a letter, as a match
+spans whole letters), and FEW / letters bytes for what frames alone make of a few letters.
+So ties and near-ties are rejected at every length. A text that no dictionary shortens,
+against the same compressor without one, is rejected too; where only one language is
+known, nothing but this decides, and NOISE bytes are let pass.
 
 The dictionaries are fitted on a bounded sample: of the distinct labelled texts of a
 language, held-out rows aside, the SAMPLE_DOCS of least hash, each whole.
@@ -33,7 +37,8 @@ from .common import held_out, lean, table, tidy, written
 
 SAMPLE_DOCS = 64
 PIECE, LEAD = 8192, 800
-REJECT_MARGIN, SLACK = 0.01, 0.5
+#: Measured on sentences in scripts and languages without a dictionary and on random letters.
+REJECT_MARGIN, NOISE, FEW = 0.02, 4, 20
 #: Sampled rows (24 bytes each) up to which they are broadcast to find their texts.
 BROADCAST_ROWS = 1_000_000
 
@@ -68,21 +73,34 @@ class Sizes:
     def __init__(self, dicts: dict[str, tuple[bytes, bytes]]):
         self.langs = list(dicts)
         self.with_dict: list[tuple[zstandard.ZstdCompressor, bytes, int]] = []
+        self.without = zstandard.ZstdCompressor(compression_params=self._parameters(15))
+        self.frame = len(self.without.compress(b""))
         for lead, content in dicts.values():
-            window = min(27, max(15, (len(content) + LEAD + PIECE).bit_length()))
-            p = zstandard.ZstdCompressionParameters(
-                format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False, window_log=window, strategy=zstandard.STRATEGY_LAZY, hash_log=15, chain_log=15, search_log=3, min_match=4, target_length=8
-            )
+            p = self._parameters(min(27, max(15, (len(content) + LEAD + PIECE).bit_length())))
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=p)
             c = zstandard.ZstdCompressor(dict_data=d, compression_params=p)
             self.with_dict.append((c, lead + b" ", len(c.compress(lead + b" "))))
 
+    @staticmethod
+    def _parameters(window: int) -> zstandard.ZstdCompressionParameters:
+        return zstandard.ZstdCompressionParameters(
+            format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False, window_log=window, strategy=zstandard.STRATEGY_LAZY, hash_log=15, chain_log=15, search_log=3, min_match=4, target_length=8
+        )
+
     def of(self, text: str) -> list[int]:
-        data = text.encode()
-        pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+        pieces = self._pieces(text)
         return [sum(len(c.compress(lead + p)) - own for p in pieces) for c, lead, own in self.with_dict]
 
+    def alone(self, text: str) -> int:
+        """The size without any dictionary."""
+        return sum(len(self.without.compress(p)) - self.frame for p in self._pieces(text))
+
+    @staticmethod
+    def _pieces(text: str) -> list[bytes]:
+        data = text.encode()
+        return [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+
 
 def judge(sizes: Sizes, text: str | None) -> tuple[str, float, bool]:
     """Language, score from 0 to 1, and whether the verdict is rejected."""
@@ -92,7 +110,9 @@ def judge(sizes: Sizes, text: str | None) -> tuple[str, float, bool]:
     n = sizes.of(found)
     order = sorted(range(len(n)), key=lambda i: (n[i], i))
     best = n[order[0]]
-    close = len(n) > 1 and n[order[1]] - best < REJECT_MARGIN * best - SLACK
+    chance = REJECT_MARGIN * best + NOISE * len(found.encode()) / len(found) + FEW / len(found)
+    close = len(n) > 1 and n[order[1]] - best < chance
+    close = close or best >= sizes.alone(found) + (NOISE if len(n) == 1 else 0)
     weight = sum(math.exp(-min(60.0, 0.5 * (x - best))) for x in n)
     return sizes.langs[order[0]], 1 / weight, close
 

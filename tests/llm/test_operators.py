@@ -797,6 +797,74 @@ def test_close_verdicts_are_rejected():
     assert not langid.judge(langid.Sizes({"b": (b.encode()[:800], b.encode()[800:])}), "uno dos")[2]
 
 
+FOREIGN = {
+    "Japanese": "日本語の文章はここにあります。今日は天気がいいので散歩に行きましょう。東京は大きな都市です。彼は本を読んでいます。明日は友達と映画を見る予定です。",
+    "Greek": "Η γρήγορη αλεπού πηδάει πάνω από το τεμπέλικο σκυλί και μετά πηγαίνει στο σπίτι της για να κοιμηθεί ήσυχα όλη τη νύχτα μέχρι το πρωί",
+    "Russian": "Съешь же ещё этих мягких булок да выпей чаю потом иди домой и спи спокойно всю ночь до утра а завтра приходи снова в гости к нам",
+    "Georgian": "დღეს კარგი ამინდია და ჩვენ პარკში მივდივართ ბავშვები თამაშობენ დედა სადილს ამზადებს საღამოს კი ფილმს ვუყურებთ და მერე ვიძინებთ",
+}
+
+
+@pytest.fixture(scope="module")
+def learnt(spark):
+    return langid.Sizes(langid.learn(table(spark, "/root/testdata/sf0.01", "documents")))
+
+
+@pytest.mark.parametrize("length", [5, 10, 20, 30, 50, 80, 150, 300, 500])
+def test_foreign_scripts_are_rejected_at_every_length(learnt, length):
+    for name, text in FOREIGN.items():
+        for start in (0, 7, 19):
+            assert langid.judge(learnt, ((text[start:] + " ") * 10)[:length])[2], (name, length, start)
+
+
+@pytest.mark.parametrize("length,least", [(30, 0.7), (50, 0.9), (80, 0.96), (500, 0.98)])
+def test_known_languages_are_kept(spark, learnt, length, least):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").where("n_chars > 600").collect()
+    said = [langid.judge(learnt, langid.letters(d.text)[:length]) for d in docs]
+    assert np.mean([not x[2] for x in said]) >= least
+    assert np.mean([d.lang == x[0] for d, x in zip(docs, said, strict=True) if not x[2]]) > 0.97
+
+
+def test_ties_and_unshortened_texts_are_rejected(learnt):
+    """At every length: two equal dictionaries, and letters by chance."""
+    lead, content = b"one two three four five " * 34, b"six seven eight nine ten eleven twelve " * 50
+    twins = langid.Sizes({"a": (lead, content), "b": (lead, content)})
+    rng = random.Random(5)
+    for n in (1, 5, 17, 40, 200, 2000, 20_000):
+        assert langid.judge(twins, ("eleven twelve " * 2000)[:n])[2]
+        assert langid.judge(learnt, "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(n)))[2]
+
+
+def test_verdicts_against_brute_force(spark):
+    """Every document again, each with compressors of its own: whole frames, no shared state."""
+    import zstandard
+
+    docs = table(spark, SF, "documents")
+    dicts = langid.learn(docs)
+    got = {r.doc_id: r for r in langid.identify(docs, dicts).collect()}
+
+    def size(data, lead, content):
+        kind = {"format": zstandard.FORMAT_ZSTD1_MAGICLESS, "write_content_size": False, "write_checksum": False, "write_dict_id": False, "strategy": zstandard.STRATEGY_LAZY, "hash_log": 15, "chain_log": 15, "search_log": 3, "min_match": 4, "target_length": 8}
+        if content is None:
+            c = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=15, **kind))
+        else:
+            window = max(15, (len(content) + langid.LEAD + langid.PIECE).bit_length())
+            c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=zstandard.ZstdCompressionParameters(window_log=window, **kind))
+        return sum(len(c.compress(lead + data[i : i + langid.PIECE])) - len(c.compress(lead)) for i in range(0, len(data), langid.PIECE))
+
+    for d in docs.collect():
+        found = " ".join(re.findall(r"[^\W\d_]+", (d.text or "").lower())).encode()
+        r = got[d.doc_id]
+        if not found:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        n = {x: size(found, lead + b" ", content) for x, (lead, content) in dicts.items()}
+        first, second = sorted(n.values())[:2]
+        assert n[r.lang_pred] == first
+        chance = 0.02 * first + (4 * len(found) + 20) / len(found.decode())
+        assert r.rejected == (second - first < chance or first >= size(found, b"", None))
+
+
 def test_whole_texts_are_learnt(spark):
     docs = spark.createDataFrame([(i, "a" * 5000 + f" last{'x' * i}", "en") for i in range(8)], "doc_id long, text string, lang string")
     assert b" lastx" in b"".join(langid.learn(docs)["en"])
