@@ -43,6 +43,8 @@ LEAST, TOP, ABSORBED_PERCENT = 10, 2000, 50
 CHUNK_WORDS, CHUNK_VOCABULARY = 4_000_000, 600_000
 #: Occurrences of a pivot that go to one partition, about.
 SALT_ROWS = 1_000_000
+#: Parts of a language whose best rows are found before those of the language.
+RANK_PARTS = 16
 #: Fixed values of the contract: what parts words, and what parts pieces.
 GAPS, MARKS = " \t", ".,;:!?\n\x0b\x0c\r"
 #: A mark in the word stream, with code 0; no word holds a capital once A-Z are lower-cased.
@@ -242,8 +244,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, absorbed_p
     one, two = cut(1, F.col("first_n"), F.coalesce("back_n", "last_n")), cut(2, F.col("front_n"), F.col("last_n"))
     best = F.when(F.col("front_n").isNull(), one).otherwise(F.least(one, two))
     scored = kept.select("lang", F.concat_ws(" ", "word_1", "word_2", "word_3").alias("phrase"), "a", best.alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = scored.withColumn("rank", rank).where(F.col("rank") <= top)
+    best_first = (F.desc("score"), F.desc("a"), "phrase")
+    # First the best of each of RANK_PARTS parts of a language, so that one task ranks top * RANK_PARTS rows at most, however many candidates there are.
+    part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
+    scored = scored.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best_first))).where(F.col("rank") <= top)
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first))).where(F.col("rank") <= top)
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
