@@ -12,13 +12,16 @@ import os
 import shutil
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import tokenized
 
+from . import quantised
+
 FIELDS = {"heading": 3.0, "content_text": 1.0}
 POINTER = "CURRENT"
 
@@ -59,10 +62,21 @@ class Index:
 
     spark: SparkSession
     path: str
+    _near: dict = field(default_factory=dict, repr=False, compare=False)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def near(self) -> tuple[DataFrame, DataFrame, quantised.Model] | None:
+        """Cells, sizes of their parts and model of the vector index; None where there are too few vectors for one."""
+        if "model" not in self._near:
+            try:
+                self._near["model"] = quantised.load(self.spark, f"{self.path}/near")
+            except AnalysisException:
+                self._near["model"] = None
+        model = self._near["model"]
+        return None if model is None else (self.table("near/cells"), self.table("near/sizes"), model)
+
     @property
     def metadata(self) -> dict:
         rows = self.spark.read.text(f"{self.path}/metadata.json", wholetext=True).first()
@@ -91,6 +105,8 @@ def build(chunks: DataFrame, base: str, metadata: dict | None = None, vectors: D
     made.repartitionByRange(n, "term", "chunk_id").sortWithinPartitions("term", "field", "chunk_id").write.parquet(f"{path}/postings")
     spark.read.parquet(f"{path}/postings").groupBy("term", "field").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
     field_statistics(stored).coalesce(1).write.parquet(f"{path}/fields")
+    if vectors is not None:
+        quantised.save(stored.select("chunk_id", "vector"), f"{path}/near", partitions=n)
     with open(os.path.join(path, "metadata.json"), "w", encoding="utf-8") as f:
         json.dump(metadata or {}, f, ensure_ascii=False, indent=2)
     publish(base, version)

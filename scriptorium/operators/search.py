@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import clamp_limit, normalized, query_terms, snippet, tokenized
 from scriptorium.session import written
 
-from . import collapse, cursor, lexical, vectors
+from . import collapse, cursor, lexical, quantised, vectors
 from .facets import facet, matching
 from .index import FIELDS, Index
 
@@ -22,6 +22,8 @@ RANK_CONSTANT, WEIGHTS, MOST_SLOP = 60, {"match": 1.0, "phrase": 1.25, "vector":
 BEYOND, TIMES, MOST_CANDIDATES = 200, 5, 5000
 #: Rows of a list that are ranked in one task; longer lists are ranked in ranges, with the same result.
 ONE_TASK = 200_000
+#: Rows of the vector list that an index of vectors gives, for one query and for each of many.
+NEAREST, NEAREST_OF_MANY = MOST_CANDIDATES, 200
 #: BM25's usual parameters.
 K1, B = 1.2, 0.75
 
@@ -111,16 +113,19 @@ def candidate_cap(offset: int, limit: int) -> int:
     return min(max(offset + limit + BEYOND, TIMES * limit), MOST_CANDIDATES)
 
 
-def ranked(rows: DataFrame, name: str, limit: int | None = None, key: str = "chunk_id", best: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+def ranked(rows: DataFrame, name: str, limit: int | None = None, key: str = "chunk_id", best: Column | None = None, by: Sequence[str] = (), most: int | None = None) -> DataFrame:
     """by, key and 1-based rank in a list, or in the lists of each value of `by`; with a limit only the first rows of one list are ranked.
 
-    Without a limit rows are dealt into ranges of the order, ranked within them, and the sizes of
+    most: rows that are known to be there at most; up to ONE_TASK of them are ranked at once and
+    nothing is written. Without a limit and such knowledge rows are dealt into ranges of the order, ranked within them, and the sizes of
     the ranges before are added: no task holds a whole list.
     """
     order = [F.desc("score") if best is None else best, F.col(key)]
     made = lambda df, rank: df.select(*by, key, rank.alias("rank"), F.lit(name).alias("list"))
     if limit:
         return made(rows.orderBy(*order).limit(limit), F.row_number().over(Window.orderBy(*order)))
+    if most is not None and most <= ONE_TASK:
+        return made(rows, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     rows = written(rows.select(*by, key, "score"), "list")
     n = rows.count()
     if n <= ONE_TASK:
@@ -144,6 +149,14 @@ def fused(lists: Sequence[DataFrame], weights: Mapping[str, float] | None = None
 
 
 # ------------------------------------------------------------------ over an index
+def most_hits(index: Index, queries: Sequence[str]) -> int:
+    """Rows that all match lists of some queries can have: the postings of their terms."""
+    terms = sorted({t for q in queries for t in query_terms(q)})
+    found = index.table("terms").where(F.col("term").isin(terms)).groupBy("term").agg(F.sum("df").alias("df")).collect()  # a row for each term
+    df = {r["term"]: r["df"] for r in found}
+    return sum(df.get(t, 0) for q in queries for t in dict.fromkeys(query_terms(q)))
+
+
 def match_index(index: Index, query: str, allowed: DataFrame | None) -> DataFrame:
     terms = list(dict.fromkeys(query_terms(query)))
     rows = index.table("postings").where(F.col("term").isin(terms)).select("term", "field", "chunk_id", "tf", "dl")
@@ -201,24 +214,51 @@ def phrase_many(index: Index, phrases: DataFrame, slop: int = 0) -> DataFrame:
     return placed.join(_few(phrases), "query_id").select("query_id", "chunk_id", _placed_count(F.col("at"), F.col("phrase"), slop_of(slop)).alias("score")).where("score > 0")
 
 
-def search_many(index: Index, queries: DataFrame, limit: int | None = None, slop: int = 0, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """query_id, rank, chunk_id and score of the best hits of each row of queries (query_id, query), match and phrase lists fused.
+def near_many(index: Index, queries: DataFrame, k: int = NEAREST_OF_MANY, allowed: DataFrame | None = None, exact: bool = False) -> DataFrame:
+    """query_id, chunk_id and distance `score` of the nearest chunks of each of queries (query_id, vector).
+
+    By the index of vectors with its usual probes; exact: in all its cells, with more rows compared exactly.
+    """
+    if (near := index.near()) is not None:
+        cells, sizes, model = near
+        probes, rerank = (len(model.centres), 50 * k) if exact else (None, None)
+        return quantised.nearest_many(cells, sizes, model, queries, k, probes, rerank, allowed).select("query_id", "chunk_id", F.col("distance").alias("score"))
+    rows = index.table("chunks").where(F.col("vector").isNotNull()).select("chunk_id", "vector")
+    rows = rows.join(allowed, "chunk_id", "left_semi") if allowed is not None else rows
+    few = F.broadcast(rows.select("chunk_id", F.col("vector").cast("array<double>").alias("there")).limit(quantised.LEAST))  # without an index there are fewer
+    square = F.zip_with(F.col("vector").cast("array<double>"), "there", lambda a, b: (a - b) * (a - b))
+    return queries.join(few, F.size("vector") == F.size("there")).select("query_id", "chunk_id", F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x)).alias("score"))
+
+
+def search_many(index: Index, queries: DataFrame, limit: int | None = None, slop: int = 0, weights: Mapping[str, float] | None = None, provider: vectors.Provider | None = None, filters: Mapping[str, str] | None = None, taxonomy: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
+    """query_id, rank, chunk_id and score of the best hits of each row of queries (query_id, query): match, phrase and, with a provider, vector lists fused.
 
-    All queries read the postings once, in one job; lists are ranked whole.
+    All queries read the postings once, in one job; the filters are those of all queries. Lists are ranked whole.
     """
-    asked = written(queries.select("query_id", tokenized(normalized(F.col("query"))).alias("phrase")).where(F.size("phrase") > 0), "queries")
+    asked = written(queries.select("query_id", tokenized(normalized(F.col("query"))).alias("phrase"), "query").where(F.size("phrase") > 0), "queries")
+    allowed = index.table("heads").where(matching(filters, taxonomy)).select("chunk_id") if filters else None
     terms = asked.select("query_id", F.explode(F.array_distinct("phrase")).alias("term"))
-    lists = [ranked(match_many(index, terms), "match", by=["query_id"]), ranked(phrase_many(index, asked, slop), "phrase", by=["query_id"])]
+    phrases = asked.select("query_id", "phrase")
+    found = {"match": match_many(index, terms), "phrase": phrase_many(index, phrases, slop)}
+    if allowed is not None:
+        found = {k: v.join(allowed, "chunk_id", "left_semi") for k, v in found.items()}
+    lists = [ranked(v, k, by=["query_id"]) for k, v in found.items()]
+    if provider is not None and provider.dimensions and "vector" in index.table("chunks").columns:
+        there = vectors.embedded(asked, "query", provider).select("query_id", "vector")
+        lists.append(ranked(near_many(index, there, allowed=allowed, exact=exact), "vector", best=F.asc("score"), by=["query_id"]))
     scores = fused(lists, weights, by=["query_id"])
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= clamp_limit(limit)).select("query_id", "rank", "chunk_id", "score")
 
 
 class Engine:
-    """Search and retrieval over a published index. Lists are fused whole; capped: at most candidate_cap rows of each."""
+    """Search and retrieval over a published index. Lists are fused whole; capped: at most candidate_cap rows of each.
+
+    The vector list has the NEAREST nearest chunks by the index of vectors; exact: all chunks by their exact distance.
+    """
 
-    def __init__(self, index: Index, collapse_keys: Sequence[str] = (), slop: int = 0, weights: Mapping[str, float] | None = None, provider: vectors.Provider | None = None, capped: bool = False):
-        self.index, self.collapse_keys, self.slop, self.weights, self.provider, self.capped = index, list(collapse_keys), slop, dict(weights or {}), provider, capped
+    def __init__(self, index: Index, collapse_keys: Sequence[str] = (), slop: int = 0, weights: Mapping[str, float] | None = None, provider: vectors.Provider | None = None, capped: bool = False, exact: bool = False):
+        self.index, self.collapse_keys, self.slop, self.weights, self.provider, self.capped, self.exact = index, list(collapse_keys), slop, dict(weights or {}), provider, capped, exact
         self.warnings: list[str] = []
 
     @property
@@ -237,7 +277,8 @@ class Engine:
         if self.capped:
             offset = cursor.decode_search(request.cursor, request.query.strip(), request.filters) if request.cursor else 0
             cap = candidate_cap(offset, clamp_limit(request.limit))
-        lists = [ranked(match_index(self.index, request.query, allowed), "match", cap), ranked(phrase_index(self.index, request.query, self.slop, allowed), "phrase", cap)]
+        most = most_hits(self.index, [request.query]) if cap is None else None
+        lists = [ranked(match_index(self.index, request.query, allowed), "match", cap, most=most), ranked(phrase_index(self.index, request.query, self.slop, allowed), "phrase", cap, most=most)]
         if (near := self._near(request, allowed, cap)) is not None:
             lists.append(near)
         scores = fused(lists, {**self.weights, **request.weights})
@@ -254,6 +295,10 @@ class Engine:
             if not self.warnings:
                 self.warnings.append(f"Vector search failed, lexical results only: {e}")
             return None
+        if not self.exact and (near := self.index.near()) is not None and len(query) == near[2].dimensions:
+            k = cap or NEAREST
+            found = quantised.nearest(near[0], near[2], query, k, allowed=allowed).select("chunk_id", F.col("distance").alias("score"))
+            return ranked(found, "vector", best=F.asc("score"), most=k)
         rows = self.chunks.where(F.col("vector").isNotNull())
         rows = rows.join(allowed, "chunk_id", "left_semi") if allowed is not None else rows
         return ranked(rows.select("chunk_id", vectors.distance(F.col("vector"), query).alias("score")), "vector", cap, best=F.asc("score"))
@@ -315,4 +360,4 @@ def hint(chunks: DataFrame, matches: DataFrame, query: str, filters: Mapping[str
 
 
 
-__all__ = ["Engine", "Request", "Result", "ScanEngine", "bm25", "fused", "hint", "candidate_cap", "match_index", "match_many", "match_scan", "page", "phrase_count", "phrase_index", "phrase_many", "phrase_scan", "ranked", "search_many", "slop_of", "suggestions"]
+__all__ = ["Engine", "Request", "Result", "ScanEngine", "bm25", "fused", "hint", "candidate_cap", "match_index", "match_many", "match_scan", "most_hits", "near_many", "page", "phrase_count", "phrase_index", "phrase_many", "phrase_scan", "ranked", "search_many", "slop_of", "suggestions"]

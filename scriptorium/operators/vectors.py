@@ -167,18 +167,18 @@ def nearest(rows: DataFrame, query: Sequence[float], k: int, vector: str = "vect
 
 
 # ------------------------------------------------------------------ inverted file
-def fit_cells(rows: DataFrame, vector: str = "vector", key: str = "chunk_id", sample: int = SAMPLE_VECTORS) -> np.ndarray | None:
-    """Centres of about sqrt(n) cells, fitted on at most `sample` vectors chosen by hash; None for fewer than LEAST_FOR_CELLS vectors."""
-    rows = rows.where(F.size(vector) > 0)
-    n = rows.count()
-    if n < LEAST_FOR_CELLS:
-        return None
-    share = min(1.0, 1.2 * sample / n)
+def sampled(rows: DataFrame, n: int, vector: str = "vector", key: str = "chunk_id", sample: int = SAMPLE_VECTORS) -> np.ndarray:
+    """At most `sample` of n vectors, chosen by a hash of their keys."""
+    share = min(1.0, 1.2 * sample / max(n, 1))
     some = rows.where(F.pmod(F.xxhash64(F.col(key)), F.lit(10**6)) < int(share * 10**6) + 1).orderBy(F.xxhash64(F.col(key))).limit(sample)
-    x = np.array([r[0] for r in some.select(F.col(vector).cast("array<double>")).collect()])
-    k = max(1, min(round(math.sqrt(n)), len(x)))
+    return np.array([r[0] for r in some.select(F.col(vector).cast("array<double>")).collect()])
+
+
+def means(x: np.ndarray, k: int, rounds: int = FIT_ROUNDS) -> np.ndarray:
+    """k centres of x by Lloyd's rounds, from a fixed choice of k rows."""
+    k = max(1, min(k, len(x)))
     centres = x[np.random.default_rng(7).permutation(len(x))[:k]]
-    for _ in range(FIT_ROUNDS):
+    for _ in range(rounds):
         at = nearest_cells(x, centres, 1)[:, 0]
         size = np.bincount(at, minlength=k)
         total = np.zeros_like(centres)
@@ -187,6 +187,15 @@ def fit_cells(rows: DataFrame, vector: str = "vector", key: str = "chunk_id", sa
     return centres
 
 
+def fit_cells(rows: DataFrame, vector: str = "vector", key: str = "chunk_id", sample: int = SAMPLE_VECTORS) -> np.ndarray | None:
+    """Centres of about sqrt(n) cells, fitted on at most `sample` vectors chosen by hash; None for fewer than LEAST_FOR_CELLS vectors."""
+    rows = rows.where(F.size(vector) > 0)
+    n = rows.count()
+    if n < LEAST_FOR_CELLS:
+        return None
+    return means(sampled(rows, n, vector, key, sample), round(math.sqrt(n)))
+
+
 def nearest_cells(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     """The n nearest centres of each row, nearest first."""
     d = (centres**2).sum(1)[None, :] - 2 * x @ centres.T

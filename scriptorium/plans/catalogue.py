@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import agent_eval, chunking, collapse, documents, evaluate, facets, incremental, index, lexical, manifest, metadata, search, vectors
+from scriptorium.operators import agent_eval, chunking, collapse, documents, evaluate, facets, incremental, index, lexical, manifest, metadata, quantised, search, vectors
 from scriptorium.session import shared_dir, written
 from scriptorium.sources import adapters
 
@@ -171,6 +171,22 @@ def _batched(spark: SparkSession, d: str) -> DataFrame:
     return search.search_many(_index(spark, d), asked, 10)
 
 
+def _filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a filter."""
+    asked = adapters.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search.search_many(_index(spark, d), asked, 10, filters=FILTERS)
+
+
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 50, itself among them, by the vector index with all its cells."""
+    rows = adapters.read(spark, d, "embeddings")
+    path = os.path.join(shared_dir(spark), "scriptorium", f"near-{uuid.uuid4().hex}")
+    model = quantised.save(rows, path, "embedding", "vec_id")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = quantised.nearest_many(spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/sizes"), model, asked, 10, len(model.centres), 500, key="vec_id")
+    return found.select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+
+
 def _incremental(spark: SparkSession, d: str) -> DataFrame:
     """Chunks after half of the files were there before: those of unchanged files are taken over, the others made."""
     files = _markdown(spark, d).withColumn("strategy", F.struct(F.lit("h2").alias("chunk_by"), F.lit(None).cast("int").alias("max_chunk_size"), F.lit(None).cast("int").alias("min_chunk_size"))).withColumn("metadata", F.create_map().cast("map<string,string>")).withColumn("title", F.lit(None).cast("string"))
@@ -275,6 +291,8 @@ def queries() -> dict[str, Query]:
         "indexed_match": lambda s, d: search.match_index(_index(s, d), WORDS, None),
         "indexed_phrase": lambda s, d: search.phrase_index(_index(s, d), PHRASE, 0, None).select("chunk_id", F.col("score").cast("long").alias("n")),
         "batched_search": _batched,
+        "batched_filtered": _filtered,
+        "ivf_pq_knn": _near,
         "incremental_chunks": _incremental,
         "duplicate_slugs": _same_slugs,
         "scenario_verdicts": _judged,
@@ -390,16 +408,7 @@ UNION ALL SELECT 'conversations/' || conv_id || '.md#conversation-' || conv_id |
 _SLUG = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9 -]', '', 'g'), ' +', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"
 _WAYS = "ways AS (SELECT 'c' || conv_id || '.md' AS path, CASE WHEN conv_id % 3 = 0 THEN CASE WHEN count(*) >= 2 THEN 'h1' ELSE 'file' END WHEN conv_id % 3 = 1 THEN CASE WHEN count(*) >= 2 THEN 'h2' ELSE 'file' END ELSE CASE WHEN count(*) >= 2 THEN 'h3' ELSE 'file' END END AS way FROM conversations GROUP BY conv_id)"
 
-
-def oracle_sql() -> dict[str, str]:
-    w = f"WITH {_CHUNKS}"
-    bm25 = f"{w}, {_TERMS}, {_BM25} SELECT chunk_id, score FROM bm"
-    phrase = f"{w}, {_TERMS}, {_PAIRS} SELECT a.chunk_id, count(*) AS n FROM pos a JOIN pos b ON a.chunk_id = b.chunk_id AND b.p = a.p + 1 WHERE a.w = 'of' AND b.w = 'the' GROUP BY 1"
-    runs = "SELECT {rates}, round(avg(num_turns), 6) AS t, round(avg(cost), 6) AS c, round(avg(dur), 6) AS d FROM {res}"
-    return {
-        "indexed_match": bm25,
-        "indexed_phrase": phrase,
-        "batched_search": f"""{w}, {_TERMS},
+_BATCH = f"""WITH {_CHUNKS}, {_TERMS},
 qs AS (SELECT item_id AS query_id, {_t('text')} AS ph FROM benchmark),
 q AS (SELECT query_id, ph, list_sort(list_distinct(ph)) AS ts FROM qs WHERE len(ph) > 0),
 qt AS (SELECT query_id, unnest(ts) AS term FROM q),
@@ -409,13 +418,28 @@ dl AS (SELECT chunk_id, 'h' AS f, len(th)::DOUBLE AS dl FROM terms UNION ALL SEL
 av AS (SELECT f, count(*)::DOUBLE AS n, avg(dl) AS a FROM dl GROUP BY f),
 df AS (SELECT f, term, count(*)::DOUBLE AS df FROM tf GROUP BY f, term),
 m AS (SELECT query_id, chunk_id, round(sum(CASE f WHEN 'h' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END * ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / a)) ORDER BY term, f), 9) AS score
-  FROM qt JOIN tf USING (term) JOIN dl USING (chunk_id, f) JOIN av USING (f) JOIN df USING (f, term) GROUP BY query_id, chunk_id),
+  FROM qt JOIN tf USING (term) JOIN dl USING (chunk_id, f) JOIN av USING (f) JOIN df USING (f, term){{allowed}} GROUP BY query_id, chunk_id),
 cand AS (SELECT query_id, chunk_id FROM qt JOIN (SELECT DISTINCT chunk_id, term FROM tf WHERE f = 'c') USING (term) GROUP BY query_id, chunk_id HAVING count(*) = (SELECT len(ts) FROM q WHERE q.query_id = qt.query_id)),
-pc AS (SELECT query_id, chunk_id, len(list_filter(range(1, len(tc) - len(ph) + 2), lambda i: tc[i:i + len(ph) - 1] = ph)) AS score FROM cand JOIN q USING (query_id) JOIN terms USING (chunk_id)),
+pc AS (SELECT query_id, chunk_id, len(list_filter(range(1, len(tc) - len(ph) + 2), lambda i: tc[i:i + len(ph) - 1] = ph)) AS score FROM cand JOIN q USING (query_id) JOIN terms USING (chunk_id){{allowed}}),
 l AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)) AS s, 1 AS o FROM m
   UNION ALL SELECT query_id, chunk_id, 1.25::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)), 2 FROM pc WHERE score > 0),
 fu AS (SELECT query_id, chunk_id, round(coalesce(max(s) FILTER (o = 1), 0) + coalesce(max(s) FILTER (o = 2), 0), 6) AS score FROM l GROUP BY ALL)
-SELECT query_id, rank::INT AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fu) WHERE rank <= 10""",
+SELECT query_id, rank::INT AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fu) WHERE rank <= 10"""
+
+
+def oracle_sql() -> dict[str, str]:
+    w = f"WITH {_CHUNKS}"
+    bm25 = f"{w}, {_TERMS}, {_BM25} SELECT chunk_id, score FROM bm"
+    phrase = f"{w}, {_TERMS}, {_PAIRS} SELECT a.chunk_id, count(*) AS n FROM pos a JOIN pos b ON a.chunk_id = b.chunk_id AND b.p = a.p + 1 WHERE a.w = 'of' AND b.w = 'the' GROUP BY 1"
+    runs = "SELECT {rates}, round(avg(num_turns), 6) AS t, round(avg(cost), 6) AS c, round(avg(dur), 6) AS d FROM {res}"
+    return {
+        "indexed_match": bm25,
+        "indexed_phrase": phrase,
+        "batched_search": _BATCH.replace("{allowed}", ""),
+        "batched_filtered": _BATCH.replace("{allowed}", " WHERE chunk_id IN (SELECT chunk_id FROM chunks WHERE (scope = 'sdk-specific' AND language = 'en') OR scope = 'global-guide' OR (scope NOT IN ('sdk-specific', 'global-guide') AND language IN ('', 'en')))"),
+        "ivf_pq_knn": """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
+d AS (SELECT query_id, vec_id, list_distance(embedding::DOUBLE[], q) AS d FROM embeddings, q)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INT AS rank, vec_id, round(d, 6) AS distance FROM d QUALIFY rank <= 10""",
         "incremental_chunks": _CONVERSATION_CHUNKS,
         "duplicate_slugs": f"WITH {_CONV} SELECT 'conversations/' || conv_id || '.md#conversation-' || conv_id || '/' || role || '-' || k AS chunk_id, k::VARCHAR AS nth FROM conv WHERE k > 1",
         "hash_embedding": f"""{w}, b AS (SELECT chunk_id, hex(encode(content)) AS x, octet_length(encode(content)) AS n FROM chunks),
