@@ -88,6 +88,19 @@ class Index:
             return cls(spark, os.path.join(base, f.read().strip()))
 
 
+def write_tables(chunks: DataFrame, path: str, n: int, made: DataFrame | None = None) -> DataFrame:
+    """Write chunks, heads, postings and terms in n partitions each; `made` are the chunks' postings if they are there already. The chunks as written."""
+    spark = chunks.sparkSession
+    chunks.repartition(n, "filepath").sortWithinPartitions("filepath", "chunk_index").write.parquet(f"{path}/chunks")
+    stored = spark.read.schema(chunks.schema).parquet(f"{path}/chunks")
+    # What ranking needs of a chunk, without its texts, by chunk id.
+    stored.select(*(c for c in stored.columns if c not in ("content", "content_text", "vector"))).repartitionByRange(n, "chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{path}/heads")
+    made = postings(stored) if made is None else made
+    made.repartitionByRange(n, "term", "chunk_id").sortWithinPartitions("term", "field", "chunk_id").write.parquet(f"{path}/postings")
+    spark.read.parquet(f"{path}/postings").groupBy("term", "field").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    return stored
+
+
 def build(chunks: DataFrame, base: str, metadata: dict | None = None, vectors: DataFrame | None = None, partitions: int | None = None) -> Index:
     """Write a new version of the index under `base` and publish it. An empty corpus gives empty tables."""
     spark = chunks.sparkSession
@@ -97,13 +110,7 @@ def build(chunks: DataFrame, base: str, metadata: dict | None = None, vectors: D
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if vectors is not None:
         chunks = chunks.join(vectors.select("chunk_id", "vector"), "chunk_id", "left")
-    chunks.repartition(n, "filepath").sortWithinPartitions("filepath", "chunk_index").write.parquet(f"{path}/chunks")
-    stored = spark.read.parquet(f"{path}/chunks")
-    # What ranking needs of a chunk, without its texts, by chunk id.
-    stored.select(*(c for c in stored.columns if c not in ("content", "content_text", "vector"))).repartitionByRange(n, "chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{path}/heads")
-    made = postings(stored)
-    made.repartitionByRange(n, "term", "chunk_id").sortWithinPartitions("term", "field", "chunk_id").write.parquet(f"{path}/postings")
-    spark.read.parquet(f"{path}/postings").groupBy("term", "field").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
+    stored = write_tables(chunks, path, n)
     field_statistics(stored).coalesce(1).write.parquet(f"{path}/fields")
     if vectors is not None:
         quantised.save(stored.select("chunk_id", "vector"), f"{path}/near", partitions=n)

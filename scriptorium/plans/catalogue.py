@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import agent_eval, chunking, collapse, documents, evaluate, facets, incremental, index, lexical, manifest, metadata, quantised, search, vectors
+from scriptorium.operators import agent_eval, chunking, collapse, documents, evaluate, facets, incremental, index, lexical, manifest, metadata, quantised, search, segments, vectors
 from scriptorium.session import shared_dir, written
 from scriptorium.sources import adapters
 
@@ -177,6 +177,22 @@ def _filtered(spark: SparkSession, d: str) -> DataFrame:
     return search.search_many(_index(spark, d), asked, 10, filters=FILTERS)
 
 
+def _segmented(spark: SparkSession, d: str) -> segments.SegmentedIndex:
+    """An index of the documents in segments: a third of the files comes late, some of the others with another text first, one that is no document goes again."""
+    rows = chunks(spark, d, indexed=True)
+    base = os.path.join(shared_dir(spark), "scriptorium", f"segments-{uuid.uuid4().hex}")
+    late, other = F.crc32("filepath") % 3 == 0, F.crc32("filepath") % 5 == 1
+    former = rows.withColumn("content_text", F.when(other, F.concat(F.lit("former of the "), "content_text")).otherwise(F.col("content_text")))
+    extra = rows.orderBy("doc_id").limit(1).withColumn("filepath", F.lit("gone.md")).withColumn("chunk_id", F.lit("gone.md#1"))
+    first = former.where(~late).unionByName(extra)
+    second, third = rows.where(~late & other), rows.where(late)
+    paths = lambda df: df.select("filepath").distinct()
+    segments.update(spark, base, first, paths(first))
+    segments.update(spark, base, second, paths(second).unionByName(paths(extra)))
+    segments.update(spark, base, third, paths(third))
+    return segments.SegmentedIndex(spark, base, segments.merge(spark, base))
+
+
 def _near(spark: SparkSession, d: str) -> DataFrame:
     """The ten nearest of every vector whose id is divisible by 50, itself among them, by the vector index with all its cells."""
     rows = adapters.read(spark, d, "embeddings")
@@ -293,6 +309,8 @@ def queries() -> dict[str, Query]:
         "batched_search": _batched,
         "batched_filtered": _filtered,
         "ivf_pq_knn": _near,
+        "segmented_match": lambda s, d: search.match_index(_segmented(s, d), WORDS, None),
+        "segmented_terms": lambda s, d: _segmented(s, d).table("terms"),
         "incremental_chunks": _incremental,
         "duplicate_slugs": _same_slugs,
         "scenario_verdicts": _judged,
@@ -437,6 +455,8 @@ def oracle_sql() -> dict[str, str]:
         "indexed_phrase": phrase,
         "batched_search": _BATCH.replace("{allowed}", ""),
         "batched_filtered": _BATCH.replace("{allowed}", " WHERE chunk_id IN (SELECT chunk_id FROM chunks WHERE (scope = 'sdk-specific' AND language = 'en') OR scope = 'global-guide' OR (scope NOT IN ('sdk-specific', 'global-guide') AND language IN ('', 'en')))"),
+        "segmented_match": bm25,
+        "segmented_terms": f"""{w}, {_TERMS} SELECT term, field, count(*) AS df FROM (SELECT DISTINCT chunk_id, 'heading' AS field, unnest(th) AS term FROM terms UNION ALL SELECT DISTINCT chunk_id, 'content_text', unnest(tc) FROM terms) GROUP BY ALL""",
         "ivf_pq_knn": """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
 d AS (SELECT query_id, vec_id, list_distance(embedding::DOUBLE[], q) AS d FROM embeddings, q)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INT AS rank, vec_id, round(d, 6) AS distance FROM d QUALIFY rank <= 10""",
