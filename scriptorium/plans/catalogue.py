@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import agent_eval, chunking, collapse, documents, evaluate, facets, incremental, index, lexical, manifest, metadata, quantised, search, segments, vectors
+from scriptorium.operators import agent_eval, chunking, collapse, documents, evaluate, facets, incremental, index, lexical, manifest, metadata, quantised, search, segments, traces, vectors
 from scriptorium.session import shared_dir, written
 from scriptorium.sources import adapters
+from scriptorium.streaming import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -160,6 +161,34 @@ def _agent_fold(spark: SparkSession, d: str) -> DataFrame:
     return out.select("scenario", "num_turns", "final_answer", "input_tokens", "output_tokens", F.coalesce(F.col("tools_called")["Bash"], F.lit(0)).cast("long").alias("bash_calls"))
 
 
+def _run_lines(events: DataFrame) -> DataFrame:
+    """Recorded lines of agent runs of 64 events each: texts with usage, calls, their results, and at the end a report; what is left is no JSON."""
+    e, run = F.col("event_id"), F.floor(F.col("event_id") / 64).cast("long")
+    call = F.concat(F.lit("c"), F.floor(e / 4).cast("string"))
+    usage = lambda a, b: F.struct(a.alias("input_tokens"), b.alias("output_tokens")).alias("usage")
+    line = lambda kind, *more: F.to_json(F.struct(F.lit(kind).alias("type"), *more))
+    blocks = lambda *fields, more=(): F.struct(F.array(F.struct(*fields)).alias("content"), *more).alias("message")
+    text = line("assistant", blocks(F.lit("text").alias("type"), F.concat(F.lit("t"), e.cast("string")).alias("text"), more=(usage(e % 100, e % 7),)))
+    use = line("assistant", blocks(F.lit("tool_use").alias("type"), call.alias("id"), F.when(e % 8 == 1, "mcp__docs__search").otherwise("Bash").alias("name")))
+    result = line("user", blocks(F.lit("tool_result").alias("type"), call.alias("tool_use_id"), F.repeat(F.lit("x"), (e % 13).cast("int")).alias("content")))
+    report = line("result", F.when(run % 2 == 0, "success").otherwise("error").alias("subtype"), F.concat(F.lit("end "), run.cast("string")).alias("result"), (run % 3).alias("num_turns"), (F.col("value") / 1000).alias("total_cost_usd"), usage(run % 5, F.lit(0)))
+    said = F.when(e % 4 == 0, text).when(e % 4 == 1, use).when(e % 4 == 2, result).when(e % 64 == 63, report).otherwise("not json")
+    return events.select(F.concat(F.lit("run-"), run.cast("string")).alias("scenario"), e.alias("seq"), said.alias("line"), (e * 10).alias("ms"))
+
+
+def _fold_columns(rows: DataFrame) -> DataFrame:
+    tools = [F.coalesce(F.col("tools_called")[t], F.lit(0)).cast("long").alias(c) for t, c in (("Bash", "bash_calls"), ("mcp__docs__search", "search_calls"))]
+    return rows.select("scenario", "num_turns", "final_answer", "input_tokens", "output_tokens", F.round("cost_usd", 9).alias("cost_usd"), "errors", *tools, "calls", "answered", "pending", "result_chars", "call_ms")
+
+
+def _streamed_fold(spark: SparkSession, d: str) -> DataFrame:
+    """The fold of all lines as a stream with state."""
+    own = os.path.join(shared_dir(spark), "scriptorium", f"fold-{uuid.uuid4().hex}")
+    events = spark.readStream.schema(adapters.read(spark, d, "events").schema).parquet(f"{d}/events.parque?")  # a stream of a file, not of a folder, wants a pattern
+    fold.start(_run_lines(events), f"{own}/rows", f"{own}/checkpoint").awaitTermination()
+    return _fold_columns(fold.latest(spark, f"{own}/rows"))
+
+
 def _index(spark: SparkSession, d: str) -> index.Index:
     """An index of the documents, written to the shared folder and published."""
     return index.build(chunks(spark, d, indexed=True), os.path.join(shared_dir(spark), "scriptorium", f"index-{uuid.uuid4().hex}"))
@@ -370,6 +399,9 @@ def queries() -> dict[str, Query]:
         "comparison_deltas": lambda s, d: agent_eval.comparison(results(s, d), results(s, d, 1)),
         "changed_scenarios": lambda s, d: agent_eval.changed_scenarios(results(s, d), results(s, d, 1)),
         "agent_event_fold": _agent_fold,
+        "run_fold": lambda s, d: _fold_columns(traces.folded(traces.events(_run_lines(adapters.read(s, d, "events"))))),
+        "run_fold_streamed": _streamed_fold,
+        "run_pairs": lambda s, d: traces.pairs(traces.events(_run_lines(adapters.read(s, d, "events")))).select("scenario", "call_id", "tool", F.length("result").cast("long").alias("result_chars"), "ms"),
         "token_cost": _usage,
     }
 
@@ -444,6 +476,14 @@ l AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + row_number() OVER (PARTITIO
 fu AS (SELECT query_id, chunk_id, round(coalesce(max(s) FILTER (o = 1), 0) + coalesce(max(s) FILTER (o = 2), 0), 6) AS score FROM l GROUP BY ALL)
 SELECT query_id, rank::INT AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fu) WHERE rank <= 10"""
 
+_RUN_FOLD = """WITH e AS (SELECT *, event_id // 64 AS run FROM events),
+x AS (SELECT run, count(*) FILTER (event_id % 4 = 0) AS t, 't' || max(event_id) FILTER (event_id % 4 = 0) AS said, coalesce(sum(event_id % 100) FILTER (event_id % 4 = 0), 0) AS i, coalesce(sum(event_id % 7) FILTER (event_id % 4 = 0), 0) AS o,
+  count(*) FILTER (event_id % 8 = 5) AS bash, count(*) FILTER (event_id % 8 = 1) AS search, max(value) FILTER (event_id % 64 = 63) AS cost, count(*) FILTER (event_id % 64 = 63) AS done FROM e GROUP BY run),
+p AS (SELECT c.run, count(*) AS n, count(r.event_id) AS answered, coalesce(sum(r.event_id % 13), 0) AS chars FROM e c LEFT JOIN events r ON r.event_id = c.event_id + 1 WHERE c.event_id % 4 = 1 GROUP BY c.run)
+SELECT 'run-' || run AS scenario, CASE WHEN done > 0 AND run % 3 > 0 THEN run % 3 ELSE t END::BIGINT AS num_turns, CASE WHEN done > 0 AND run % 2 = 0 THEN 'end ' || run ELSE said END AS final_answer, CASE WHEN done > 0 AND run % 5 > 0 THEN run % 5 ELSE i END::BIGINT AS input_tokens, o::BIGINT AS output_tokens,
+  round(coalesce(cost / 1000, 0), 9) AS cost_usd, CASE WHEN done > 0 AND run % 2 = 1 THEN 1 ELSE 0 END::BIGINT AS errors, bash AS bash_calls, search AS search_calls, bash + search AS calls, coalesce(answered, 0)::BIGINT AS answered, coalesce(n - answered, 0)::BIGINT AS pending, coalesce(chars, 0)::BIGINT AS result_chars, coalesce(10 * answered, 0)::BIGINT AS call_ms
+FROM x LEFT JOIN p USING (run)"""
+
 
 def oracle_sql() -> dict[str, str]:
     w = f"WITH {_CHUNKS}"
@@ -541,5 +581,9 @@ UNION ALL SELECT 'score:' || metric, round(x.m - y.m, 6) FROM (SELECT metric, ro
         "changed_scenarios": f"SELECT id AS key, CASE WHEN c.passed THEN 'fixed' ELSE 'broken' END AS change FROM {_RES.format(r=0)} c JOIN {_RES.format(r=1)} p USING (id) WHERE c.passed <> p.passed",
         "agent_event_fold": """SELECT user_id::VARCHAR AS scenario, count(*) FILTER (event_id % 4 = 0) AS num_turns, 't' || max(event_id) FILTER (event_id % 4 = 0) AS final_answer, coalesce(sum(event_id % 100) FILTER (event_id % 4 = 1), 0)::BIGINT AS input_tokens,
 coalesce(sum(event_id % 7) FILTER (event_id % 4 = 1), 0)::BIGINT AS output_tokens, count(*) FILTER (event_id % 4 = 2) AS bash_calls FROM events WHERE event_id % 4 < 3 GROUP BY user_id""",
+        "run_fold": _RUN_FOLD,
+        "run_fold_streamed": _RUN_FOLD,
+        "run_pairs": """SELECT 'run-' || (c.event_id // 64) AS scenario, 'c' || (c.event_id // 4) AS call_id, CASE WHEN c.event_id % 8 = 1 THEN 'mcp__docs__search' ELSE 'Bash' END AS tool, r.event_id % 13 AS result_chars, CASE WHEN r.event_id IS NOT NULL THEN 10::BIGINT END AS ms
+FROM events c LEFT JOIN events r ON r.event_id = c.event_id + 1 WHERE c.event_id % 4 = 1""",
         "token_cost": "SELECT lang AS model, round((coalesce(CASE lang WHEN 'en' THEN 3.0::DOUBLE WHEN 'fr' THEN 1.25::DOUBLE END, 0) * (sum(n_chars) - count(*)) + count(*) * coalesce(CASE lang WHEN 'en' THEN 0.3::DOUBLE WHEN 'fr' THEN 0.125::DOUBLE END, 0) + sum(doc_id % 100) * coalesce(CASE lang WHEN 'en' THEN 15.0::DOUBLE WHEN 'fr' THEN 10.0::DOUBLE END, 0)) / 1e6::DOUBLE, 6) AS cost_usd FROM documents GROUP BY lang",
     }
