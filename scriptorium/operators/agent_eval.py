@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 from .evaluate import NO_CATEGORY
 
 #: Errors of the infrastructure, the least change that a trend shows, characters kept of a written file.
@@ -37,18 +38,20 @@ RATES = lambda: [_share(F.col("activated")).alias("activation_rate"), _share(F.c
 
 
 def summary(results: DataFrame) -> DataFrame:
-    """One row; medians lie between the middle values."""
-    return results.agg(
+    """One row; medians lie between the middle values and are exact, in memory that doesn't grow with the results."""
+    middle = ranks.quantiles(results, {"num_turns": {"median_turns": ("between", 0.5)}, "duration_ms": {"median_duration_ms": ("between", 0.5)}})
+    medians = middle.select(F.coalesce("median_turns", F.lit(0.0)).alias("median_turns"), F.round(F.coalesce("median_duration_ms", F.lit(0.0)), 6).alias("median_duration_ms"))
+    one = results.agg(
         F.count("*").alias("total_scenarios"),
         *RATES(),
         _mean("num_turns").alias("avg_turns"),
-        F.coalesce(F.median("num_turns"), F.lit(0.0)).alias("median_turns"),
         _mean("total_cost_usd").alias("avg_cost_usd"),
         F.round(F.coalesce(F.sum("total_cost_usd"), F.lit(0.0)), 6).alias("total_cost_usd"),
         _mean("duration_ms").alias("avg_duration_ms"),
-        F.round(F.coalesce(F.median("duration_ms"), F.lit(0.0)), 6).alias("median_duration_ms"),
         *(_mean(F.coalesce(c, F.lit(0))).alias(f"avg_{c}") for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "tool_calls")),
     )
+    columns = [*one.columns[:4], "median_turns", *one.columns[4:7], "median_duration_ms", *one.columns[7:]]
+    return one.crossJoin(F.broadcast(medians)).select(*columns)  # one row each
 
 
 def by_category(results: DataFrame) -> DataFrame:
@@ -130,7 +133,7 @@ def file_assertion(kind: str, path: str, value: str, files: Column, flags: str =
     return F.coalesce(assertion("contains" if kind == "file_contains" else "matches", value, files[path], flags), F.lit(False))
 
 
-def script_assertion(command: str, folder: str, when_env: str | None = None, timeout: float = 60.0) -> bool | None:
+def script_assertion(command: str, folder: str, when_env: str | None = None, timeout: float = 30.0) -> bool | None:
     """Whether a command in a folder ends with 0 in time; None, not run, if the variable when_env is unset."""
     if when_env and not os.environ.get(when_env):
         return None
@@ -214,10 +217,12 @@ def wrapped(text: str, width: int) -> list[str]:
 
 def spoken(ms: float) -> str:
     """A duration as people write it."""
-    if ms < 1000:
-        return f"{ms:.0f}ms"
-    seconds = ms / 1000
-    return f"{seconds:.1f}s" if seconds < 60 else f"{int(seconds // 60)}m {seconds % 60:.0f}s"
+    if round(ms) < 1000:
+        return f"{round(ms)}ms"
+    if round(ms / 1000, 1) < 60:
+        return f"{ms / 1000:.1f}s"
+    minutes, seconds = divmod(round(ms / 1000), 60)  # rounded first, so that no 60 seconds are left
+    return f"{minutes}m {seconds}s"
 
 
 def token_cost(usage: DataFrame, pricing: DataFrame) -> DataFrame:

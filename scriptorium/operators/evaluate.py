@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ranks
+
 #: Results that count, the category of cases without one, and the label of a case that isn't found.
 DEPTH, NO_CATEGORY, NOT_FOUND = 5, "uncategorized", "N/F"
 #: Tokens of a query for its cost, and bytes of a corpus for a token.
@@ -49,20 +51,17 @@ def by_category(cases: DataFrame) -> DataFrame:
     return cases.groupBy(F.coalesce("category", F.lit(NO_CATEGORY)).alias("category")).agg(F.count("*").alias("case_count"), hit().alias("hit_at_5"), mrr().alias("mrr_at_5"), ndcg().alias("ndcg_at_5"))
 
 
-def nearest_rank(value: str, p: float) -> Column:
-    """The value at rank ceil(n p), 0 without values."""
-    return F.round(F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})"), F.lit(0.0)), 6)
-
-
-def latency(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    aggs = [nearest_rank(value, p).alias(f"p{round(p * 100)}") for p in (0.5, 0.95)]
-    return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
+def latency(rows: DataFrame, value: str, by: Sequence[str] = (), shares: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+    """p50 and p95, the values at rank ceil(n p), for each value of `by`; 0 without values."""
+    names = [f"p{round(p * 100)}" for p in shares]
+    found = ranks.quantiles(rows, {value: {n: ("nearest", p) for n, p in zip(names, shares, strict=True)}}, by)
+    return found.select(*by, *(F.round(F.coalesce(F.col(n).cast("double"), F.lit(0.0)), 6).alias(n) for n in names))
 
 
 def full_summary(cases: DataFrame, search_ms: DataFrame, get_ms: DataFrame, build_ms: float = 0.0, peak_mb: float = 0.0) -> DataFrame:
     """One row: quality, search p50 and p95, retrieval p50, build time and peak memory. search_ms, get_ms: column ms."""
     s = latency(search_ms, "ms").select(F.col("p50").alias("search_p50_ms"), F.col("p95").alias("search_p95_ms"))
-    g = get_ms.agg(nearest_rank("ms", 0.5).alias("get_doc_p50_ms"))
+    g = latency(get_ms, "ms", shares=(0.5,)).select(F.col("p50").alias("get_doc_p50_ms"))
     one = summary(cases).crossJoin(s).crossJoin(g)  # one row each
     return one.withColumn("build_ms", F.round(F.lit(float(build_ms)), 6)).withColumn("peak_mb", F.round(F.lit(float(peak_mb)), 6))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import os
 import time
 from collections.abc import Sequence
@@ -100,12 +102,18 @@ def cached_index(spark: SparkSession, root: str, cache: str, description: str, p
     return build(spark, root, out, description, provider, manifest_name=manifest_name)[0], False
 
 
-def warm_up(engine: search.Engine | search.ScanEngine, cases: Sequence[dict], queries: int = 3) -> int:
-    """Search for the first few cases' queries, untimed, so that code is compiled and files are known; how many there were."""
-    some = list(dict.fromkeys(c["query"] for c in cases))[:queries]
-    for q in some:
-        engine.search(search.Request(q))
-    return len(some)
+def warm_up(engine: search.Engine | search.ScanEngine, cases: Sequence[dict], queries: int = 3, limit: int = 5) -> int:
+    """Search for the cases' queries in turn, round and round, untimed, so that code is compiled and files are known; how many searches there were.
+
+    A search that fails doesn't stop the others.
+    """
+    rounds = itertools.islice(itertools.cycle(cases), max(0, queries))
+    done = 0
+    for c in rounds:
+        done += 1
+        with contextlib.suppress(Exception):
+            engine.search(search.Request(c["query"], c.get("filters") or {}, min(limit, c.get("limit") or limit)))
+    return done
 
 
 def rank_cases(engine: search.Engine | search.ScanEngine, cases: Sequence[dict], limit: int = 5, most_rounds: int = 3) -> tuple[list[dict], list[float]]:

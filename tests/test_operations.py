@@ -167,7 +167,7 @@ def test_report_text(spark):
     assert agent_eval.wrapped("one two three fourteen", 8) == ["one two", "three", "fourteen"]
     assert agent_eval.wrapped("abcdefghij k", 4) == ["abcd", "efgh", "ij k"]
     assert agent_eval.plain("\x1b[31mred\x1b[0m") == "red" and len(agent_eval.padded("\x1b[31mred\x1b[0m", 5)) == 14
-    assert [agent_eval.spoken(x) for x in (5, 1500, 61_000)] == ["5ms", "1.5s", "1m 1s"]
+    assert [agent_eval.spoken(x) for x in (5, 1500, 61_000, 999.6, 59_960, 119_600, 3_599_700)] == ["5ms", "1.5s", "1m 1s", "1.0s", "1m 0s", "2m 0s", "60m 0s"]
 
 
 def test_baseline_and_memory(spark, tmp_path):
@@ -213,5 +213,14 @@ def test_other_manifest_names_and_the_cache(spark, tmp_path):
     assert index.export_json_array(made.table("chunks"), path) == 2
     with open(path, encoding="utf-8") as f:
         assert {c["heading"] for c in json.load(f)} == {"A", "B"}
-    assert build.warm_up(search.Engine(made), [{"query": "one"}, {"query": "one"}, {"query": "two"}]) == 2
+    asked = []
+
+    class Listening(search.Engine):
+        def search(self, request):
+            asked.append((request.query, request.limit))
+            return super().search(request)
+
+    assert build.warm_up(Listening(made), [{"query": "one"}, {"query": "", "limit": 3}, {"query": "two", "limit": 9}], 5) == 5
+    assert asked == [("one", 5), ("", 3), ("two", 5), ("one", 5), ("", 3)]  # in turn; one that fails doesn't stop the rest
+    assert build.warm_up(Listening(made), [], 5) == 0
     assert os.path.exists(path) and not os.path.exists(f"{path}.tmp")
