@@ -66,7 +66,7 @@ def main(args: list[str] | None = None) -> int:
         provider = vectors.HashProvider(embedding["dimensions"]) if embedding.get("provider") == "hash" else None
         engine = search.Engine(made, collapse_keys(document["taxonomy"]), provider=provider)
         if a.command == "get":
-            print(documents.get_doc(engine.chunks, a.chunk_id, a.context))
+            print(documents.get_doc_of(made, a.chunk_id, a.context))
             return 0
         if a.command == "search":
             filters = dict(x.split("=", 1) for x in a.filter)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import CHUNK_ID
 
 from .facets import facet
+from .index import Index, path_of
+from .segments import SegmentedIndex
 
 #: Most neighbours on a side, and the scheme of resources.
 MOST_CONTEXT, SCHEME = 5, "docs:///"
@@ -64,6 +66,12 @@ def get_doc(chunks: DataFrame, chunk_id: str, context: int | None = 0) -> str:
     return in_context(chunks.where(F.col("filepath") == found["filepath"]), target, context or 0).first()["text"]
 
 
+def get_doc_of(index: Index | SegmentedIndex, chunk_id: str, context: int | None = 0) -> str:
+    """get_doc over an index: only the folder of the chunk's file is read."""
+    path = path_of(chunk_id) if re.match(CHUNK_ID, chunk_id) else chunk_id
+    return get_doc(index.chunks_of([path]), chunk_id, context)
+
+
 def resource_files(chunks: DataFrame, shown: Sequence[tuple[str, str]]) -> DataFrame:
     """filepath and first chunk of the files that have any of the (facet, value) pairs shown as resources."""
     if not shown:

@@ -1,7 +1,12 @@
 """The index: chunks, postings, term statistics and field statistics as Parquet tables.
 
 Postings are clustered by term and sorted within files, so that a query's terms read
-a few row groups; chunks are clustered by file path, so that neighbours are together.
+a few row groups. Chunks are in folders by a hash of their file's path, sorted by path
+and place: the chunks of a path, or the one of an id, which begins with its path, are in
+one file that the path names without looking into any other. Files are dealt into blocks
+of about BLOCK_CHUNKS chunks, and `impacts` has for each term, field and block the
+greatest part of a score that a chunk there can have, so that a search for the best few
+leaves out blocks that can't have one of them.
 A version directory is written whole and becomes current by replacing a pointer file.
 """
 
@@ -11,7 +16,7 @@ import json
 import os
 import shutil
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -24,6 +29,27 @@ from . import quantised
 
 FIELDS = {"heading": 3.0, "content_text": 1.0}
 POINTER = "CURRENT"
+#: BM25's usual parameters.
+K1, B = 1.2, 0.75
+#: Chunks of a block, on average.
+BLOCK_CHUNKS = 128
+
+
+def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """BM25's score of a term in a chunk, but for the term's weight."""
+    return (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def of_files(rows: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """The chunks of some files of a table in folders; other folders aren't read."""
+    hashes = F.array(*(F.xxhash64(F.lit(p)) for p in paths))
+    here = F.exists(hashes, lambda h: F.pmod(h, F.col("folders")) == F.col("folder"))
+    return rows.where(here & F.col("filepath").isin(list(paths))).drop("folders", "folder")
+
+
+def path_of(chunk_id: str) -> str:
+    """The path that a chunk id begins with."""
+    return chunk_id.split("#", 1)[0]
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -65,7 +91,15 @@ class Index:
     _near: dict = field(default_factory=dict, repr=False, compare=False)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        rows = self.spark.read.parquet(f"{self.path}/{name}")
+        return rows.drop("folders", "folder") if name == "chunks" else rows
+
+    def chunks_of(self, paths: Sequence[str]) -> DataFrame:
+        """The chunks of some files, read from their folders alone."""
+        return of_files(self.spark.read.parquet(f"{self.path}/chunks"), paths)
+
+    def impacts(self) -> DataFrame:
+        return self.table("impacts")
 
     def near(self) -> tuple[DataFrame, DataFrame, quantised.Model] | None:
         """Cells, sizes of their parts and model of the vector index; None where there are too few vectors for one."""
@@ -91,12 +125,18 @@ class Index:
 def write_tables(chunks: DataFrame, path: str, n: int, made: DataFrame | None = None) -> DataFrame:
     """Write chunks, heads, postings and terms in n partitions each; `made` are the chunks' postings if they are there already. The chunks as written."""
     spark = chunks.sparkSession
-    chunks.repartition(n, "filepath").sortWithinPartitions("filepath", "chunk_index").write.parquet(f"{path}/chunks")
+    placed = chunks.withColumn("folders", F.lit(n)).withColumn("folder", F.pmod(F.xxhash64("filepath"), F.lit(n)).cast("int"))
+    placed.repartition(n, "folder").sortWithinPartitions("folder", "filepath", "chunk_index").write.partitionBy("folders", "folder").parquet(f"{path}/chunks")
     stored = spark.read.schema(chunks.schema).parquet(f"{path}/chunks")
+    size = stored.count()
+    if not size:  # folders without rows leave no file to read columns from
+        placed.limit(0).write.mode("overwrite").parquet(f"{path}/chunks")
     # What ranking needs of a chunk, without its texts, by chunk id.
     stored.select(*(c for c in stored.columns if c not in ("content", "content_text", "vector"))).repartitionByRange(n, "chunk_id").sortWithinPartitions("chunk_id").write.parquet(f"{path}/heads")
     made = postings(stored) if made is None else made
-    made.repartitionByRange(n, "term", "chunk_id").sortWithinPartitions("term", "field", "chunk_id").write.parquet(f"{path}/postings")
+    blocks = max(1, size // BLOCK_CHUNKS)
+    made = made.withColumn("block", F.pmod(F.xxhash64(F.substring_index("chunk_id", "#", 1)), F.lit(blocks)).cast("int"))
+    made.repartitionByRange(n, "term", "block", "chunk_id").sortWithinPartitions("term", "field", "block", "chunk_id").write.parquet(f"{path}/postings")
     spark.read.parquet(f"{path}/postings").groupBy("term", "field").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{path}/terms")
     return stored
 
@@ -112,6 +152,10 @@ def build(chunks: DataFrame, base: str, metadata: dict | None = None, vectors: D
         chunks = chunks.join(vectors.select("chunk_id", "vector"), "chunk_id", "left")
     stored = write_tables(chunks, path, n)
     field_statistics(stored).coalesce(1).write.parquet(f"{path}/fields")
+    means = F.broadcast(spark.read.parquet(f"{path}/fields").select("field", "avgdl"))  # a row for each field
+    scored = spark.read.parquet(f"{path}/postings").join(means, "field")
+    impacts = scored.groupBy("term", "field", "block").agg(F.count("*").alias("n"), F.max(saturation(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("top"))
+    impacts.repartitionByRange(n, "term").sortWithinPartitions("term", "field", "block").write.parquet(f"{path}/impacts")
     if vectors is not None:
         quantised.save(stored.select("chunk_id", "vector"), f"{path}/near", partitions=n)
     with open(os.path.join(path, "metadata.json"), "w", encoding="utf-8") as f:

@@ -227,7 +227,9 @@ class Tools:
         return vars(self.engine.search(Request(a["query"], a.get("filters", {}), a.get("limit"), a.get("cursor"), list(self.document["taxonomy"]))))
 
     def _get(self, arguments: object):
-        from .documents import get_doc
+        from .documents import get_doc, get_doc_of
 
         a = check_arguments(arguments, get_schema())
+        if hasattr(self.engine, "index"):
+            return get_doc_of(self.engine.index, a["chunk_id"], a.get("context", 0))
         return get_doc(self.engine.chunks, a["chunk_id"], a.get("context", 0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -14,7 +14,7 @@ from scriptorium.session import written
 
 from . import collapse, cursor, lexical, quantised, vectors
 from .facets import facet, matching
-from .index import FIELDS, Index
+from .index import BLOCK_CHUNKS, FIELDS, K1, B, Index
 
 #: The fusion's constant and the lists' weights; bounds of the phrase's slop.
 RANK_CONSTANT, WEIGHTS, MOST_SLOP = 60, {"match": 1.0, "phrase": 1.25, "vector": 1.0}, 5
@@ -24,8 +24,8 @@ BEYOND, TIMES, MOST_CANDIDATES = 200, 5, 5000
 ONE_TASK = 200_000
 #: Rows of the vector list that an index of vectors gives, for one query and for each of many.
 NEAREST, NEAREST_OF_MANY = MOST_CANDIDATES, 200
-#: BM25's usual parameters.
-K1, B = 1.2, 0.75
+#: Blocks that the threshold of a search for the best few is taken from, for each block of rows wanted, and blocks up to which they are part of the plan.
+FIRST_BLOCKS, LITERAL_BLOCKS = 4, 2000
 
 
 @dataclass(frozen=True)
@@ -49,9 +49,12 @@ def slop_of(slop: float | None) -> int:
     return max(0, min(MOST_SLOP, int(slop // 1))) if slop is not None else 0
 
 
+def idf(df: Column, n: Column) -> Column:
+    return F.log(1.0 + (n - df + 0.5) / (df + 0.5))
+
+
 def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
-    idf = F.log(1.0 + (n - df + 0.5) / (df + 0.5))
-    return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
+    return idf(df, n) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
 def _times(terms: Column, term: str) -> Column:
@@ -157,9 +160,10 @@ def most_hits(index: Index, queries: Sequence[str]) -> int:
     return sum(df.get(t, 0) for q in queries for t in dict.fromkeys(query_terms(q)))
 
 
-def match_index(index: Index, query: str, allowed: DataFrame | None) -> DataFrame:
+def match_index(index: Index, query: str, allowed: DataFrame | None, within: Column | None = None) -> DataFrame:
+    """chunk_id and BM25 `score`; within: a condition on postings, which must take in or leave out a chunk's postings together."""
     terms = list(dict.fromkeys(query_terms(query)))
-    rows = index.table("postings").where(F.col("term").isin(terms)).select("term", "field", "chunk_id", "tf", "dl")
+    rows = index.table("postings").where(F.col("term").isin(terms) & (F.lit(True) if within is None else within)).select("term", "field", "chunk_id", "tf", "dl")
     stats = index.table("terms").where(F.col("term").isin(terms)).join(F.broadcast(index.table("fields")), "field")  # a row for each term and field
     weight = F.create_map(*(F.lit(x) for kv in FIELDS.items() for x in kv))[F.col("field")]
     rows = rows.join(F.broadcast(stats), ["term", "field"])
@@ -168,6 +172,39 @@ def match_index(index: Index, query: str, allowed: DataFrame | None) -> DataFram
     return rows.groupBy("chunk_id").agg(F.round(F.sum(weight * bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl"))), 9).alias("score"))
 
 
+@dataclass(frozen=True)
+class Pruned:
+    """The best rows of a match list, and how many of the blocks with a term of the query they were looked for in."""
+
+    rows: DataFrame
+    blocks: int
+    read: int
+
+
+def match_best(index: Index, query: str, k: int, allowed: DataFrame | None = None) -> Pruned:
+    """The k best chunks of the match list, ties by id, without scoring blocks that can't have one of them.
+
+    A block's bound is the sum of what its terms can give at most. The k-th best score in the blocks
+    with the greatest bounds is a threshold: only blocks whose bound reaches it can matter.
+    """
+    terms = list(dict.fromkeys(query_terms(query)))
+    stats = index.table("terms").where(F.col("term").isin(terms)).join(F.broadcast(index.table("fields")), "field")  # a row for each term and field
+    weight = F.create_map(*(F.lit(x) for kv in FIELDS.items() for x in kv))[F.col("field")]
+    tops = index.impacts().where(F.col("term").isin(terms)).select("term", "field", "block", "top").join(F.broadcast(stats), ["term", "field"])
+    bounds = written(tops.groupBy("block").agg(F.sum(weight * idf(F.col("df"), F.col("n")) * F.col("top")).alias("bound")), "bounds")
+    blocks = bounds.count()
+    best = lambda df: df.orderBy(F.desc("score"), "chunk_id").limit(k)
+    first = [r["block"] for r in bounds.orderBy(F.desc("bound"), "block").limit(FIRST_BLOCKS * (1 + k // BLOCK_CHUNKS)).collect()]
+    seen = best(match_index(index, query, allowed, F.col("block").isin(first))).agg(F.min("score").alias("score"), F.count("*").alias("n")).first()
+    if seen["n"] < k:
+        return Pruned(best(match_index(index, query, allowed)), blocks, blocks)
+    may = bounds.where(F.col("bound") >= seen["score"] - 1e-6 * (1 + abs(seen["score"])))  # sums in another order differ by less
+    ids = [r["block"] for r in may.select("block").limit(LITERAL_BLOCKS + 1).collect()]
+    if len(ids) <= LITERAL_BLOCKS:
+        return Pruned(best(match_index(index, query, allowed, F.col("block").isin(ids))), blocks, len(ids))
+    return Pruned(best(match_index(index, query, allowed)), blocks, blocks)
+
+
 def phrase_index(index: Index, query: str, slop: int, allowed: DataFrame | None) -> DataFrame:
     phrase = query_terms(query) or [""]  # no posting has an empty term
     rows = index.table("postings").where((F.col("field") == "content_text") & F.col("term").isin(phrase))
@@ -278,7 +315,11 @@ class Engine:
             offset = cursor.decode_search(request.cursor, request.query.strip(), request.filters) if request.cursor else 0
             cap = candidate_cap(offset, clamp_limit(request.limit))
         most = most_hits(self.index, [request.query]) if cap is None else None
-        lists = [ranked(match_index(self.index, request.query, allowed), "match", cap, most=most), ranked(phrase_index(self.index, request.query, self.slop, allowed), "phrase", cap, most=most)]
+        if cap is not None and hasattr(self.index, "impacts"):
+            match = match_best(self.index, request.query, cap, allowed).rows
+        else:
+            match = match_index(self.index, request.query, allowed)
+        lists = [ranked(match, "match", cap, most=most), ranked(phrase_index(self.index, request.query, self.slop, allowed), "phrase", cap, most=most)]
         if (near := self._near(request, allowed, cap)) is not None:
             lists.append(near)
         scores = fused(lists, {**self.weights, **request.weights})
@@ -304,7 +345,7 @@ class Engine:
         return ranked(rows.select("chunk_id", vectors.distance(F.col("vector"), query).alias("score")), "vector", cap, best=F.asc("score"))
 
     def search(self, request: Request) -> Result:
-        return page(self.hits(request), self.chunks, request, lambda q: match_index(self.index, q, None).select("chunk_id"))
+        return page(self.hits(request), self.chunks, request, lambda q: match_index(self.index, q, None).select("chunk_id"), self.index.chunks_of)
 
 
 class ScanEngine:
@@ -322,8 +363,8 @@ class ScanEngine:
         return page(self.hits(request), self.chunks, request, lambda q: lexical.scored(self.chunks, q, 0.0).select("chunk_id"))
 
 
-def page(hits: DataFrame, chunks: DataFrame, request: Request, unfiltered) -> Result:
-    """One page of hits; at most limit + 1 rows come to the driver."""
+def page(hits: DataFrame, chunks: DataFrame, request: Request, unfiltered: Callable[[str], DataFrame], of_files: Callable[[Sequence[str]], DataFrame] | None = None) -> Result:
+    """One page of hits; at most limit + 1 rows come to the driver. of_files: a quicker way to the chunks of some files."""
     query = request.query.strip()
     if not query:
         raise ValueError("query is required")
@@ -334,7 +375,9 @@ def page(hits: DataFrame, chunks: DataFrame, request: Request, unfiltered) -> Re
     more = len(found) > limit
     shown = found[:limit]
     if shown:  # only their texts are read
-        mine = chunks.where(F.col("filepath").isin(sorted({r["filepath"] for r in shown})) & F.col("chunk_id").isin([r["chunk_id"] for r in shown]))
+        paths = sorted({r["filepath"] for r in shown})
+        mine = of_files(paths) if of_files else chunks.where(F.col("filepath").isin(paths))
+        mine = mine.where(F.col("chunk_id").isin([r["chunk_id"] for r in shown]))
         texts = {r["chunk_id"]: r["snippet"] for r in mine.select("chunk_id", snippet(F.col("content_text"), query).alias("snippet")).collect()}
         for r in shown:
             r["snippet"] = texts[r["chunk_id"]]
@@ -360,4 +403,4 @@ def hint(chunks: DataFrame, matches: DataFrame, query: str, filters: Mapping[str
 
 
 
-__all__ = ["Engine", "Request", "Result", "ScanEngine", "bm25", "fused", "hint", "candidate_cap", "match_index", "match_many", "match_scan", "most_hits", "near_many", "page", "phrase_count", "phrase_index", "phrase_many", "phrase_scan", "ranked", "search_many", "slop_of", "suggestions"]
+__all__ = ["Engine", "Request", "Result", "ScanEngine", "bm25", "fused", "hint", "candidate_cap", "match_best", "match_index", "match_many", "match_scan", "most_hits", "near_many", "page", "phrase_count", "phrase_index", "phrase_many", "phrase_scan", "ranked", "search_many", "slop_of", "suggestions"]

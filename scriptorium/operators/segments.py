@@ -24,7 +24,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
@@ -132,9 +132,15 @@ class SegmentedIndex:
         paths = self.spark.read.schema("filepath string").parquet(*[f"{self.base}/marks/{m.id}/files" for m in mine]).distinct()
         return F.broadcast(paths) if sum(m.files for m in mine) <= BROADCAST_MARKS else paths
 
-    def live(self, s: Segment, name: str) -> DataFrame:
-        """The live rows of chunks, heads or postings of a segment."""
+    def chunks_of(self, paths: Sequence[str]) -> DataFrame:
+        """The live chunks of some files, of each segment from their folders alone."""
+        return self._union((self.live(s, "chunks", paths) for s in self.manifest.segments), EMPTY_CHUNKS)
+
+    def live(self, s: Segment, name: str, paths: Sequence[str] | None = None) -> DataFrame:
+        """The live rows of chunks (of some files), heads or postings of a segment."""
         rows = self.spark.read.parquet(f"{self.base}/segments/{s.id}/{name}")
+        if name == "chunks":
+            rows = index.of_files(rows, paths) if paths is not None else rows.drop("folders", "folder")
         dead = self._marks(s)
         if dead is None:
             return rows
@@ -210,7 +216,7 @@ def update(spark: SparkSession, base: str, chunks: DataFrame | None, touched: Da
     segments = list(m.segments)
     # What dies: the live chunks of the touched files, read by path.
     view = SegmentedIndex(spark, base, m)
-    dying = [view.live(s, "chunks").where(F.col("filepath").isin(few) if few is not None else F.lit(True)).join(near, "filepath", "left_semi").select(F.lit(s.id).alias("segment"), "chunk_id", *index.FIELDS) for s in segments]
+    dying = [view.live(s, "chunks", few).join(near, "filepath", "left_semi").select(F.lit(s.id).alias("segment"), "chunk_id", *index.FIELDS) for s in segments]
     dead: dict[str, int] = {}
     if dying:
         rows = written(reduce(DataFrame.unionByName, dying), "dying")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators import agent_eval, chunking, collapse, documents, evaluate, facets, incremental, index, lexical, manifest, metadata, quantised, search, segments, traces, vectors
+from scriptorium.operators import agent_eval, chunking, collapse, documents, evaluate, facets, incremental, index, lexical, manifest, metadata, quantised, ranks, search, segments, traces, vectors
 from scriptorium.session import shared_dir, written
 from scriptorium.sources import adapters
 from scriptorium.streaming import fold
@@ -161,6 +161,19 @@ def _agent_fold(spark: SparkSession, d: str) -> DataFrame:
     return out.select("scenario", "num_turns", "final_answer", "input_tokens", "output_tokens", F.coalesce(F.col("tools_called")["Bash"], F.lit(0)).cast("long").alias("bash_calls"))
 
 
+def _looked_up(spark: SparkSession, d: str) -> DataFrame:
+    """The first document's chunk with its neighbours, looked up by its id in a published index."""
+    chunk_id = chunks(spark, d).agg(F.min_by("chunk_id", "doc_id")).first()[0]
+    text = documents.get_doc_of(_index(spark, d), chunk_id, 1)
+    return spark.createDataFrame([(chunk_id, text)], "chunk_id string, text string").select("chunk_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def _event_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles by ranges of ranks, whatever the number of rows."""
+    wanted = {"value": {"p50": ("nearest", 0.5), "p95": ("nearest", 0.95), "median": ("between", 0.5)}, "event_id": {"third": ("nearest", 1 / 3)}}
+    return ranks.quantiles(adapters.read(spark, d, "events"), wanted, ["event_type"], few=0).select("event_type", *(F.round(c, 9).alias(c) for c in ("p50", "p95", "median")), "third")
+
+
 def _run_lines(events: DataFrame) -> DataFrame:
     """Recorded lines of agent runs of 64 events each: texts with usage, calls, their results, and at the end a report; what is left is no JSON."""
     e, run = F.col("event_id"), F.floor(F.col("event_id") / 64).cast("long")
@@ -335,6 +348,9 @@ def queries() -> dict[str, Query]:
     return {
         "indexed_match": lambda s, d: search.match_index(_index(s, d), WORDS, None),
         "indexed_phrase": lambda s, d: search.phrase_index(_index(s, d), PHRASE, 0, None).select("chunk_id", F.col("score").cast("long").alias("n")),
+        "block_max_top": lambda s, d: search.match_best(_index(s, d), WORDS, 20).rows,
+        "get_doc_lookup": _looked_up,
+        "exact_quantiles": _event_quantiles,
         "batched_search": _batched,
         "batched_filtered": _filtered,
         "ivf_pq_knn": _near,
@@ -458,6 +474,9 @@ UNION ALL SELECT 'conversations/' || conv_id || '.md#conversation-' || conv_id |
 _SLUG = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9 -]', '', 'g'), ' +', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"
 _WAYS = "ways AS (SELECT 'c' || conv_id || '.md' AS path, CASE WHEN conv_id % 3 = 0 THEN CASE WHEN count(*) >= 2 THEN 'h1' ELSE 'file' END WHEN conv_id % 3 = 1 THEN CASE WHEN count(*) >= 2 THEN 'h2' ELSE 'file' END ELSE CASE WHEN count(*) >= 2 THEN 'h3' ELSE 'file' END END AS way FROM conversations GROUP BY conv_id)"
 
+_CONTEXT = f"""WITH {_CHUNKS}, tot AS (SELECT *, count(*) OVER (PARTITION BY filepath) AS total FROM chunks)
+SELECT t.chunk_id, sha256(string_agg('--- Chunk: ' || n.chunk_id || ' (Chunk ' || (n.chunk_index + 1) || ' of ' || n.total || ') (' || CASE WHEN n.chunk_index = t.chunk_index THEN 'Target' WHEN n.chunk_index > t.chunk_index THEN 'Context: +' || (n.chunk_index - t.chunk_index) ELSE 'Context: ' || (n.chunk_index - t.chunk_index) END || ') ---' || chr(10) || n.content, chr(10) || chr(10) ORDER BY n.chunk_index)) AS text_sha256
+FROM tot t JOIN tot n ON n.filepath = t.filepath AND n.chunk_index BETWEEN t.chunk_index - 1 AND t.chunk_index + 1 WHERE true"""
 _BATCH = f"""WITH {_CHUNKS}, {_TERMS},
 qs AS (SELECT item_id AS query_id, {_t('text')} AS ph FROM benchmark),
 q AS (SELECT query_id, ph, list_sort(list_distinct(ph)) AS ts FROM qs WHERE len(ph) > 0),
@@ -496,6 +515,9 @@ def oracle_sql() -> dict[str, str]:
         "batched_search": _BATCH.replace("{allowed}", ""),
         "batched_filtered": _BATCH.replace("{allowed}", " WHERE chunk_id IN (SELECT chunk_id FROM chunks WHERE (scope = 'sdk-specific' AND language = 'en') OR scope = 'global-guide' OR (scope NOT IN ('sdk-specific', 'global-guide') AND language IN ('', 'en')))"),
         "segmented_match": bm25,
+        "block_max_top": f"{bm25} ORDER BY score DESC, chunk_id LIMIT 20",
+        "get_doc_lookup": f"{_CONTEXT} AND t.doc_id = (SELECT min(doc_id) FROM documents) GROUP BY t.chunk_id",
+        "exact_quantiles": "SELECT event_type, round(quantile_disc(value, 0.5), 9) AS p50, round(quantile_disc(value, 0.95), 9) AS p95, round(quantile_cont(value, 0.5), 9) AS median, quantile_disc(event_id, 1.0::DOUBLE / 3) AS third FROM events GROUP BY event_type",
         "segmented_terms": f"""{w}, {_TERMS} SELECT term, field, count(*) AS df FROM (SELECT DISTINCT chunk_id, 'heading' AS field, unnest(th) AS term FROM terms UNION ALL SELECT DISTINCT chunk_id, 'content_text', unnest(tc) FROM terms) GROUP BY ALL""",
         "ivf_pq_knn": """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
 d AS (SELECT query_id, vec_id, list_distance(embedding::DOUBLE[], q) AS d FROM embeddings, q)
@@ -546,9 +568,7 @@ SELECT chunk_id, score, snippet FROM fu JOIN snippets USING (chunk_id)""",
         "facet_scope": f"{w} SELECT chunk_id FROM chunks WHERE language = 'fr' AND scope = 'sdk-specific'",
         "variant_collapse": f"{w}, {_FLAT}, {_LEX} SELECT chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY 'sdk/*/' || string_split(filepath, '/')[3] || ':' || heading ORDER BY score DESC, chunk_id) AS k FROM scored WHERE score > 0) WHERE k = 1",
         "hint_suggestions": f"{w}, {_FLAT}, m AS (SELECT * FROM flat WHERE contains(c, 'idiot') OR contains(h, 'idiot')) SELECT key, string_agg(DISTINCT v, ',' ORDER BY v) AS values FROM (SELECT 'language' AS key, language AS v FROM m WHERE language NOT IN ('', 'xx') UNION ALL SELECT 'scope', scope FROM m WHERE scope NOT IN ('', 'blog')) GROUP BY key",
-        "get_doc_context": f"""{w}, tot AS (SELECT *, count(*) OVER (PARTITION BY filepath) AS total FROM chunks)
-SELECT t.chunk_id, sha256(string_agg('--- Chunk: ' || n.chunk_id || ' (Chunk ' || (n.chunk_index + 1) || ' of ' || n.total || ') (' || CASE WHEN n.chunk_index = t.chunk_index THEN 'Target' WHEN n.chunk_index > t.chunk_index THEN 'Context: +' || (n.chunk_index - t.chunk_index) ELSE 'Context: ' || (n.chunk_index - t.chunk_index) END || ') ---' || chr(10) || n.content, chr(10) || chr(10) ORDER BY n.chunk_index)) AS text_sha256
-FROM tot t JOIN tot n ON n.filepath = t.filepath AND n.chunk_index BETWEEN t.chunk_index - 1 AND t.chunk_index + 1 GROUP BY t.chunk_id""",
+        "get_doc_context": f"{_CONTEXT} GROUP BY t.chunk_id",
         "get_doc_full": f"{w} SELECT filepath, sha256(string_agg(content, chr(10) || chr(10) ORDER BY chunk_index)) AS text_sha256 FROM chunks GROUP BY filepath",
         "list_filepaths": f"{w} SELECT filepath, chunk_id FROM chunks WHERE language = 'de' AND chunk_index = 0",
         "resource_entries": f"{w} SELECT filepath, chunk_id FROM chunks WHERE (language = 'es' OR scope = 'global-guide') AND chunk_index = 0",
