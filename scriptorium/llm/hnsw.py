@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, tidy, written
+from .common import lean, table, tidy, written
 
 SHARD_ROWS, LINKS, BREADTH_BUILD, BREADTH_SEARCH, BLOCK_ROWS = 16_384, 16, 80, 120, 1024
 
@@ -203,6 +203,7 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int, shard_rows: int = SHAR
 
     Columns: query_id, rank, vec_id, score.
     """
+    lean(vectors.sparkSession)  # a row with a graph is a batch of its own
     ok = lambda df: df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     known = written(classes(ok(vectors), k + 1), "vectors")
     shards = max(1, -(-known.count() // shard_rows))
@@ -216,17 +217,15 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int, shard_rows: int = SHAR
 
     graphs = written(dealt.groupBy("shard", "bytes").applyInPandas(make, "shard int, bytes int, vecs binary, ids binary, nodes array<binary>, links array<binary>"), "graphs")
 
-    @tidy
-    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b = b.assign(bytes=[8 * len(v) for v in b["embedding"]])
-            for size, same in b.groupby("bytes"):
-                for i in range(0, len(same), BLOCK_ROWS):
-                    part = same.iloc[i : i + BLOCK_ROWS]
-                    qs = np.stack([np.asarray(v, np.float64) for v in part["embedding"]])
-                    yield pd.DataFrame({"bytes": [int(size)], "q_ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "qs": [qs.tobytes()]})
-
-    blocks = ok(asked).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInPandas(block, "bytes int, q_ids binary, qs binary")
+    def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        qs = np.stack([np.asarray(v, np.float64) for v in rows["embedding"]])
+        return pd.DataFrame({"bytes": [int(key[0])], "q_ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "qs": [qs.tobytes()]})
+
+    # Full blocks, however few queries a partition has: every block meets every graph.
+    sought = written(ok(asked).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "asked")
+    n_blocks = max(1, -(-sought.count() // BLOCK_ROWS))
+    numbered = sought.withColumn("bytes", 8 * F.size("embedding")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
+    blocks = numbered.groupBy("bytes", "block").applyInPandas(block, "bytes int, q_ids binary, qs binary")
     pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, ["shard", "bytes"])
 
     @tidy
