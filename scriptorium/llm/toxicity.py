@@ -3,7 +3,8 @@
 A token that holds a sign or digit that may stand for a letter, a repeated letter or signs
 between letters, and a stretch of three or more tokens of at most two characters, becomes a
 lattice: each run of equal characters offers the strings it may stand for, nothing, or a word
-boundary, each space a boundary or nothing, each with a channel cost. The path of least cost
+boundary, each space a boundary or nothing, a sign that masks a letter each vowel, each with a
+channel cost. The path of least cost
 under a character trigram model, found by Viterbi over all states, is the restored text; a token
 of digits alone may stay a number instead. Other tokens have one path and are left as they are.
 Words and word beginnings of the restored text, as present or absent, feed a logistic regression.
@@ -33,20 +34,21 @@ from pyspark.sql import functions as F
 
 from .common import held_out, lean, table, tidy, written
 
-#: Distinct words, and characters in them, that a task holds before it tells their trigrams.
-HELD_WORDS, HELD_CHARS = 100_000, 10_000_000
+#: Distinct tokens, and characters in them, that a task holds before it tells their trigrams.
+HELD_WORDS, HELD_CHARS = 250_000, 10_000_000
 SAMPLE_ROWS, FEATURES, LEAST_DOCS, LEAST_TELL = 20_000, 3000, 3, 12.0
 THRESHOLD, RIDGE = 0.3, 0.03
 
 #: What signs may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i"}
+MASKS, VOWELS = "*#_%", "aeiou"
 BETWEEN = frozenset(".-_*~^'`·•/\\,:;\"#%&=?)]}>[{“”«»„")
 _LEAD, _TRAIL = "\"'[{*#%&.,;:?-_~`«»“”„", "\"')]}>*#%&.,;:?-_~`«»“”"
 _ODD = re.compile(r"[0-9@$!|+(<€£¡]")
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 _AGAIN = re.compile(r"([^\W\d_])\1")
-_DOTTED = re.compile(r"^\w(?:[^\w\s]+\w|_+\w){2,}$")
+_INSIDE = re.compile(r"[^\W\d_](?:[^\w\s]|_)+[^\W\d_]")
 _SHORT = re.compile(r"(?<!\S)\S{1,2}(?:[ \t]\S{1,2}){2,}(?!\S)")
 _SPLIT = re.compile(r"[\s\-/]+")
 #: Channel costs: a sign for a letter inside or at the edge of a token, a run of signs for one letter or two, a repeated letter
@@ -56,6 +58,8 @@ _SPLIT = re.compile(r"[\s\-/]+")
 SIGN, EDGE_SIGN, SIGNS_ONE, SIGNS_TWO, STRETCHED, DOUBLED = 0.7, 1.2, 1.2, 0.9, 0.3, 2.0
 NOTHING, EDGE_NOTHING, LEAD_NOTHING, ODD_EDGE_NOTHING, BREAK, DIGITS, DIGIT = 0.4, 0.1, 0.8, 1.0, 0.6, 4.0, 2.3
 JOIN_SINGLE, JOIN, NUMBER = 0.3, 3.0, 2.0
+#: A sign inside a word for a vowel that it hides.
+MASKED = 1.5
 
 
 START, END = "\x02", "\x03"
@@ -93,6 +97,18 @@ def trigrams(texts: list[str]) -> Counter:
     return spelled(Counter(w for t in texts for w in _WORD.findall(t.lower())))
 
 
+def words_of(found: dict[str, int]) -> Counter:
+    """Lower-case words of tokens that occur so many times: no word goes over white space."""
+    out: Counter = Counter()
+    for t, n in found.items():
+        if t.isalpha():
+            out[t] += n
+        else:
+            for w in _WORD.findall(t):
+                out[w] += n
+    return out
+
+
 def spelled(words: dict[str, int]) -> Counter:
     """Trigrams of lower-case words that occur so many times."""
     found: defaultdict = defaultdict(int)
@@ -132,6 +148,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                 ways.append(("", NOTHING if not edge else ODD_EDGE_NOTHING * n if c in "$@+€£¡" else LEAD_NOTHING if j < size and not token[j].isspace() and c in LEET else EDGE_NOTHING))
                 if not edge:
                     ways.append((" ", BREAK))
+                    if c in MASKS and n == 1:
+                        ways += [(m, MASKED) for m in VOWELS]
         out.append(ways)
         i = j
     return out
@@ -198,7 +216,7 @@ def restore_token(token: str, lm: CharModel) -> str:
         return core
     if again and core.isalpha() and not _AGAIN.search(core, again.start() + 1):
         return undoubled(core, again.start(), lm)
-    if _ODD.search(core) or again or _DOTTED.match(core) or " " in core or "\t" in core:
+    if _ODD.search(core) or again or _INSIDE.search(core) or " " in core or "\t" in core:
         return decode(core, lm).strip()
     return core
 
@@ -226,25 +244,48 @@ def features(word: str) -> list[str]:
 
 
 class Reader:
-    """Features of texts, each token being restored once."""
+    """Features of texts, each token being restored once; tokens without a feature that counts are only known as such."""
+
+    HELD = 600_000
 
     def __init__(self, lm: CharModel, only: dict[str, int] | None = None):
-        self.lm, self.only, self.known = lm, only, {}
+        self.lm, self.only = lm, only
+        self.known: set[str] = set()
+        self.telling: dict[str, tuple] = {}
+        self.starts = {f[:4] for f in only} if only is not None else None
+
+    def silent(self, token: str) -> bool:
+        """Whether a token of plain letters can't have a feature that counts, however a doubled letter of it is restored."""
+        core = token.lower().lstrip(_LEAD).rstrip(_TRAIL)
+        if not core.isalpha() or core[:4] in self.starts:
+            return False
+        again = _AGAIN.search(core)
+        if again is None:
+            return True
+        k = again.start()
+        return not _AGAIN.search(core, k + 1) and (core[: k + 1] + core[k + 2 :])[:4] not in self.starts
+
+    def told(self, token: str) -> tuple:
+        if self.starts is not None and self.silent(token):
+            return ()
+        names = [f for w in _SPLIT.split(restore_token(token, self.lm)) for f in features(w)]
+        return tuple(names) if self.only is None else tuple(self.only[f] for f in names if f in self.only)
 
     def of(self, text: str | None) -> set:
         found: set = set()
         if not text:
             return found
-        known = self.known
-        if len(known) > 400_000:
-            known.clear()
-        for t in set(tokens(text)):
-            got = known.get(t)
-            if got is None:
-                names = [f for w in _SPLIT.split(restore_token(t, self.lm)) for f in features(w)]
-                got = known[t] = tuple(names) if self.only is None else tuple(self.only[f] for f in names if f in self.only)
-            if got:
-                found.update(got)
+        if len(self.known) > self.HELD:
+            self.known.clear()
+            self.telling.clear()
+        mine = set(tokens(text))
+        new = mine - self.known
+        for t in new:
+            if got := self.told(t):
+                self.telling[t] = got
+        self.known |= new
+        for t in mine & self.telling.keys() if len(mine) < len(self.telling) else [t for t in self.telling if t in mine]:
+            found.update(self.telling[t])
         return found
 
 
@@ -295,7 +336,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_
         words: Counter = Counter()
 
         def told() -> Iterator[pa.RecordBatch]:
-            found = spelled(words)
+            found = spelled(words_of(words))
             words.clear()
             names, n = list(found), list(found.values())
             for i in range(0, len(names), 50_000):
@@ -303,7 +344,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_
 
         for b in batches:
             for t in b.column(0):
-                words.update(_WORD.findall(t.as_py().lower()))
+                words.update(t.as_py().lower().split())
             if len(words) > HELD_WORDS or sum(map(len, words)) > HELD_CHARS:
                 yield from told()
         yield from told()
