@@ -200,6 +200,27 @@ def nearest(path: str, manifests: Mapping[str, Manifest]) -> tuple[str, Manifest
     return None
 
 
+#: Manifests up to which they are broadcast to the paths.
+BROADCAST_MANIFESTS = 50_000
+
+
+def nearest_of(paths: DataFrame, known: DataFrame) -> DataFrame:
+    """paths (path, ...) with the columns of the manifest (dir, ...) in the closest directory above each; null where there is none.
+
+    An equi-join of every directory above a path with the manifests; of those that match the longest
+    counts. As a directory near the root is above very many paths, the manifests are broadcast while
+    they are few; beyond that the join is a shuffle, whose large partitions Spark splits.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    steps = paths.select("path").distinct().select("path", F.explode(above).alias("dir"))
+    few = known.limit(BROADCAST_MANIFESTS + 1).count() <= BROADCAST_MANIFESTS
+    dirs = known.select("dir")
+    near = steps.join(F.broadcast(dirs) if few else dirs, "dir").groupBy("path").agg(F.max_by("dir", F.length("dir")).alias("dir"))
+    found = near.join(F.broadcast(known) if few else known, "dir")
+    return paths.join(found, "path", "left")
+
+
 def merged_taxonomy(manifests: Iterable[Manifest]) -> dict[str, dict]:
     """What any manifest sets to true, for each key."""
     out: dict[str, dict] = {}

@@ -161,6 +161,34 @@ def _agent_fold(spark: SparkSession, d: str) -> DataFrame:
     return out.select("scenario", "num_turns", "final_answer", "input_tokens", "output_tokens", F.coalesce(F.col("tools_called")["Bash"], F.lit(0)).cast("long").alias("bash_calls"))
 
 
+def _nearest_manifests(spark: SparkSession, d: str) -> DataFrame:
+    """For a path of each document the closest directory above it with a manifest; languages, sources and some folders have one."""
+    docs = adapters.read(spark, d, "documents")
+    part = lambda *c: F.concat_ws("/", F.lit("sdk"), *c)
+    folder = (F.col("doc_id") % 5).cast("string")
+    paths = docs.select(part("lang", "source", folder, F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"))
+    known = docs.where("lang <> 'es'").select(part("lang").alias("dir")).union(docs.where("doc_id % 7 = 0").select(part("lang", "source"))).union(docs.where("doc_id % 31 = 0").select(part("lang", "source", folder))).distinct()
+    return manifest.nearest_of(paths, known).select("path", "dir")
+
+
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with metadata of their own: the language and a key for each source and remainder."""
+    tag = F.concat_ws("-", "source", (F.col("doc_id") % 51).cast("string"))
+    return adapters.read(spark, d, "documents").select("doc_id", tag.alias("tag"), F.create_map(F.lit("language"), F.col("lang"), tag, (F.col("doc_id") % 3).cast("string"), F.lit("empty"), F.lit("")).alias("metadata"))
+
+
+def _unused(spark: SparkSession, d: str) -> DataFrame:
+    """Of the keys that any document has those that no document divisible by three has."""
+    rows = _tagged(spark, d)
+    return metadata.unused_keys(rows.select(F.col("tag").alias("key")).distinct(), metadata.taxonomy(rows.where("doc_id % 3 = 0").select("metadata")))
+
+
+def _configured(spark: SparkSession, d: str) -> DataFrame:
+    rows = _tagged(spark, d)
+    config = rows.where("doc_id % 5 = 0").select(F.col("tag").alias("key"), F.lit(True).alias("vector_collapse")).distinct()
+    return metadata.configured(metadata.taxonomy(rows), config).select("key", "vector_collapse", F.array_join("values", ",").alias("values"))
+
+
 def _looked_up(spark: SparkSession, d: str) -> DataFrame:
     """The first document's chunk with its neighbours, looked up by its id in a published index."""
     chunk_id = chunks(spark, d).agg(F.min_by("chunk_id", "doc_id")).first()[0]
@@ -246,10 +274,13 @@ def _near(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _incremental(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks after half of the files were there before: those of unchanged files are taken over, the others made."""
+    """Chunks after two thirds of the files were there before, some of them with another text: those of unchanged files are taken over, the others made."""
     files = _markdown(spark, d).withColumn("strategy", F.struct(F.lit("h2").alias("chunk_by"), F.lit(None).cast("int").alias("max_chunk_size"), F.lit(None).cast("int").alias("min_chunk_size"))).withColumn("metadata", F.create_map().cast("map<string,string>")).withColumn("title", F.lit(None).cast("string"))
-    before = written(incremental.rechunk(files.where(F.crc32("path") % 2 == 0)), "previous")
-    return incremental.rechunk(files, before).select("chunk_id", "heading", "chunk_index")
+    id_ = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
+    edited = files.withColumn("markdown", F.when(id_ % 4 == 2, F.concat("markdown", F.lit("\n\nmore"))).otherwise(F.col("markdown")))
+    # What is taken over bears a mark; a third of the files is new, and of the others some were different.
+    before = written(incremental.rechunk(edited.where(id_ % 3 > 0)).withColumn("breadcrumb", F.concat(F.lit("before: "), "breadcrumb")), "previous")
+    return incremental.rechunk(files, before).select("chunk_id", "heading", "chunk_index", F.startswith("breadcrumb", F.lit("before: ")).alias("taken_over"))
 
 
 def _same_slugs(spark: SparkSession, d: str) -> DataFrame:
@@ -333,10 +364,6 @@ def _forms(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", T.is_chunk_id(F.col("text")).alias("text_is_id"), T.is_chunk_id(F.concat(F.lit("a/b.md#"), F.replace("text", F.lit(" "), F.lit("-")))).alias("made_is_id"), T.posix_path(F.concat(F.lit("./a\\"), F.col("item_id").cast("string"))).alias("path"))
 
 
-def _config(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("scope", True), ("region", True)], "key string, vector_collapse boolean")
-
-
 def _metadata(spark: SparkSession, d: str) -> DataFrame:
     """Metadata of stored JSON; where it can't be read, of flat columns."""
     stored = F.when(F.col("doc_id") % 3 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("lang", F.lit("").alias("empty"))))
@@ -368,9 +395,10 @@ def queries() -> dict[str, Query]:
         "changed_assertions": _changed_checks,
         "benchmark_report": _report,
         "chunk_id_forms": _forms,
-        "metadata_keys": lambda s, d: metadata.metadata_keys(chunks(s, d)),
-        "configured_taxonomy": lambda s, d: metadata.configured(metadata.taxonomy(chunks(s, d)), _config(s)).select("key", "vector_collapse", F.size("values").alias("n_values")),
-        "unused_keys": lambda s, d: metadata.unused_keys(_config(s), metadata.taxonomy(chunks(s, d))),
+        "metadata_keys": lambda s, d: metadata.metadata_keys(_tagged(s, d)),
+        "configured_taxonomy": _configured,
+        "unused_keys": _unused,
+        "nearest_manifest": _nearest_manifests,
         "metadata_extraction": _metadata,
         "hybrid_rrf": hybrid,
         "normalize_tokenize": lambda s, d: chunks(s, d).select("chunk_id", F.size(ts := T.tokenized(T.normalized(F.col("content_text")))).alias("n_tokens"), F.array_join(F.slice(ts, 1, 8), " ").alias("head")),
@@ -522,7 +550,7 @@ def oracle_sql() -> dict[str, str]:
         "ivf_pq_knn": """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
 d AS (SELECT query_id, vec_id, list_distance(embedding::DOUBLE[], q) AS d FROM embeddings, q)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)::INT AS rank, vec_id, round(d, 6) AS distance FROM d QUALIFY rank <= 10""",
-        "incremental_chunks": _CONVERSATION_CHUNKS,
+        "incremental_chunks": f"SELECT *, regexp_extract(chunk_id, '([0-9]+)', 1)::BIGINT % 3 > 0 AND regexp_extract(chunk_id, '([0-9]+)', 1)::BIGINT % 4 <> 2 AS taken_over FROM ({_CONVERSATION_CHUNKS})",
         "duplicate_slugs": f"WITH {_CONV} SELECT 'conversations/' || conv_id || '.md#conversation-' || conv_id || '/' || role || '-' || k AS chunk_id, k::VARCHAR AS nth FROM conv WHERE k > 1",
         "hash_embedding": f"""{w}, b AS (SELECT chunk_id, hex(encode(content)) AS x, octet_length(encode(content)) AS n FROM chunks),
 e AS (SELECT chunk_id, i % 64 AS k, sum((CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * ('0x' || substring(x, (2 * i + 1)::INT, 2))::INT)::DOUBLE AS y FROM (SELECT chunk_id, x, unnest(range(n)) AS i FROM b) GROUP BY ALL),
@@ -543,9 +571,14 @@ SELECT c.scenario, count(*) AS calls, coalesce(sum(length(f.result)), 0)::BIGINT
         "changed_assertions": "SELECT event_id AS id, event_id % 3 AS key, event_id % 4 < 2 AS passed_now FROM events WHERE (event_id % 4 < 2) <> ((event_id + 1) % 4 < 2)",
         "benchmark_report": "SELECT lang AS label, count(*) AS cases, round(sum(n_chars) / 1000000.0::DOUBLE, 6) AS index_by_corpus, round(0.25::DOUBLE * CASE lang WHEN 'en' THEN 0.13::DOUBLE WHEN 'fr' THEN 0.02::DOUBLE ELSE 0 END, 6) AS embedding_cost, round(0.00002::DOUBLE * CASE lang WHEN 'en' THEN 0.13::DOUBLE WHEN 'fr' THEN 0.02::DOUBLE ELSE 0 END, 9) AS query_cost FROM documents GROUP BY lang",
         "chunk_id_forms": r"SELECT item_id, regexp_matches(text, '^[^#\s]+(#[^#\s]+)?$') AS text_is_id, regexp_matches('a/b.md#' || replace(text, ' ', '-'), '^[^#\s]+(#[^#\s]+)?$') AS made_is_id, 'a/' || item_id AS path FROM benchmark",
-        "metadata_keys": "SELECT unnest(['language', 'scope']) AS key",
-        "configured_taxonomy": f"{w} SELECT 'language' AS key, false AS vector_collapse, count(DISTINCT language)::INT AS n_values FROM chunks UNION ALL SELECT 'scope', true, count(DISTINCT scope)::INT FROM chunks WHERE scope <> ''",
-        "unused_keys": "SELECT 'region' AS key",
+        "metadata_keys": "SELECT 'language' AS key FROM documents UNION SELECT 'empty' FROM documents UNION SELECT source || '-' || (doc_id % 51) FROM documents",
+        "configured_taxonomy": """WITH t AS (SELECT doc_id, source || '-' || (doc_id % 51) AS tag, lang FROM documents),
+v AS (SELECT DISTINCT tag AS key, (doc_id % 3)::VARCHAR AS v FROM t UNION SELECT 'language', lang FROM t)
+SELECT key, key IN (SELECT tag FROM t WHERE doc_id % 5 = 0) AS vector_collapse, string_agg(v, ',' ORDER BY v) AS values FROM v GROUP BY key""",
+        "unused_keys": "SELECT source || '-' || (doc_id % 51) AS key FROM documents EXCEPT SELECT source || '-' || (doc_id % 51) FROM documents WHERE doc_id % 3 = 0",
+        "nearest_manifest": """WITH p AS (SELECT 'sdk/' || lang || '/' || source || '/' || (doc_id % 5) || '/' || doc_id || '.md' AS path FROM documents),
+m AS (SELECT 'sdk/' || lang AS dir FROM documents WHERE lang <> 'es' UNION SELECT 'sdk/' || lang || '/' || source FROM documents WHERE doc_id % 7 = 0 UNION SELECT 'sdk/' || lang || '/' || source || '/' || (doc_id % 5) FROM documents WHERE doc_id % 31 = 0)
+SELECT path, arg_max(dir, length(dir)) AS dir FROM p LEFT JOIN m ON starts_with(path, dir || '/') GROUP BY path""",
         "metadata_extraction": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'lang=' || lang || ',source=' || source ELSE 'lang=' || lang END AS metadata FROM documents",
         "hybrid_rrf": f"""{w}, {_FLAT}, {_SNIPPET}, {_TERMS}, {_BM25}, {_PAIRS},
 ph AS (SELECT a.chunk_id, count(*) AS score FROM pos a JOIN pos b ON a.chunk_id = b.chunk_id AND b.p = a.p + 1 AND a.w = 'of' AND b.w = 'the' GROUP BY 1),

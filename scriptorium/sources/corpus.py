@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import subprocess
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scriptorium.operators import manifest as M
+from scriptorium.session import written
 
 MANIFEST_NAME = ".docs-manifest.json"
 TEMPLATE_ENDS = (".template.md", ".template.yaml")
@@ -68,6 +72,69 @@ def manifests(root: str, name: str = MANIFEST_NAME) -> dict[str, M.Manifest]:
     return out
 
 
+def tree(spark: SparkSession, root: str, dirs_a_task: int = 50) -> DataFrame:
+    """path of every file below root, as _walk gives them, listed by the executors a level of directories at a time; they see root."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for d in b.column(0).to_pylist():
+                names, kinds = [], []
+                with os.scandir(os.path.join(root, d)) as entries:
+                    for e in entries:
+                        is_dir = e.is_dir()
+                        if not (is_dir and (e.name.startswith(".") or e.is_symlink())):
+                            names.append(f"{d}/{e.name}" if d else e.name)
+                            kinds.append(is_dir)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kinds, pa.bool_())], names=["path", "is_dir"])
+
+    level, levels, n = spark.createDataFrame([("",)], "path string"), [], 1
+    while n:
+        found = written(level.repartition(max(1, -(-n // dirs_a_task))).mapInArrow(look, "path string, is_dir boolean"), "level")
+        levels.append(found)
+        level = found.where("is_dir").select("path")
+        n = level.count()
+    return reduce(DataFrame.unionByName, levels).where("not is_dir").select("path")
+
+
+def read_tree(spark: SparkSession, root: str, manifest_name: str = MANIFEST_NAME, files_a_task: int = 500) -> DataFrame:
+    """The rows of read_corpus for corpora of any number of files and manifests: listing, manifests and their paths stay with the executors."""
+    paths = written(tree(spark, root), "tree")
+    name = F.element_at(F.split("path", "/"), -1)
+    plain = F.endswith("path", F.lit(".md")) & ~F.startswith(name, F.lit(".")) & reduce(lambda a, b: a & b, (~F.endswith("path", F.lit(e)) for e in TEMPLATE_ENDS))
+    files = written(paths.where(plain), "files")
+    place = F.regexp_replace("path", "/?[^/]*$", "")
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for p in b.column(1).to_pylist():
+                with open(os.path.join(root, p), encoding="utf-8") as f:
+                    got.append(f.read())
+                M.parse_manifest(got[-1])  # a broken one is told where it is read
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], names=["dir", "manifest"])
+
+    known = written(paths.where(name == manifest_name).select(place.alias("dir"), "path").mapInArrow(texts, "dir string, manifest string"), "manifests")
+    near = M.nearest_of(files, known)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parsed = functools.lru_cache(1000)(M.parse_manifest)
+        for b in batches:
+            rows = []
+            for p, d, said in zip(*(b.column(k).to_pylist() for k in ("path", "dir", "manifest")), strict=True):
+                with open(os.path.join(root, p), encoding="utf-8", newline="") as f:
+                    text = f.read()
+                c = M.resolve(p, text, parsed(said) if said is not None else None, d or "")
+                rows.append((p, text, vars(c.strategy), list(c.metadata.items()), c.title, said is not None))
+            yield _file_batch(rows)
+
+    return near.repartition(max(1, -(-files.count() // files_a_task)), "path").mapInArrow(over, FILE_SCHEMA)
+
+
+def _file_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), _STRATEGY, pa.map_(pa.string(), pa.string()), pa.string(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["path", "markdown", "strategy", "metadata", "title", "has_manifest"])
+
+
 FILE_SCHEMA = "path string, markdown string, strategy struct<chunk_by:string,max_chunk_size:int,min_chunk_size:int>, metadata map<string,string>, title string, has_manifest boolean"
 _STRATEGY = pa.struct([("chunk_by", pa.string()), ("max_chunk_size", pa.int32()), ("min_chunk_size", pa.int32())])
 
@@ -87,8 +154,7 @@ def read_corpus(spark: SparkSession, root: str, manifest_name: str = MANIFEST_NA
                 near = M.nearest(p, known)
                 c = M.resolve(p, text, near[1] if near else None, near[0] if near else "")
                 rows.append((p, text, vars(c.strategy), list(c.metadata.items()), c.title, near is not None))
-            kinds = (pa.string(), pa.string(), _STRATEGY, pa.map_(pa.string(), pa.string()), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["path", "markdown", "strategy", "metadata", "title", "has_manifest"])
+            yield _file_batch(rows)
 
     return listed.mapInArrow(over, FILE_SCHEMA)
 
