@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import shutil
 import uuid
 from collections.abc import Callable, Sequence
@@ -111,6 +112,19 @@ class Index:
         model = self._near["model"]
         return None if model is None else (self.table("near/cells"), self.table("near/sizes"), model)
 
+    @property
+    def version(self) -> str:
+        return os.path.basename(self.path.rstrip("/"))
+
+    def at(self, version: str) -> Index:
+        """Another version of the same index, as long as it is kept."""
+        if version == self.version:
+            return self
+        other = Index(self.spark, os.path.join(os.path.dirname(self.path.rstrip("/")), version))
+        if not re.fullmatch(r"v-[0-9a-f]+", version) or not os.path.isdir(other.path):
+            raise LookupError(f"There is no version {version} any more")
+        return other
+
     @property
     def metadata(self) -> dict:
         rows = self.spark.read.text(f"{self.path}/metadata.json", wholetext=True).first()

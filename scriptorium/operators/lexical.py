@@ -38,4 +38,11 @@ def scored(chunks: DataFrame, query: str, phrase_weight: float = PHRASE_WEIGHT)
 
 def order(collated: bool = True) -> list[Column]:
     """Best first, ties by chunk id, in locale or in binary order."""
-    return [F.desc("score"), F.collate("chunk_id", "UNICODE") if collated else F.col("chunk_id")]
+    return [F.desc("score"), *([F.collate("chunk_id", "UNICODE")] if collated else []), F.col("chunk_id")]
+
+
+def behind(score: float, chunk_id: str) -> Column:
+    """Whether a row comes after a hit in the collated order."""
+    mine, last = F.collate("chunk_id", "UNICODE"), F.collate(F.lit(chunk_id), "UNICODE")
+    later = (mine > last) | ((mine == last) & (F.col("chunk_id") > chunk_id))
+    return (F.col("score") < score) | ((F.col("score") == score) & later)

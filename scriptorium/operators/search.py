@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -292,10 +293,12 @@ class Engine:
     """Search and retrieval over a published index. Lists are fused whole; capped: at most candidate_cap rows of each.
 
     The vector list has the NEAREST nearest chunks by the index of vectors; exact: all chunks by their exact distance.
+    seek: cursors name the last hit and the index's version in place of an offset: the next page goes on behind that
+    hit, in that version, also when another was published meanwhile, and nothing before it is sorted again.
     """
 
-    def __init__(self, index: Index, collapse_keys: Sequence[str] = (), slop: int = 0, weights: Mapping[str, float] | None = None, provider: vectors.Provider | None = None, capped: bool = False, exact: bool = False):
-        self.index, self.collapse_keys, self.slop, self.weights, self.provider, self.capped, self.exact = index, list(collapse_keys), slop, dict(weights or {}), provider, capped, exact
+    def __init__(self, index: Index, collapse_keys: Sequence[str] = (), slop: int = 0, weights: Mapping[str, float] | None = None, provider: vectors.Provider | None = None, capped: bool = False, exact: bool = False, seek: bool = False):
+        self.index, self.collapse_keys, self.slop, self.weights, self.provider, self.capped, self.exact, self.seek = index, list(collapse_keys), slop, dict(weights or {}), provider, capped, exact, seek
         self.warnings: list[str] = []
 
     @property
@@ -311,7 +314,7 @@ class Engine:
         """All hits with their scores, collapsed; no texts are read."""
         allowed = self.heads.where(matching(request.filters, request.taxonomy)).select("chunk_id") if request.filters else None
         cap = None
-        if self.capped:
+        if self.capped and not self.seek:
             offset = cursor.decode_search(request.cursor, request.query.strip(), request.filters) if request.cursor else 0
             cap = candidate_cap(offset, clamp_limit(request.limit))
         most = most_hits(self.index, [request.query]) if cap is None else None
@@ -345,7 +348,18 @@ class Engine:
         return ranked(rows.select("chunk_id", vectors.distance(F.col("vector"), query).alias("score")), "vector", cap, best=F.asc("score"))
 
     def search(self, request: Request) -> Result:
-        return page(self.hits(request), self.chunks, request, lambda q: match_index(self.index, q, None).select("chunk_id"), self.index.chunks_of)
+        engine, after = self, None
+        if self.seek and request.cursor:
+            score, chunk_id, version = cursor.decode_seek(request.cursor, request.query.strip(), request.filters)
+            after = (score, chunk_id)
+            if version != self.index.version:
+                engine = copy.copy(self)
+                try:
+                    engine.index = self.index.at(version)
+                except LookupError as e:
+                    raise cursor.BadCursor("The cursor's version of the index is gone") from e
+        i = engine.index
+        return page(engine.hits(request), i.table("chunks"), request, lambda q: match_index(i, q, None).select("chunk_id"), i.chunks_of, i.version if self.seek else None, after)
 
 
 class ScanEngine:
@@ -363,17 +377,26 @@ class ScanEngine:
         return page(self.hits(request), self.chunks, request, lambda q: lexical.scored(self.chunks, q, 0.0).select("chunk_id"))
 
 
-def page(hits: DataFrame, chunks: DataFrame, request: Request, unfiltered: Callable[[str], DataFrame], of_files: Callable[[Sequence[str]], DataFrame] | None = None) -> Result:
-    """One page of hits; at most limit + 1 rows come to the driver. of_files: a quicker way to the chunks of some files."""
+def page(hits: DataFrame, chunks: DataFrame, request: Request, unfiltered: Callable[[str], DataFrame], of_files: Callable[[Sequence[str]], DataFrame] | None = None, version: str | None = None, after: tuple[float, str] | None = None) -> Result:
+    """One page of hits; at most limit + 1 rows come to the driver. of_files: a quicker way to the chunks of some files.
+
+    With a version cursors name the last hit; `after` is that of the page before.
+    """
     query = request.query.strip()
     if not query:
         raise ValueError("query is required")
     limit = clamp_limit(request.limit)
-    offset = cursor.decode_search(request.cursor, query, request.filters) if request.cursor else 0
-    rows = hits.orderBy(*lexical.order()).offset(offset).limit(limit + 1)
-    found = [r.asDict() for r in rows.select("chunk_id", "heading", "breadcrumb", "filepath", F.map_filter("metadata", lambda k, v: v != "").alias("metadata"), F.round("score", 6).alias("score")).collect()]
+    offset = cursor.decode_search(request.cursor, query, request.filters) if request.cursor and version is None else 0
+    if after is not None:
+        hits = hits.where(lexical.behind(*after))
+    rows = hits.orderBy(*lexical.order())
+    rows = (rows.offset(offset) if offset else rows).limit(limit + 1)
+    found = [r.asDict() for r in rows.select("chunk_id", "heading", "breadcrumb", "filepath", F.map_filter("metadata", lambda k, v: v != "").alias("metadata"), F.round("score", 6).alias("score"), F.col("score").alias("exact")).collect()]
     more = len(found) > limit
     shown = found[:limit]
+    last = shown[-1]["exact"] if shown else 0.0
+    for r in shown:
+        del r["exact"]
     if shown:  # only their texts are read
         paths = sorted({r["filepath"] for r in shown})
         mine = of_files(paths) if of_files else chunks.where(F.col("filepath").isin(paths))
@@ -381,8 +404,10 @@ def page(hits: DataFrame, chunks: DataFrame, request: Request, unfiltered: Calla
         texts = {r["chunk_id"]: r["snippet"] for r in mine.select("chunk_id", snippet(F.col("content_text"), query).alias("snippet")).collect()}
         for r in shown:
             r["snippet"] = texts[r["chunk_id"]]
-    after = cursor.encode_search(offset + limit, limit, query, request.filters) if more else None
-    return Result(shown, after, None if found else hint(chunks, unfiltered(query), query, request.filters))
+    following = None
+    if more:
+        following = cursor.encode_search(offset + limit, limit, query, request.filters) if version is None else cursor.encode_seek(last, shown[-1]["chunk_id"], version, query, request.filters)
+    return Result(shown, following, None if found or after else hint(chunks, unfiltered(query), query, request.filters))
 
 
 # ------------------------------------------------------------------ hints

@@ -120,6 +120,19 @@ class SegmentedIndex:
     def path(self) -> str:
         return self.base
 
+    @property
+    def version(self) -> str:
+        return str(self.manifest.version)
+
+    def at(self, version: str) -> SegmentedIndex:
+        """Another version of the same index, as long as it is kept."""
+        if version == self.version:
+            return self
+        try:
+            return SegmentedIndex(self.spark, self.base, latest(self.spark, self.base, int(version)))
+        except ValueError as e:
+            raise LookupError(f"There is no version {version} any more") from e
+
     def near(self) -> None:
         """Segments have no index of vectors; they are compared exactly."""
         return None
