@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,6 +223,32 @@ def nearest_of(paths: DataFrame, known: DataFrame) -> DataFrame:
     return paths.join(found, "path", "left")
 
 
+RESOLVED = "path string, markdown string, strategy struct<chunk_by:string,max_chunk_size:int,min_chunk_size:int>, metadata map<string,string>, title string, has_manifest boolean"
+_STRATEGY = pa.struct([("chunk_by", pa.string()), ("max_chunk_size", pa.int32()), ("min_chunk_size", pa.int32())])
+
+
+def resolved_batch(files: Iterable[tuple[str, str, Manifest | None, str]]) -> pa.RecordBatch:
+    """Files (path, text, manifest, its directory) with their settings, as RESOLVED says."""
+    rows = []
+    for path, text, known, base in files:
+        c = resolve(path, text, known, base)
+        rows.append((path, text, vars(c.strategy), list(c.metadata.items()), c.title, known is not None))
+    kinds = (pa.string(), pa.string(), _STRATEGY, pa.map_(pa.string(), pa.string()), pa.string(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["path", "markdown", "strategy", "metadata", "title", "has_manifest"])
+
+
+def resolved(files: DataFrame) -> DataFrame:
+    """Settings of files (path, markdown) beside the text of their manifest and its directory (manifest, dir; null without one)."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parsed = functools.lru_cache(1000)(parse_manifest)
+        for b in batches:
+            columns = (b.column(k).to_pylist() for k in range(4))
+            yield resolved_batch((p, t, parsed(m) if m is not None else None, d or "") for p, t, m, d in zip(*columns, strict=True))
+
+    return files.select("path", "markdown", "manifest", "dir").mapInArrow(over, RESOLVED)
+
+
 def merged_taxonomy(manifests: Iterable[Manifest]) -> dict[str, dict]:
     """What any manifest sets to true, for each key."""
     out: dict[str, dict] = {}

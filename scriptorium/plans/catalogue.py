@@ -130,6 +130,17 @@ def _size_parts(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_files(files, chunking.Strategy("h2", 400, 80)).select("chunk_id", "heading_level", "chunk_index", F.length("content").alias("n_chars"))
 
 
+def _packed_parts(spark: SparkSession, d: str) -> DataFrame:
+    """A section for each conversation, its turns as paragraphs of their lengths; every other section has deeper headings. Split by headings, then between blocks, small parts joined."""
+    deeper = F.col("conv_id") % 2 == 0
+    n = (F.length("text") % 300 + 1).cast("int")
+    turns = F.array_sort(F.collect_list(F.struct("turn", n.alias("n"))))
+    para = lambda t, i: F.concat(F.when(F.col("deeper") & (i % 3 == 0), F.concat(F.lit("### Sub "), (F.floor(i / 3) + 1).cast("string"), F.lit("\n\n"))).otherwise(""), F.repeat(F.lit("x"), t["n"]))
+    rows = adapters.read(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("turns")).withColumn("deeper", deeper)
+    files = rows.select(F.concat(F.lit("c/"), F.col("conv_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("## Sec\n\n"), F.array_join(F.transform("turns", para), "\n\n")).alias("markdown"))
+    return chunking.chunk_files(files, chunking.Strategy("h2", 400, 80)).select("chunk_id", "chunk_index", F.length("content").alias("n_chars"))
+
+
 def _slop(spark: SparkSession, d: str) -> DataFrame:
     return search.phrase_scan(chunks(spark, d), PHRASE, 2).select("chunk_id", F.col("score").cast("long").alias("n"))
 
@@ -171,6 +182,23 @@ def _nearest_manifests(spark: SparkSession, d: str) -> DataFrame:
     return manifest.nearest_of(paths, known).select("path", "dir")
 
 
+def _settings(spark: SparkSession, d: str) -> DataFrame:
+    """Settings of a file for each document: by the manifest of its language, the manifest's overrides, a hint comment, front matter."""
+    docs = adapters.read(spark, d, "documents")
+    i, base = F.col("doc_id"), F.concat(F.lit("sdk/"), F.col("lang"))
+    own = F.when(F.col("lang") == "en", "h1").when(F.col("lang") == "fr", "h3").otherwise("h2")
+    overrides = '[{"pattern": "src1/**", "strategy": {"chunk_by": "file"}, "metadata": {"scope": "one"}}, {"pattern": "**/*7.md", "metadata": {"seven": "yes"}}]'
+    said = F.concat(F.lit('{"version": "1", "strategy": {"chunk_by": "'), own, F.lit('", "max_chunk_size": 900}, "metadata": {"language": "'), F.col("lang"), F.lit('", "kind": "base"}, "overrides": ' + overrides + "}"))
+    known = docs.where("lang <> 'es'").select(base.alias("dir"), said.alias("manifest")).distinct()
+    title = F.concat(F.lit("# Title "), i.cast("string"), F.lit("\n"))
+    front = F.concat(F.lit("---\nmcp_chunking_hint: h3\nmetadata:\n  kind: front\ntitle: Front "), i.cast("string"), F.lit("\n---\n"), title)
+    hint = F.concat(F.lit('<!-- mcp_chunking_hint: {"chunk_by": "file"} -->\n'), title)
+    paths = docs.select(F.concat_ws("/", base, "source", F.concat(i.cast("string"), F.lit(".md"))).alias("path"), F.when(i % 4 == 0, front).when(i % 4 == 1, hint).otherwise(title).alias("markdown"))
+    out = manifest.resolved(manifest.nearest_of(paths, known))
+    pairs = F.array_sort(F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return out.select("path", F.col("strategy.chunk_by").alias("chunk_by"), F.col("strategy.max_chunk_size").alias("max_size"), F.array_join(pairs, ",").alias("metadata"), "title", "has_manifest")
+
+
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
     """Documents with metadata of their own: the language and a key for each source and remainder."""
     tag = F.concat_ws("-", "source", (F.col("doc_id") % 51).cast("string"))
@@ -399,6 +427,7 @@ def queries() -> dict[str, Query]:
         "configured_taxonomy": _configured,
         "unused_keys": _unused,
         "nearest_manifest": _nearest_manifests,
+        "resolved_settings": _settings,
         "metadata_extraction": _metadata,
         "hybrid_rrf": hybrid,
         "normalize_tokenize": lambda s, d: chunks(s, d).select("chunk_id", F.size(ts := T.tokenized(T.normalized(F.col("content_text")))).alias("n_tokens"), F.array_join(F.slice(ts, 1, 8), " ").alias("head")),
@@ -424,6 +453,7 @@ def queries() -> dict[str, Query]:
         "corpus_stats": lambda s, d: metadata.corpus_statistics(chunks(s, d)),
         "chunk_conversations": lambda s, d: chunking.chunk_files(_markdown(s, d)).select("chunk_id", "heading", "chunk_index"),
         "size_split_parts": _size_parts,
+        "packed_parts": _packed_parts,
         "suggest_chunk_by": lambda s, d: manifest.suggestions(_fixed_files(s, d)),
         "majority_default": lambda s, d: manifest.majority(manifest.suggestions(_fixed_files(s, d))),
         "chunk_fingerprint": lambda s, d: chunks(s, d).select("chunk_id", T.joined_hash(F.lit('{"chunk_by":"h2"}'), F.lit("{}"), F.col("content")).alias("fingerprint")),
@@ -576,6 +606,11 @@ SELECT c.scenario, count(*) AS calls, coalesce(sum(length(f.result)), 0)::BIGINT
 v AS (SELECT DISTINCT tag AS key, (doc_id % 3)::VARCHAR AS v FROM t UNION SELECT 'language', lang FROM t)
 SELECT key, key IN (SELECT tag FROM t WHERE doc_id % 5 = 0) AS vector_collapse, string_agg(v, ',' ORDER BY v) AS values FROM v GROUP BY key""",
         "unused_keys": "SELECT source || '-' || (doc_id % 51) AS key FROM documents EXCEPT SELECT source || '-' || (doc_id % 51) FROM documents WHERE doc_id % 3 = 0",
+        "resolved_settings": """WITH x AS (SELECT *, lang <> 'es' AS m, doc_id % 4 AS r, doc_id % 10 = 7 AS seven FROM documents)
+SELECT 'sdk/' || lang || '/' || source || '/' || doc_id || '.md' AS path, CASE WHEN r = 0 THEN 'h3' WHEN r = 1 THEN 'file' WHEN m AND source = 'src1' THEN 'file' WHEN m AND lang = 'en' THEN 'h1' WHEN m AND lang = 'fr' THEN 'h3' ELSE 'h2' END AS chunk_by,
+  CASE WHEN m AND r <> 0 AND source <> 'src1' THEN 900 END::INT AS max_size,
+  array_to_string(list_filter([CASE WHEN r = 0 THEN 'kind=front' WHEN m THEN 'kind=base' END, CASE WHEN m THEN 'language=' || lang END, CASE WHEN m AND source = 'src1' THEN 'scope=one' END, CASE WHEN m AND seven THEN 'seven=yes' END], lambda z: z IS NOT NULL), ',') AS metadata,
+  CASE WHEN r = 0 THEN 'Front ' ELSE 'Title ' END || doc_id AS title, m AS has_manifest FROM x""",
         "nearest_manifest": """WITH p AS (SELECT 'sdk/' || lang || '/' || source || '/' || (doc_id % 5) || '/' || doc_id || '.md' AS path FROM documents),
 m AS (SELECT 'sdk/' || lang AS dir FROM documents WHERE lang <> 'es' UNION SELECT 'sdk/' || lang || '/' || source FROM documents WHERE doc_id % 7 = 0 UNION SELECT 'sdk/' || lang || '/' || source || '/' || (doc_id % 5) FROM documents WHERE doc_id % 31 = 0)
 SELECT path, arg_max(dir, length(dir)) AS dir FROM p LEFT JOIN m ON starts_with(path, dir || '/') GROUP BY path""",
@@ -638,5 +673,16 @@ coalesce(sum(event_id % 7) FILTER (event_id % 4 = 1), 0)::BIGINT AS output_token
         "run_fold_streamed": _RUN_FOLD,
         "run_pairs": """SELECT 'run-' || (c.event_id // 64) AS scenario, 'c' || (c.event_id // 4) AS call_id, CASE WHEN c.event_id % 8 = 1 THEN 'mcp__docs__search' ELSE 'Bash' END AS tool, r.event_id % 13 AS result_chars, CASE WHEN r.event_id IS NOT NULL THEN 10::BIGINT END AS ms
 FROM events c LEFT JOIN events r ON r.event_id = c.event_id + 1 WHERE c.event_id % 4 = 1""",
+        "packed_parts": """WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, length(text) % 300 + 1 AS n FROM conversations),
+a AS (SELECT conv_id, 0 AS k, 0 AS h, 6 AS n FROM t GROUP BY conv_id
+  UNION ALL SELECT conv_id, k, 0, length('### Sub ' || ((k - 1) // 3 + 1)) FROM t WHERE conv_id % 2 = 0 AND (k - 1) % 3 = 0 UNION ALL SELECT conv_id, k, 1, n FROM t),
+w AS (SELECT conv_id, sum(n) + 2 * (count(*) - 1) AS size FROM a GROUP BY conv_id),
+u AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 AND size > 400 AND k > 0 THEN (k - 1) // 3 + 1 ELSE 0 END AS sub, k, h, n FROM a JOIN w USING (conv_id)),
+b AS (SELECT conv_id, sub, row_number() OVER (PARTITION BY conv_id, sub ORDER BY k, h) AS i, n, sum(n) OVER (PARTITION BY conv_id, sub) + 2 * (count(*) OVER (PARTITION BY conv_id, sub) - 1) AS size FROM u),
+g AS (SELECT conv_id, sub, i, n, 1 AS part, CASE WHEN size <= 400 THEN 1000000 ELSE 400 - n END AS room FROM b WHERE i = 1
+  UNION ALL SELECT b.conv_id, b.sub, b.i, b.n, CASE WHEN b.n > g.room THEN g.part + 1 ELSE g.part END, CASE WHEN b.n > g.room THEN 400 - b.n ELSE g.room - b.n END FROM g JOIN b ON b.conv_id = g.conv_id AND b.sub = g.sub AND b.i = g.i + 1),
+p AS (SELECT conv_id, sub, part, sum(n) AS n, count(*) AS c FROM g GROUP BY ALL),
+o AS (SELECT *, max(CASE WHEN part = 1 OR n + 2 * (c - 1) >= 80 THEN part END) OVER (PARTITION BY conv_id, sub ORDER BY part) AS own FROM p)
+SELECT 'c/' || conv_id || '.md#sec' || CASE WHEN sub > 0 THEN '/sub-' || sub ELSE '' END || CASE WHEN own > 1 THEN '-part-' || own ELSE '' END AS chunk_id, (row_number() OVER (PARTITION BY conv_id ORDER BY sub, own) - 1)::INT AS chunk_index, (sum(n) + 2 * (sum(c) - 1))::INT AS n_chars FROM o GROUP BY conv_id, sub, own""",
         "token_cost": "SELECT lang AS model, round((coalesce(CASE lang WHEN 'en' THEN 3.0::DOUBLE WHEN 'fr' THEN 1.25::DOUBLE END, 0) * (sum(n_chars) - count(*)) + count(*) * coalesce(CASE lang WHEN 'en' THEN 0.3::DOUBLE WHEN 'fr' THEN 0.125::DOUBLE END, 0) + sum(doc_id % 100) * coalesce(CASE lang WHEN 'en' THEN 15.0::DOUBLE WHEN 'fr' THEN 10.0::DOUBLE END, 0)) / 1e6::DOUBLE, 6) AS cost_usd FROM documents GROUP BY lang",
     }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import subprocess
@@ -116,27 +115,16 @@ def read_tree(spark: SparkSession, root: str, manifest_name: str = MANIFEST_NAME
     known = written(paths.where(name == manifest_name).select(place.alias("dir"), "path").mapInArrow(texts, "dir string, manifest string"), "manifests")
     near = M.nearest_of(files, known)
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed = functools.lru_cache(1000)(M.parse_manifest)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for p, d, said in zip(*(b.column(k).to_pylist() for k in ("path", "dir", "manifest")), strict=True):
+            got = []
+            for p in b.column(0).to_pylist():
                 with open(os.path.join(root, p), encoding="utf-8", newline="") as f:
-                    text = f.read()
-                c = M.resolve(p, text, parsed(said) if said is not None else None, d or "")
-                rows.append((p, text, vars(c.strategy), list(c.metadata.items()), c.title, said is not None))
-            yield _file_batch(rows)
-
-    return near.repartition(max(1, -(-files.count() // files_a_task)), "path").mapInArrow(over, FILE_SCHEMA)
-
-
-def _file_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), _STRATEGY, pa.map_(pa.string(), pa.string()), pa.string(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["path", "markdown", "strategy", "metadata", "title", "has_manifest"])
-
+                    got.append(f.read())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string()), b.column(1), b.column(2)], names=["path", "markdown", "manifest", "dir"])
 
-FILE_SCHEMA = "path string, markdown string, strategy struct<chunk_by:string,max_chunk_size:int,min_chunk_size:int>, metadata map<string,string>, title string, has_manifest boolean"
-_STRATEGY = pa.struct([("chunk_by", pa.string()), ("max_chunk_size", pa.int32()), ("min_chunk_size", pa.int32())])
+    dealt = near.select("path", "manifest", "dir").repartition(max(1, -(-files.count() // files_a_task)), "path")
+    return M.resolved(dealt.mapInArrow(read, "path string, markdown string, manifest string, dir string"))
 
 
 def read_corpus(spark: SparkSession, root: str, manifest_name: str = MANIFEST_NAME, files_a_task: int = 500) -> DataFrame:
@@ -147,16 +135,15 @@ def read_corpus(spark: SparkSession, root: str, manifest_name: str = MANIFEST_NA
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            files = []
             for p in b.column(0).to_pylist():
                 with open(os.path.join(root, p), encoding="utf-8", newline="") as f:
                     text = f.read()
                 near = M.nearest(p, known)
-                c = M.resolve(p, text, near[1] if near else None, near[0] if near else "")
-                rows.append((p, text, vars(c.strategy), list(c.metadata.items()), c.title, near is not None))
-            yield _file_batch(rows)
+                files.append((p, text, near[1] if near else None, near[0] if near else ""))
+            yield M.resolved_batch(files)
 
-    return listed.mapInArrow(over, FILE_SCHEMA)
+    return listed.mapInArrow(over, M.RESOLVED)
 
 
 def eval_cases(spark: SparkSession, path: str) -> DataFrame:

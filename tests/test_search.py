@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,13 +15,14 @@ def row(cid, heading="H", content="", index=0, **metadata):
 
 @pytest.fixture(scope="module")
 def chunks(spark):
+    """Five pages on glazing: of two studios, for everyone, without any facet, and of a studio but without a scope."""
     return spark.createDataFrame(
         [
-            row("ts.md#retry", "Retry", "retry with backoff in typescript", language="typescript", scope="sdk-specific"),
-            row("global.md#retry", "Retry", "retry guidance for all", scope="global-guide"),
-            row("py.md#retry", "Retry", "retry in python", language="python", scope="sdk-specific"),
-            row("legacy.md#retry", "Retry", "old retry notes"),
-            row("legacy-py.md#retry", "Retry", "old python retry notes", language="python"),
+            row("studio/oslo.md#celadon", "Celadon", "celadon glaze needs a slow kiln and ash", language="oslo", scope="sdk-specific"),
+            row("house/rules.md#glaze", "Glazing", "every glaze is mixed by weight", scope="global-guide"),
+            row("studio/kyoto.md#tenmoku", "Tenmoku", "tenmoku glaze on dark clay", language="kyoto", scope="sdk-specific"),
+            row("attic/notes.md#glaze", "Notes", "an old glaze recipe"),
+            row("attic/kyoto.md#glaze", "Notes", "an old glaze recipe for dark clay", language="kyoto"),
         ],
         CHUNK_SCHEMA,
     )
@@ -30,53 +33,66 @@ def engine(spark, chunks, tmp_path_factory):
     return search.Engine(index.build(chunks, str(tmp_path_factory.mktemp("index"))))
 
 
-def found(result):
-    return {h["filepath"] for h in result.hits}
+def ids(result):
+    return sorted(h["chunk_id"] for h in result.hits)
 
 
 @pytest.mark.parametrize("kind", ["scan", "index"])
-def test_a_language_takes_in_guides_and_what_has_none(chunks, engine, kind):
-    e = engine if kind == "index" else search.ScanEngine(chunks)
-    got = e.search(search.Request("retry", {"language": "typescript"}))
-    assert found(got) == {"ts.md", "global.md", "legacy.md"}
-    assert found(e.search(search.Request("retry", {"language": "typescript"}, taxonomy=["language"]))) == {"ts.md"}
-    assert found(e.search(search.Request("retry", {"scope": "global-guide"}))) == {"global.md"}
+@pytest.mark.parametrize(
+    ("filters", "taxonomy", "wanted"),
+    [
+        ({}, None, 5),
+        ({"language": "oslo"}, None, ["attic/notes.md#glaze", "house/rules.md#glaze", "studio/oslo.md#celadon"]),
+        ({"language": "kyoto"}, None, ["attic/kyoto.md#glaze", "attic/notes.md#glaze", "house/rules.md#glaze", "studio/kyoto.md#tenmoku"]),
+        ({"language": "oslo"}, ["language"], ["studio/oslo.md#celadon"]),
+        ({"scope": "global-guide"}, None, ["house/rules.md#glaze"]),
+        ({"language": "kyoto", "scope": "sdk-specific"}, None, ["studio/kyoto.md#tenmoku"]),
+    ],
+)
+def test_filters_take_in_what_holds_for_all(chunks, engine, kind, filters, taxonomy, wanted):
+    got = ids((engine if kind == "index" else search.ScanEngine(chunks)).search(search.Request("glaze", filters, taxonomy=taxonomy)))
+    assert len(got) == wanted if isinstance(wanted, int) else got == wanted
 
 
-def test_pages_don_t_overlap(chunks):
+@pytest.mark.parametrize("limit", [1, 2, 3, 4, 5, 6])
+def test_pages_joined_are_the_list(chunks, limit):
     e = search.ScanEngine(chunks)
-    first = e.search(search.Request("retry", limit=2))
-    second = e.search(search.Request("retry", limit=2, cursor=first.next_cursor))
-    third = e.search(search.Request("retry", limit=2, cursor=second.next_cursor))
-    ids = [h["chunk_id"] for r in (first, second, third) for h in r.hits]
-    assert len(ids) == len(set(ids)) == 5
-    assert third.next_cursor is None
+    whole = [h["chunk_id"] for h in e.search(search.Request("glaze", limit=20)).hits]
+    got, after, pages = [], None, 0
+    while pages == 0 or after:
+        r = e.search(search.Request("glaze", limit=limit, cursor=after))
+        got, after, pages = got + [h["chunk_id"] for h in r.hits], r.next_cursor, pages + 1
+    assert got == whole and len(whole) == 5 and pages == -(-5 // limit)
+    first = e.search(search.Request("glaze", limit=2)).next_cursor
+    with pytest.raises(cursor.BadCursor):
+        e.search(search.Request("clay", cursor=first))
     with pytest.raises(cursor.BadCursor):
-        e.search(search.Request("other", cursor=first.next_cursor))
+        e.search(search.Request("glaze", {"language": "oslo"}, cursor=first))
 
 
 def test_hints(chunks, engine):
     for e in (search.ScanEngine(chunks), engine):
-        none = e.search(search.Request("backoff", {"language": "python", "scope": "sdk-specific"}))
+        none = e.search(search.Request("ash", {"language": "kyoto", "scope": "sdk-specific"}))
         assert none.hits == []
-        assert none.hint["suggested_filters"] == {"language": ["typescript"]}
-        assert "with filters language='python', scope='sdk-specific'" in none.hint["message"]
-        assert "No matches" in e.search(search.Request("zzz")).hint["message"]
+        assert none.hint["suggested_filters"] == {"language": ["oslo"]}
+        assert "with filters language='kyoto', scope='sdk-specific'" in none.hint["message"]
+        assert "No matches" in e.search(search.Request("porcelain")).hint["message"]
     with pytest.raises(ValueError, match="query is required"):
-        engine.search(search.Request(" "))
+        engine.search(search.Request(" \n"))
 
 
-def test_a_phrase_beats_scattered_words(spark, tmp_path):
-    rows = [row("a.md#1", "A", "Retry and then maybe later do backoff"), row("b.md#1", "B", "Retry backoff strategy for APIs")]
-    e = search.Engine(index.build(spark.createDataFrame(rows, CHUNK_SCHEMA), str(tmp_path)))
-    assert [h["filepath"] for h in e.search(search.Request("retry backoff")).hits] == ["b.md", "a.md"]
-    e = search.Engine(e.index, slop=5)
-    assert {r.chunk_id for r in search.phrase_index(e.index, "retry backoff", 5, None).collect()} == {"a.md#1", "b.md#1"}
-    assert {r.chunk_id for r in search.phrase_index(e.index, "retry backoff", 4, None).collect()} == {"b.md#1"}
+def test_words_in_a_row_count_more_than_words_apart(spark, tmp_path):
+    apart = row("far.md#1", "Far", "ash of pine then much later some glaze")
+    near = row("near.md#1", "Near", "pine ash glaze is fired twice in there")
+    e = search.Engine(index.build(spark.createDataFrame([apart, near], CHUNK_SCHEMA), str(tmp_path)))
+    assert [h["filepath"] for h in e.search(search.Request("ash glaze")).hits] == ["near.md", "far.md"]
+    reached = {slop: {r.chunk_id for r in search.phrase_index(e.index, "ash glaze", slop, None).collect()} for slop in range(7)}
+    assert [s for s, got in reached.items() if "far.md#1" in got] == []  # six words stand between, slop ends at five
+    assert all("near.md#1" in got for got in reached.values())
 
 
 def test_index_and_scan_agree(spark, chunks, engine):
-    for q in ("retry", "retry notes", "old python retry"):
+    for q in ("glaze", "old glaze recipe", "dark clay", "kiln porcelain"):
         a = {(r.chunk_id, round(r.score, 8)) for r in search.match_index(engine.index, q, None).collect()}
         assert a == {(r.chunk_id, round(r.score, 8)) for r in search.match_scan(chunks, q).collect()}
         for slop in (0, 2):
@@ -85,9 +101,9 @@ def test_index_and_scan_agree(spark, chunks, engine):
 
 
 def test_headings_match(spark, tmp_path):
-    rows = [row("a.md#1", "AcmeAuthClientV2", "nothing here"), row("b.md#1", "Other", "also nothing")]
+    rows = [row("k.md#1", "RakuKilnMark4", "no word of it"), row("w.md#1", "Wheel", "nor here")]
     e = search.Engine(index.build(spark.createDataFrame(rows, CHUNK_SCHEMA), str(tmp_path)))
-    assert [h["chunk_id"] for h in e.search(search.Request("AcmeAuthClientV2")).hits] == ["a.md#1"]
+    assert [h["chunk_id"] for h in e.search(search.Request("rakukilnmark4")).hits] == ["k.md#1"]
 
 
 def test_vectors_take_part_and_may_fail(spark, tmp_path):
@@ -118,27 +134,39 @@ def test_fusion(spark):
     assert got == {"x": round(1 / 61, 6), "y": round(1 / 62 + 1.25 / 61, 6)}
 
 
-@pytest.mark.parametrize(
-    ("path", "heading", "cid", "language", "expected"),
-    [
-        ("sdks/python/auth.md", "Retry Configuration", "sdks/python/auth.md#retry-configuration", "python", "sdks/*/auth.md:Retry Configuration"),
-        ("sdks/python/auth.md", "Configuration", "sdks/python/auth.md#configuration-part-2", "python", "sdks/*/auth.md:Configuration:2"),
-        ("go/tutorials/go/basics.md", "Intro", "go/tutorials/go/basics.md#intro", "go", "*/tutorials/go/basics.md:Intro"),
-        ("sdks/python/auth.md", "", "sdks/python/auth.md", "python", "sdks/*/auth.md:"),
-        ("guides/auth.md", "Overview", "guides/auth.md#overview", "", None),
-        ("guides/auth.md", "Overview", "guides/auth.md#overview", "python", None),
-    ],
-)
-def test_variant_keys(spark, path, heading, cid, language, expected):
-    df = spark.createDataFrame([(cid, path, heading, 2, "", "", "", 0, {"language": language} if language else {})], CHUNK_SCHEMA)
-    assert df.select(collapse.variant_key(["language"])).first()[0] == expected
-
-
-def test_collapsing(spark):
-    rows = [row("sdks/python/i.md#i", "Installation", "install it", language="python"), row("sdks/typescript/i.md#i", "Installation", "install it", language="typescript"), row("guides/g.md#g", "Guide", "install guide")]
+def plain_key(path, heading, part, facets):
+    """The collapse key by its definition: facets' values that are segments of the path become *, heading and part follow."""
+    if not all(facets.values()):
+        return None
+    segments = path.split("/")
+    hit = False
+    for value in facets.values():
+        if value in segments:
+            segments[segments.index(value)] = "*"  # the first one
+            hit = True
+    return ":".join(["/".join(segments), heading, *([str(part)] if part else [])]) if hit else None
+
+
+def test_variant_keys_against_their_definition(spark):
+    g = random.Random(12)
+    cases = []
+    for i in range(150):
+        path = "/".join(g.choice(["kyoto", "oslo", "ware", "v1", "v2"]) for _ in range(g.randrange(1, 5))) + f"/{g.choice(['cups', 'kyoto'])}.md"
+        facets = {"language": g.choice(["kyoto", "oslo", "", "lima"]), "version": g.choice(["v1", "v2", ""])}
+        part = g.choice([0, 0, 2, 13])
+        cases.append((path, g.choice(["", "Firing", "A:B"]), part, facets, f"{path}#x{i}" + (f"-part-{part}" if part else "")))
+    df = spark.createDataFrame([(c[4], c[0], c[1], 2, "", "", "", 0, c[3]) for c in cases], CHUNK_SCHEMA)
+    for keys in (["language"], ["language", "version"]):
+        got = {r[0]: r[1] for r in df.select("chunk_id", collapse.variant_key(keys)).collect()}
+        assert got == {c[4]: plain_key(c[0], c[1], c[2], {k: c[3][k] for k in keys}) for c in cases}
+    assert df.select(collapse.variant_key([])).distinct().collect()[0][0] is None
+
+
+def test_one_hit_for_all_variants(spark):
+    rows = [row(f"ware/{town}/mug.md#m", "Throwing", "throw a mug", language=town) for town in ("kyoto", "oslo", "lima")] + [row("ware/all.md#m", "Throwing", "throw a mug too")]
     e = search.ScanEngine(spark.createDataFrame(rows, CHUNK_SCHEMA), ["language"])
-    assert len(e.search(search.Request("install")).hits) == 2
-    assert len(e.search(search.Request("install", {"language": "python"})).hits) == 2
+    assert ids(e.search(search.Request("mug")))[0] == "ware/all.md#m" and len(e.search(search.Request("mug")).hits) == 2
+    assert ids(e.search(search.Request("mug", {"language": "oslo"}))) == ["ware/all.md#m", "ware/oslo/mug.md#m"]
 
 
 def test_documents(spark):
