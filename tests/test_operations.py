@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import agent_eval, evaluate, index, metadata, search, vectors
+from scriptorium.operators import agent_eval, batched, evaluate, index, metadata, search, vectors
 from scriptorium.plans import build
 from scriptorium.sources import adapters
 
@@ -54,6 +54,32 @@ def test_a_batch_gives_what_single_queries_give(spark, made):
         assert got.get(i, []) == [(r.chunk_id, r.score) for r in want]
 
 
+@pytest.mark.parametrize("filters", [None, {"language": "en"}])
+def test_a_batch_keeps_few_rows_and_ranks_as_whole_lists_do(spark, made, monkeypatch, filters):
+    """Lists of common words have about as many rows as there are queries times chunks: none of them is written, and the hits are those of whole lists."""
+    texts = ["the was of", "idiot of the est", "est la de the", "of was the", "la of est", "of the", "zzz", "was la the", "the de of"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
+    rows = lambda: [tuple(r) for r in search.search_many(made, asked, 3, filters=filters).orderBy("query_id", "rank").collect()]
+    sizes = []
+    put = batched.written
+    monkeypatch.setattr(batched, "written", lambda df, label: (sizes.append((out := put(df, label)).count()), out)[1])
+    bounded = rows()
+    hits = search.match_many(made, asked.select("query_id", F.explode(F.split("query", " ")).alias("term"))).count()
+    assert bounded and max(sizes) * 2 < hits
+    for name, value in (("BUCKET_CHUNKS", 60), ("QUERY_BLOCK", 3), ("SLICE", 16)):
+        monkeypatch.setattr(batched, name, value)
+    assert rows() == bounded
+    monkeypatch.setattr(search, "depths", lambda limit, weights: None)
+    assert rows() == bounded
+
+
+def test_how_deep_lists_matter():
+    w = search.WEIGHTS
+    match, phrase = search.depths(10, w)
+    assert 1.0 / (61 + match) + 1.25 / (61 + phrase) < 1.0 / 70 - 1e-6
+    assert search.depths(10, {**w, "match": 0.0}) is None and search.depths(50, {**w, "phrase": 0.0})[1] == 1
+
+
 def test_pages_follow_each_other_whether_capped_or_not(spark, made):
     for capped in (False, True):
         engine = search.Engine(made, capped=capped)
