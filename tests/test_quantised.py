@@ -109,6 +109,31 @@ def test_many_equal_vectors_and_odd_rows(spark, tmp_path, monkeypatch):
     assert quantised.save(rows.where("false"), str(tmp_path / "none")) is None
 
 
+@pytest.mark.parametrize("group", [37, 20_000])
+def test_exact_search_misses_none(spark, tmp_path, monkeypatch, group):
+    """Many clusters of vectors that their codes don't tell apart: the best by codes aren't the nearest."""
+    monkeypatch.setattr(quantised, "GROUP_ROWS", group)
+    monkeypatch.setattr(quantised, "QUERY_BLOCK", 9)
+    g = np.random.default_rng(2)
+    x = np.repeat(g.normal(size=(3, 8)), 400, 0) + 1e-4 * g.normal(size=(1200, 8))
+    x[::50] = g.normal(size=(24, 8)) * 100  # spreads the codebooks' entries
+    x[7] = x[8]
+    x = x.astype(np.float32).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>")
+    monkeypatch.setattr(quantised, "ENTRIES", 4)
+    model = quantised.save(rows, str(tmp_path / "x"), key="vec_id")
+    cells, sizes = spark.read.parquet(f"{tmp_path}/x/cells"), spark.read.parquet(f"{tmp_path}/x/sizes")
+    asked = rows.where("vec_id % 61 = 7").select(F.col("vec_id").alias("query_id"), "vector")
+    got = {}
+    for r in quantised.nearest_many(cells, sizes, model, asked, 10, key="vec_id", exact=True).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert len(got) == asked.count()
+    for q, found in got.items():
+        assert [i for _, i in sorted(found)] == [i for _, i in brute(range(len(x)), x, x[q], 10)]
+    some = rows.where("vec_id % 3 = 0").select("vec_id")
+    assert {r.vec_id % 3 for r in quantised.nearest_many(cells, sizes, model, asked, 10, allowed=some, key="vec_id", exact=True).collect()} == {0}
+
+
 def numbers():
     class Numbers:  # within a function, so that workers get it by value
         name, dimensions = "numbers", 8
