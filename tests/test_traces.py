@@ -119,6 +119,36 @@ def random_run(g, n):
     return out
 
 
+class Entries:
+    """State that counts how often it is asked."""
+
+    def __init__(self, asked):
+        self.asked, self.entries = asked, {}
+
+    def __getattr__(self, name):
+        def call(*a):
+            self.asked.append(name)
+            if name in ("update", "updateValue"):
+                self.entries[a[0] if len(a) > 1 else ()] = a[-1]
+            key = a[0] if a else ()
+            return {"exists": () in self.entries, "containsKey": key in self.entries, "iterator": iter(self.entries.items())}.get(name, self.entries.get(key))
+
+        return call
+
+
+def test_a_scenario_takes_few_reads_and_writes_of_the_state(spark):
+    asked = []
+    made = fold.Fold()
+    made.value, made.seen, made.tools, made.waiting = (Entries(asked) for _ in range(4))
+    lines = [message("assistant", {"type": "tool_use", "id": f"c{i // 2}", "name": "Bash"}) if i % 2 == 0 else message("user", {"type": "tool_result", "tool_use_id": f"c{i // 2}", "content": "xx"}) for i in range(40)]
+    rows = traces.events(spark.createDataFrame([("s", i, x, 10 * i) for i, x in enumerate(lines)], LINES)).toPandas()
+    for some in (rows, rows.iloc[:10]):
+        del asked[:]
+        (got,) = [r for b in made.handleInputRows(("s",), iter([some]), None) for r in b.to_dict("records")]
+        assert (got["calls"], got["answered"], got["result_chars"], got["tools_called"]) == (20, 20, 40, {"Bash": 20})
+        assert len(asked) < 10
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_stream_and_batch_agree(spark, tmp_path, seed):
     """Lines in any order, many twice and in other batches, with a restart in between."""
@@ -140,6 +170,11 @@ def test_stream_and_batch_agree(spark, tmp_path, seed):
     assert got == want
 
 
+def test_stream_and_batch_agree_on_more_calls_than_a_value_keeps(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fold, "FEW", 3)
+    test_stream_and_batch_agree(spark, tmp_path, 2)
+
+
 def test_pairs_of_events(spark):
     df = spark.createDataFrame([("s", i, x, 10 * i) for i, x in enumerate(RUN)], LINES)
     got = {r.call_id: (r.tool, r.result, r.ms) for r in traces.pairs(traces.events(df)).collect()}
