@@ -58,3 +58,15 @@ def test_an_exact_batch_takes_the_whole_vector_list(spark, tmp_path):
     assert by_query(search.search_many(made, asked, 10, provider=provider, exact=True)) == {1: want}
     far = {r.chunk_id for r in near.where(F.col("rank") > search.NEAREST_OF_MANY).collect()}
     assert far & {c for c, _ in want}
+
+
+def test_batches_need_no_postings_and_an_index_without_them_answers_alike(spark, made, tmp_path):
+    lean = index.build(made.table("chunks"), str(tmp_path), for_batches=True)
+    assert not (tmp_path / lean.version / "postings").exists() and not (tmp_path / lean.version / "impacts").exists()
+    for name in ("terms", "fields", "postings", "impacts"):
+        rows = lean.table(name).select(sorted(lean.table(name).columns))
+        assert sorted(map(str, rows.collect())) == sorted(map(str, made.table(name).select(rows.columns).collect()))
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "w1 w2 zzz")], "query_id int, query string")
+    for filters in (None, {"language": "en"}):
+        assert by_query(search.search_many(lean, asked, 10, filters=filters)) == by_query(search.search_many(made, asked, 10, filters=filters))
+    assert search.match_best(lean, "alpha w3", 5).rows.collect() == search.match_best(made, "alpha w3", 5).rows.collect()
