@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import batched, index, search, vectors
+from scriptorium.plans import catalogue
 from scriptorium.sources.adapters import CHUNK_SCHEMA
 
 
@@ -70,3 +71,12 @@ def test_batches_need_no_postings_and_an_index_without_them_answers_alike(spark,
     for filters in (None, {"language": "en"}):
         assert by_query(search.search_many(lean, asked, 10, filters=filters)) == by_query(search.search_many(made, asked, 10, filters=filters))
     assert search.match_best(lean, "alpha w3", 5).rows.collect() == search.match_best(made, "alpha w3", 5).rows.collect()
+
+
+@pytest.mark.parametrize("name", ["batched_search", "batched_filtered"])
+def test_the_queries_of_batches_make_no_postings(spark, monkeypatch, name):
+    def fail(chunks):
+        raise AssertionError("postings of all chunks")
+
+    monkeypatch.setattr(index, "postings", fail)
+    assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
