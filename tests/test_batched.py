@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import batched, index, search, vectors
 from scriptorium.plans import catalogue
+from scriptorium.sources import adapters
 from scriptorium.sources.adapters import CHUNK_SCHEMA
 
 
@@ -80,3 +81,12 @@ def test_the_queries_of_batches_make_no_postings(spark, monkeypatch, name):
 
     monkeypatch.setattr(index, "postings", fail)
     assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_places_in_files_are_made_as_chunks_are_dealt_out(spark, tmp_path):
+    docs = adapters.read(spark, "/root/testdata/sf0.001", "documents")
+    rows = [adapters.documents_as_chunks(docs, indexed) for indexed in (True, False)]
+    whole, dealt = index.build(rows[0], str(tmp_path / "a")), index.build(rows[1], str(tmp_path / "b"), for_batches=True, order="doc_id")
+    assert dealt.table("chunks").schema.names == whole.table("chunks").schema.names
+    for name in ("chunks", "heads", "terms"):
+        assert sorted(map(str, dealt.table(name).collect())) == sorted(map(str, whole.table(name).collect()))
